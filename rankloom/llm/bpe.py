@@ -28,27 +28,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-LONG_PIECE, REMEMBER = 400, 400_000
+LONG_PIECE, REMEMBER = 400, 350_000
 
+#: step holds unfinished pieces and, marked done, what is left of finished ones. A pair of tokens is one number; the
+#: next token is carried along (-1 at a piece's end), so each round sorts once.
 _ENCODE = """
-with recursive step(w, p, id, n) as (
-    select w, p, id, 0 from pieces
+with recursive step(w, p, id, following, done) as (
+    select w, p, id, following, false from pieces
     union all
-    select w, p, case when rank_at = best then merged else id end, n + 1 from (
-        select *, lag(rank_at) over (partition by w order by p) as before from (
-            select *, min(rank_at) over (partition by w) as best from (
-                select s.w, s.p, s.id, s.n, m.id as merged, m.id::bigint * 65536 + s.p as rank_at from (
-                    select *, lead(id) over (partition by w order by p) as following from step
-                ) s left join merges m on s.id = m.l and s.following = m.r
-            )
-        ) where best is not null
-    ) where before is null or before <> best
+    select w, p, case when rank_at = best then merged else id end,
+        case when rank_at = best then coalesce(second, -1) when rank_next = best then merged_next else following end, best is null
+    from (
+        select w, p, id, following, merged, rank_at, min(rank_at) over whole as best, lag(rank_at) over piece as before,
+            lead(rank_at) over piece as rank_next, lead(merged) over piece as merged_next, lead(id, 2) over piece as second
+        from (
+            select s.w, s.p, s.id, s.following, m.id as merged, m.id::bigint * 65536 + s.p as rank_at
+            from step s left join merges m on s.id::bigint * 65536 + s.following = m.pair where not s.done
+        )
+        window piece as (partition by w order by p), whole as (partition by w order by p rows between unbounded preceding and unbounded following)
+    ) where best is null or before is null or before <> best
 )
-select w, list(id order by p) as ids from step
-join (select w as lw, max(n) as ln from step group by w) on w = lw and n = ln group by w order by w
+select w, list(id order by p) as ids, string_agg(t.text, '' order by p) as text
+from step join tokens t using (id) where done group by w order by w
 """
 _DECODE = """
-select w, string_agg(hex(t.bytes), '' order by p) as bytes
+select w, string_agg(t.text, '' order by p) as text
 from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as p from encoded) join tokens t using (id) group by w order by w
 """
 
@@ -66,25 +70,31 @@ class Codec:
         self.db.execute("set enable_progress_bar = false")
         self.tokens = {i: t for t, i in self.ranks.items()}
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        left, right, made = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)) if pairs else (pa.array([], pa.int32()),) * 3
-        for name, table in (("merges", pa.table({"l": left, "r": right, "id": made})), ("tokens", pa.table({"id": pa.array(self.tokens.keys(), pa.int32()), "bytes": pa.array(self.tokens.values(), pa.binary())}))):
+        pair, made = pa.array([a * 65536 + b for a, b, _ in pairs], pa.int64()), pa.array([i for _, _, i in pairs], pa.int32())
+        text = pa.array([t.decode("latin-1") for t in self.tokens.values()], pa.string())  # a character for each byte
+        for name, table in (("merges", pa.table({"pair": pair, "id": made})), ("tokens", pa.table({"id": pa.array(self.tokens.keys(), pa.int32()), "text": text}))):
             self.db.register("given", table)
             self.db.execute(f"create table {name} as from given")
             self.db.unregister("given")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.met: dict[str, tuple[bytes, bytes]] = {}
+        self.ids_of: dict[str, bytes] = {}
+        self.text_of: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _query(self, pieces: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
         lengths = np.array([len(p) for p in pieces])
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
         p = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        self.db.register("pieces", pa.table({"w": w, "p": p, "id": self.byte[np.frombuffer(b"".join(pieces), np.uint8)]}))
+        ids = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        following = np.append(ids[1:], np.int32(-1))
+        following[np.cumsum(lengths) - 1] = -1
+        self.db.register("pieces", pa.table({"w": w, "p": p, "id": ids, "following": following}))
         encoded = self.db.sql(_ENCODE).to_arrow_table()
-        return encoded.column("ids").to_pylist(), self._decode(encoded)
+        return encoded.column("ids").to_pylist(), [x.encode("latin-1") for x in encoded.column("text").to_pylist()]
 
     def _decode(self, encoded: pa.Table) -> list[bytes]:
         self.db.register("encoded", encoded)
-        return [bytes.fromhex(x) for x in self.db.sql(_DECODE).to_arrow_table().column("bytes").to_pylist()]
+        return [x.encode("latin-1") for x in self.db.sql(_DECODE).to_arrow_table().column("text").to_pylist()]
 
     def _heap(self, piece: bytes) -> list[int]:
         """The contraction of _ENCODE for one long piece."""
@@ -107,10 +117,14 @@ class Codec:
         return [ranks[piece[i : ends[i]]] for i in range(n) if live[i]]
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes and decodes pieces that were not met yet: met[piece] = (ids as bytes, decoded bytes)."""
-        if len(self.met) > self.remember:
-            self.met.clear()
-        fresh = [(x, x.encode()) for x in pieces if x not in self.met]
+        """Encodes and decodes pieces that were not met yet, into ids_of (ids as bytes) and text_of (decoded bytes)."""
+        if len(self.ids_of) > self.remember:  # what was not met again since the last time is forgotten
+            self.older, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
+        ids_of, text_of, (old_ids, old_text) = self.ids_of, self.text_of, self.older
+        again = [x for x in pieces if x not in ids_of and x in old_ids]
+        ids_of.update((x, old_ids[x]) for x in again)
+        text_of.update((x, old_text[x]) for x in again)
+        fresh = [(x, x.encode()) for x in pieces if x not in ids_of]
         whole = [(x, [self.ranks[p]]) for x, p in fresh if p in self.ranks]
         rest = [(x, p) for x, p in fresh if p not in self.ranks]
         long = [(x, self._heap(p)) for x, p in rest if len(p) > self.long_piece]
@@ -119,12 +133,12 @@ class Codec:
             ids = [i for _, i in direct]
             decoded = self._decode(pa.table({"w": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
             for (x, i), d in zip(direct, decoded, strict=True):
-                self.met[x] = np.array(i, "<u4").tobytes(), d
+                ids_of[x], text_of[x] = np.array(i, "<u4").tobytes(), d
         rest = [(x, p) for x, p in rest if len(p) <= self.long_piece]
         for at in range(0, len(rest), 40_000):
             part = rest[at : at + 40_000]
             for (x, _), i, d in zip(part, *self._query([p for _, p in part]), strict=True):
-                self.met[x] = np.array(i, "<u4").tobytes(), d
+                ids_of[x], text_of[x] = np.array(i, "<u4").tobytes(), d
 
     def batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text."""
@@ -137,10 +151,8 @@ class Codec:
                 upto += 1
             cut = [self.split(t) if t else [] for t in texts[at:upto]]
             self.learn({p for c in cut for p in c})
-            met = self.met
-            for c in cut:
-                both = [met[p] for p in c]
-                out.append((b"".join([i for i, _ in both]), b"".join([d for _, d in both])))
+            ids, text = self.ids_of.__getitem__, self.text_of.__getitem__
+            out += [(b"".join(map(ids, c)), b"".join(map(text, c))) for c in cut]
             at = upto
         return out
 
