@@ -251,7 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "do
         return None
     share = F.when(F.col("toxic") > 0, int(1e6 * min(1.0, positives / sizes[1]))).otherwise(int(1e6 * min(1.0, negatives / sizes[0])))
     taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("t")).join(taken, "doc_id").select((F.col("toxic") > 0).alias("y"), F.concat_ws(" ", F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("t"))
+    # taken is about positives + negatives ids at most: broadcast, it spares the texts a shuffle
+    rows = docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("t")).join(F.broadcast(taken), "doc_id").select((F.col("toxic") > 0).alias("y"), F.concat_ws(" ", F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("t"))
     texts: tuple[list[str], list[str]] = ([], [])
     for r in rows.toLocalIterator():
         texts[r.y].append(r.t)
