@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-LONG_PIECE, REMEMBER = 400, 350_000
+LONG_PIECE, REMEMBER = 400, 500_000
 
 #: step holds unfinished pieces and, marked done, what is left of finished ones. A pair of tokens is one number; the
 #: next token is carried along (-1 at a piece's end), so each round sorts once.
@@ -144,9 +144,9 @@ class Codec:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text."""
         out: list[tuple[bytes, bytes]] = []
         at = 0
-        while at < len(texts):  # as many texts at a time as hold some millions of characters
+        while at < len(texts):  # as many texts at a time as hold some millions of characters: each query reads the merge table anew
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size < 4_000_000):
+            while upto < len(texts) and (upto == at or size < 12_000_000):
                 size += len(texts[upto] or "")
                 upto += 1
             cut = [self.split(t) if t else [] for t in texts[at:upto]]
@@ -169,8 +169,8 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id_: s
     def each(batches):
         own = codec(path, pattern, long_piece)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 6000):
+                part = b.slice(at, 6000)
                 made = own.batch(part.column(1).to_pylist())
                 sha = [[hashlib.sha256(x[k]).hexdigest() for x in made] for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i, _ in made], pa.int64()), *(pa.array(s, pa.string()) for s in sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
