@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-POSITIVES, NEGATIVES, LANDMARKS, DECAY, FOLDS = 2_000, 4_000, 96, 0.6, 5
+POSITIVES, NEGATIVES, LANDMARKS, DECAY, FOLDS = 1_500, 3_000, 80, 0.6, 5
 LETTERS, WIDTH, REMEMBER = 64, 20, 400_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»…–—“”‘’"
 #: Characters' codes: 0 pads, 1 any mark inside a word, 2-11 digits, 12-37 a-z, the rest other letters by their code.
