@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -23,7 +24,7 @@ def duck(small):
 def shown(v):
     if v is None or v is pd.NA or (isinstance(v, float) and v != v):
         return None
-    return f"{v:.6g}" if isinstance(v, float) or getattr(getattr(v, "dtype", None), "kind", "") in "iuf" else str(v)
+    return f"{v:.6g}" if isinstance(v, int | float | np.number) and not isinstance(v, bool) else str(v)
 
 
 def rows(frame):
