@@ -1,10 +1,13 @@
 """The corpus pipeline, stage by stage, on the smallest documents."""
 
+import random
+
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import common, decontaminate, linededup, quality, simhash
+from rankloom.llm import common, decontaminate, linededup, nearcopies, quality, simhash
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +45,45 @@ def test_null_rows_pass(spark, small):
         docs = common.materialise(stage(spark, docs, small), name.replace(" ", "-"))
         common_rows = docs.count()
     assert common_rows >= 3
+
+
+def test_near_duplicates_are_those_of_brute_force_jaccard(spark, small):
+    pick, docs = random.Random(5), []
+    words = [f"w{i}" for i in range(3000)]
+    notice = pick.choices(words, k=150)  # many texts share it and are no copies
+    for _ in range(40):
+        base = pick.choices(words, k=pick.randint(3, 300))
+        for edits in (0, 1, 2, 4, 8, 12, 16):
+            text = list(base)
+            for _ in range(edits * len(base) // 300 + (edits > 0)):
+                text[pick.randrange(len(text))] = pick.choice(words)
+            docs.append(" ".join(text + notice if pick.random() < 0.2 else text))
+    hub = pick.choices(words, k=200)
+    docs += [" ".join(pick.choice(words) if pick.random() < 0.015 else w for w in hub) for _ in range(60)]
+    docs += ["", "  ", "one two", "One  two"]
+    ids = [pick.randrange(250) for _ in docs]  # ids repeat
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in docs)]
+    root = list(range(len(docs)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(docs)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = {}
+    for i in range(len(docs)):
+        groups.setdefault(find(i), []).append(i)
+    table = spark.createDataFrame([(i, t, "en", str(n), len(t)) for n, (i, t) in enumerate(zip(ids, docs, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [int(x.source) for x in corpus_pipeline.near_duplicate_stage(spark, table, small).collect()]
+    assert sorted(find(n) for n in left) == sorted(groups)  # one row of each group
+    assert sorted(ids[n] for n in left) == sorted(min(ids[n] for n in g) for g in groups.values())
+    op1 = simhash.simhash_components(table.withColumn("doc_id", F.col("source").cast("long"))).where("doc_id = component_id").count()
+    assert len(groups) < op1  # three bits and three words leave near copies
+
+
+def test_sketches_never_overstate_a_difference():
+    pick = np.random.default_rng(3)
+    for n in (1, 5, 63, 64, 65, 200, 900):
+        for share in (0.0, 0.1, 0.5, 1.0):
+            a = np.unique(pick.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[int(len(a) * share) :], pick.integers(0, 1 << 63, 1 + int(n * share)).astype(np.uint64)]))
+            assert nearcopies._differ(nearcopies.sketch(a), nearcopies.sketch(b)) <= len(np.setxor1d(a, b))
