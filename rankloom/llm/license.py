@@ -1,8 +1,8 @@
 """Licence scan: ordered signature rules, gated by keywords, resolved by priority and containment.
 
 Hand-written names, identifiers and addresses of known licences are put into hand-written sentence forms; each pair is
-one rule, a regular expression with a priority and a weight. A rule runs only on texts that hold a general keyword and
-the licence's own. Of the places found, one that lies within a place of a rule of the same or a higher priority is
+one rule, a regular expression with a priority and a weight. A rule runs only on texts that pass a general gate and hold
+one of the strings of which, by the rule's own expression, each of its matches holds one. Of the places found, one that lies within a place of a rule of the same or a higher priority is
 suppressed. Labels are those of the places that stay; base phrases always keep theirs.
 
 Each text is scanned by itself, in the task that reads it: no shuffle, no state, any text length.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+import re._parser as parser
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .decontaminate import words_of
 
 BASE = ((b"gnu general public license", "gpl"), (b"apache license", "apache"), (b"cc by", "cc-by"), (b"mit license", "mit"))
 
-#: label | own keyword | name (regular expression) | identifier | address or empty
+#: label | keyword (for the reader; gates follow from the expressions) | name (regular expression) | identifier | address or empty
 LICENCES = """
 gpl-1.0 | gnu | (?:gnu )?(?:general public license|gpl),? ?\\(?(?:version |v\\.? ?)?1(?:\\.0)?\\b | gpl-1\\.0 | gnu\\.org/licenses/(?:old-licenses/)?gpl-1\\.0
 gpl-2.0 | gnu | (?:gnu )?(?:general public license|gpl),? ?\\(?(?:version |v\\.? ?)?2(?:\\.0)?\\b | gpl-2\\.0 | gnu\\.org/licenses/(?:old-licenses/)?gpl-2\\.0
@@ -108,43 +109,71 @@ FORMS = (
     (r"(?<![\w-])(?:NAME)", 40, 0.6),
 )
 #: General gate: a text without any of these holds no place of any rule.
-GATE = (b"licen", b"spdx", b"://", b"cc by", b"cc-by", b"cc0", b"creative commons", b"public domain", b"bsd", b"gpl", b"mpl", b"epl", b"psl", b"perl", b"attribution", b"wtfpl")
+GATE = (b"licen", b"spdx", b"://", b"cc0", b"domain", b"bsd", b"gpl", b"mpl", b"epl", b"psl", b"perl", b"attribution", b"wtfpl")
+CC_BY = re.compile(rb"cc[\s*#/-]+by")
 
 
 class Rule(NamedTuple):
     label: str
-    keyword: bytes
+    needs: tuple[bytes, ...]
     pattern: re.Pattern
     priority: int
     weight: float
 
 
+def loose(text: str) -> str:
+    """A blank stands for white space or comment marks."""
+    return re.sub(r" (?!\?)", lambda _: r"[\s*#/]+", text.replace("[ -]", "(?: |-)")).replace(" ?", r"[\s*#/]*")
+
+
+def needs(tree) -> tuple[bytes, ...]:
+    """Strings of which each match of a parsed expression holds at least one; empty if it has none."""
+    found, run = [], b""
+    for kind, value in [*tree, (None, None)]:
+        if kind is parser.LITERAL:
+            run += bytes([value])
+            continue
+        found, run = [*found, (run,)] if run else found, b""
+        if kind is parser.SUBPATTERN:
+            found.append(needs(value[3]))
+        elif kind is parser.BRANCH:
+            ways = [needs(x) for x in value[1]]
+            found.append(tuple(dict.fromkeys(y for x in ways for y in x)) if all(ways) else ())
+        elif kind is parser.MAX_REPEAT and value[0]:
+            found.append(needs(value[2]))
+    return max(filter(None, found), key=lambda x: min(map(len, x)), default=())
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """Licences times forms, in order of priority; a blank in a rule stands for white space or comment marks."""
     out = []
     for row in LICENCES:
-        label, keyword, name, ident, address = (x.strip() for x in row.split(" | ") + [""] * (4 - row.count(" | ")))
+        label, _, name, ident, address = (x.strip() for x in row.split(" | ") + [""] * (4 - row.count(" | ")))
         ident, address = ident.removesuffix(" |").strip(), address.strip("| ")
         for form, priority, weight in FORMS:
             if "ADDRESS" in form and not address:
                 continue
-            text = form.replace("NAME", name).replace("ID", ident).replace("ADDRESS", address).replace("[ -]", "(?: |-)")
-            text = re.sub(r" (?!\?)", lambda _: r"[\s*#/]+", text).replace(" ?", r"[\s*#/]*")
-            own = ident if "ID" in form else address if "ADDRESS" in form else keyword
-            key = re.split(r"[\\(]", own)[0] or keyword  # what the place begins with, up to the first special character
-            out.append(Rule(label, key.encode(), re.compile(text.encode()), priority, weight))
+            text = loose(form.replace("NAME", name).replace("ID", ident).replace("ADDRESS", address))
+            own = ident if "ID" in form else address if "ADDRESS" in form else name  # each match holds one of it
+            out.append(Rule(label, needs(parser.parse(loose(own).encode())) or (b"",), re.compile(text.encode()), priority, weight))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
-def scan(data: bytes) -> list[tuple[int, int, Rule]]:
-    """The places in one text that stay: (start, end, rule), bytes."""
+@functools.cache
+def _strings() -> tuple[bytes, ...]:
+    return tuple({k for r in rules() for k in r.needs})
+
+
+def scan(data: bytes, gated: bool = True) -> list[tuple[int, int, Rule]]:
+    """The places in one text that stay: (start, end, rule), bytes. Without gates the same, slower."""
     low = data.lower()
-    if not any(k in low for k in GATE):
+    if gated and not any(k in low for k in GATE) and not (b"cc" in low and CC_BY.search(low)):
         return []
     kept: list[tuple[int, int, Rule]] = []
+    held = {k: k in low for k in _strings()} if gated else {}
     for rule in rules():
-        if rule.keyword in low:
+        if not gated or any(held[k] for k in rule.needs):
             for m in rule.pattern.finditer(low):
                 kept.append((m.start(), m.end(), rule))
     kept.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0]))

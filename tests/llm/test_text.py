@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import re._parser as parser
 
 import numpy as np
 import public_tokenizers as P
@@ -73,6 +74,36 @@ def test_license_base_phrases_and_rules(spark):
     assert license.license_scan(docs.limit(0)).count() == 0
 
 
+def _example(tree, pick):
+    """A text that a parsed expression matches, where its lookarounds allow."""
+    out = ""
+    for kind, value in tree:
+        if kind is parser.LITERAL:
+            out += chr(value)
+        elif kind is parser.IN:
+            part, x = pick.choice([v for v in value if v[0] in (parser.LITERAL, parser.RANGE, parser.CATEGORY)])
+            out += chr(x) if part is parser.LITERAL else chr(x[0]) if part is parser.RANGE else {parser.CATEGORY_SPACE: "\n", parser.CATEGORY_WORD: "u", parser.CATEGORY_NOT_SPACE: "x"}[x]
+        elif kind is parser.SUBPATTERN:
+            out += _example(value[3], pick)
+        elif kind is parser.BRANCH:
+            out += _example(pick.choice(value[1]), pick)
+        elif kind is parser.MAX_REPEAT:
+            out += "".join(_example(value[2], pick) for _ in range(pick.randint(value[0], max(value[0], min(value[1], 1)))))
+        else:
+            assert kind in (parser.AT, parser.ASSERT, parser.ASSERT_NOT)
+    return out
+
+
+def test_license_gates_drop_no_place():
+    pick = random.Random(7)
+    for text, label in {"Licensed under the GPL v2": "gpl-2.0", "available under LGPL 2.1": "lgpl-2.1", "under the terms of the MPL 2.0": "mpl-2.0", "AGPL v3": "agpl-3.0", "Creative Commons Attribution": "cc-by", "PSF license": "python-2.0", "Expat license": "mit", "EPL 2.0": "epl-2.0", "SPDX-License-Identifier: PSF-2.0": "python-2.0", "in the public\n * domain": "public-domain", "CC\nBY": "cc-by"}.items():
+        assert label in {r.label for _, _, r in license.scan(text.encode())}, text
+    for rule in license.rules():
+        for _ in range(8):
+            text = f"a {_example(parser.parse(rule.pattern.pattern), pick)} z".encode()
+            assert license.scan(text) == license.scan(text, gated=False), (rule, text)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
