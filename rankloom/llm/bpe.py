@@ -4,13 +4,13 @@ A text is cut by the tokenizer's pattern; every distinct piece of a batch that i
 (piece, position, token), into a recursive query that joins adjacent tokens with the merge table and contracts each
 piece's leftmost pair of least rank until none is left. Decoding joins tokens with their bytes and concatenates them in
 order, again in DuckDB. Pieces repeat heavily, so only pieces a worker has not met reach the query; what it remembers is
-bounded. A piece of over `long_piece` bytes (rare: a run without any break) would need as many rounds of the query as it
+bounded in bytes, and DuckDB is closed with each partition. A piece of over `long_piece` bytes (rare: a run without any break) would need as many rounds of the query as it
 has merges; the same contraction runs on it with a heap instead.
 
 Each text is encoded by itself in the task that reads it: no shuffle, whole texts, any length.
 
 Defined cases: null counts as empty, an empty text has no tokens; repeated rows and null ids are kept; an empty table
-gives an empty result; extra columns are ignored by digests() and carried by round_trip(). Characters no UTF-8 text can
+gives an empty result; extra columns are ignored by digests() and carried by encode(). Characters no UTF-8 text can
 hold do not occur in Spark strings.
 """
 
@@ -28,7 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-LONG_PIECE, REMEMBER = 400, 500_000
+from .common import temp_name
+
+#: Bytes of the longest piece that DuckDB contracts, pieces a query takes, bytes of pieces a worker remembers.
+LONG_PIECE, QUERY_PIECES, REMEMBER = 400, 40_000, 120_000_000
 
 #: step holds unfinished pieces and, marked done, what is left of finished ones. A pair of tokens is one number; the
 #: next token is carried along (-1 at a piece's end), so each round sorts once.
@@ -42,8 +45,8 @@ with recursive step(w, p, id, following, done) as (
         select w, p, id, following, merged, rank_at, min(rank_at) over whole as best, lag(rank_at) over piece as before,
             lead(rank_at) over piece as rank_next, lead(merged) over piece as merged_next, lead(id, 2) over piece as second
         from (
-            select s.w, s.p, s.id, s.following, m.id as merged, m.id::bigint * 65536 + s.p as rank_at
-            from step s left join merges m on s.id::bigint * 65536 + s.following = m.pair where not s.done
+            select s.w, s.p, s.id, s.following, m.id as merged, m.id::bigint * 4294967296 + s.p as rank_at
+            from step s left join merges m on s.id::bigint * 4294967296 + s.following = m.pair where not s.done
         )
         window piece as (partition by w order by p), whole as (partition by w order by p rows between unbounded preceding and unbounded following)
     ) where best is null or before is null or before <> best
@@ -57,29 +60,52 @@ from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as p from encoded
 """
 
 
+class Vocabulary:
+    """The tokenizer's file as a dict of ranks and as Arrow tables of merges and tokens, a few megabytes."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(self.ranks.values()) >= 1 << 31:
+            raise ValueError("token ids must be below 2 ** 31")
+        pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
+        pair, made = pa.array([a << 32 | b for a, b, _ in pairs], pa.int64()), pa.array([i for _, _, i in pairs], pa.int32())
+        text = pa.array([t.decode("latin-1") for t in self.ranks], pa.string())  # a character for each byte
+        self.tables = {"merges": pa.table({"pair": pair, "id": made}), "tokens": pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "text": text})}
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+
+
 class Codec:
-    """One worker's tokenizer: the vocabulary in DuckDB, and the pieces it has met."""
+    """One worker's tokenizer: the pieces it has met, and the vocabulary in DuckDB while a partition is open."""
 
     def __init__(self, path: str, pattern: str, long_piece: int = LONG_PIECE, remember: int = REMEMBER):
+        self.vocabulary = Vocabulary(path)
+        self.ranks, self.byte = self.vocabulary.ranks, self.vocabulary.byte
+        self.split, self.long_piece, self.remember = regex.compile(pattern).findall, long_piece, remember
+        self.db = None
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces by number, with their ids as bytes and their decoded bytes; `held` estimates what all that takes."""
+        self.number: dict[str, int] = {}
+        self.ids_of: list[bytes | None] = []
+        self.text_of: list[bytes | None] = []
+        self.held = 0
+
+    def __enter__(self) -> Codec:
         import duckdb
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.split, self.long_piece, self.remember = regex.compile(pattern).findall, long_piece, remember
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
         self.db.execute("set enable_progress_bar = false")
-        self.tokens = {i: t for t, i in self.ranks.items()}
-        pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        pair, made = pa.array([a * 65536 + b for a, b, _ in pairs], pa.int64()), pa.array([i for _, _, i in pairs], pa.int32())
-        text = pa.array([t.decode("latin-1") for t in self.tokens.values()], pa.string())  # a character for each byte
-        for name, table in (("merges", pa.table({"pair": pair, "id": made})), ("tokens", pa.table({"id": pa.array(self.tokens.keys(), pa.int32()), "text": text}))):
+        for name, table in self.vocabulary.tables.items():
             self.db.register("given", table)
             self.db.execute(f"create table {name} as from given")
             self.db.unregister("given")
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.ids_of: dict[str, bytes] = {}
-        self.text_of: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.db.close()
+        self.db = None
 
     def _query(self, pieces: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
         lengths = np.array([len(p) for p in pieces])
@@ -116,50 +142,56 @@ class Codec:
                 heapq.heappush(queue, (r, h, end))
         return [ranks[piece[i : ends[i]]] for i in range(n) if live[i]]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes and decodes pieces that were not met yet, into ids_of (ids as bytes) and text_of (decoded bytes)."""
-        if len(self.ids_of) > self.remember:  # what was not met again since the last time is forgotten
-            self.older, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
-        ids_of, text_of, (old_ids, old_text) = self.ids_of, self.text_of, self.older
-        again = [x for x in pieces if x not in ids_of and x in old_ids]
-        ids_of.update((x, old_ids[x]) for x in again)
-        text_of.update((x, old_text[x]) for x in again)
-        fresh = [(x, x.encode()) for x in pieces if x not in ids_of]
-        whole = [(x, [self.ranks[p]]) for x, p in fresh if p in self.ranks]
-        rest = [(x, p) for x, p in fresh if p not in self.ranks]
-        long = [(x, self._heap(p)) for x, p in rest if len(p) > self.long_piece]
-        direct = whole + long
-        if direct:
-            ids = [i for _, i in direct]
-            decoded = self._decode(pa.table({"w": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
-            for (x, i), d in zip(direct, decoded, strict=True):
-                ids_of[x], text_of[x] = np.array(i, "<u4").tobytes(), d
-        rest = [(x, p) for x, p in rest if len(p) <= self.long_piece]
-        for at in range(0, len(rest), 40_000):
-            part = rest[at : at + 40_000]
-            for (x, _), i, d in zip(part, *self._query([p for _, p in part]), strict=True):
-                ids_of[x], text_of[x] = np.array(i, "<u4").tobytes(), d
-
-    def batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text."""
-        out: list[tuple[bytes, bytes]] = []
+    def _keep(self, place: int, ids: list[int], text: bytes) -> None:
+        self.ids_of[place], self.text_of[place] = np.array(ids, "<u4").tobytes(), text
+        self.held += 260 + 4 * len(ids) + 2 * len(text)
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encodes and decodes the pieces that were numbered last."""
+        first = len(self.ids_of)
+        self.ids_of += [None] * len(fresh)
+        self.text_of += [None] * len(fresh)
+        coded = [(first + k, x.encode()) for k, x in enumerate(fresh)]
+        direct = [(k, [self.ranks[p]] if p in self.ranks else self._heap(p)) for k, p in coded if p in self.ranks or len(p) > self.long_piece]
+        for at in range(0, len(direct), QUERY_PIECES):
+            part = direct[at : at + QUERY_PIECES]
+            decoded = self._decode(pa.table({"w": pa.array(range(len(part)), pa.int32()), "ids": pa.array([i for _, i in part], pa.list_(pa.int32()))}))
+            for (k, i), d in zip(part, decoded, strict=True):
+                self._keep(k, i, d)
+        rest = [(k, p) for k, p in coded if self.ids_of[k] is None]
+        for at in range(0, len(rest), QUERY_PIECES):
+            part = rest[at : at + QUERY_PIECES]
+            for (k, _), i, d in zip(part, *self._query([p for _, p in part]), strict=True):
+                self._keep(k, i, d)
+
+    def batch(self, texts: list[str | None]):
+        """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text, in turn."""
         at = 0
         while at < len(texts):  # as many texts at a time as hold some millions of characters: each query reads the merge table anew
-            upto, size = at, 0
+            upto, size, cut, fresh, number = at, 0, [], [], self.number
             while upto < len(texts) and (upto == at or size < 12_000_000):
-                size += len(texts[upto] or "")
+                t = texts[upto] or ""
+                pieces = self.split(t)
+                new = [p for p in dict.fromkeys(pieces) if p not in number]
+                number.update(zip(new, range(len(number), len(number) + len(new))))
+                fresh += new
+                cut.append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)))
+                size += len(t)
                 upto += 1
-            cut = [self.split(t) if t else [] for t in texts[at:upto]]
-            self.learn({p for c in cut for p in c})
+            self.learn(fresh)
             ids, text = self.ids_of.__getitem__, self.text_of.__getitem__
-            out += [(b"".join(map(ids, c)), b"".join(map(text, c))) for c in cut]
+            for c in cut:
+                places = c.tolist()
+                yield b"".join(map(ids, places)), b"".join(map(text, places))
             at = upto
-        return out
+            if self.held > self.remember:
+                self._forget()
 
 
 @functools.lru_cache(1)
 def codec(path: str, pattern: str, long_piece: int = LONG_PIECE, remember: int = REMEMBER) -> Codec:
-    """The worker's codec; kept while the worker lives."""
+    """The worker's codec: a few megabytes of vocabulary and at most `remember` bytes of pieces stay while the worker lives;
+    DuckDB is closed with each partition."""
     return Codec(path, pattern, long_piece, remember)
 
 
@@ -167,30 +199,31 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id_: s
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs."""
 
     def each(batches):
-        own = codec(path, pattern, long_piece)
-        for b in batches:
-            for at in range(0, b.num_rows, 6000):
-                part = b.slice(at, 6000)
-                made = own.batch(part.column(1).to_pylist())
-                sha = [[hashlib.sha256(x[k]).hexdigest() for x in made] for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i, _ in made], pa.int64()), *(pa.array(s, pa.string()) for s in sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with codec(path, pattern, long_piece) as own:
+            for b in batches:
+                for at in range(0, b.num_rows, 6000):
+                    part = b.slice(at, 6000)
+                    made = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in own.batch(part.column(1).to_pylist())]
+                    columns = list(zip(*made, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_].dataType.simpleString()
     return docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("t")).mapInArrow(each, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", long_piece: int = LONG_PIECE) -> DataFrame:
-    """docs with the columns token_ids (array of int) and decoded (the text that the ids give back) in addition."""
-    at = docs.columns.index(text)
-    kinds = StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    """docs with the columns token_ids (array of int) and decoded (the text that the ids give back) in addition; where docs
+    has a column of such a name, the new one's is preceded by `_`."""
+    at, added = docs.columns.index(text), [temp_name(docs, "token_ids"), temp_name(docs, "decoded")]
+    kinds = StructType([*docs.schema.fields, StructField(added[0], ArrayType(IntegerType())), StructField(added[1], StringType())])
 
     def each(batches):
-        own = codec(path, pattern, long_piece)
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                made = own.batch(part.column(at).to_pylist())
-                ids = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in made], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([d.decode() for _, d in made], pa.string())], names=[*part.schema.names, "token_ids", "decoded"])
+        with codec(path, pattern, long_piece) as own:
+            for b in batches:
+                for k in range(0, b.num_rows, 1000):
+                    part = b.slice(k, 1000)
+                    made = list(own.batch(part.column(at).to_pylist()))
+                    ids = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in made], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([d.decode() for _, d in made], pa.string())], names=[*part.schema.names, *added])
 
     return docs.mapInArrow(each, kinds)

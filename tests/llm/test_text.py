@@ -46,11 +46,21 @@ def test_bpe_is_tiktokens_and_turns_back(spark, reference):
 
 
 def test_the_query_and_the_heap_agree():
-    c = bpe.Codec(RANKS, P.PATTERN)
     r = random.Random(4)
     pieces = {"".join(r.choice("abcdeionrst") for _ in range(r.randint(2, 60))) for _ in range(200)}
-    rest = [p.encode() for p in pieces if p.encode() not in c.ranks]
-    assert c._query(rest)[0] == [c._heap(p) for p in rest]
+    with bpe.Codec(RANKS, P.PATTERN) as c:
+        rest = [p.encode() for p in pieces if p.encode() not in c.ranks]
+        assert c._query(rest)[0] == [c._heap(p) for p in rest]
+
+
+def test_bpe_forgets_and_keeps_columns_of_its_names(spark, reference):
+    texts = [f"some words {i} and more of them {i * 7}" for i in range(40)]
+    with bpe.Codec(RANKS, P.PATTERN, remember=1) as c:
+        for _ in range(2):
+            assert [np.frombuffer(i, "<u4").tolist() for i, _ in c.batch(texts)] == [reference.encode_ordinary(t) for t in texts]
+            assert not c.number and c.held == 0
+    docs = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, decoded int")
+    assert bpe.encode(docs, RANKS, P.PATTERN).columns == ["doc_id", "text", "decoded", "token_ids", "_decoded"]
 
 
 def test_license_base_phrases_and_rules(spark):
