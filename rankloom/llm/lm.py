@@ -1,51 +1,57 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
-
-Tokens are the white-space words of the A-Z-lower-cased text and one end. Counts of all tokens of the training documents
-are one table that grows with the corpus. Words that make up at least `head` of all training tokens (so at most 1 / head of
-them, whatever the corpus) are numbered and known to every task; of n-grams the model keeps those that make up at least
-`keep` (at most 1 / keep a level). Bigrams and trigrams are counted over all documents; one that is kept has kept parts
-only, so only such are counted.
-
-P1(w) = (c(w) + 1) / (N + V + 1). For a kept n-gram, P(w | h) = (c - D) / c(h) + l(h) P(w | h'), where h' drops the oldest
-word and l(h) is what discounting leaves; for any other, P(w | h) = l(h) P(w | h'), and l(h) = 1 for contexts not kept.
-
-The trie: level 2 holds for each first word its successors, level 3 for each bigram its successors as their place among
-those of its last word. Each level is one Elias-Fano sequence of context * width + successor, with the contexts'
-pointers in another; probabilities and back-off weights are bytes into code books. A query is a successor search within
-its context. The levels are laid out in one buffer that a worker maps from its own unlinked scratch file.
-
-Scoring is one pass; words outside the head leave it as (row, word, n), meet the counts in a join that Spark can split,
-and are added up by row.
+"""Language-model scores from sharded Elias-Fano n-gram tries.
+
+Tokens are the white-space words of the A-Z-lower-cased text and one end; a text begins with a start. Every n-gram of the
+training documents up to `order` words is counted, none is pruned. P1(w) = (c(w) + 1) / (N + V + 1); above,
+P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), where h' drops the oldest word and m is the level's prior; a context that
+training never met hands down P(w | h').
+
+A task codes its texts once, in batches of bounded size whose words are numbered. Level by level the batches ask for what
+they don't know: a request is (context node, word node, count in this batch's training texts), each different n-gram once a
+batch. Requests are dealt by a hash of the context; a context that holds too much of the corpus for one shard is dealt
+further by its words. A shard adds the counts up and builds its trie level: the contexts in order, monotone pointers to
+their successors, the successors themselves (both Elias-Fano sequences), and for each the smoothed relative frequency
+c(hw) / (c(h) + m) as a byte into a logarithmic code book. The level is laid out in one buffer, mapped from an unlinked
+scratch file and queried by a successor search within the context. A shard answers with that byte, and with count and node
+number, which is the context of the next level. Where only one batch holds a context, its own counts are the corpus's,
+and it needn't ask. What travels grows with the corpus; the driver holds five numbers.
 
 Defined cases: null counts as empty: one token, the end; an empty training set has N = V = 0; documents with a null id
 count as id '' for the fold; repeated rows are kept and count as often; an empty table gives an empty result; extra
-columns are ignored.
+columns are ignored. Words are told apart by 63 bits of XXH64.
 """
 
 from __future__ import annotations
 
-import json
+import itertools
 import mmap
 import tempfile
-import uuid
-from typing import NamedTuple
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import crc_mod, materialise
 
-HEAD, KEEP, DISCOUNT, FOLDS, HELD, REMEMBER = 2e-7, 1e-6, 0.75, 7, 2, 400_000
-END = b""  # no word is empty
-_TAIL = 1 << 63
+ORDER, PRIORS, FOLDS, HELD = 3, (16.0, 4.0), 7, 2
+#: Tokens of the corpus for each shard, tokens and different words of a batch.
+SHARD_TOKENS, BATCH_TOKENS, BATCH_WORDS = 2_500_000, 1_500_000, 300_000
+END, START = b"", (1 << 62) + 1  # no word is empty; no node has the start's number
+_STEP = 9.0 / 254
+#: What a byte stands for: 0 is an n-gram not met, 255 is certainty.
+BOOK = np.concatenate([[0.0], 10.0 ** ((np.arange(1, 256) - 255) * _STEP)])
 
 
-def word_hash(word: bytes) -> int:
-    """63 bits that stand for a word."""
-    return xxhash.xxh64_intdigest(word, 42) >> 1
+def quantised(share: np.ndarray) -> np.ndarray:
+    """Relative frequencies as bytes into the code book."""
+    with np.errstate(divide="ignore"):
+        code = np.rint(255 + np.log10(share) / _STEP)
+    return np.where(share > 0, np.clip(code, 1, 255), 0).astype(np.uint8)
 
 
 class EliasFano:
@@ -110,10 +116,12 @@ class EliasFano:
         place = word * 64 + self._in_word(self.highs[word], i - self.ones[word])
         return ((place - i) << self.low) | self._low(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, or -1: a successor search among the values that share its high bits."""
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """The place of each x, or -1: a successor search among the values that share its high bits, within the places
+        from `first` to `end` where these are given."""
         high = x >> self.low
-        a, end = self._below(high), self._below(high + 1)
+        a, upto = self._below(high), self._below(high + 1)
+        a, end = (a, upto) if first is None else (np.maximum(a, first), np.minimum(upto, end))
         b, want = end.copy(), x & ((1 << self.low) - 1)
         while (open_ := np.nonzero(a < b)[0]).size:
             mid = (a[open_] + b[open_]) >> 1
@@ -125,294 +133,330 @@ class EliasFano:
         return np.where(hit, a, -1)
 
 
-def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code book of at most 256 values, a byte for each value): bins of equal population, each as its mean."""
-    levels = np.unique(values)
-    if len(levels) > 256:
-        cut = np.unique(np.quantile(values, np.linspace(0, 1, 257)[1:-1]))
-        code = np.searchsorted(cut, values, "right")
-        total = np.bincount(code, values, len(cut) + 1) / np.maximum(1, np.bincount(code, minlength=len(cut) + 1))
-        return total, code.astype(np.uint8)
-    return levels, np.searchsorted(levels, values).astype(np.uint8)
+class Level:
+    """One level of a shard's trie over one buffer: contexts, pointers, successors, bytes."""
 
+    def __init__(self, buffer):
+        (self.words,), at, parts = np.frombuffer(buffer, np.int64, 1).tolist(), 8, []
+        for _ in range(4):  # contexts, vocabulary, pointers, successors
+            n, low, lows, highs = (int(x) for x in np.frombuffer(buffer, np.int64, 4, at))
+            at += 32
+            arrays = []
+            for kind, size in ((np.uint64, lows), (np.uint64, highs), (np.int64, highs)):
+                arrays.append(np.frombuffer(buffer, kind, size, at))
+                at += 8 * size
+            parts.append(EliasFano(n, low, *arrays))
+        self.contexts, self.vocabulary, self.pointers, self.successors = parts
+        self.code = np.frombuffer(buffer, np.uint8, self.successors.n, at)
 
-class Counts(NamedTuple):
-    """What training knows on the driver: bounded by 1 / head and 1 / keep rows."""
+    @staticmethod
+    def pack(contexts: np.ndarray, context: np.ndarray, words: np.ndarray, word: np.ndarray, count: np.ndarray, whole: np.ndarray, prior: float) -> bytes:
+        """Successors by context and word, both as places in sorted tables of which some may have none; the successors'
+        counts and those of their contexts."""
+        has, rank = _numbered(context, len(contexts))
+        used, number = _numbered(word, len(words))
+        pointers = np.searchsorted(rank, np.arange(len(has) + 1))
+        out = [np.array([len(used)], np.int64).tobytes()]
+        for values, universe in ((contexts[has], 1 << 63), (words[used], 1 << 63), (pointers, len(rank) + 1), (rank * len(used) + number, max(1, len(has) * len(used)))):
+            e = EliasFano.build(values, universe)
+            out += [np.array([e.n, e.low, len(e.lows), len(e.highs)], np.int64).tobytes(), e.lows.tobytes(), e.highs.tobytes(), e.ones.tobytes()]
+        return b"".join([*out, quantised(count / (whole + prior)).tobytes(), bytes(8)])
+
+    def find(self, contexts: np.ndarray, context: np.ndarray, words: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The byte of each (contexts[context], words[word]): 0 where the word is no successor of the context."""
+        out = np.zeros(len(word), np.uint8)
+        if not self.successors.n or not len(word):
+            return out
+        rank, place = self.contexts.find(contexts), self.vocabulary.find(words)
+        known = np.maximum(rank, 0)
+        start, end = self.pointers.get(known), self.pointers.get(known + 1)
+        ask = np.nonzero((rank[context] >= 0) & (place[word] >= 0))[0]
+        c = context[ask]
+        found = self.successors.find(rank[c] * self.words + place[word[ask]], start[c], end[c])
+        hit = found >= 0
+        out[ask[hit]] = self.code[found[hit]]
+        return out
 
-    tokens: int
-    types: int
-    head: np.ndarray  # hashes, ascending
-    count: np.ndarray
-    texts: int
 
+def _numbered(places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which places of a table occur, ascending; each one's number among these)."""
+    there = np.zeros(size, bool)
+    there[places] = True
+    return np.nonzero(there)[0], (np.cumsum(there) - 1)[places]
 
-class Trie:
-    """The model as named arrays; pack() and Trie(buffer) lay them out in one buffer and map it."""
 
-    def __init__(self, buffer):
-        (n,) = np.frombuffer(buffer, np.int64, 1)
-        self.meta = json.loads(bytes(buffer[8 : 8 + n]))
-        at = (8 + n + 63) // 64 * 64
-        self.a = {}
-        for name, kind, size in self.meta["arrays"]:
-            self.a[name] = np.frombuffer(buffer, kind, size, at)
-            at = (at + self.a[name].nbytes + 63) // 64 * 64
-        self.words, self.tokens, self.types = self.meta["words"], self.meta["tokens"], self.meta["types"]
-        self.width = self.meta["width"]
-        self.level = {k: EliasFano(*self.meta[k], self.a[f"{k}_lows"], self.a[f"{k}_highs"], self.a[f"{k}_ones"]) for k in ("two", "three", "pointers")}
-        self.base = np.log10((self.a["count"] + 1.0) / (self.tokens + self.types + 1.0))
-        self.met: dict[bytes, int] = {}
+def mapped(data: bytes) -> mmap.mmap:
+    """The buffer, mapped from an unlinked scratch file: a shard's level needn't stay in memory while it is asked."""
+    with tempfile.TemporaryFile() as f:
+        f.write(data)
+        f.flush()
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
-    @staticmethod
-    def pack(counts: Counts, k2: np.ndarray, c2: np.ndarray, k3: np.ndarray, c3: np.ndarray, discount: float) -> bytes:
-        """k2: context * width + word of the kept bigrams, ascending, context `words` being the start of a text; k3: place of
-        the first bigram * width + place of the second one."""
-        words = len(counts.head)
-        width = words + 1
-        base = (counts.count + 1.0) / (counts.tokens + counts.types + 1.0)
-        context, word = k2 // width, k2 % width
-        seen = np.append(counts.count, counts.texts).astype(float)
-        part2 = np.maximum(c2 - discount, 0) / seen[context]
-        left1 = np.maximum(1 - np.bincount(context, part2, width), 1e-9)
-        p2 = part2 + left1[context] * base[word]
-        n2 = max(1, len(k2))
-        first, second = k3 // n2, k3 % n2
-        part3 = np.maximum(c3 - discount, 0) / c2[first] if len(k3) else np.zeros(0)
-        left2 = np.maximum(1 - np.bincount(first, part3, len(k2)), 1e-9) if len(k2) else np.zeros(0)
-        p3 = part3 + left2[first] * p2[second] if len(k3) else np.zeros(0)
-        pointers = np.searchsorted(context, np.arange(width + 1))
-        fan = int(np.diff(pointers).max(initial=1))
-        third = first * fan + (second - pointers[context[second]]) if len(k3) else np.zeros(0, np.int64)
-        order = np.argsort(third, kind="stable")
-        arrays = {"head": counts.head, "count": counts.count, "first": np.zeros(width, bool), "second": np.zeros(width, bool)}
-        arrays["first"][context] = arrays["second"][word] = True
-        meta = {"id": uuid.uuid4().hex, "words": words, "width": width, "fan": fan, "tokens": counts.tokens, "types": counts.types}
-        for name, values, universe in (("two", k2, width * width), ("three", third[order], n2 * fan), ("pointers", pointers, n2 + 1)):
-            e = EliasFano.build(values, universe)
-            meta[name] = (e.n, e.low)
-            arrays |= {f"{name}_lows": e.lows, f"{name}_highs": e.highs, f"{name}_ones": e.ones}
-        for name, values in (("p2", p2), ("p3", p3[order]), ("left1", left1), ("left2", left2)):
-            book, code = _quantised(np.log10(values)) if len(values) else (np.zeros(1), np.zeros(0, np.uint8))
-            arrays |= {f"{name}_book": book, f"{name}_code": code}
-        arrays = {k: np.ascontiguousarray(v) for k, v in arrays.items()}
-        meta["arrays"] = [(k, v.dtype.str, len(v)) for k, v in arrays.items()]
-        header = json.dumps(meta).encode()
-        out = bytearray(np.int64(len(header)).tobytes() + header)
-        for v in arrays.values():
-            out += bytes(-len(out) % 64) + v.tobytes()
-        return bytes(out) + bytes(64)
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """A number below `words` for each word of the head, _TAIL + hash for any other."""
-        met = self.met
-        try:
-            return np.fromiter((met[w] for w in words), np.uint64, len(words))
-        except KeyError:
-            pass
-        if len(met) > REMEMBER:
-            met.clear()
-        fresh = list({w for w in words if w not in met})
-        h = np.fromiter(map(word_hash, fresh), np.int64, len(fresh))
-        if self.words:
-            at = np.minimum(np.searchsorted(self.a["head"], h), self.words - 1)
-            known = self.a["head"][at] == h
-        else:
-            at, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        met.update(zip(fresh, np.where(known, at.astype(np.uint64), h.astype(np.uint64) | np.uint64(_TAIL)).tolist(), strict=True))
-        return np.fromiter((met[w] for w in words), np.uint64, len(words))
-
-    def sequence(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes of start, words, end for each text in turn; where each start is)."""
-        parts, starts, at, start = [], [], 0, np.array([self.words], np.uint64)
-        for t in texts:
-            c = self.codes([*(t or b"").lower().split(), END])
-            parts += [start, c]
-            starts.append(at)
-            at += 1 + len(c)
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(starts, np.int64)
-
-    def bigrams(self, s: np.ndarray, starts: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in s of the second words, keys) of bigrams whose words, by number, are in `first` and in `second`."""
-        number = np.minimum(s, np.uint64(len(first))).astype(np.int64)
-        both = np.append(second, False)[number[1:]] & np.append(first, False)[number[:-1]]
-        both[starts[1:] - 1] = False
-        at = np.nonzero(both)[0] + 1
-        return at, s[at - 1].astype(np.int64) * self.width + s[at].astype(np.int64)
-
-    def nodes(self, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For each place the kept bigram that ends there, or -1."""
-        out = np.full(len(s), -1, np.int64)
-        at, key = self.bigrams(s, starts, self.a["first"], self.a["second"])  # other words begin or end no kept bigram
-        out[at] = self.level["two"].find(key)
-        return out
 
-    def score(self, texts: list[bytes | None]):
-        """For each text (tokens, known, base, score) of what the head tells, and for its other words (text, hash)."""
-        s, starts = self.sequence(texts)
-        node = self.nodes(s, starts)
-        is_start = np.zeros(len(s), bool)
-        is_start[starts] = True
-        text = np.cumsum(is_start) - 1
-        token = ~is_start
-        head = token & (s < np.uint64(_TAIL))
-        own = np.where(head, s, 0).astype(np.int64)
-        base = np.where(head, self.base[own] if self.words else 0.0, 0.0)
-        back = np.zeros(len(s))
-        before = np.roll(s, 1)
-        context = token & (before <= np.uint64(self.words))
-        back[context] = self.a["left1_book"][self.a["left1_code"][before[context].astype(np.int64)]]
-        p = base + back
-        two = node >= 0
-        p[two] = self.a["p2_book"][self.a["p2_code"][node[two]]]
-        behind = np.where(token & ~np.roll(is_start, 1), np.roll(node, 1), -1)
-        has = behind >= 0
-        found = np.full(len(s), -1, np.int64)
-        ask = np.nonzero(has & two)[0]
-        if len(ask) and self.level["three"].n:
-            rank = node[ask] - self.level["pointers"].get(before[ask].astype(np.int64))
-            found[ask] = self.level["three"].find(behind[ask] * self.meta["fan"] + rank)
-        three = found >= 0
-        off = has & ~three
-        p[off] += self.a["left2_book"][self.a["left2_code"][behind[off]]]
-        p[three] = self.a["p3_book"][self.a["p3_code"][found[three]]]
-        n = len(texts)
-        total = lambda w: np.bincount(text[token], w[token], n)
-        other = np.nonzero(token & ~head)[0]
-        return total(token.astype(float)).astype(np.int64), total(head.astype(float)).astype(np.int64), total(base), total(p), text[other], (s[other] & np.uint64(_TAIL - 1)).astype(np.int64)
-
-
-_loaded: dict[bytes, Trie] = {}
-
-
-def load(shared) -> Trie:
-    """The worker's trie, mapped from an unlinked scratch file that holds the broadcast buffer."""
-    key = shared.value[8:60]  # the header begins with the model's own id
-    if key not in _loaded:
-        _loaded.clear()
-        with tempfile.TemporaryFile() as f:
-            f.write(shared.value)
-            f.flush()
-            _loaded[key] = Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-    return _loaded[key]
-
-
-def _pieces(batches, rows: int = 2000):
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 as compressed bytes of the least width."""
+    top = int(x.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(x, f"<u{width}"), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """63 bits that depend on both numbers."""
+    with np.errstate(over="ignore"):
+        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ x >> np.uint64(32)) >> np.uint64(1)
+
+
+def _coder(batch_tokens: int, batch_words: int):
+    """Texts as batches: documents, the hashes of their words in order, and each token's place among these."""
+
+    def each(batches):
+        number = itertools.count(TaskContext.get().partitionId() << 32)
+        ids, held, lens, tokens, size, words = [], [], [], [], 0, None
+
+        def batch():
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) >> 1 for w in words), np.int64, len(words))
+            sorted_, rank = np.unique(hashes, return_inverse=True)
+            seq = rank[np.concatenate(tokens)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([next(number)]), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([lens], pa.list_(pa.int32())), pa.array([_packed(sorted_)], pa.binary()), pa.array([_packed(seq)], pa.binary())],
+                names=["uid", "ids", "held", "lens", "hashes", "seq"],
+            )
+
+        for b in batches:
+            kind = b.column(0).type
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if words is None:
+                    words = defaultdict(itertools.count().__next__)
+                parts = (t or b"").lower().split()
+                parts.append(END)
+                tokens.append(np.fromiter(map(words.__getitem__, parts), np.int32, len(parts)))
+                ids.append(i)
+                held.append(h)
+                lens.append(len(parts))
+                size += len(parts)
+                if size >= batch_tokens or len(words) >= batch_words:
+                    yield batch()
+                    ids, held, lens, tokens, size, words = [], [], [], [], 0, None
+        if ids:
+            yield batch()
+
+    return each
+
+
+class Batch:
+    """A coded batch: for each level the different n-grams, by context and word, and which one ends at each token.
+
+    Places are those of start and tokens in turn. Level 1 holds the words; the start is one more, with the last number."""
+
+    def __init__(self, lens, held, hashes: bytes, seq: bytes):
+        self.hashes = _unpacked(hashes)
+        lens = np.asarray(lens)
+        self.docs, self.width = len(lens), len(self.hashes) + 1
+        self.starts = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
+        self.token = np.ones(int(lens.sum()) + len(lens), bool)
+        self.token[self.starts] = False
+        first = np.full(len(self.token), self.width - 1)
+        first[self.token] = _unpacked(seq)
+        self.doc = np.repeat(np.arange(self.docs), lens + 1)
+        self.learns = ~np.repeat(np.asarray(held, bool), lens + 1)
+        self.word = first
+        self.grams = [first]  # by level: the n-gram that ends at each place, or -1
+        self.context, self.last = [None], [np.arange(self.width)]
+        self.own = [np.bincount(first[self.learns], minlength=self.width)]
+
+    def level(self) -> None:
+        """Adds the next level."""
+        before = self.grams[-1]
+        at = np.nonzero(self.token[1:] & (before[:-1] >= 0))[0] + 1
+        key, which = np.unique(before[at - 1] * self.width + self.word[at], return_inverse=True)
+        gram = np.full(len(self.word), -1)
+        gram[at] = which
+        self.grams.append(gram)
+        self.context.append(key // self.width)
+        self.last.append(key % self.width)
+        self.own.append(np.bincount(which[self.learns[at]], minlength=len(key)))
+
+
+class Known:
+    """What a batch has been told, by level: node, count and byte of each n-gram. A node is odd where another batch holds
+    the n-gram too; else all its occurrences, and those of what goes on from it, are here."""
+
+    def __init__(self, batch: Batch, answers: list, priors, totals: dict):
+        self.batch, self.priors, self.totals = batch, priors, totals
+        self.node, self.count, self.code = [], [], []
+        for told in answers:
+            self._learn(told)
+
+    def asked(self, level: int) -> np.ndarray:
+        """Which n-grams of a level the corpus must be asked for: those whose contexts occur elsewhere too."""
+        b = self.batch
+        if level == 1:
+            return np.arange(b.width - 1)
+        c = b.context[level - 1]
+        return np.nonzero((self.node[level - 2][c] & 1 > 0) & (self.count[level - 2][c] > 0))[0]
+
+    def shards(self, level: int, asked: np.ndarray, shards: int) -> np.ndarray:
+        b = self.batch
+        if level == 1:
+            return (_mixed(b.hashes, np.zeros(1, np.int64)) % np.uint64(shards)).astype(np.int64)
+        c = b.context[level - 1][asked]
+        ways = np.maximum(1, self.count[level - 2][c] * 4 * shards // max(1, self.totals["tokens"])).astype(np.uint64)
+        word = _mixed(self.node[0][b.last[level - 1][asked]], np.full(1, 7))
+        return (_mixed(self.node[level - 2][c], word % ways) % np.uint64(shards)).astype(np.int64)
+
+    def _learn(self, told) -> None:
+        """Answers of the shards to this batch, for the next level: rows of (shard, nodes, counts, codes)."""
+        b, level = self.batch, len(self.node) + 1
+        if level > 1:
+            b.level()
+        n = len(b.own[level - 1])
+        asked = self.asked(level)
+        count, node, code = b.own[level - 1].copy(), np.zeros(n, np.int64), np.zeros(n, np.uint8)
+        if level > 1:
+            whole = self.count[level - 2][b.context[level - 1]]
+            code = quantised(count / (whole + self.priors[level - 2]))
+        shard = self.shards(level, asked, self.totals["shards"])
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(self.totals["shards"] + 1))
+        for s, nodes, counts, codes in told or ():
+            at = asked[order[bounds[s] : bounds[s + 1]]]
+            if counts:
+                node[at], count[at] = _unpacked(nodes), _unpacked(counts)
+            if codes:
+                code[at] = _unpacked(codes)
+        if level == 1:
+            node[-1], count[-1] = START, self.totals.get("texts", 0)
+        self.node.append(node)
+        self.count.append(count)
+        self.code.append(code)
+
+    def requests(self, uid: int, shards: int):
+        """Rows of (shard, uid, contexts, their counts, their numbers of words, words, counts of this batch)."""
+        b, level = self.batch, len(self.node) + 1
+        if level > 1:
+            b.level()
+        asked = self.asked(level)
+        shard = self.shards(level, asked, shards)
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.nonzero(np.diff(bounds))[0].tolist():
+            at = asked[order[bounds[s] : bounds[s + 1]]]
+            own = b.own[level - 1][at]
+            if level == 1:
+                yield s, uid, _packed(np.zeros(1, np.int64)), _packed(np.zeros(1, np.int64)), _packed(np.array([len(at)])), _packed(b.hashes[at]), _packed(own)
+                continue
+            c = b.context[level - 1][at]
+            heads = np.concatenate([[0], np.nonzero(np.diff(c))[0] + 1])
+            fan = np.diff(np.append(heads, len(c)))
+            yield s, uid, _packed(self.node[level - 2][c[heads]]), _packed(self.count[level - 2][c[heads]]), _packed(fan), _packed(self.node[0][b.last[level - 1][at]]), _packed(own)
+
+    def scores(self):
+        """For each document (tokens, known tokens, base score, score)."""
+        b, t = self.batch, self.totals
+        log = np.log10((self.count[0][:-1] + 1.0) / (t["tokens"] + t["types"] + 1.0))
+        at = np.nonzero(b.token)[0]
+        base = log[b.word[at]]
+        p = np.zeros(len(b.word))
+        p[at] = 10.0**base
+        for k in range(1, len(self.node)):
+            has = np.nonzero(b.grams[k] >= 0)[0]
+            gram = b.grams[k][has]
+            whole = self.count[k - 1][b.context[k][gram]]
+            m = self.priors[k - 1]
+            p[has] = BOOK[self.code[k][gram]] + np.where(whole > 0, m / (whole + m), 1.0) * p[has]
+        total = lambda w: np.bincount(b.doc[at], w, b.docs)
+        known = (self.count[0][b.word[at]] > 0).astype(float)
+        return total(np.ones(len(at))).astype(np.int64), total(known).astype(np.int64), total(base), total(np.log10(np.minimum(p[at], 1.0)))
+
+
+_REQUEST = "shard int, uid long, contexts binary, wholes binary, fans binary, words binary, own binary"
+_ANSWER = "uid long, shard int, nodes binary, counts binary, codes binary, tokens long, types long"
+
+
+def _answering(level: int, prior: float, shards: int, last: bool):
+    """A shard: adds up the counts of all batches, builds its trie level and answers each batch."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        part = lambda name: [_unpacked(r[name]) for r in rows]
+        contexts, fans, words, own = part("contexts"), part("fans"), part("words"), part("own")
+        bounds = np.cumsum([0, *map(len, words)])
+        different, of = np.unique(np.concatenate(contexts), return_inverse=True)
+        whole = np.zeros(len(different), np.int64)
+        whole[of] = np.concatenate(part("wholes"))
+        vocabulary, number = np.unique(np.concatenate(words), return_inverse=True)
+        key, which = np.unique(np.repeat(of, np.concatenate(fans)) * len(vocabulary) + number, return_inverse=True)
+        count = np.bincount(which, np.concatenate(own), len(key)).astype(np.int64)
+        context, word = key // len(vocabulary), key % len(vocabulary)
+        codes, seen = None, count > 0
+        if level > 1:
+            trie = Level(mapped(Level.pack(different, context[seen], vocabulary, word[seen], count[seen], whole[context[seen]], prior)))
+            codes = trie.find(different, context, vocabulary, word)
+        nodes = np.zeros(len(key), np.int64)
+        if not last:  # the commonest have the least numbers: these compress best
+            nodes[np.argsort(-count, kind="stable")] = np.arange(len(key)) * shards + rows[0]["shard"]
+            shared = np.bincount(which, minlength=len(key)) > 1
+            nodes = nodes * 2 + shared if level == 1 else (nodes * 2 + 1) * shared
+        out = []
+        for k, r in enumerate(rows):
+            at = which[bounds[k] : bounds[k + 1]]
+            out.append((r["uid"], r["shard"], None if last else _packed(nodes[at]), None if last else _packed(count[at]), None if codes is None else _packed(codes[at]), int(count.sum()) if not k else 0, int(seen.sum()) if not k else 0))
+        names = ["uid", "shard", "nodes", "counts", "codes", "tokens", "types"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return answer
+
+
+def _known(row: dict, levels: int, priors, totals: dict) -> Known:
+    told = [[(a["shard"], a["nodes"], a["counts"], a["codes"]) for a in row[f"told{k}"] or ()] for k in range(1, levels + 1)]
+    return Known(Batch(row["lens"], row["held"], row["hashes"], row["seq"]), told, priors, totals)
+
+
+def _rows(batches):
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
-class _Adder:
-    """Sums counts by key over the batches of a task; gives them out when there are many."""
-
-    def __init__(self, most: int = 3_000_000):
-        self.parts, self.size, self.most = [], 0, most
-
-    def add(self, keys: np.ndarray, n: np.ndarray):
-        self.parts.append((keys, n))
-        self.size += len(keys)
-        if self.size > self.most:
-            self._merge()
-            if self.size > self.most // 2:
-                yield from self.rest()
-
-    def _merge(self):
-        keys, n = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
-        k, inverse = np.unique(keys, return_inverse=True)
-        self.parts, self.size = [(k, np.bincount(inverse, n).astype(np.int64))], len(k)
-
-    def rest(self):
-        if self.parts:
-            self._merge()
-            k, n = self.parts[0]
-            self.parts, self.size = [], 0
-            for at in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["k", "n"])
-
-
-def _words(batches):
-    """(hash, n) of the tokens of texts."""
-    adder, met = _Adder(), {}
-    for b in _pieces(batches):
-        tokens = [w for t in b.column(0).to_pylist() for w in (*(t or b"").lower().split(), END)]
-        if len(met) > REMEMBER:
-            met.clear()
-        for w in set(tokens):
-            if w not in met:
-                met[w] = word_hash(w)
-        k, n = np.unique(np.fromiter((met[w] for w in tokens), np.int64, len(tokens)), return_counts=True)
-        yield from adder.add(k, n)
-    yield from adder.rest()
-
-
-def train(texts: DataFrame, head: float = HEAD, keep: float = KEEP, discount: float = DISCOUNT):
-    """texts(t binary) -> (trie buffer, counts table (k, n), N, V)."""
-    spark = texts.sparkSession
-    counts = materialise(texts.mapInArrow(_words, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-    n_texts = counts.where(F.col("k") == word_hash(END)).first()
-    known = counts.where(F.col("n") >= head * size.tokens).toArrow()  # at most 1 / head rows
-    k, n = (known.column(i).to_numpy() for i in (0, 1))
-    order = np.argsort(k)
-    c = Counts(size.tokens, size.types, k[order], n[order], n_texts.n if n_texts else 0)
-    none = np.zeros(0, np.int64)
-    blank = spark.sparkContext.broadcast(Trie.pack(c, none, none, none, none, discount))
-    least = keep * size.tokens
-    often = np.append(c.count >= least, True)
-
-    def pairs(batches):
-        trie, adder = load(blank), _Adder()
-        for b in _pieces(batches):
-            s, starts = trie.sequence(b.column(0).to_pylist())
-            yield from adder.add(*np.unique(trie.bigrams(s, starts, often, often)[1], return_counts=True))
-        yield from adder.rest()
-
-    def kept(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = counted.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()  # at most 1 / keep rows
-        k, n = (rows.column(i).to_numpy() for i in (0, 1))
-        order = np.argsort(k)
-        return k[order], n[order]
-
-    k2, c2 = kept(texts.mapInArrow(pairs, "k long, n long"))
-    shared = spark.sparkContext.broadcast(Trie.pack(c, k2, c2, none, none, discount))
-    n2 = max(1, len(k2))
-
-    def triples(batches):
-        trie, adder = load(shared), _Adder()
-        for b in _pieces(batches):
-            s, starts = trie.sequence(b.column(0).to_pylist())
-            node = trie.nodes(s, starts)
-            both = (node[1:] >= 0) & (node[:-1] >= 0)
-            yield from adder.add(*np.unique(node[:-1][both] * n2 + node[1:][both], return_counts=True))
-        yield from adder.rest()
-
-    k3, c3 = kept(texts.mapInArrow(triples, "k long, n long"))
-    return Trie.pack(c, k2, c2, k3, c3, discount), counts, size.tokens, size.types
-
-
-def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", folds: int = FOLDS, held: int = HELD, **how) -> DataFrame:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", folds: int = FOLDS, held: int = HELD, order: int = ORDER, priors=PRIORS, shard_tokens: int = SHARD_TOKENS, batch_tokens: int = BATCH_TOKENS, batch_words: int = BATCH_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
-    spark = docs.sparkSession
+    kind = docs.schema[id_].dataType.simpleString()
     slim = docs.select(F.col(id_).alias("doc_id"), (crc_mod(F.col(id_), folds) == held).alias("held_out"), F.col(text).cast("binary").alias("t"))
-    buffer, counts, tokens, types = train(slim.where(~F.col("held_out")).select("t"), **how)
-    shared = spark.sparkContext.broadcast(buffer)
+    coded = materialise(slim.mapInArrow(_coder(batch_tokens, batch_words), f"uid long, ids array<{kind}>, held array<boolean>, lens array<int>, hashes binary, seq binary"), "coded")
+    size = coded.select(F.expr("aggregate(lens, 0L, (a, x) -> a + x)").alias("n"), F.expr("size(filter(held, x -> not x))").cast("long").alias("texts")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts")).first()
+    totals = {"shards": max(1, -(-size.n // shard_tokens)), "texts": size.texts, "tokens": 0, "types": 0}
+    known = coded
+    for level in range(1, order + 1):
+
+        def ask(batches, level=level, totals=dict(totals)):
+            for row in _rows(batches):
+                rows = list(_known(row, level - 1, priors, totals).requests(row["uid"], totals["shards"]))
+                if rows:
+                    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "uid", "contexts", "wholes", "fans", "words", "own"])
+
+        prior = priors[level - 2] if level > 1 else 1.0
+        answers = known.mapInArrow(ask, _REQUEST).groupBy("shard").applyInArrow(_answering(level, prior, totals["shards"], level == order and level > 1), _ANSWER)
+        answers = materialise(answers, f"level{level}")
+        if level == 1:
+            found = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
+            totals |= {"tokens": found.tokens, "types": found.types}
+        told = answers.groupBy("uid").agg(F.collect_list(F.struct("shard", "nodes", "counts", "codes")).alias(f"told{level}"))
+        known = known.join(told, "uid", "left")
+
+    id_kind = to_arrow_type(docs.schema[id_].dataType)
 
     def each(batches):
-        trie = load(shared)
-        for b in _pieces(batches):
-            n, known, base, score, at, h = trie.score(b.column(2).to_pylist())
-            h = h[np.argsort(at, kind="stable")]
-            cut = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=b.num_rows))]).astype(np.int32)
-            others = pa.ListArray.from_arrays(pa.array(cut), pa.array(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(score), others], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others"])
+        for row in _rows(batches):
+            columns = _known(row, order, priors, totals).scores()
+            n = len(row["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], id_kind), pa.array(row["held"]), pa.array(columns[0]), pa.array(columns[1]), pa.array(np.full(n, totals["tokens"])), pa.array(columns[2]), pa.array(columns[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    kind = docs.schema[id_].dataType.simpleString()
-    first = slim.mapInArrow(each, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, others array<long>")
-    first = materialise(first.withColumn("row", F.monotonically_increasing_id()), "scored")
-    asked = first.select("row", F.explode("others").alias("k"))
-    met = asked.join(counts.select("k", "n"), "k", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(float(tokens + types + 1)))
-    rest = materialise(met.groupBy("row").agg(F.sum(log).alias("more"), F.count("n").alias("found")), "rest")
-    joined = first.drop("others").join(rest, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return known.mapInArrow(each, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

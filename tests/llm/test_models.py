@@ -128,36 +128,53 @@ def test_elias_fano():
     assert (lm.EliasFano.build(v, 51).get(np.arange(300)) == v).all()
 
 
-@pytest.mark.parametrize("head", [lm.HEAD, 0.02])
-def test_language_model_against_counts(spark, head):
-    r = random.Random(4)
+def lm_texts(r):
     vocabulary = [f"w{int(r.paretovariate(0.6)) % 50}" for _ in range(200)]
-    texts = [None, "", "UNKNOWN words Here", "x" * 30000] + [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 40))) for _ in range(120)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "w1 w2")], "doc_id long, text string").withColumns({"n": F.lit(1), "row": F.lit(2)})
-    got = {x.doc_id: x for x in lm.scores(docs, head=head, keep=0.0).collect()}
+    return [None, "", "UNKNOWN words Here", "x" * 30000, "w1 w2 " * 3000] + [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 40))) for _ in range(120)]
+
+
+@pytest.mark.parametrize("how", [{}, {"shard_tokens": 100, "batch_tokens": 60}, {"shard_tokens": 2000, "batch_words": 20, "order": 2}, {"order": 4, "priors": (16.0, 4.0, 2.0), "batch_tokens": 300}])
+def test_language_model_against_counts(spark, how):
+    texts = lm_texts(random.Random(4))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "w1 w2")], "doc_id long, text string").withColumns({"n": F.lit(1), "row": F.lit(2), "uid": F.lit(3)})
+    got = {x.doc_id: x for x in lm.scores(docs, **how).collect()}
     tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t in enumerate(texts)} | {None: [b"w1", b"w2", b""]}
     fold = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 for i in tokens}
     train = [t for i, t in tokens.items() if fold[i] != 2]
-    c1 = collections.Counter(w for t in train for w in t)
-    n, v = sum(c1.values()), len(c1)
-    known = {w for w, c in c1.items() if c >= head * n} | {"<s>"}
-    c1["<s>"] = len(train)
-    c2 = collections.Counter((a, b) for t in train for a, b in itertools.pairwise(["<s>", *t]) if {a, b} <= known)
-    c3 = collections.Counter(x for t in train for x in zip(["<s>", *t], t, t[1:], strict=False) if set(x) <= known)
-    p1 = lambda w: (c1[w] + 1) / (n + v + 1)
-    spent1, spent2 = collections.Counter(), collections.Counter()
-    for (a, _), c in c2.items():
-        spent1[a] += max(c - 0.75, 0) / c1[a]
-    for (a, b, _), c in c3.items():
-        spent2[a, b] += max(c - 0.75, 0) / c2[a, b]
-    left = lambda spent, h: max(1 - spent[h], 1e-9)
-    p2 = lambda a, w: (max(c2[a, w] - 0.75, 0) / c1[a] if (a, w) in c2 else 0) + (left(spent1, a) if a in known else 1) * p1(w)
-    p3 = lambda a, b, w: (max(c3[a, b, w] - 0.75, 0) / c2[a, b] if (a, b, w) in c3 else 0) + (left(spent2, (a, b)) if (a, b) in c2 else 1) * p2(b, w)
+    order, priors = how.get("order", lm.ORDER), how.get("priors", lm.PRIORS)
+    c = collections.Counter(tuple(s[k - n + 1 : k + 1]) for t in train for s in [["<s>", *t]] for n in range(1, order + 1) for k in range(len(s)) if k - n + 1 >= 0)
+    words = {w for t in train for w in t}
+    n = sum(map(len, train))
+
+    def p(gram):
+        if len(gram) == 1:
+            return (c[gram] + 1) / (n + len(words) + 1)
+        m = priors[len(gram) - 2]
+        return (c[gram] + m * p(gram[1:])) / (c[gram[:-1]] + m) if c[gram[:-1]] else p(gram[1:])
+
     for i, t in tokens.items():
         x = got[i]
-        assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (len(t), sum(c1[w] > 0 for w in t), n, fold[i] == 2)
-        assert x.base_score == pytest.approx(sum(math.log10(p1(w)) for w in t), abs=1e-6)
+        assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (len(t), sum(w in words for w in t), n, fold[i] == 2)
+        assert x.base_score == pytest.approx(sum(math.log10(p((w,))) for w in t), abs=1e-6)
         s = ["<s>", *t]
-        want = sum(math.log10(p3(s[k - 2], s[k - 1], s[k]) if k > 1 else p2(s[0], s[1])) for k in range(1, len(s)))
-        assert x.score == pytest.approx(want, abs=0.03 * len(t))  # probabilities are quantised to 256 levels
-    assert lm.scores(docs.limit(0)).count() == 0
+        want = sum(math.log10(p(tuple(s[max(0, k - order + 1) : k + 1]))) for k in range(1, len(s)))
+        assert x.score == pytest.approx(want, abs=0.02 * len(t))  # a byte's step is 0.035 decades
+    assert lm.scores(docs.limit(0), **how).count() == 0
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    """The shares in the code book are those of the formula, to half a step."""
+    share = np.array([0.0, 1e-12, 1e-9, 0.3, 0.5, 1.0])
+    assert lm.quantised(share)[0] == 0 and np.allclose(np.log10(lm.BOOK[lm.quantised(share)[2:]]), np.log10(share[2:]), atol=0.018)
+
+
+def test_trie_level_finds_successors_and_nothing_else():
+    r = np.random.default_rng(5)
+    contexts, words = np.unique(r.integers(0, 1 << 62, 300)), np.unique(r.integers(0, 1 << 40, 200))
+    key = np.unique(r.integers(0, len(contexts) * len(words), 3000))
+    c, w = key // len(words), key % len(words)
+    seen = r.random(len(key)) < 0.7
+    count = r.integers(1, 50, len(key))
+    level = lm.Level(lm.mapped(lm.Level.pack(contexts, c[seen], words, w[seen], count[seen], count[seen] * 3, 4.0)))
+    got = level.find(contexts, c, words, w)
+    assert (got == np.where(seen, lm.quantised(count / (3 * count + 4.0)), 0)).all()
