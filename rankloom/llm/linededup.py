@@ -1,20 +1,23 @@
 """Line deduplication by winnowing over line hashes; DataFrame and SQL functions only.
 
-A line ends at a line break or at a full stop, question or exclamation mark before a blank, so that a passage pasted into
-a paragraph is seen too; what ends it doesn't count. Blank lines are skipped. A gram is a line of `long_words` words or
-more by itself, else `gram` consecutive lines if they hold `min_words` words. Of every `window` consecutive grams the
-one with the least hash is a fingerprint, and so is every long line: a run shared by two texts that holds a long line or
-gram + window - 1 lines holds a fingerprint of both. Each fingerprint's positions are joined with its first position (by
-doc_id, then text hash, then line), each match is extended over equal lines both ways, and the later run is deleted.
-What an extension could gain beyond `reach` lines holds fingerprints of its own, so it stops there.
-
-Scale: lines travel as 64-bit hashes; the fingerprint count is aggregated before the shuffle; one first position for a
-fingerprint is joined with the rest, so a passage in a third of all documents makes one row a document, never pairs, and
-run-time skew splitting can deal them out. Only texts that lose lines are split a second time.
-
-Defined cases: null text stays null and loses nothing; empty text stays empty; copies of a text lose what the first
-(least doc_id, nulls first) keeps; a row repeated with the same id and text counts once and both rows are returned alike;
-an empty table gives an empty result; extra columns are carried along.
+A line ends at a line break or at a full stop, question or exclamation mark before a blank (full-width marks end it
+anywhere), so that a passage pasted into a paragraph is seen too; what ends it doesn't count. Blank lines are skipped. A
+line's length is counted in words, or in 8 bytes beyond one a character where that is more, as scripts without blanks have.
+A gram is a line of `long_words` by itself, else the fewest lines, two or more, that hold `min_words`. Of every `window`
+consecutive grams the one with the least hash is a fingerprint, and so is every long line: a run shared by two texts that
+holds `window` grams holds a fingerprint of both. A fingerprint's first position (by doc_id, then text hash, then line)
+stays; at every other one its lines are deleted. A run reaches beyond its outer fingerprints by at most window - 1 lines
+before and, as less than a gram is left, min_words + 1 lines after. Such lines are deleted too, one by one until they
+differ, where some earlier position of the fingerprint, not only its first, has the same lines beside it.
+
+Scale: lines travel as 64-bit hashes; counts and first positions are aggregated before the shuffle; a position meets one
+row of what it asks for, so a passage in a third of all documents makes one row a document, never pairs, and run-time skew
+splitting can deal them out. Only fingerprints at open ends of runs look at their neighbours. Only texts that lose lines
+are split a second time.
+
+Defined cases: null text stays null and loses nothing; empty text stays empty; a text of under `min_words` loses nothing;
+copies of a text lose what the first (least doc_id, nulls first) keeps; a row repeated with the same id and text counts
+once and both rows are returned alike; an empty table gives an empty result; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -22,30 +25,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, temp_name
+from .common import discard, materialise, temp_name
 
-GRAM, WINDOW, LONG_WORDS, MIN_WORDS, REACH = 2, 2, 25, 8, 4
+GRAM, WINDOW, LONG_WORDS, MIN_WORDS = 2, 2, 25, 8
 #: What ends a line, and the places between lines, which cut a text into as many pieces without losing a character.
-ENDS, PLACES = r"'[.!?]+[ \\n]|\\n'", r"'(?<=[.!?][ \\n])|(?<=\\n)'"
+ENDS, PLACES = r"'[.!?]+[ \\n]|\\n|[。！？]'", r"'(?<=[.!?][ \\n])|(?<=[\\n。！？])'"
 
 
 def _lines(text: str) -> str:
-    """SQL: the non-blank lines of a text as structs (hash, words, number of the piece); words are blanks + 1."""
-    every = f"transform(split(concat({text}, ' '), {ENDS}), (s, i) -> struct(xxhash64(s) as h, if(s = '' or s = ' ', 0, octet_length(s) - octet_length(replace(s, ' ', '')) + 1) as w, i as i))"
+    """SQL: the non-blank lines of a text as structs (hash, length, number of the piece)."""
+    size = "greatest(octet_length(s) - octet_length(replace(s, ' ', '')) + 1, (octet_length(s) - length(s)) div 8)"
+    every = f"transform(split(concat({text}, ' '), {ENDS}), (s, i) -> struct(xxhash64(s) as h, if(s = '' or s = ' ', 0, int({size})) as w, i as i))"
     return f"filter({every}, x -> x.w > 0)"
 
 
 def fingerprints(keyed: DataFrame, text: str, gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """keyed(id, k, text) -> (id, k, hs, at, marks): the line hashes, their piece numbers, and the fingerprints (j, g, n).
 
-    Each step is one pass over two arrays, one of them shifted: hashes and words of gram - 1 further lines are folded in,
+    Each step is one pass over two arrays, one of them shifted: a further line is folded into grams that are not full,
     then the minima of window - 1 further grams; a gram is chosen if it is the least of one of its windows."""
     out = keyed.where(F.col(text).isNotNull()).select("id", "k", F.expr(_lines(f"`{text}`")).alias("lines"))
-    out = out.withColumn("folded", F.expr("transform(lines, x -> struct(x.h as h, x.w as w))"))
-    for k in range(1, gram):
-        out = out.withColumn("folded", F.expr(f"zip_with(folded, slice(lines, {k + 1}, size(lines)), (x, y) -> if(y.h is null, null, struct(xxhash64(x.h, y.h) as h, x.w + y.w as w)))"))
+    out = out.withColumn("folded", F.expr("transform(lines, x -> struct(x.h as h, x.w as w, 1 as n))"))
+    full = f"x is null or (x.w >= {min_words} and x.n >= {gram})"
+    for k in range(1, max(gram, min_words)):
+        out = out.withColumn("folded", F.expr(f"zip_with(folded, slice(lines, {k + 1}, size(lines)), (x, y) -> if({full}, x, if(y.h is null, null, struct(xxhash64(x.h, y.h) as h, x.w + y.w as w, x.n + 1 as n))))"))
     grams = f"""zip_with(lines, folded, (x, y) -> case when x.w >= {long_words} then struct(xxhash64(x.h) as g, 1 as n)
-        when y.w >= {min_words} then struct(y.h as g, {gram} as n) end)"""
+        when y.w >= {min_words} then struct(y.h as g, y.n as n) end)"""
     out = out.withColumn("grams", F.expr(grams)).withColumn("least", F.expr("transform(grams, x -> x.g)"))
     out = out.withColumn("hashes", F.col("least"))
     for k in range(1, window):
@@ -58,33 +63,44 @@ def fingerprints(keyed: DataFrame, text: str, gram: int = GRAM, window: int = WI
     return out.select("id", "k", F.expr("transform(lines, x -> x.h)").alias("hs"), F.expr("transform(lines, x -> x.i)").alias("at"), F.expr(marks).alias("marks"))
 
 
-def repeated_runs(marked: DataFrame, reach: int = REACH) -> DataFrame:
-    """fingerprints() -> (k, runs): for each text the segment ranges (a, b) that repeat an earlier run."""
+def _beside(ahead: str, back: str) -> str:
+    """SQL over hs and a mark m (j, n, g): keys of the mark with t of the lines after it (t > 0) or before it (t < 0)."""
+    after = f"transform(sequence(1, {ahead}), t -> struct(t as t, xxhash64(m.g, t, slice(hs, m.j + m.n + 1, t)) as key))"
+    before = f"transform(sequence(1, {back}), t -> struct(-t as t, xxhash64(m.g, -t, slice(hs, m.j - t + 1, t)) as key))"
+    none = "cast(array() as array<struct<t:int,key:bigint>>)"
+    return f"concat(if({ahead} > 0, {after}, {none}), if({back} > 0, {before}, {none}))"
+
+
+def repeated_runs(marked: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """fingerprints() -> (k, runs): for each text the piece ranges (a, b) that repeat an earlier run."""
     rows = marked.select("id", "k", F.explode("marks").alias("m")).select("id", "k", "m.j", "m.g", "m.n")
-    first = materialise(rows.groupBy("g").agg(F.min(F.struct("id", "k", "j")).alias("f"), F.max("n").alias("n"), F.count("*").alias("c")).where("c > 1").selectExpr("g", "f.k as fk", "f.j as fj", "n"), "first")
-    around = (
-        first.join(marked.select(F.col("k").alias("fk"), "hs"), "fk")
-        .selectExpr("g", "fk", "fj", f"slice(hs, greatest(fj - {reach}, 0) + 1, least(fj, {reach})) as before", f"slice(hs, fj + n + 1, {reach}) as after")
-        .groupBy("g").agg(F.first("fk").alias("fk"), F.first("fj").alias("fj"), F.first("before").alias("before"), F.first("after").alias("after"))
-    )
-    around = materialise(around, "around")
-    later = rows.join(around, "g").where("not (k = fk and j = fj)").groupBy("k").agg(F.collect_set(F.struct("j", "n", "before", "after")).alias("anchors"))
-    later = materialise(later, "later")
-    same = "(x, y) -> x is not null and x <=> y"
-    back = f"zip_with(reverse(slice(hs, greatest(p.j - {reach}, 0) + 1, least(p.j, {reach}))), reverse(p.before), {same})"
-    ahead = f"zip_with(slice(hs, p.j + p.n + 1, {reach}), p.after, {same})"
-    run = lambda flags: f"if(array_position({flags}, false) = 0, size({flags}), int(array_position({flags}, false)) - 1)"
-    ranges = f"transform(anchors, p -> struct(at[p.j - {run(back)}] as a, at[p.j + p.n - 1 + {run(ahead)}] as b))"
-    return later.join(marked.select("k", "hs", "at"), "k").select("k", F.expr(f"array_distinct({ranges})").alias("runs")).dropDuplicates(["k"])
-
-
-def dedup_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id", gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
+    first = rows.groupBy("g").agg(F.min(F.struct("id", "k", "j")).alias("f"), F.count("*").alias("c")).where("c > 1").selectExpr("g", "f.k as fk", "f.j as fj")
+    hits = materialise(rows.join(materialise(first, "first"), "g").selectExpr("id", "k", "j", "g", "n", "not (k = fk and j = fj) as later"), "hits")
+    later = hits.where("later").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("j", "n", "g"))).alias("later"))
+    held = materialise(later.join(marked.select("id", "k", "hs", "at"), "k").dropDuplicates(["k"]), "later")
+    # open ends: marks whose neighbours no other later mark covers
+    reach = min_words + 1
+    gap = "greatest(coalesce(get(later, i + 1).j, size(hs)) - (m.j + m.n), 0)"
+    space = "greatest(m.j - if(i = 0, 0, get(later, i - 1).j + get(later, i - 1).n), 0)"
+    ends = f"flatten(transform(later, (m, i) -> transform({_beside(f'least({gap}, {reach})', f'least({space}, {window - 1})')}, x -> struct(m.j as j, m.n as n, m.g as g, x.t as t, x.key as key))))"
+    asked = materialise(held.select("id", "k", F.explode(F.expr(ends)).alias("a")).select("id", "k", "a.*"), "asked")
+    sources = hits.join(asked.select("g").distinct(), "g", "left_semi").join(marked.select("k", "hs"), "k").withColumn("m", F.struct("j", "n", "g"))
+    keys = _beside(f"least(size(hs) - (m.j + m.n), {reach})", f"least(m.j, {window - 1})")
+    known = sources.select("id", "k", "j", F.explode(F.expr(keys)).alias("x")).groupBy("x.key").agg(F.min(F.struct("id", "k", "j")).alias("f"))
+    same = asked.join(known, "key").where("not (k = f.k and j = f.j)")
+    more = same.groupBy("k").agg(F.collect_set(F.expr("if(t > 0, struct(j + n as a, j + n + t - 1 as b), struct(j + t as a, j - 1 as b))")).alias("more"))
+    every = "concat(transform(later, m -> struct(m.j as a, m.j + m.n - 1 as b)), coalesce(more, array()))"
+    return held.join(more, "k", "left").select("k", F.expr(f"array_distinct(transform({every}, r -> struct(get(at, r.a) as a, get(at, r.b) as b)))").alias("runs"))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id", gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later repeated runs of lines deleted from `text`; adds n_deleted (lines, blank ones between deleted ones included)."""
     key, runs = temp_name(docs, "row_key"), temp_name(docs, "row_runs")
     hashed = F.xxhash64(F.col(id_), F.xxhash64(F.col(text)))
     keyed = docs.select(F.col(id_).alias("id"), hashed.alias("k"), F.col(text).alias("t"))
     marked = materialise(fingerprints(keyed, "t", gram, window, long_words, min_words), "lines")
-    found = materialise(repeated_runs(marked, reach).select(F.col("k").alias(key), F.col("runs").alias(runs)), "runs")
+    found = materialise(repeated_runs(marked, window, min_words).select(F.col("k").alias(key), F.col("runs").alias(runs)), "runs")
+    discard(marked)
     split = f"split(`{text}`, {PLACES})"
     keep = f"filter({split}, (s, i) -> not exists(`{runs}`, r -> i between r.a and r.b))"
     kept = temp_name(docs, "row_kept")

@@ -99,41 +99,50 @@ def hashed(x, seed=42):
 
 
 def slow_line_dedup(docs):
-    """docs [(id, text)], ids in order: the same rules over plain lists."""
+    """docs [(id, text)], ids in order: the same fingerprints over plain lists; every one but the first is extended along
+    every earlier one until lines differ, without a bound."""
     import re
 
     lines = []
-    for i, t in docs:
-        parts = re.split(r"[.!?]+[ \n]|\n", t + " ")
-        lines.append([(s64(hashed(s.encode())), s.count(" ") + 1, k) for k, s in enumerate(parts) if s not in ("", " ")])
+    for _, t in docs:
+        parts = re.split(r"[.!?]+[ \n]|\n|[。！？]", t + " ")
+        size = lambda s: max(s.count(" ") + 1, (len(s.encode()) - len(s)) // 8)
+        lines.append([(s64(hashed(s.encode())), size(s), k) for k, s in enumerate(parts) if s not in ("", " ")])
     marks = []
     for line in lines:
         g = []
         for j, (h, w, _) in enumerate(line):
             if w >= 25:
                 g.append((s64(hashed(h)), 1))
-            elif j + 1 < len(line) and w + line[j + 1][1] >= 8:
-                g.append((s64(hashed(line[j + 1][0], hashed(h))), 2))
-            else:
-                g.append(None)
+                continue
+            n = 1
+            while (n < 2 or w < 8) and j + n < len(line):
+                h, w, n = s64(hashed(line[j + n][0], hashed(h) if n == 1 else hashed(h))), w + line[j + n][1], n + 1
+            g.append((h, n) if n >= 2 and w >= 8 else None)
         least = [min((x[0] for x in g[j : j + 2] if x), default=None) for j in range(len(g))]
         marks.append([(j, *x) for j, x in enumerate(g) if x and (x[1] == 1 or x[0] in (least[j], least[j - 1] if j else None))])
-    first = {}
+    places = {}
     for d, m in enumerate(marks):
         for j, g, _ in m:
-            first.setdefault(g, (d, j))
+            places.setdefault(g, []).append((d, j))
     out = []
     for d, (_, t) in enumerate(docs):
-        gone = set()
+        gone, a = set(), lines[d]
         for j, g, n in marks[d]:
-            e, k = first[g]
-            if (e, k) == (d, j):
-                continue
-            a, b = lines[d], lines[e]
-            back = next((x for x in range(4) if not (j - x > 0 and k - x > 0 and a[j - x - 1][0] == b[k - x - 1][0])), 4)
-            on = next((x for x in range(4) if not (j + n + x < len(a) and k + n + x < len(b) and a[j + n + x][0] == b[k + n + x][0])), 4)
-            gone |= set(range(a[j - back][2], a[j + n - 1 + on][2] + 1))
-        parts = re.split(r"(?<=[.!?][ \n])|(?<=\n)", t)
+            for e, k in places[g]:
+                if (e, k) == (d, j):
+                    break
+                b, back, on = lines[e], 0, 0
+                while j - back > 0 and k - back > 0 and a[j - back - 1][0] == b[k - back - 1][0]:
+                    back += 1
+                while j + n + on < len(a) and k + n + on < len(b) and a[j + n + on][0] == b[k + n + on][0]:
+                    on += 1
+                for x in range(j - back, j + n + on):
+                    gone.add(a[x][2])
+                gone |= set(range(a[j][2], a[j + n - 1][2] + 1))
+                for x in range(j - back, j + n + on - 1):  # blank pieces between deleted lines
+                    gone |= set(range(a[x][2], a[x + 1][2]))
+        parts = re.split(r"(?<=[.!?][ \n])|(?<=[\n。！？])", t)
         parts = parts[:-1] if len(parts) > 1 and parts[-1] == "" else parts
         out.append("".join(p for k, p in enumerate(parts) if k not in gone))
     return out
@@ -159,6 +168,19 @@ def test_line_dedup_against_plain_lists(spark):
     assert all("p71" not in got[i].text for i in holders[1:]) and "p71" in got[holders[0]].text
 
 
+def test_line_dedup_of_short_lines_and_of_scripts_without_blanks(spark):
+    long = " ".join(f"l{i}" for i in range(30))
+    short = "".join(f"\nw{i}" for i in range(12))
+    verse = "\n".join(f"x{i} y{i}" for i in range(40))
+    chinese = "这是一个很长的段落它没有空格但是在许多文件里重复出现所以应当被发现并且删除。" * 1 + "第二句话也一样会在每个文件里出现没有任何改变。"
+    texts = [long + short, long + short, short.strip(), short.strip(), "first " + verse, verse + "\nlast", "开头。" + chinese * 3, "别的开头。" + chinese * 3, "A. b c d e f g h. i j k l m n o. p q r s t u v. Z.", "q. b c d e f g h. i j k l m n o. p q r s t u v. Y.", "Q. A. b c d e f g h. i j k l m n o. p q r s t u v. Z. last one here"]
+    frame = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {x.doc_id: x.text for x in linededup.dedup_lines(frame).collect()}
+    assert got[0] == texts[0] and got[1] == "" and got[3] == "" and "x1 y1" not in got[5] and got[5].strip().endswith("last")
+    assert "第二句" not in got[7] and got[7].startswith("别的开头")
+    assert got[9] == "q. Y." and got[10] == "Q. last one here"
+
+
 def test_line_dedup_of_repeated_rows_and_nothing(spark):
     t = "a b c d e f g h i j. k l m n o p q r. s t u v w x y z a b c. "
     got = linededup.dedup_lines(spark.createDataFrame([(1, t), (1, t), (2, t), (None, t)], SCHEMA)).collect()
