@@ -33,6 +33,16 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """materialise() as a table dealt by a hash of `key` into as many buckets as a shuffle has partitions: tables written so
+    join on the key without another shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes what materialise() wrote; only for tables that nothing reads any more."""
     path = getattr(df, "_rankloom_path", None)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import crc_mod, materialise
+from .common import bucketed, crc_mod
 
 ORDER, PRIORS, FOLDS, HELD = 3, (16.0, 4.0), 7, 2
 #: Tokens of the corpus for each shard, tokens and different words of a batch.
@@ -194,14 +194,17 @@ def mapped(data: bytes) -> mmap.mmap:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Numbers from 0 as compressed bytes of the least width."""
-    top = int(x.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + zstandard.compress(np.ascontiguousarray(x, f"<u{width}"), 1)
+    """Numbers from 0 as compressed bytes of the least width, all low bytes first."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(planes), 3)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -220,11 +223,13 @@ def _coder(batch_tokens: int, batch_words: int):
         ids, held, lens, tokens, size, words = [], [], [], [], 0, None
 
         def batch():
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) >> 1 for w in words), np.int64, len(words))
-            sorted_, rank = np.unique(hashes, return_inverse=True)
-            seq = rank[np.concatenate(tokens)]
+            hashes, seq = np.fromiter((xxhash.xxh64_intdigest(w, 42) >> 1 for w in words), np.int64, len(words)), np.concatenate(tokens)
+            order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")  # small numbers for common words
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            hashes, seq = hashes[order], rank[seq]
             return pa.RecordBatch.from_arrays(
-                [pa.array([next(number)]), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([lens], pa.list_(pa.int32())), pa.array([_packed(sorted_)], pa.binary()), pa.array([_packed(seq)], pa.binary())],
+                [pa.array([next(number)]), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([lens], pa.list_(pa.int32())), pa.array([_packed(hashes)], pa.binary()), pa.array([_packed(seq)], pa.binary())],
                 names=["uid", "ids", "held", "lens", "hashes", "seq"],
             )
 
@@ -261,9 +266,9 @@ class Batch:
         self.starts = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
         self.token = np.ones(int(lens.sum()) + len(lens), bool)
         self.token[self.starts] = False
-        first = np.full(len(self.token), self.width - 1)
+        first = np.full(len(self.token), self.width - 1, np.int32)
         first[self.token] = _unpacked(seq)
-        self.doc = np.repeat(np.arange(self.docs), lens + 1)
+        self.doc = np.repeat(np.arange(self.docs, dtype=np.int32), lens + 1)
         self.learns = ~np.repeat(np.asarray(held, bool), lens + 1)
         self.word = first
         self.grams = [first]  # by level: the n-gram that ends at each place, or -1
@@ -274,12 +279,12 @@ class Batch:
         """Adds the next level."""
         before = self.grams[-1]
         at = np.nonzero(self.token[1:] & (before[:-1] >= 0))[0] + 1
-        key, which = np.unique(before[at - 1] * self.width + self.word[at], return_inverse=True)
-        gram = np.full(len(self.word), -1)
+        key, which = np.unique(before[at - 1].astype(np.int64) * self.width + self.word[at], return_inverse=True)
+        gram = np.full(len(self.word), -1, np.int32)
         gram[at] = which
         self.grams.append(gram)
-        self.context.append(key // self.width)
-        self.last.append(key % self.width)
+        self.context.append((key // self.width).astype(np.int32))
+        self.last.append((key % self.width).astype(np.int32))
         self.own.append(np.bincount(which[self.learns[at]], minlength=len(key)))
 
 
@@ -429,7 +434,7 @@ def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", folds: int
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     kind = docs.schema[id_].dataType.simpleString()
     slim = docs.select(F.col(id_).alias("doc_id"), (crc_mod(F.col(id_), folds) == held).alias("held_out"), F.col(text).cast("binary").alias("t"))
-    coded = materialise(slim.mapInArrow(_coder(batch_tokens, batch_words), f"uid long, ids array<{kind}>, held array<boolean>, lens array<int>, hashes binary, seq binary"), "coded")
+    coded = bucketed(slim.mapInArrow(_coder(batch_tokens, batch_words), f"uid long, ids array<{kind}>, held array<boolean>, lens array<int>, hashes binary, seq binary"), "uid", "coded")
     size = coded.select(F.expr("aggregate(lens, 0L, (a, x) -> a + x)").alias("n"), F.expr("size(filter(held, x -> not x))").cast("long").alias("texts")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts")).first()
     totals = {"shards": max(1, -(-size.n // shard_tokens)), "texts": size.texts, "tokens": 0, "types": 0}
     known = coded
@@ -444,12 +449,12 @@ def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", folds: int
 
         prior = priors[level - 2] if level > 1 else 1.0
         answers = known.mapInArrow(ask, _REQUEST).groupBy("shard").applyInArrow(_answering(level, prior, totals["shards"], level == order and level > 1), _ANSWER)
-        answers = materialise(answers, f"level{level}")
+        told = answers.groupBy("uid").agg(F.collect_list(F.struct("shard", "nodes", "counts", "codes")).alias(f"told{level}"), F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+        told = bucketed(told, "uid", f"level{level}")
         if level == 1:
-            found = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
+            found = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
             totals |= {"tokens": found.tokens, "types": found.types}
-        told = answers.groupBy("uid").agg(F.collect_list(F.struct("shard", "nodes", "counts", "codes")).alias(f"told{level}"))
-        known = known.join(told, "uid", "left")
+        known = known.join(told.drop("tokens", "types"), "uid", "left")
 
     id_kind = to_arrow_type(docs.schema[id_].dataType)
 
