@@ -1,17 +1,19 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them; DataFrame and SQL
 functions only.
 
-Base spans (email, ip, card, phone) are found by pattern in whole texts, leftmost and non-overlapping for each kind.
-None of the patterns crosses a line break, so the lines that hold one can be looked at by themselves. Around each
-protected value e (its kind and text, lower-cased) the words within `reach` characters are counted over the whole
-corpus: c(e, t) with the value, c(e) all words near the value, c(t) the word anywhere, T all words. A term discloses e if
-its pointwise mutual information log2(c(e, t) T / (c(e) c(t))) is at least `share` of the information of e,
-log2(T / c(e)), and they meet in `support` texts or more. Such a term near e is a span of kind term; sanitise() generalises it to
-its class, or removes it where the share is at least `remove`.
-
-Scale: counts are aggregated before each shuffle; words of the corpus are counted, never paired; only lines with a value
-are cut into words with places. A value that a third of the rows hold is one key of sums and of a join that Spark can
-split. Patterns are written without nested repetition that backtracks, so a long run of digits or letters costs one pass.
+Base spans (email, ip, card, phone) are found by pattern in whole texts, leftmost and non-overlapping for each kind. A
+text that holds one is cut into words; a protected value e (its kind and text, lower-cased) occurs with the words of its
+own block of `reach` words and of the two blocks beside it, across lines. Over the whole corpus c(e, t) counts a term with
+the value, c(e) all words with it, c(t) the term anywhere, T all words. A term discloses e if its smoothed pointwise mutual
+information log2(c(e, t) T / (c(e) (c(t) + rare))) is at least `share` of the information of e, log2(T / c(e)). Such a
+term near e is a span of kind term; sanitise() generalises it to its class, or removes it where the share is at least
+`remove`. A value that occurs once is protected like any other: words found hardly anywhere else disclose it.
+
+Scale: a text's matches are placed by running sums over rows, its words likewise, and a value meets 3 * reach words at
+most, so the work is linear in a text's length and in its number of values. Counts are aggregated before each shuffle;
+words of the corpus are counted, never paired. A value that a third of the rows hold is one key of sums and of a join that
+Spark can split. Patterns are written without nested repetition that backtracks, so a long run of digits or letters costs
+one pass.
 
 Defined cases: null counts as empty and has no spans; places are code points, end exclusive; a row repeated with the same
 id and text counts once in the statistics and gets the same spans; null ids are kept; an empty table gives an empty
@@ -20,12 +22,12 @@ result; extra columns are ignored by spans() and carried by sanitise().
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, temp_name
 
-REACH, SHARE, SUPPORT, REMOVE = 60, 0.9, 3, 0.98
+REACH, SHARE, RARE, REMOVE = 16, 0.9, 0.5, 0.98
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the fixed patterns: what they give up on backtracking cannot match. A start within a run of
 #: the first class is tried only at the run's head or where the last match ended, as any other would end alike.
@@ -47,56 +49,84 @@ VALID = {
 }
 
 
-def base_spans(text: str) -> Column:
-    """array<struct<kind, s, e, v>> of a text column, by kind as listed, then place."""
+def matches(text: str) -> Column:
+    """array<struct<kind, i, gap, v>> of a text column: each pattern's matches in turn, and how many code points lie
+    between one and the last before it."""
     parts = []
-    for kind in KINDS:
-        found = f"if(instr({text}, '{NEEDS[kind]}') > 0, regexp_extract_all({text}, '{PATTERNS[kind]}', 0), array())" if NEEDS[kind] else f"regexp_extract_all({text}, '{PATTERNS[kind]}', 0)"
-        # a match is found again at the first place after the last match: an earlier one would have been a match itself
-        placed = f"""aggregate({found}, struct(0 as at, cast(array() as array<struct<kind:string,s:int,e:int,v:string>>) as out),
-            (a, v) -> struct(locate(v, {text}, a.at + 1) - 1 + length(v) as at, concat(a.out, array(struct('{kind}' as kind,
-            locate(v, {text}, a.at + 1) - 1 as s, locate(v, {text}, a.at + 1) - 1 + length(v) as e, v as v))) as out)).out"""
-        parts.append(f"filter({placed}, x -> {VALID[kind]})")
+    for n, kind in enumerate(KINDS):
+        found = f"regexp_extract_all({text}, '{PATTERNS[kind]}', 0)"
+        gaps = f"transform(split({text}, '{PATTERNS[kind]}', -1), y -> length(y))"
+        rows = f"zip_with({found}, {gaps}, (v, g) -> struct({n} as kind, g as gap, v as v))"
+        placed = f"filter(transform({rows}, (x, i) -> struct(x.kind as kind, i as i, x.gap as gap, x.v as v)), x -> x.v is not null)"
+        none = "cast(array() as array<struct<kind:int,i:int,gap:int,v:string>>)"
+        parts.append(f"if({text} rlike '{PATTERNS[kind]}', {placed}, {none})" if not NEEDS[kind] else f"if(instr({text}, '{NEEDS[kind]}') > 0, {placed}, {none})")
     return F.expr(f"concat({', '.join(parts)})")
 
 
+def base_spans(bearing: DataFrame) -> DataFrame:
+    """bearing(uid, found as matches() gives it) -> (uid, kind, s, e, v): the spans; places are sums of what lies before."""
+    each = bearing.select("uid", F.explode("found").alias("x")).select("uid", "x.*").withColumn("n", F.length("v"))
+    placed = each.withColumn("e", F.expr("sum(gap + n) over (partition by uid, kind order by i)"))
+    valid = F.expr("case kind " + " ".join(f"when {n} then {VALID[kind].replace('x.v', 'v')}" for n, kind in enumerate(KINDS)) + " end")
+    return placed.where(valid).select("uid", "kind", (F.col("e") - F.col("n")).cast("int").alias("s"), F.col("e").cast("int").alias("e"), "v")
+
+
 def _words(text: str) -> str:
     return f"split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+')"
 
 
-def disclosing_terms(bearing: DataFrame, docs_text: DataFrame, reach: int, share: float, support: int) -> DataFrame:
-    """bearing(k, text) and the corpus (text) -> (k, s, e, share): the terms near protected values that disclose them."""
-    once = bearing.dropDuplicates(["k"]).select("k", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    starts = once.select("k", "line", "t", F.expr("sum(length(t) + 1) over (partition by k order by line) - length(t) - 1").alias("at"))
-    lines = materialise(starts.where("t rlike '[@+0-9]'").select("k", "line", "t", "at", base_spans("t").alias("spans")).where("size(spans) > 0"), "lines")
-    cut = r"split(t, '(?<=[^\\p{L}\\p{N}])|(?=[^\\p{L}\\p{N}])')"
-    tokens = lines.select("k", "line", "at", "spans", F.posexplode(F.expr(cut)).alias("i", "w"))
-    placed = tokens.withColumn("e", F.expr("sum(length(w)) over (partition by k, line order by i)")).withColumn("s", F.expr("e - length(w)"))
-    near = f"filter(spans, x -> x.s - e <= {reach} and s - x.e <= {reach})"
-    words = placed.where(r"w rlike '^[\\p{L}\\p{N}]{2,}$' and not exists(spans, x -> s < x.e and e > x.s)")
-    pairs = materialise(words.select("k", (F.col("at") + F.col("s")).cast("long").alias("s"), (F.col("at") + F.col("e")).cast("long").alias("e"), F.lower("w").alias("term"), F.explode(F.expr(f"array_distinct(transform({near}, x -> concat(x.kind, ':', lower(x.v))))")).alias("value")), "pairs")
-    by_text = pairs.groupBy("value", "term", "k").agg(F.count("*").alias("n"))
-    together = materialise(by_text.groupBy("value", "term").agg(F.sum("n").alias("cet"), F.count("*").alias("texts")).where(F.col("texts") >= support), "together")
-    around = pairs.groupBy("value").agg(F.count("*").alias("ce"))
-    counts = materialise(docs_text.select(F.explode(F.expr(_words("text"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("ct")).join(together.select("term").distinct().withColumn("wanted", F.lit(True)), "term", "left").groupBy(F.when(F.col("wanted"), F.col("term")).alias("term")).agg(F.sum("ct").alias("ct")), "counts")
-    total = counts.agg(F.coalesce(F.sum("ct"), F.lit(1)).alias("n")).first()[0]
+def disclosing_terms(bearing: DataFrame, base: DataFrame, docs_text: DataFrame, reach: int, share: float, rare: float) -> DataFrame:
+    """bearing(uid, text), base(uid, kind, s, e, v) and the corpus (text, times) -> (uid, s, e, share): the terms near
+    protected values that disclose them. times is how often the row's id and text occur."""
+    cut = r"split(text, '(?<=[^\\p{L}\\p{N}])|(?=[^\\p{L}\\p{N}])')"
+    tokens = bearing.select("uid", F.posexplode(F.expr(cut)).alias("i", "w"))
+    word = F.expr(r"w rlike '^[\\p{L}\\p{N}]{2,}$'")
+    placed = tokens.withColumn("e", F.expr("cast(sum(length(w)) over (partition by uid order by i) as int)")).withColumn("at", F.sum(word.cast("int")).over(Window.partitionBy("uid").orderBy("i")))
+    words = materialise(placed.where(word).select("uid", (F.col("e") - F.length("w")).alias("s"), "e", F.lower("w").alias("term"), "at"), "tokens")
+    # spans and words in one order of places: a span stands where the last word before it does, and no word within a span counts
+    marks = base.select("uid", "s", "e", F.lit(None).cast("string").alias("term"), F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.lower("v")).alias("value"))
+    both = words.select("uid", "s", "e", "term", F.lit(None).cast("string").alias("value"), "at").unionByName(marks.withColumn("at", F.lit(None).cast("bigint")))
+    order = Window.partitionBy("uid").orderBy("s", F.col("term").isNotNull().cast("int"))
+    seen = both.withColumn("within", F.max(F.when(F.col("term").isNull(), F.col("e"))).over(order)).withColumn("at", F.coalesce(F.last("at", ignorenulls=True).over(order), F.lit(0)))
+    seen = materialise(seen.where("term is null or within is null or within <= s").select("uid", "s", "e", "term", "value", "at"), "seen")
+    block = F.floor(F.col("at") / reach).alias("block")
+    values = seen.where("value is not null").select("uid", "value", block).distinct()
+    # a value meets the words of its own block of `reach` words and of the blocks beside it, so at most 3 * reach
+    asked = values.select("uid", "value", F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])).alias("block")).distinct()
+    pairs = materialise(seen.where("term is not null").select("uid", "s", "e", "term", block).join(asked, ["uid", "block"]).select("uid", "s", "e", "term", "value"), "pairs")
+    together = materialise(pairs.groupBy("value", "term").agg(F.count("*").alias("cet")), "together")
+    around = together.groupBy("value").agg(F.sum("cet").alias("ce"))
+    wanted = together.select("term").distinct().withColumn("wanted", F.lit(True))
+    corpus = docs_text.select("times", F.explode(F.expr(_words("text"))).alias("term")).where("term <> ''").groupBy("term").agg(F.sum(1 / F.col("times")).alias("ct"))
+    counts = materialise(corpus.join(wanted, "term", "left").groupBy(F.when(F.col("wanted"), F.col("term")).alias("term")).agg(F.sum("ct").alias("ct")), "counts")
+    total = counts.agg(F.coalesce(F.sum("ct"), F.lit(1.0)).alias("n")).first()[0]
     scored = together.join(around, "value").join(counts.where("term is not null"), "term")
     t = F.lit(float(total))
-    part = F.log2(F.col("cet") * t / (F.col("ce") * F.col("ct"))) / F.log2(t / F.col("ce"))
+    part = F.log2(F.col("cet") * t / (F.col("ce") * (F.round("ct") + rare))) / F.log2(t / F.col("ce"))
     known = materialise(scored.where(t > F.col("ce")).select("value", "term", part.alias("share")).where(F.col("share") >= share), "known")
-    return pairs.join(known, ["value", "term"]).groupBy("k", "s", "e").agg(F.max("share").alias("share"))
+    return pairs.join(known, ["value", "term"]).groupBy("uid", "s", "e").agg(F.max("share").alias("share"))
 
 
-def spans(docs: DataFrame, text: str = "text", id_: str = "doc_id", reach: int = REACH, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+def spans(docs: DataFrame, text: str = "text", id_: str = "doc_id", reach: int = REACH, share: float = SHARE, rare: float = RARE) -> DataFrame:
     """(doc_id, k, base, terms) for each row: base spans, and terms (s, e, share) by place."""
     named = docs.select(F.col(id_).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = named.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), base_spans("text").alias("base"), "text")
-    found = materialise(found.select("doc_id", "k", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
-    terms = disclosing_terms(found.where("text is not null").select("k", "text"), named.select("text"), reach, share, support)
-    terms = materialise(terms.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("s", "e", "share"))).alias("terms")), "terms")
-    bare = found.where("text is null").select("doc_id", "k", "base", F.expr("cast(array() as array<struct<s:bigint,e:bigint,share:double>>)").alias("terms"))
-    held = found.where("text is not null").select("doc_id", "k", "base").join(terms, "k", "left").select("doc_id", "k", "base", F.coalesce("terms", F.expr("cast(array() as array<struct<s:bigint,e:bigint,share:double>>)")).alias("terms"))
-    return held.unionByName(bare)
+    named = named.withColumn("k", F.xxhash64("doc_id", "text"))
+    found = named.select("doc_id", "k", matches("text").alias("found"), "text").withColumn("uid", F.monotonically_increasing_id())
+    found = materialise(found.withColumn("text", F.when(F.size("found") > 0, F.col("text"))), "found")
+    base = materialise(base_spans(found.where("size(found) > 0").select("uid", "found")), "base")
+    # of rows with the same id and text one stands for all in the statistics
+    alike = materialise(named.groupBy("k").agg(F.count("*").alias("times")).where("times > 1"), "alike")
+    every = named.join(alike, "k", "left").select("text", F.coalesce("times", F.lit(1)).alias("times"))
+    one = base.select("uid").distinct().join(found.select("uid", "k"), "uid").groupBy("k").agg(F.min("uid").alias("uid"))
+    one = materialise(one, "one")
+    terms = disclosing_terms(found.select("uid", "text").join(one.select("uid"), "uid"), base.join(one.select("uid"), "uid"), every, reach, share, rare)
+    terms = terms.join(one, "uid").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("s", "e", "share"))).alias("terms"))
+    placed = base.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e", "v"))).alias("base"))
+    named_base = f"transform(base, x -> struct(element_at(array({', '.join(map(repr, KINDS))}), x.kind + 1) as kind, x.s as s, x.e as e, x.v as v))"
+    empty = "cast(array() as array<struct<kind:string,s:int,e:int,v:string>>)", "cast(array() as array<struct<s:int,e:int,share:double>>)"
+    held = found.where("size(found) > 0").select("doc_id", "k", "uid").join(placed, "uid", "left").join(terms, "k", "left")
+    held = held.select("doc_id", "k", F.coalesce(F.expr(named_base), F.expr(empty[0])).alias("base"), F.coalesce("terms", F.expr(empty[1])).alias("terms"))
+    return held.unionByName(found.where("size(found) = 0").select("doc_id", "k", F.expr(empty[0]).alias("base"), F.expr(empty[1]).alias("terms")))
 
 
 def digest(found: DataFrame) -> DataFrame:

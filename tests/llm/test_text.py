@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import re._parser as parser
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -148,7 +150,7 @@ def test_personal_data_base_spans(spark):
 def test_terms_that_disclose_are_spans_and_common_words_are_not(spark):
     r = random.Random(2)
     filler = [f"word{i}" for i in range(50)]
-    texts = [" ".join(r.choice(filler) for _ in range(60)) for _ in range(80)]
+    texts = [" ".join(r.choice(filler) for _ in range(60)) + "\nnothing here" for _ in range(80)]
     for i in range(6):
         texts.append(f"the zanzibarian writes from zed@home.org today {' '.join(r.choice(filler) for _ in range(20))}\nnothing here word1")
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
@@ -159,6 +161,60 @@ def test_terms_that_disclose_are_spans_and_common_words_are_not(spark):
     assert clean[0] == texts[0] and "zanzibarian" not in clean[80] and "zed@home.org" not in clean[80] and "[email]" in clean[80] and clean[80].endswith("nothing here word1")
 
 
+def slow_terms(rows, reach=16, share=0.9, rare=0.5):
+    """Disclosing terms by plain counts; rows of (id, text), repeated ones once."""
+    cut = re.compile(r"[^\W_]+")
+    counts, together, near = Counter(), Counter(), []
+    for i, t in dict.fromkeys(rows):
+        found = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(t))]
+        toks = [(m.start(), m.end(), m.group().lower()) for m in cut.finditer(t)]
+        counts.update(w for _, _, w in toks)
+        # single letters are no terms; they count among the corpus's words, not among a text's places
+        toks = [x for x in toks if x[1] - x[0] > 1]
+        spans = [(f"{k}:{t[a:b].lower()}", a, b) for k, a, b in found]
+        inside = lambda a: any(x <= a < y for _, x, y in spans)
+        values = {(v, sum(s < a or (s == a and False) for s, _, _ in toks) // reach) for v, a, b in spans}
+        for n, (a, b, w) in enumerate(toks):
+            if not inside(a):
+                for v in {v for v, k in values if abs(k - (n + 1) // reach) <= 1}:
+                    near.append((i, t, a, b, w, v))
+                    together[v, w] += 1
+    around, total, out = Counter(), sum(counts.values()), {}
+    for (v, _), n in together.items():
+        around[v] += n
+    for i, t, a, b, w, v in near:
+        if total > around[v] and math.log2(together[v, w] * total / (around[v] * (counts[w] + rare))) / math.log2(total / around[v]) >= share:
+            out.setdefault((i, t), set()).add((a, b))
+    return out
+
+
+def test_terms_are_those_of_plain_counts(spark):
+    r = random.Random(12)
+    common, rare = [f"word{i}" for i in range(30)], [f"seldom{i}" for i in range(400)]
+    people = [(f"p{i}@home.org", f"name{i}") for i in range(20)]
+    rows = []
+    for i in range(150):
+        w = [r.choice(rare) if r.random() < 0.05 else r.choice(common) for _ in range(r.randint(0, 120))]
+        for _ in range(r.randint(0, 2)):
+            e, n = r.choice(people)
+            at = r.randint(0, len(w))
+            w[at:at] = [n, "\n" * r.randint(0, 2), e]
+        rows.append((i, " ".join(w)))
+    rows.append((500, " ".join(r.choice(common) for _ in range(30)) + " hapaxia once@met.org " + " ".join(r.choice(common) for _ in range(30))))
+    want = slow_terms(rows)
+    assert {t[a:b] for (i, t), x in want.items() for a, b in x if i == 500} == {"hapaxia"}  # met once, and protected
+    for table in (rows, rows + rows[3:60] + rows[3:9]):
+        docs = spark.createDataFrame(table, SCHEMA).withColumns({"uid": F.lit(1), "found": F.lit(2)})
+        got = {x.doc_id: {(y.s, y.e) for y in x.terms} for x in pii.spans(docs).collect()}
+        assert got == {i: want.get((i, t), set()) for i, t in rows}
+
+
+def test_one_long_line_of_addresses(spark):
+    text = " ".join(f"user{i}@host{i}.example.org" for i in range(20_000))
+    (row,) = pii.digest(pii.spans(spark.createDataFrame([(1, text)], SCHEMA))).collect()
+    assert row.n_email == 20_000 and row.spans.startswith("email:0:")
+
+
 def contamination(texts, items, window=10):
     wins = {}
     for i, t in items:
