@@ -1,7 +1,8 @@
 """Licence scan: ordered signature rules, gated by keywords, resolved by priority and containment.
 
-Hand-written names, identifiers and addresses of known licences are put into hand-written sentence forms; each pair is
-one rule, a regular expression with a priority and a weight. A rule runs only on texts that pass a general gate and hold
+Hand-written phrases of the licences' own texts are rules, and hand-written names, identifiers and addresses of licences
+are put into hand-written sentence forms, each pair a rule: a regular expression with a priority and a weight. A form of
+denial ("not licensed under ...") suppresses what it holds and has no label itself. A rule runs only on texts that pass a general gate and hold
 one of the strings of which, by the rule's own expression, each of its matches holds one. Of the places found, one that lies within a place of a rule of the same or a higher priority is
 suppressed. Labels are those of the places that stay; base phrases always keep theirs.
 
@@ -13,6 +14,7 @@ and rows with null ids are kept as they are; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import re._parser as parser
@@ -98,6 +100,86 @@ elastic-2.0 | elastic | elastic license(?:,? ?(?:version |v\\.? ?)?2(?:\\.0)?)?
 mulan-2.0 | mulan | mulan (?:permissive software license|psl),? ?(?:version |v\\.? ?)?2\\b | mulanpsl-2\\.0 | license\\.coscl\\.org\\.cn/mulanpsl2
 """.strip().splitlines()
 
+#: Phrases of the licences' own texts and notices: label | expression, blanks as above
+BODIES = """
+mit | permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+mit | the above copyright notice and this permission notice (?:\\(including the next paragraph\\) )?shall be included in all copies or substantial portions of the software
+mit-0 | permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files .{0,20}to deal in the software without restriction, including .{0,200}and to permit persons to whom the software is furnished to do so\\. the software is provided
+x11 | except as contained in this notice, the names? of .{1,80} shall not be used in advertising or otherwise to promote the sale, use or other dealings in this software
+bsd | redistributions? and use in source and binary forms, with or without modification, (?:are|is) permitted provided that the following conditions are met
+bsd | redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
+bsd | redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+bsd-3-clause | neither the names? of .{1,100} may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+isc | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies
+0bsd | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\\.
+postgresql | permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted
+hpnd | permission to use, copy, modify, (?:and )?distribute,? (?:and sell )?this software and its documentation for any purpose is hereby granted without fee
+ncsa | to deal with the software without restriction, including without limitation the rights to use, copy, modify
+apache-2.0 | you may not use this file except in compliance with the license
+apache-2.0 | unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an ["']?as is["']? basis
+apache-2.0 | grant of patent license\\. subject to the terms and conditions of this license, each contributor hereby grants to you
+apache-1.1 | this product includes software developed by the apache (?:software foundation|group)
+gpl | this program is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu general public license
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed
+gpl-2.0 | either version 2(?: of the license)?,? or (?:\\(at your option\\)|at your option) any later version
+gpl-3.0 | either version 3(?: of the license)?,? or (?:\\(at your option\\)|at your option) any later version
+gpl-2.0 | the licenses for most software are designed to take away your freedom to share and change it\\. by contrast, the gnu general public license is intended to guarantee your freedom
+gpl-3.0 | the gnu general public license is a free, copyleft license for software and other kinds of works
+lgpl | this library is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license
+lgpl-2.1 | this license, the lesser general public license, applies to some specially designated software packages
+lgpl-3.0 | this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license
+agpl-3.0 | the gnu affero general public license is a free, copyleft license for software and other kinds of works
+agpl-3.0 | all users interacting with it remotely through a computer network
+gfdl | permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license
+mpl-1.1 | the contents of this file are subject to the mozilla public license version 1\\.1
+mpl-2.0 | this source code form is subject to the terms of the mozilla public license, v\\. 2\\.0
+mpl-2.0 | if a copy of the mpl was not distributed with this file, you can obtain one at
+epl | this program and the accompanying materials are made available under the terms of the eclipse public license
+cddl-1.0 | the contents of this file are subject to the terms of the common development and distribution license
+cpl-1.0 | the accompanying program is provided under the terms of this common public license
+cc0-1.0 | to the extent possible under law, .{1,120} (?:has|have) (?:dedicated|waived) all copyright and related (?:and|or) neighboring rights
+cc-by | you must give appropriate credit, provide a link to the license, and indicate if changes were made
+cc-by-sa | if you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original
+cc-by-nc | you may not use the material for commercial purposes
+cc-by-nd | if you remix, transform, or build upon the material, you may not distribute the modified material
+unlicense | this is free and unencumbered software released into the public domain
+wtfpl | everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed
+zlib | this software is provided ["']?as-is["']?, without any express or implied warranty\\. in no event will the authors be held liable
+zlib | altered source versions must be plainly marked as such, and must not be misrepresented as being the original software
+libpng | the png reference library is supplied ["']?as is["']?
+bsl-1.0 | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+artistic-1.0 | the intent of this document is to state the conditions under which a package may be copied, such that the copyright holder maintains some semblance of artistic control
+artistic-2.0 | this license establishes the terms under which a given free software package may be copied, modified, distributed, and/or redistributed
+perl | is free software[:;,] you can redistribute it and/or modify it under the same terms as perl(?: itself)?
+python-2.0 | psf is making python available to licensee on an ["']?as is["']? basis
+ruby | you may redistribute it and/or modify it under either the terms of the (?:gpl|2-clause bsdl)
+php-3.01 | products derived from this software may not be called ["']?php["']?
+openssl | this product includes software developed by the openssl project for use in the openssl toolkit
+ofl-1.1 | the fonts and derivatives, however, can be bundled, embedded, redistributed and/or sold with any software
+odbl-1.0 | you are free to share, create and adapt the database as long as you attribute
+ms-pl | this license governs use of the accompanying software\\. if you use the software, you accept this license
+eupl | the work is a work in progress, which is continuously improved by numerous contributors
+afl-3.0 | licensed under the academic free license
+osl-3.0 | licensed under the open software license
+upl-1.0 | subject to the condition set forth below, permission is hereby granted to any person obtaining a copy of this software, associated documentation and/or data
+bsl-1.1 | the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work
+sspl-1.0 | if you make the functionality of the program or a modified version available to third parties as a service
+elastic-2.0 | you may not provide the software to third parties as a hosted or managed service
+mulan-2.0 | you can use this software according to the terms and conditions of the mulan psl
+vim | vim is charityware
+beerware | as long as you retain this notice you can do whatever you want with this stuff
+json | the software shall be used for good, not evil
+curl | permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies\\. the software is provided
+naumen | this file is subject to the naumen public license
+sleepycat | redistributions in any form must be accompanied by information on how to obtain complete source code
+intel | redistribution\\. redistribution and use in binary form, without modification, are permitted
+freetype | portions of this software are copyright .{0,40}the freetype project
+ijg | this software is based in part on the work of the independent jpeg group
+""".strip().splitlines()
+#: priority and weight of a licence's own text; and of a denial, which has no label and only suppresses what lies within it
+BODY, DENIAL = (95, 0.97), (110, 0.0)
+
 #: form | priority | weight; NAME, ID and ADDRESS stand for a licence's columns
 FORMS = (
     (r"spdx-license-identifier: ?(?:ID)(?:-only|-or-later)?(?![\w.-])", 100, 0.99),
@@ -107,9 +189,12 @@ FORMS = (
     (r"https?://(?:www\.)?(?:ADDRESS)", 70, 0.85),
     (r"licen[cs]e ?[:=] ?[\"']?(?:ID)[\"']?(?![\w.-])", 65, 0.8),
     (r"(?<![\w-])(?:NAME)", 40, 0.6),
+    (r"(?:not|never|no longer|neither) (?:be |being |been )?(?:licen[cs]ed|released|distributed|published|provided|(?:made )?available|covered|offered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:NAME)", *DENIAL),
 )
 #: General gate: a text without any of these holds no place of any rule.
-GATE = (b"licen", b"spdx", b"://", b"cc0", b"domain", b"bsd", b"gpl", b"mpl", b"epl", b"psl", b"perl", b"attribution", b"wtfpl")
+GATE = (b"licen", b"spdx", b"://", b"cc0", b"domain", b"bsd", b"gpl", b"mpl", b"epl", b"psl", b"perl", b"wtfpl",
+        b"permission", b"permitted", b"redistribut", b"software", b"copyright", b"charityware", b"remix", b"credit",
+        b"version", b"continuously", b"functionality", b"reference", b"interacting", b"commercial", b"whatever", b"attribut")
 CC_BY = re.compile(rb"cc[\s*#/-]+by")
 
 
@@ -146,7 +231,7 @@ def needs(tree) -> tuple[bytes, ...]:
 
 @functools.cache
 def rules() -> tuple[Rule, ...]:
-    """Licences times forms, in order of priority; a blank in a rule stands for white space or comment marks."""
+    """Licences times forms, and the licences' own phrases, in order of priority; a blank in a rule stands for white space or comment marks."""
     out = []
     for row in LICENCES:
         label, _, name, ident, address = (x.strip() for x in row.split(" | ") + [""] * (4 - row.count(" | ")))
@@ -156,7 +241,10 @@ def rules() -> tuple[Rule, ...]:
                 continue
             text = loose(form.replace("NAME", name).replace("ID", ident).replace("ADDRESS", address))
             own = ident if "ID" in form else address if "ADDRESS" in form else name  # each match holds one of it
-            out.append(Rule(label, needs(parser.parse(loose(own).encode())) or (b"",), re.compile(text.encode()), priority, weight))
+            out.append(Rule("" if (priority, weight) == DENIAL else label, needs(parser.parse(loose(own).encode())) or (b"",), re.compile(text.encode()), priority, weight))
+    for row in BODIES:
+        label, text = row.split(" | ")
+        out.append(Rule(label, needs(parser.parse(loose(text).encode())), re.compile(loose(text).encode(), re.DOTALL), *BODY))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -177,45 +265,56 @@ def scan(data: bytes, gated: bool = True) -> list[tuple[int, int, Rule]]:
             for m in rule.pattern.finditer(low):
                 kept.append((m.start(), m.end(), rule))
     kept.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0]))
-    out: list[tuple[int, int, Rule]] = []
+    return _outermost(kept)
+
+
+def _outermost(kept: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """Places, by priority, that do not lie within one before them. Those that count are kept by their starts, none within
+    another, so that ends ascend too and one look at the last start at or before a place tells."""
+    out, starts, ends = [], [], []
     for s, e, r in kept:
-        if not any(a <= s and e <= b for a, b, _ in out):
-            out.append((s, e, r))
-    return out
+        at = bisect.bisect_right(starts, s)
+        if at and ends[at - 1] >= e:
+            continue
+        out.append((s, e, r))
+        upto = at - (at > 0 and starts[at - 1] == s)
+        end = bisect.bisect_right(ends, e, upto)  # what lies within the new place tells nothing more
+        starts[upto:end], ends[upto:end] = [s], [e]
+    return [x for x in out if x[2].label]
 
 
 def digest(data: bytes) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score, places) of one text."""
     words = words_of(data)
-    starts, base = [], set()
-    line = b""
+    n_base, first, last, base, line = 0, None, None, set(), b""
     for phrase, label in BASE:
         if phrase.rpartition(b" ")[2] in words:
             line = line or b" " + b" ".join(words) + b" "
-            at = line.find(b" " + phrase + b" ")
+            upto, number, at = 0, 0, line.find(b" " + phrase + b" ")
             while at >= 0:
-                starts.append(line.count(b" ", 0, at))
+                number += line.count(b" ", upto, at)
+                upto, n_base = at, n_base + 1
+                first, last = number if first is None else min(first, number), number if last is None else max(last, number)
                 base.add(label)
                 at = line.find(b" " + phrase + b" ", at + 1)
     found = scan(data)
     missing = 0.5 if base else 1.0
     for _, _, r in found:
         missing *= 1 - r.weight
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {r.label for _, _, r in found})), 1 - missing
+    places = ",".join(f"{r.label}:{s}:{e}" for s, e, r in sorted(found, key=lambda y: y[:2]))
+    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | {r.label for _, _, r in found})), 1 - missing, places
 
 
 def license_scan(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places) for each row; places holds
     label:start:end in bytes of the UTF-8 text, comma-joined, in order."""
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
 
     def each(batches):
         for b in batches:
-            texts = [x or b"" for x in b.column(1).to_pylist()]
-            rows = list(zip(*map(digest, texts), strict=True)) or [()] * 7
-            places = [",".join(f"{r.label}:{s}:{e}" for s, e, r in sorted(scan(x), key=lambda y: y[:2])) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True)), pa.array(places, pa.string())], names=["doc_id", *names, "places"])
+            rows = list(zip(*(digest(x or b"") for x in b.column(1).to_pylist()), strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=["doc_id", *names])
 
     kind = docs.schema[id_].dataType.simpleString()
     return docs.select(F.col(id_).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(each, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places string")

@@ -95,6 +95,8 @@ def _example(tree, pick):
         elif kind is parser.IN:
             part, x = pick.choice([v for v in value if v[0] in (parser.LITERAL, parser.RANGE, parser.CATEGORY)])
             out += chr(x) if part is parser.LITERAL else chr(x[0]) if part is parser.RANGE else {parser.CATEGORY_SPACE: "\n", parser.CATEGORY_WORD: "u", parser.CATEGORY_NOT_SPACE: "x"}[x]
+        elif kind is parser.ANY:
+            out += "q"
         elif kind is parser.SUBPATTERN:
             out += _example(value[3], pick)
         elif kind is parser.BRANCH:
@@ -116,6 +118,54 @@ def test_license_gates_drop_no_place():
             assert license.scan(text) == license.scan(text, gated=False), (rule, text)
 
 
+def test_licences_by_their_own_words():
+    """Wordings of licences, abbreviations, and denials."""
+    known = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal": "mit",
+        "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:": "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3-clause",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+        "you may not use this file except in compliance with the License.": "apache-2.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published": "gpl",
+        "either version 3 of the License, or (at your option) any later version.": "gpl-3.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "licensed under the GPLv3": "gpl-3.0", "the GPL, version 2": "gpl-2.0", "LGPL 2.1": "lgpl-2.1", "MPL 2.0": "mpl-2.0", "AGPL-3.0": "agpl-3.0",
+    }
+    for text, label in known.items():
+        assert label in license.digest(text.encode())[5].split(","), text
+    assert license.digest(b"This is not licensed under the Mozilla Public License 2.0 at all")[5:] == ("", 0.0, "")
+    assert license.digest(b"not licensed under the MIT license")[4:6] == ("mit", "mit")  # base labels stay
+
+
+def test_containment_is_that_of_all_pairs():
+    r = random.Random(9)
+    rule = license.rules()[-1]
+    for _ in range(300):
+        kept = []
+        for _ in range(r.randint(0, 40)):
+            s = r.randrange(60)
+            kept.append((s, s + r.randint(1, 30), rule._replace(priority=r.choice([10, 40, 90]))))
+        kept.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0]))
+        want = []
+        for s, e, x in kept:
+            if not any(a <= s and e <= b for a, b, _ in want):
+                want.append((s, e, x))
+        assert license._outermost(kept) == want
+
+
+def test_many_places_take_linear_time():
+    import time
+
+    text = b"the MIT license and GNU General Public License v2. "
+    spent = []
+    for n in (2_000, 8_000):
+        at = time.process_time()
+        assert license.digest(text * n)[1] == 2 * n
+        spent.append(time.process_time() - at)
+    assert spent[1] < 8 * spent[0]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
