@@ -30,14 +30,14 @@ BASE = ((b"gnu general public license", "gpl"), (b"apache license", "apache"), (
 
 #: label | keyword (for the reader; gates follow from the expressions) | name (regular expression) | identifier | address or empty
 LICENCES = """
-gpl-1.0 | gnu | (?:gnu )?(?:general public license|gpl),? ?\\(?(?:version |v\\.? ?)?1(?:\\.0)?\\b | gpl-1\\.0 | gnu\\.org/licenses/(?:old-licenses/)?gpl-1\\.0
-gpl-2.0 | gnu | (?:gnu )?(?:general public license|gpl),? ?\\(?(?:version |v\\.? ?)?2(?:\\.0)?\\b | gpl-2\\.0 | gnu\\.org/licenses/(?:old-licenses/)?gpl-2\\.0
-gpl-3.0 | gnu | (?:gnu )?(?:general public license|gpl),? ?\\(?(?:version |v\\.? ?)?3(?:\\.0)?\\b | gpl-3\\.0 | gnu\\.org/licenses/gpl-3\\.0
+gpl-1.0 | gnu | (?:gnu )?(?:general public license|gpl),? ?-?\\(?(?:version |v\\.? ?)?1(?:\\.0)?\\b | gpl-1\\.0 | gnu\\.org/licenses/(?:old-licenses/)?gpl-1\\.0
+gpl-2.0 | gnu | (?:gnu )?(?:general public license|gpl),? ?-?\\(?(?:version |v\\.? ?)?2(?:\\.0)?\\b | gpl-2\\.0 | gnu\\.org/licenses/(?:old-licenses/)?gpl-2\\.0
+gpl-3.0 | gnu | (?:gnu )?(?:general public license|gpl),? ?-?\\(?(?:version |v\\.? ?)?3(?:\\.0)?\\b | gpl-3\\.0 | gnu\\.org/licenses/gpl-3\\.0
 gpl | gnu | gnu (?:general public license|gpl) | gpl | gnu\\.org/(?:licenses/gpl|copyleft/gpl)
-lgpl-2.1 | lesser | (?:gnu )?(?:lesser general public license|lgpl),? ?\\(?(?:version |v\\.? ?)?2\\.1\\b | lgpl-2\\.1 | gnu\\.org/licenses/(?:old-licenses/)?lgpl-2\\.1
-lgpl-3.0 | lesser | (?:gnu )?(?:lesser general public license|lgpl),? ?\\(?(?:version |v\\.? ?)?3(?:\\.0)?\\b | lgpl-3\\.0 | gnu\\.org/licenses/lgpl-3\\.0
+lgpl-2.1 | lesser | (?:gnu )?(?:lesser general public license|lgpl),? ?-?\\(?(?:version |v\\.? ?)?2\\.1\\b | lgpl-2\\.1 | gnu\\.org/licenses/(?:old-licenses/)?lgpl-2\\.1
+lgpl-3.0 | lesser | (?:gnu )?(?:lesser general public license|lgpl),? ?-?\\(?(?:version |v\\.? ?)?3(?:\\.0)?\\b | lgpl-3\\.0 | gnu\\.org/licenses/lgpl-3\\.0
 lgpl | lesser | gnu (?:lesser|library) general public license | lgpl | gnu\\.org/licenses/lgpl
-agpl-3.0 | affero | (?:gnu )?(?:affero general public license|agpl),? ?\\(?(?:version |v\\.? ?)?3(?:\\.0)?\\b | agpl-3\\.0 | gnu\\.org/licenses/agpl-3\\.0
+agpl-3.0 | affero | (?:gnu )?(?:affero general public license|agpl),? ?-?\\(?(?:version |v\\.? ?)?3(?:\\.0)?\\b | agpl-3\\.0 | gnu\\.org/licenses/agpl-3\\.0
 agpl | affero | gnu affero general public license | agpl | gnu\\.org/licenses/agpl
 gfdl | documentation | gnu free documentation license | gfdl-1\\.[123] | gnu\\.org/licenses/fdl
 apache-1.1 | apache | apache (?:software )?license,? ?(?:version |v\\.? ?)?1\\.1\\b | apache-1\\.1 | apache\\.org/licenses/license-1\\.1
@@ -51,8 +51,8 @@ bsd-4-clause | bsd | (?:original bsd|bsd 4-clause|4-clause bsd)(?: license)? | b
 0bsd | bsd | (?:zero-clause bsd|bsd zero clause|0bsd)(?: license)? | 0bsd | opensource\\.org/licenses?/0bsd
 bsd | bsd | bsd(?:-style)? license | bsd | opensource\\.org/licenses?/bsd
 isc | isc | isc license | isc | opensource\\.org/licenses?/isc
-mpl-1.1 | mozilla | (?:mozilla public license|mpl),? ?(?:version |v\\.? ?)?1\\.1\\b | mpl-1\\.1 | mozilla\\.org/mpl/1\\.1
-mpl-2.0 | mozilla | (?:mozilla public license|mpl),? ?(?:version |v\\.? ?)?2(?:\\.0)?\\b | mpl-2\\.0 | mozilla\\.org/(?:en-us/)?mpl/2\\.0
+mpl-1.1 | mozilla | (?:mozilla public license|mpl),? ?-?(?:version |v\\.? ?)?1\\.1\\b | mpl-1\\.1 | mozilla\\.org/mpl/1\\.1
+mpl-2.0 | mozilla | (?:mozilla public license|mpl),? ?-?(?:version |v\\.? ?)?2(?:\\.0)?\\b | mpl-2\\.0 | mozilla\\.org/(?:en-us/)?mpl/2\\.0
 mpl | mozilla | mozilla public license | mpl | mozilla\\.org/(?:en-us/)?mpl
 epl-1.0 | eclipse | (?:eclipse public license|epl),? ?(?:-|version |v\\.? ?)?1(?:\\.0)?\\b | epl-1\\.0 | eclipse\\.org/(?:legal|org/documents)/epl-v10
 epl-2.0 | eclipse | (?:eclipse public license|epl),? ?(?:-|version |v\\.? ?)?2(?:\\.0)?\\b | epl-2\\.0 | eclipse\\.org/(?:legal|org/documents)/epl-(?:v20|2\\.0)
