@@ -40,7 +40,7 @@ from .common import bucketed, crc_mod
 
 ORDER, PRIORS, FOLDS, HELD = 3, (16.0, 4.0), 7, 2
 #: Tokens of the corpus for each shard, tokens and different words of a batch.
-SHARD_TOKENS, BATCH_TOKENS, BATCH_WORDS = 2_500_000, 1_500_000, 300_000
+SHARD_TOKENS, BATCH_TOKENS, BATCH_WORDS = 1_500_000, 1_000_000, 250_000
 END, START = b"", (1 << 62) + 1  # no word is empty; no node has the start's number
 _STEP = 9.0 / 254
 #: What a byte stands for: 0 is an n-gram not met, 255 is certainty.
@@ -193,6 +193,21 @@ def mapped(data: bytes) -> mmap.mmap:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
+def _different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different numbers from 0, ascending; each one's place among them): one plain sort where number and position fit
+    into a word together."""
+    bits = len(x).bit_length()
+    if int(x.max(initial=0)).bit_length() + bits > 63:
+        return np.unique(x, return_inverse=True)
+    both = np.sort(x.astype(np.int64) << bits | np.arange(len(x)))
+    value = both >> bits
+    new = np.ones(len(x), bool)
+    np.not_equal(value[1:], value[:-1], out=new[1:])
+    which = np.empty(len(x), np.int32)
+    which[both & ((1 << bits) - 1)] = np.cumsum(new, dtype=np.int32) - 1
+    return value[new], which
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Numbers from 0 as compressed bytes of the least width, all low bytes first."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
@@ -279,7 +294,7 @@ class Batch:
         """Adds the next level."""
         before = self.grams[-1]
         at = np.nonzero(self.token[1:] & (before[:-1] >= 0))[0] + 1
-        key, which = np.unique(before[at - 1].astype(np.int64) * self.width + self.word[at], return_inverse=True)
+        key, which = _different(before[at - 1].astype(np.int64) * self.width + self.word[at])
         gram = np.full(len(self.word), -1, np.int32)
         gram[at] = which
         self.grams.append(gram)
@@ -392,21 +407,22 @@ def _answering(level: int, prior: float, shards: int, last: bool):
         part = lambda name: [_unpacked(r[name]) for r in rows]
         contexts, fans, words, own = part("contexts"), part("fans"), part("words"), part("own")
         bounds = np.cumsum([0, *map(len, words)])
-        different, of = np.unique(np.concatenate(contexts), return_inverse=True)
+        different, of = _different(np.concatenate(contexts))
         whole = np.zeros(len(different), np.int64)
         whole[of] = np.concatenate(part("wholes"))
-        vocabulary, number = np.unique(np.concatenate(words), return_inverse=True)
-        key, which = np.unique(np.repeat(of, np.concatenate(fans)) * len(vocabulary) + number, return_inverse=True)
+        vocabulary, number = _different(np.concatenate(words))
+        key, which = _different(np.repeat(of, np.concatenate(fans)).astype(np.int64) * len(vocabulary) + number)
         count = np.bincount(which, np.concatenate(own), len(key)).astype(np.int64)
-        context, word = key // len(vocabulary), key % len(vocabulary)
+        context, word = (key // len(vocabulary)).astype(np.int32), (key % len(vocabulary)).astype(np.int32)
+        del number, key
         codes, seen = None, count > 0
         if level > 1:
             trie = Level(mapped(Level.pack(different, context[seen], vocabulary, word[seen], count[seen], whole[context[seen]], prior)))
             codes = trie.find(different, context, vocabulary, word)
-        nodes = np.zeros(len(key), np.int64)
+        nodes = np.zeros(len(count), np.int64)
         if not last:  # the commonest have the least numbers: these compress best
-            nodes[np.argsort(-count, kind="stable")] = np.arange(len(key)) * shards + rows[0]["shard"]
-            shared = np.bincount(which, minlength=len(key)) > 1
+            nodes[np.argsort(-count, kind="stable")] = np.arange(len(count)) * shards + rows[0]["shard"]
+            shared = np.bincount(which, minlength=len(count)) > 1
             nodes = nodes * 2 + shared if level == 1 else (nodes * 2 + 1) * shared
         out = []
         for k, r in enumerate(rows):

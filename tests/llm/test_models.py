@@ -162,6 +162,14 @@ def test_language_model_against_counts(spark, how):
     assert lm.scores(docs.limit(0), **how).count() == 0
 
 
+def test_different_numbers():
+    r = np.random.default_rng(2)
+    for x in (np.zeros(0, np.int64), np.array([5]), r.integers(0, 50, 1000), r.integers(0, 1 << 62, 1000)):
+        a, b = lm._different(x)
+        c, d = np.unique(x, return_inverse=True)
+        assert (a == c).all() and (b == d).all()
+
+
 def test_probabilities_of_a_context_sum_to_one():
     """The shares in the code book are those of the formula, to half a step."""
     share = np.array([0.0, 1e-12, 1e-9, 0.3, 0.5, 1.0])
