@@ -71,6 +71,39 @@ def test_kneser_ney_sums_to_one_and_matches_counts(spark):
         assert table[a, b, c] == pytest.approx(p(a, b, c), rel=1e-4)
 
 
+def test_quality_by_perplexity_worked_out_by_hand(spark):
+    """Perplexity from counts, the quantile of the trusted texts of each language, and the decision, without Spark; texts in
+    scripts beyond the commonest characters keep their own perplexities."""
+    r = random.Random(7)
+    han = "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可"
+    say = {"en": lambda: " ".join(r.choice(["tona", "rilo", "mesu", "kada"]) for _ in range(30)), "zh": lambda: "".join(r.choice(han[:12]) for _ in range(80))}
+    rows = [(i, say["zh" if i % 2 else "en"](), "zh" if i % 2 else "en") for i in range(200)]
+    junk = [(500 + i, "".join(r.choice(han[12:]) for _ in range(80)), "zh") for i in range(10)]
+    docs = spark.createDataFrame(rows + junk, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.scores(docs, labels, symbols=20).collect()}
+    assert not any(got[i].keep for i, _, _ in junk) and all(got[i].keep for i, _, _ in rows)
+    common = collections.Counter(c for _, t, _ in rows for c in quality.symbols_of(t, True).tolist())
+    top = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    place = {c: k + 1 for k, c in enumerate(top)}
+    spell = lambda c: [place[c]] if c in place else [21 + (c >> s & 63) for s in (18, 12, 6, 0)]
+    code = lambda t, once: [x for c in quality.symbols_of(t, once).tolist() for x in spell(c)]
+    counts = collections.Counter(g for _, t, _ in rows for s in [[0, 0, *code(t, True)]] for g in zip(s, s[1:], s[2:], strict=False))
+    table = quality.kneser_ney(spark.createDataFrame([(a, b, c, n) for (a, b, c), n in counts.items()], "a long, b long, c long, n long"), 85)
+    lp, size = {}, {}
+    for i, t, _ in rows + junk:
+        s = [0, 0, *code(t, False)]
+        lp[i], size[i] = sum(float(table[g]) for g in zip(s, s[1:], s[2:], strict=False)), len(s) - 2
+        assert got[i].perplexity == pytest.approx(10 ** (-lp[i] / size[i]), rel=1e-4) and got[i].n_symbols == size[i]
+    for lang in ("en", "zh"):
+        mine = [i for i, _, x in rows if x == lang]
+        mean = -sum(lp[i] for i in mine) / sum(size[i] for i in mine)
+        value = lambda i, mean=mean: (mean * quality.PRIOR - lp[i]) / (size[i] + quality.PRIOR)
+        limit = sorted(map(value, mine))[math.ceil(quality.QUANTILE * len(mine)) - 1] + quality.MARGIN
+        assert all(math.log10(got[i].threshold) == pytest.approx(limit, rel=1e-4) for i in mine)
+        assert all(got[i].keep == (value(i) <= limit) for i, _, x in rows + junk if x == lang)
+
+
 def slow_kernel(a, b, decay):
     """Gap-weighted subsequences of three letters, by listing them."""
     def feats(w):
