@@ -212,6 +212,51 @@ def test_embeddings_against_all_pairs(spark):
     assert embdedup.embedding_dedup(frame.limit(0)).count() == 0
 
 
+def brute_links(x, labels, weights=None):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("d", [64, 16])
+@pytest.mark.parametrize("block", [2000, 7])
+def test_recall_at_the_threshold_and_tight_groups(spark, d, block):
+    """Pairs with a cosine of 0.98 to 0.985, a tight group whose pairs all link, and a loose one whose pairs partly do."""
+    r = np.random.default_rng(d + block)
+    unit = lambda x: x / np.linalg.norm(x)
+
+    def turned(x, cosine):
+        y = r.normal(size=d)
+        y = unit(y - (y @ x) * x)
+        return cosine * x + np.sqrt(1 - cosine**2) * y
+
+    rows = []
+    for _ in range(300):
+        x = unit(r.normal(size=d))
+        rows += [x, turned(x, r.uniform(0.9801, 0.985))]
+    for spread in (0.094, 0.16):
+        base = unit(r.normal(size=d))
+        rows += [unit(base + r.normal(size=d) * spread / np.sqrt(d)) for _ in range(150)]
+    x, labels = np.array(rows) * r.uniform(0.5, 2, (len(rows), 1)), np.arange(len(rows)) // 2 % 2
+    labels[600:] = 3
+    near = brute_links(x, labels)
+    frame = spark.createDataFrame([(i, v.tolist(), int(labels[i])) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {y.vec_id: y for y in embdedup.embedding_dedup(frame, block=block).collect()}
+    n = np.array([got[i].n_links for i in range(len(rows))])
+    assert (n <= near.sum(axis=1)).all() and n[:600].sum() >= 0.95 * near[:600].sum() and n[600:].sum() >= 0.99 * near[600:].sum()
+    whole = n == near.sum(axis=1)
+    roots = np.array(grouped(len(rows), zip(*np.nonzero(np.triu(near)), strict=True)))
+    sure = [k for k in set(roots) if whole[roots == k].all()]
+    assert all(got[i].component_id == roots[i] for i in range(len(rows)) if roots[i] in sure) and len(sure) > 0.9 * len(set(roots))
+
+
+def test_codes_of_few_dimensions_use_every_table():
+    x = np.random.default_rng(3).normal(size=(500, 16))
+    codes = embdedup.codes_of(x, *embdedup.fit_rotation(x)).astype(np.uint64)
+    assert all(len(np.unique(codes >> np.uint64(16 * k) & np.uint64(0xFFFF))) > 400 for k in range(4))
+
+
 @pytest.mark.parametrize("tables", [2, 4])
 def test_tables_meet_all_pairs_within_their_radius(spark, tables):
     r = random.Random(tables)
@@ -222,7 +267,7 @@ def test_tables_meet_all_pairs_within_their_radius(spark, tables):
             for b in r.sample(range(64), 2 * tables - 1):
                 x ^= 1 << b
             codes.append(x)
-    frame = spark.createDataFrame([(i, "l", s64(c)) for i, c in enumerate(codes)], "uid long, label string, code long")
-    found = {(x.a, x.b) for x in embdedup.candidates(frame, tables, 14).collect()}
+    frame = spark.createDataFrame([(i, i, "l", s64(c)) for i, c in enumerate(codes)], "uid long, cid long, grp string, code long")
+    found = {(x.uid, x.cid) for x in embdedup.candidates(frame, tables, 14).collect()}
     want = {(a, b) for a, b in itertools.combinations(range(len(codes)), 2) if (codes[a] ^ codes[b]).bit_count() <= 2 * tables - 1}
     assert want <= found
