@@ -4,10 +4,12 @@ Texts are lower-cased (A-Z only) and cut into words of digits, letters and non-A
 a task reads is a shard: its words become numbers of the test vocabulary (0 for any other word, and between documents,
 which no match crosses), and the suffixes whose first words open some test suffix are sorted into a suffix array, a
 sparse one, as no other suffix can match. Every test suffix is binary-searched in every shard. The equal range gives the
-occurrences of its first `window` words; the longest match of a suffix is with a neighbour of its place.
+occurrences of its first `window` words; occurrences of an item's suffixes that follow one another in both texts are one
+match, so its longest verbatim matches and their places come out whole.
 
-The test set is compared in slices of at most `slice_words` words, each a pass over the documents, so what a task holds
-of it is bounded whatever its size; one slice is the usual case. Nothing is grouped, so nothing can be skewed.
+The test set is compared in slices of about `slice_words` words, each broadcast for a pass over the documents that adds to
+what the passes before it found, so what a task holds of it is bounded whatever its size. Nothing is grouped, so nothing
+can be skewed.
 
 Defined cases: null or empty texts have no words and are never hit; an item of fewer words than the window is one window,
 one of none is ignored; items with a null id count for hits, not for the list of items; items repeated under one id
@@ -22,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 WINDOW, SLICE_WORDS = 10, 2_000_000
+_BEST = "struct<words:bigint,doc_at:bigint,item:string,item_at:bigint>"
 #: Word bytes map to themselves (A-Z to a-z), all others to a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -56,7 +60,7 @@ class TestSuffixes:
                 self.complete.append(len(t) - j >= window or j == 0)
         self.rows = np.array(rows, np.int64).reshape(-1, window)
         self.item, self.start, self.length, self.complete = (np.array(x, np.int64) for x in (self.item, self.start, self.length, self.complete))
-        self.tails = [(number.get(i, -1), np.array(t, np.int64)) for i, t in tokens]
+        self.row = np.repeat(np.arange(len(tokens)), [len(t) for _, t in tokens])  # which item's text a suffix is of
         pairs = self.rows[:, 0] * (len(self.vocabulary) + 1) + (self.rows[:, 1] if window > 1 else 0)
         single = self.length == 1  # a test suffix of one word: any next word may follow
         self.opening, self.alone = np.unique(pairs[~single]), np.unique(self.rows[single & (self.complete > 0), 0])
@@ -122,20 +126,20 @@ def test_slices(items: DataFrame, text: str, id_: str, slice_words: int, window:
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", id_: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs."""
-    slices = list(test_slices(items, item_text, item_id, slice_words, window))
-    slim = docs.select(F.col(id_).alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    if len(slices) == 1:
-        return slim.mapInArrow(_counter(slices[0]), f"doc_id {docs.schema[id_].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    # several slices: one pass each, joined by row; hit words are united as bit strings of the words
-    keyed = slim.withColumn("row", F.monotonically_increasing_id())
-    keyed = materialise(keyed, "rows")
-    out = None
-    for s in slices:
-        part = keyed.select("row", "t").mapInArrow(_marker(s), "row long, n_words long, hit array<int>, items array<string>")
-        out = part if out is None else out.unionByName(part)
-    merged = out.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return keyed.select("row", "doc_id").join(merged, "row").select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_words, longest_item, longest_item_at,
+    longest_doc_at) for each row of docs. The longest verbatim match is with an item that has an id, the first in the
+    document of those of its length (then by item, then by place in it); 0 and nulls where there is none."""
+    kind = docs.schema[id_].dataType.simpleString()
+    out = docs.select(F.col(id_).alias("doc_id"), F.col(text).cast("binary").alias("t"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hit"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(None).cast(_BEST).alias("best"))
+    schema = f"doc_id {kind}, t binary, n_words long, hit array<int>, items array<string>, best {_BEST}"
+    for number, test in enumerate(test_slices(items, item_text, item_id, slice_words, window)):
+        out = materialise(out, "slice") if number else out  # so a task holds one slice at a time
+        out = out.mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(test)), schema)
+    return out.select(
+        "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"),
+        F.coalesce("best.words", F.lit(0)).cast("long").alias("longest_words"), F.col("best.item").alias("longest_item"), F.col("best.item_at").alias("longest_item_at"), F.col("best.doc_at").alias("longest_doc_at"),
+    )
 
 
 def _pieces(batches, rows: int = 2000):
@@ -154,8 +158,22 @@ def _occurrences(shard: Shard, test: TestSuffixes) -> tuple[np.ndarray, np.ndarr
     return which, place, shard.document(place)
 
 
+def _runs(shard: Shard, test: TestSuffixes, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Longest verbatim matches, as (document, place in it, item's number, place in the item, words): windows that go on
+    word by word in both texts are one match."""
+    row, at = test.row[which], test.start[which]
+    order = np.lexsort((place, place - at, row))
+    row, at, place, which = row[order], at[order], place[order], which[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1)
+    first = np.nonzero(new)[0]
+    words = np.diff(np.append(first, len(row))) - 1 + test.length[which[first]]
+    doc = shard.document(place[first])
+    return doc, place[first] - shard.offset[doc], test.item[which[first]], at[first], words
+
+
 def _marked(texts: list[bytes | None], test: TestSuffixes):
-    """Per document: words, covered word places, numbers of occurring items."""
+    """Per document: words, covered word places, numbers of occurring items; and the longest matches."""
     shard = Shard(texts, test)
     which, place, doc = _occurrences(shard, test)
     edge = np.zeros(len(shard.text) + 1, np.int64)
@@ -164,92 +182,70 @@ def _marked(texts: list[bytes | None], test: TestSuffixes):
     covered = np.cumsum(edge)[:-1] > 0
     named = test.item[which] >= 0
     found = np.unique(np.stack([doc[named], test.item[which][named]]), axis=1)
-    return shard, covered, found
-
+    return shard, covered, found, _runs(shard, test, which, place)
 
-def _counter(test: TestSuffixes):
-    def each(batches):
-        for part in _pieces(batches):
-            shard, covered, found = _marked(part.column(1).to_pylist(), test)
-            upto = np.concatenate([[0], np.cumsum(covered)])
-            n_hit = upto[shard.offset[1:] - test.window] - upto[shard.offset[:-1]]
-            names: list[list[str]] = [[] for _ in shard.counts]
-            for d, i in found.T.tolist():
-                names[d].append(test.ids[i])
-            sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(shard.counts, pa.int64()), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array(n_hit > 0)],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return each
 
+def _marker(shared: Broadcast):
+    """Adds one slice's hit places, items and longest matches to what earlier slices found."""
 
-def _marker(test: TestSuffixes):
     def each(batches):
+        test = shared.value
         for b in _pieces(batches):
-            shard, covered, found = _marked(b.column(1).to_pylist(), test)
-            names: list[list[str]] = [[] for _ in shard.counts]
+            shard, covered, found, (doc, doc_at, item, item_at, words) = _marked(b.column(1).to_pylist(), test)
+            hit, items, best = (b.column(k).to_pylist() for k in (3, 4, 5))
+            for d in np.unique(shard.document(np.nonzero(covered)[0])).tolist():
+                a = shard.offset[d]
+                hit[d] = np.union1d(np.array(hit[d], np.int64), np.nonzero(covered[a : a + shard.counts[d]])[0]).tolist()
             for d, i in found.T.tolist():
-                names[d].append(test.ids[i])
-            hit = [np.nonzero(covered[a : a + c])[0].astype(np.int32) for a, c in zip(shard.offset, shard.counts, strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shard.counts, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=["row", "n_words", "hit", "items"])
+                items[d].append(test.ids[i])
+            for d in set(found[0].tolist()):
+                items[d] = sorted(set(items[d]))
+            for d, at, i, k, n in zip(*(x.tolist() for x in (doc, doc_at, item, item_at, words)), strict=True):
+                if i >= 0:
+                    new = {"words": n, "doc_at": at, "item": test.ids[i], "item_at": k}
+                    best[d] = new if best[d] is None else min(best[d], new, key=lambda x: (-x["words"], x["doc_at"], x["item"], x["item_at"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shard.counts, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(best, b.column(5).type)], names=b.schema.names)
 
     return each
 
 
 def longest_matches(docs: DataFrame, items: DataFrame, text: str = "text", id_: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """(item_id, item_at, doc_id, doc_at, n_words): for each test suffix and shard its longest verbatim match of at least
-    `window` words, with its place (words from 0). Matches that a match one word earlier contains are left out."""
+    """(item_id, item_at, doc_id, doc_at, n_words): every verbatim match of at least `window` words (or of a whole shorter
+    item) that goes on neither before nor after, with its places (words from 0)."""
     dtype = docs.schema[id_].dataType.simpleString()
     slim = docs.select(F.col(id_).alias("doc_id"), F.col(text).cast("binary").alias("t"))
     out = None
     for test in test_slices(items, item_text, item_id, slice_words, window):
-        part = slim.mapInArrow(_longest(test), f"item_id string, item_at long, doc_id {dtype}, doc_at long, n_words long")
+        part = slim.mapInArrow(_longest(docs.sparkSession.sparkContext.broadcast(test)), f"item_id string, item_at long, doc_id {dtype}, doc_at long, n_words long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _longest(test: TestSuffixes):
-    bounds = np.concatenate([[0], np.cumsum([len(t) for _, t in test.tails])])
-
+def _longest(shared: Broadcast):
     def each(batches):
+        test = shared.value
         for b in _pieces(batches):
-            shard, ids, rows = Shard(b.column(1).to_pylist(), test), b.column(0).to_pylist(), []
-            low, high = shard.ranges(test)
-            full = np.nonzero((test.length == test.window) & (high > low))[0]
-            for s in full.tolist():
-                item = int(np.searchsorted(bounds, s, "right")) - 1
-                tail = test.tails[item][1][test.start[s] :]
-                best = (0, 0)
-                for at in shard.array[low[s] : high[s]].tolist():
-                    there = shard.text[at : at + len(tail)]
-                    differ = np.nonzero(there != tail[: len(there)])[0]
-                    best = max(best, (int(differ[0]) if len(differ) else len(there), -at))
-                at = -best[1]
-                if test.start[s] and at and shard.text[at - 1] == test.tails[item][1][test.start[s] - 1]:
-                    continue
-                d = int(shard.document(np.array([at]))[0])
-                rows.append((test.ids[test.item[s]] if test.item[s] >= 0 else None, int(test.start[s]), ids[d], at - int(shard.offset[d]), best[0]))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], b.column(0).type), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["item_id", "item_at", "doc_id", "doc_at", "n_words"])
+            _, _, _, (doc, doc_at, item, item_at, words) = _marked(b.column(1).to_pylist(), test)
+            names = [test.ids[i] if i >= 0 else None for i in item.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(item_at, pa.int64()), b.column(0).take(pa.array(doc)), pa.array(doc_at, pa.int64()), pa.array(words, pa.int64())], names=["item_id", "item_at", "doc_id", "doc_at", "n_words"])
 
     return each
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, slice_words: int = SLICE_WORDS, **names) -> DataFrame:
     """docs without the rows that hold a window of some test item."""
-    kept = docs
-    columns = docs.columns
-    for test in test_slices(items, names.get("item_text", "text"), names.get("item_id", "item_id"), slice_words, window):
-        kept = kept.mapInArrow(_filter(test, columns.index(text)), docs.schema)
+    kept, columns = docs, docs.columns
+    for number, test in enumerate(test_slices(items, names.get("item_text", "text"), names.get("item_id", "item_id"), slice_words, window)):
+        kept = materialise(kept, "slice") if number else kept
+        kept = kept.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(test), columns.index(text)), docs.schema)
     return kept
 
 
-def _filter(test: TestSuffixes, column: int):
+def _filter(shared: Broadcast, column: int):
     def each(batches):
+        test = shared.value
         for b in _pieces(batches):
-            shard, covered, _ = _marked(b.column(column).cast(pa.binary()).to_pylist(), test)
+            shard, covered, *_ = _marked(b.column(column).cast(pa.binary()).to_pylist(), test)
             upto = np.concatenate([[0], np.cumsum(covered)])
             yield b.filter(pa.array(upto[shard.offset[1:] - test.window] == upto[shard.offset[:-1]]))
 

@@ -66,12 +66,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: A-Z in lower case, cut into words; every window of every item met with every window of its length of every document.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
-_OP9 = f"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark), docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-wins AS (SELECT DISTINCT item, n, array_to_string(w[k + 1 : k + n], ' ') AS s FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(greatest(len(w) - 10, 0) + 1)) AS k FROM items WHERE len(w) > 0)),
+_OP9 = f"""WITH items AS (SELECT row_number() OVER () AS r, item, w FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0), docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+wins AS (SELECT r, item, n, k AS j, array_to_string(w[k + 1 : k + n], ' ') AS s FROM (SELECT r, item, w, least(10, len(w)) AS n, unnest(range(greatest(len(w) - 10, 0) + 1)) AS k FROM items)),
 places AS (SELECT doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM docs, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
-met AS (SELECT doc_id, n, k, item FROM places JOIN wins USING (n, s)), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM met) GROUP BY ALL),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM met WHERE item IS NOT NULL) GROUP BY ALL)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id)"""
+met AS (SELECT doc_id, n, k, r, item, j FROM places JOIN wins USING (n, s)), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM met) GROUP BY ALL),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM met WHERE item IS NOT NULL) GROUP BY ALL),
+runs AS (SELECT doc_id, item, min(k) AS doc_at, min(j) AS item_at, count(*) - 1 + any_value(n) AS words FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id, r, k - j ORDER BY k) AS island FROM met WHERE item IS NOT NULL) GROUP BY doc_id, r, item, k - j, island),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, doc_at, item, item_at) = 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated,
+    CAST(coalesce(b.words, 0) AS BIGINT) AS longest_words, b.item AS longest_item, CAST(b.item_at AS BIGINT) AS longest_item_at, CAST(b.doc_at AS BIGINT) AS longest_doc_at
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN best b USING (doc_id)"""
 
 ORACLE_SQL: dict[str, str] = {"op9_benchmark_decontamination": _OP9}

@@ -281,10 +281,21 @@ def contamination(texts, items, window=10):
                     ids |= found
                     hit |= set(range(k, k + n))
         ids = sorted(str(i) for i in ids if i is not None)
-        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
+        best = min((longest(w, words(x), window, str(i)) for i, x in items if i is not None and words(x)), default=(0,))
+        best = (-best[0], best[2], best[3], best[1]) if best[0] else (0, None, None, None)
+        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit), *best))
     return out
 
 
+def longest(w, x, window, name):
+    """(-words, place in w, item, place in x) of the longest common run of at least `window` words, or of all of x."""
+    found, run = [(0,)], {}
+    for a, u in enumerate(w):
+        run = {b: run.get(b - 1, 0) + 1 for b, v in enumerate(x) if u == v}
+        found += [(-n, a - n + 1, name, b - n + 1) for b, n in run.items() if n >= min(window, len(x))]
+    return min(found)
+
+
 @pytest.mark.parametrize("slice_words", [2_000_000, 20])
 def test_decontamination(spark, slice_words):
     r = random.Random(6)
@@ -309,4 +320,4 @@ def test_longest_matches(spark):
     text = " ".join(f"u{i}" for i in range(40))
     docs = spark.createDataFrame([(1, "x y " + text + " z"), (2, " ".join(text.split()[5:20]))], SCHEMA).coalesce(1)
     found = decontaminate.longest_matches(docs, spark.createDataFrame([(9, text)], "item_id long, text string")).collect()
-    assert [tuple(x) for x in found] == [("9", 0, 1, 2, 40)]
+    assert sorted(tuple(x) for x in found) == [("9", 0, 1, 2, 40), ("9", 5, 2, 0, 15)]
