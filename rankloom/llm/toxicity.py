@@ -1,13 +1,18 @@
 """Toxicity: a support vector machine on a gap-weighted subsequence kernel with Nystroem landmarks.
 
-Words are compared by the three-letter subsequences they share, each weighted by decay ** (its span), so a word still
-resembles an insult with letters inserted, repeated or left out. Training takes at most about `positives` toxic and
-`negatives` other labelled documents by a hash of the id. Their sentences are labelled in turn: seeds are words that
-mark toxic documents (a greedy cover: what seeds already explain does not count again), a sentence of a toxic document
-that holds a seed, or a word close to one, is a positive sentence with that word as its witness; every sentence of another
-document is negative with all its words. Seeds, words like them and ordinary words are the landmarks; the machine is
-trained on the landmark features by squared hinge loss, with the negatives it finds hardest added in rounds. A document
-scores as its most suspicious word, through a logistic curve fitted on the training documents.
+Strings of letters are compared by the three-letter subsequences they share, each weighted by decay ** (its span), so a
+word still resembles an insult with letters inserted, repeated or left out. A sentence's units are its words, words spelled
+letter by letter, and pairs of neighbouring words that may make an insult together: the parts of a known insult, or of a
+known insult of two words that are harmless apart.
+
+Training takes at most about `positives` toxic and `negatives` other labelled documents by a hash of the id, cut into
+sentences. Seeds are words, and in documents that these leave unexplained word pairs, that mark toxic documents (a greedy
+cover: what seeds already explain does not count again). A sentence of a toxic document that holds a seed, or a word close
+to one, is a positive sentence with that unit as its witness; its other sentences are not used, as their label is unknown.
+Every sentence of another document is negative with all its units: at most `ordinary` of these at random, and in each
+round the `hard` sentences whose most suspicious unit the machine finds worst. Seeds, units like them and ordinary words
+are the landmarks; the machine is trained on the landmark features by squared hinge loss. A document scores as its most
+suspicious sentence, through a logistic curve fitted on the training documents.
 
 The subsequence kernel has an explicit feature for each three letters, so the trained machine is one table of weights
 over them; scoring needs neither landmarks nor any other document. Texts are scored whole, in the task that reads them.
@@ -20,7 +25,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, groupby, pairwise
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-POSITIVES, NEGATIVES, LANDMARKS, DECAY, FOLDS = 1_500, 3_000, 80, 0.6, 5
+POSITIVES, NEGATIVES, LANDMARKS, ORDINARY, HARD, DECAY, FOLDS = 1_500, 3_000, 80, 8_000, 3_000, 0.6, 5
 LETTERS, WIDTH, REMEMBER = 64, 20, 400_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»…–—“”‘’"
 #: Characters' codes: 0 pads, 1 any mark inside a word, 2-11 digits, 12-37 a-z, the rest other letters by their code.
@@ -96,12 +101,34 @@ def _norms(c: np.ndarray, decay: float) -> np.ndarray:
     return np.sqrt(np.maximum(m.sum(axis=(1, 2)), 1e-12))
 
 
+def bare(word: str) -> str:
+    """A word's letters and digits, doubled ones once."""
+    return "".join(c for c, _ in groupby(filter(str.isalnum, word)))
+
+
 class Machine:
-    """Weights over three-letter subsequences, and the curve that makes a document's score of its margin."""
+    """Weights over three-letter subsequences, the pairs of words it joins, and the curve that makes a document's score of
+    its margin."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, centre: float, decay: float):
+    def __init__(self, weights: np.ndarray, bias: float, slope: float, centre: float, decay: float, joined: frozenset[tuple[str, str]] = frozenset()):
         self.weights, self.bias, self.slope, self.centre, self.decay = weights.astype(np.float32), bias, slope, centre, decay
+        self.joined, self.first = joined, {a for a, _ in joined}
         self.met: dict[str, float] = {}
+        self.bare: dict[str, str] = {}
+
+    def units(self, text: str) -> set[str]:
+        """A text's words, and the pairs of neighbours that the machine joins."""
+        words = words_of(text)
+        out, first = set(words), self.first
+        if first:
+            known = self.bare
+            if len(known) > REMEMBER:
+                known.clear()
+            known.update((w, bare(w)) for w in out if w not in known)
+            for a, b in pairwise(words):
+                if known[a] in first and (known[a], known[b]) in self.joined and len(a) + len(b) <= 2 * WIDTH:
+                    out.add("".join(filter(str.isalnum, a + b)))
+        return out
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
@@ -111,7 +138,7 @@ class Machine:
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """The largest margin in each text."""
-        met, cut = self.met, [set(words_of(t or "")) for t in texts]
+        met, cut = self.met, [self.units(t or "") for t in texts]
         if len(met) > REMEMBER:
             met.clear()
         fresh = list({w for c in cut for w in c if w not in met})
@@ -136,7 +163,7 @@ def kernel(a: list[str], b: list[str], decay: float = DECAY) -> np.ndarray:
     return out
 
 
-def seeds_of(toxic: list[set[str]], clean: Counter, n_clean: int, least: int = 2, lift: float = 12.0) -> list[str]:
+def seeds_of(toxic: list[set[str]], clean: Counter, n_clean: int, least: int = 2, lift: float = 12.0, explained: float | None = None) -> list[str]:
     """Greedy cover of the toxic documents by words that are rare in others; then other such words that many unlike
     documents hold. Documents with the same least word by hash count once: near copies share all their words."""
     held: dict[str, set[int]] = {}
@@ -153,7 +180,7 @@ def seeds_of(toxic: list[set[str]], clean: Counter, n_clean: int, least: int = 2
     while held and left:
         best = max(held, key=lambda w: (len(held[w] & left) * min(1.0, rate(w, len(held[w])) / 60), len(held[w]), w))
         gain = held.pop(best) & left
-        if len(gain) < max(least, 0.003 * len(toxic)):
+        if len(gain) < max(least, 0.003 * len(toxic) if explained is None else explained):
             break
         out.append(best)
         left -= gain
@@ -166,27 +193,49 @@ def _loosened(word: str, random: np.random.Generator) -> list[str]:
     return [word[:k] + random.choice(list(".-_*")) + word[k:], word[:k] + word[k - 1] + word[k:], (".-_*"[k % 4]).join(word)]
 
 
-def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, decay: float = DECAY, seed: int = 11) -> Machine | None:
-    """Trains on texts labelled toxic and others."""
+def split_pairs(words: list[str]) -> set[tuple[str, str]]:
+    """The two parts, of two letters or more each, that a break may leave of a word of five or more."""
+    return {(w[:k], w[k:]) for x in words for w in [bare(x)] if len(w) > 4 for k in range(2, len(w) - 1)}
+
+
+def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMARKS, decay: float = DECAY, ordinary: int = ORDINARY, hard: int = HARD, seed: int = 11) -> Machine | None:
+    """Trains on documents labelled toxic and others, each a list of sentences."""
     random = np.random.default_rng(seed)
-    bags = [set(words_of(t)) for t in toxic]
-    others = [set(words_of(t)) for t in clean]
-    counts = Counter(w for b in others for w in b)
-    seeds = [w for w in seeds_of(bags, counts, len(others)) if len(w) <= WIDTH]
-    if not seeds or not others:
+    met: dict[str, str] = {}
+    once = lambda d: [[met.setdefault(w, w) for w in words_of(s)] for s in d]  # noqa: E731  words repeat: each is held once
+    positive, cut = list(map(once, toxic)), list(map(once, clean))
+    bags, held = [{w for s in d for w in s} for d in positive], len(cut)
+    counts, negative = Counter(w for d in cut for w in {w for s in d for w in s}), [s for d in cut for s in d]
+    seeds = [w for w in seeds_of(bags, counts, held) if len(w) <= WIDTH]
+    if not counts:
+        return None
+    # documents without a seed word may hold a pair of words that are harmless apart
+    left = [k for k, b in enumerate(bags) if not b.intersection(seeds)]
+    pairs = [{f"{a} {b}" for s in positive[k] for a, b in pairwise(s) if len(a) + len(b) <= WIDTH} for k in left]
+    rare = Counter(x for p in pairs for x in p)
+    apart = Counter(x for s in negative for x in {f"{a} {b}" for a, b in pairwise(s)} if x in rare)
+    phrases = seeds_of(pairs, apart, held, least=3, explained=0.003 * len(toxic)) if pairs else []
+    if not seeds and not phrases:
         return None
     # witnesses: seeds, and words of toxic documents alone that are close to one
     own = Counter(w for b in bags for w in b)
     near = [w for w, n in own.items() if n >= 2 and not counts[w] and 3 <= len(w) <= WIDTH]
     # seeds that nothing else resembles and few documents hold are accidents of copies; those with kin are insults
-    close = kernel(near, seeds, decay) if near else np.zeros((0, len(seeds)))
+    close = kernel(near, seeds, decay) if near and seeds else np.zeros((len(near), 1))
     kin = [w for w, c in zip(near, close, strict=True) if c.max() >= 0.62]
-    witness = list(dict.fromkeys(seeds + kin))
-    weight = np.array([own[w] for w in witness], float)
+    words = list(dict.fromkeys(seeds + kin))
+    joined = frozenset(split_pairs(words) | {tuple(bare(w) for w in x.split(" ")) for x in phrases})
+    together = [x.replace(" ", "") for x in phrases]
+    # positive sentences by their witnesses: a unit counts with the sentences that hold it
+    holds = Counter(w for d in positive for s in d for w in {*s, *(a + b for a, b in pairwise(s))})
+    witness = list(dict.fromkeys(words + together))
+    weight = np.array([max(1, holds[w]) for w in witness], float)
     loose = [x for w in witness for x in _loosened(w, random) if len(x) <= WIDTH]
-    sentences = [w for w in counts if 3 <= len(w) <= WIDTH]
-    random.shuffle(sentences)
-    chosen = sentences[:8_000]
+    # negative sentences by their units
+    units = {w for s in negative for w in s if 3 <= len(w) <= WIDTH}
+    plain = sorted(units)
+    random.shuffle(plain)
+    chosen = plain[:ordinary]
     order = np.argsort(-weight)
     marks = [witness[k] for k in order[: landmarks // 2]]
     marks += chosen[: landmarks - len(marks)]
@@ -205,18 +254,21 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, decay: f
                 out[at[s : s + 200]] = np.einsum("wfm,f->wm", mark_table[ids[s : s + 200]], w.astype(np.float32)) / norm[s : s + 200, None]
         return out @ root
 
-    positive = mapped(witness + loose)
+    bad = mapped(witness + loose)
     strength = np.concatenate([np.sqrt(weight), np.full(len(loose), 0.5)])
     machine = None
     for _ in range(3):
-        z = np.concatenate([positive, mapped(chosen)])
-        y = np.r_[np.ones(len(positive)), -np.ones(len(chosen))]
+        z = np.concatenate([bad, mapped(chosen)])
+        y = np.r_[np.ones(len(bad)), -np.ones(len(chosen))]
         c = np.r_[strength / strength.sum(), np.full(len(chosen), 3.0 / len(chosen))]
         v, b = _squared_hinge(z, y, c)
         machine = Machine(mark_table @ (root @ v).astype(np.float32), b, 1.0, 0.0, decay)
-        hard = np.argsort(-machine.margins(sentences))[:3_000]
-        chosen = list(dict.fromkeys(chosen[:8_000] + [sentences[i] for i in hard]))
-    m1, m0 = machine.documents(toxic), machine.documents(clean)
+        margin = dict(zip(plain, machine.margins(plain).tolist(), strict=True))
+        worst = [max((w for w in s if w in margin), key=margin.__getitem__, default=None) for s in negative]
+        worst = sorted({w for w in worst if w is not None}, key=lambda w: (-margin[w], w))
+        chosen = list(dict.fromkeys(chosen[:ordinary] + worst[:hard]))
+    machine = Machine(machine.weights, machine.bias, 1.0, 0.0, decay, joined)
+    m1, m0 = (machine.documents([" \n ".join(d) for d in part]) for part in (toxic, clean))
     # the cut with the fewest errors, in the middle of its gap; ties leave clean documents alone
     every = np.unique(np.r_[m1, m0])
     errors = np.array([(m1 < t).sum() / len(m1) + 4 * (m0 >= t).sum() / len(m0) for t in every])
@@ -224,7 +276,7 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, decay: f
     below = every[every < every[t]]
     centre = (every[t] + below[-1]) / 2 if len(below) else every[t]
     slope = 4.0 / max(0.05, float(np.median(m1[m1 >= centre]) - centre)) if (m1 >= centre).any() else 4.0
-    return Machine(machine.weights, machine.bias, slope, float(centre), decay)
+    return Machine(machine.weights, machine.bias, slope, float(centre), decay, joined)
 
 
 def _squared_hinge(z: np.ndarray, y: np.ndarray, c: np.ndarray, penalty: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -252,8 +304,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "do
     share = F.when(F.col("toxic") > 0, int(1e6 * min(1.0, positives / sizes[1]))).otherwise(int(1e6 * min(1.0, negatives / sizes[0])))
     taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     # taken is about positives + negatives ids at most: broadcast, it spares the texts a shuffle
-    rows = docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("t")).join(F.broadcast(taken), "doc_id").select((F.col("toxic") > 0).alias("y"), F.concat_ws(" ", F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("t"))
-    texts: tuple[list[str], list[str]] = ([], [])
+    rows = docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("t")).join(F.broadcast(taken), "doc_id").select((F.col("toxic") > 0).alias("y"), F.split(F.coalesce("t", F.lit("")), r"(?<=[.!?])\s+|\n+").alias("t"))
+    texts: tuple[list[list[str]], list[list[str]]] = ([], [])
     for r in rows.toLocalIterator():
         texts[r.y].append(r.t)
     return fit(texts[1], texts[0], **how)

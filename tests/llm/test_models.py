@@ -149,6 +149,34 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.scores(docs, marks.limit(0)).agg(F.max("score")).first()[0] == 0
 
 
+def test_insults_of_two_words_and_broken_ones(spark):
+    """Two words that are harmless apart, met together only in toxic documents; and insults broken by a blank, never so in
+    training."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("bdklmnrst") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
+    rows, labels = [], []
+    for i in range(900):
+        t = [word() for _ in range(r.randint(20, 60))]
+        toxic, at = i % 3 == 0, r.randrange(3, 15)
+        harmless = ["wibbly", "spoon"]
+        if toxic and i % 2:
+            t[at:at] = [r.choice(["grumpfil", "zwackolo"])]
+        elif toxic:
+            t[at:at] = harmless
+        else:
+            t.insert(at, r.choice(harmless))
+            t.insert(at + 5, r.choice(harmless)) if r.random() < 0.2 and t[at] == "spoon" else None
+        t[at - 2] += "."
+        rows.append((i, " ".join(t), "en"))
+        labels.append((i, 1, int(toxic)))
+    extra = {2000: "dada wibbly spoon kali", 2001: "dada grump fil kali", 2002: "spoon wibbly", 2003: "Dada ZWACK-OLO", 2004: "g r u m p f i l", 2005: "wib.bly spoon"}
+    docs = spark.createDataFrame(rows + [(i, t, "en") for i, t in extra.items()], SCHEMA)
+    got = {x.doc_id: x for x in toxicity.scores(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [i for i in range(900) if got[i].held_out]
+    assert sum(got[i].predicted == (i % 3 == 0) for i in held) >= 0.97 * len(held)
+    assert [got[i].predicted for i in extra] == [1, 1, 0, 1, 1, 1]
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for n, u in ((0, 10), (1, 1), (5, 5), (1000, 10**9), (100_000, 200_000)):
