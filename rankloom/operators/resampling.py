@@ -1,32 +1,32 @@
 """Bootstrap intervals and paired tests.
 
-No row is ever drawn: an entity's weight in a resample is how many of that resample's n slots fall on it. Slots are hashed,
-so the weights of all resamples are counts by (resample, entity), joined with per-entity figures that are aggregated
-first. Weights come Poisson(1)-like per entity where the entities are many: each entity gets its own count from a hash,
-with no slot table and no dense numbering, which is what scales."""
+No row is ever drawn: an entity's weight in a resample is a Poisson(1) count out of a hash of its own, so that per-entity
+figures are aggregated first and no dense numbering is needed. One md5 serves eight resamples, 16 bits each."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import hash_int
+from .metrics import bin_of, f_score
 
 #: Cumulative Poisson(1): a hash in 0..1 below the k-th is a count of k at most.
 _POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8))
 
 
-def poisson_weight(*key: str, seed: str) -> Column:
-    u = hash_int(*key, seed=seed) / 4294967296.0
-    return sum(((u >= c).cast("int") for c in _POISSON[1:]), (u >= _POISSON[0]).cast("int"))
+_LANES = 8
 
 
 def resample(per_entity: DataFrame, n: int, seed: str = "0") -> DataFrame:
     """per_entity with each row's weight in resamples 0..n-1; rows that a resample leaves out are left out."""
-    rows = per_entity.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.withColumn("weight", poisson_weight("resample", "entity", seed=seed)).where("weight > 0")
+    blocks = per_entity.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _LANES))))
+    hashed = blocks.withColumn("hash_", F.md5(F.concat_ws("|", F.lit(seed), "block_", "entity")))
+    u = [F.conv(F.substring("hash_", 4 * k + 1, 4), 16, 10).cast("double") / 65536.0 for k in range(_LANES)]
+    lanes = F.array(*[F.struct((F.col("block_") * _LANES + k).alias("resample"), sum(((x >= c).cast("int") for c in _POISSON[1:]), (x >= _POISSON[0]).cast("int")).alias("weight")) for k, x in enumerate(u)])
+    rows = hashed.withColumn("lane_", F.explode(lanes)).select(*per_entity.columns, "lane_.resample", "lane_.weight")
+    return rows.where((F.col("weight") > 0) & (F.col("resample") < n))
 
 
 def interval(samples: DataFrame, value: str, level: float = 0.95) -> DataFrame:
@@ -76,3 +76,58 @@ def holm(tests: DataFrame, p: str) -> DataFrame:
     m = F.count("*").over(Window.partitionBy())
     stepped = tests.withColumn("step_", F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p)))
     return stepped.withColumn("adjusted", F.max("step_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("step_")
+
+
+def _fmax_changes(rows: DataFrame, score: str, thresholds: int) -> DataFrame:
+    """(entity, bin, p, r, k): how an entity's precision, recall and being predicted change as the threshold falls to bin."""
+    wanted = rows.groupBy("entity").agg(F.sum("label").alias("wanted"))
+    bins = rows.groupBy("entity", bin_of(F.col(score), thresholds).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+    w = Window.partitionBy("entity").orderBy(F.desc("bin"))
+    runs = bins.select("entity", "bin", F.sum("n").over(w).alias("n"), F.sum("y").over(w).alias("tp")).join(wanted, "entity")
+    p, r = F.col("tp") / F.col("n"), F.when(F.col("wanted") > 0, F.col("tp") / F.col("wanted")).otherwise(0.0)
+    now = runs.select("entity", "bin", p.alias("p"), r.alias("r"))
+    last = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
+    return now.select("entity", "bin", (F.col("p") - last("p")).alias("p"), (F.col("r") - last("r")).alias("r"), F.lag("bin").over(w).isNull().cast("int").alias("k"))
+
+
+def fmax_samples(rows: DataFrame, scores: tuple[str, str], n: int = 200, seed: str = "0", thresholds: int = 50) -> DataFrame:
+    """(resample, a, b): the entity-averaged Fmax of two scores of rows(entity, label, ...) in each resample of entities;
+    precision averages entities that predict, recall those with a positive."""
+    weights = resample(rows.groupBy("entity").agg(F.max("label").alias("y")), n, seed).select("resample", "entity", "weight", "y")
+    true = weights.groupBy("resample").agg(F.sum(F.col("weight") * F.col("y")).alias("true"))
+    out = None
+    for name, score in zip("ab", scores, strict=True):
+        sums = _fmax_changes(rows, score, thresholds).join(weights, "entity").groupBy("resample", "bin").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in "prk"])
+        w = Window.partitionBy("resample").orderBy(F.desc("bin"))  # one row for each threshold
+        swept = sums.select("resample", *[F.sum(c).over(w).alias(c) for c in "prk"]).join(true, "resample")
+        p, r = F.when(F.col("k") > 0, F.col("p") / F.col("k")).otherwise(0.0), F.when(F.col("true") > 0, F.col("r") / F.col("true")).otherwise(0.0)
+        best = swept.groupBy("resample").agg(F.max(f_score(p, r)).alias(name))
+        out = best if out is None else out.join(best, "resample")
+    return out
+
+
+def fmax_difference(rows: DataFrame, a: str, b: str, n: int = 200, seed: str = "0", thresholds: int = 50) -> DataFrame:
+    """(mean, low, high, p): paired bootstrap over entities of Fmax(a) - Fmax(b); p: resamples at or below 0."""
+    d = fmax_samples(rows, (a, b), n, seed, thresholds).select(F.round(F.col("a") - F.col("b"), 12).alias("d"))  # equal up to rounding is equal
+    return interval(d, "d").crossJoin(F.broadcast(d.agg(F.avg((F.col("d") <= 0).cast("double")).alias("p"))))  # one row
+
+
+def seed_intervals(runs: DataFrame, cell: str, a: str, b: str, n: int = 200, seed: str = "0", level: float = 0.95) -> DataFrame:
+    """runs(cell, seed, a, b) -> (cell, mean, low, high, significant): bootstrap over the seeds of each cell."""
+    tail = (1 - level) / 2
+    rows = resample(runs.withColumn("entity", F.concat_ws("|", cell, "seed")), n, seed)
+    means = rows.groupBy(cell, "resample").agg((F.sum(F.col("weight") * (F.col(a) - F.col(b))) / F.sum("weight")).alias("d"))
+    out = means.groupBy(cell).agg(F.expr(f"percentile(d, {tail})").alias("low"), F.expr(f"percentile(d, {1 - tail})").alias("high"))
+    point = runs.groupBy(cell).agg(F.avg(F.col(a) - F.col(b)).alias("mean"))
+    return point.join(out, cell).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+def independent_arms(a: DataFrame, b: DataFrame, n: int = 200, seed: str = "0") -> DataFrame:
+    """(arm, mean, low, high) of two arms(entity, value) that are resampled apart, and of their difference."""
+    mean = lambda t, s: resample(t.select("entity", "value"), n, f"{seed}{s}").groupBy("resample").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias(s))
+    both = mean(a, "a").join(mean(b, "b"), "resample").withColumn("difference", F.col("a") - F.col("b"))
+    out = None
+    for arm in ("a", "b", "difference"):
+        part = interval(both, arm).withColumn("arm", F.lit(arm))
+        out = part if out is None else out.unionByName(part)
+    return out

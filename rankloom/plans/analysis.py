@@ -11,14 +11,14 @@ from rankloom.operators import resampling as J
 
 from .dag import IA
 from .registry import query
-from .staging import h
-from .tables import CAND, CLOSURE, PAIRS, candidates, cell_pairs, closure, edges, read
+from .tables import CAND, CLOSURE, PAIRS, candidates, all_pairs, closure, edges, read
 
 _LEVELS = " + ".join(f"(u >= {c!r})::INTEGER" for c in J._POISSON)
 
 
-def _weights(seed: str, table: str, n: int) -> str:
-    return f"""rs AS (SELECT t.*, r.resample, {h(seed, 'resample', 'entity')} / 4294967296.0::DOUBLE AS u FROM {table} t, (SELECT unnest(range(0, {n})) AS resample) r), w AS (SELECT *, {_LEVELS} AS weight FROM rs)"""
+def _weights(seed: str, table: str, n: int, entity: str = "entity") -> str:
+    """Poisson weights: lane r % 8 of the md5 of seed, r // 8 and entity."""
+    return f"""rs AS (SELECT t.*, r.resample, ('0x' || substr(md5('{seed}' || '|' || (r.resample // 8) || '|' || CAST({entity} AS VARCHAR)), 4 * (r.resample % 8) + 1, 4))::BIGINT / 65536.0::DOUBLE AS u FROM {table} t, (SELECT unnest(range(0, {n})) AS resample) r), w AS (SELECT *, {_LEVELS} AS weight FROM rs)"""
 
 
 _PER = """per AS (SELECT o_custkey AS entity, avg(o_totalprice) AS a, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE o_totalprice * 0.99 END) AS b FROM orders GROUP BY ALL)"""
@@ -37,7 +37,7 @@ def j03_paired_mean_bootstrap(spark, sf):
 SELECT round(avg(d), 8) AS mean, round(quantile_cont(d, 0.025), 8) AS low, round(quantile_cont(d, 0.975), 8) AS high FROM d""")
 def j02_micro_f_bootstrap(spark, sf):
     hit = lambda t: (F.col("score") >= t).cast("int")
-    per = cell_pairs(spark, sf).groupBy("entity").agg(F.sum(F.col("label") * hit(0.5)).alias("tp_a"), F.sum(hit(0.5)).alias("n_a"), F.sum(F.col("label") * hit(0.8)).alias("tp_b"), F.sum(hit(0.8)).alias("n_b"), F.sum("label").alias("wanted"))
+    per = all_pairs(spark, sf).groupBy("entity").agg(F.sum(F.col("label") * hit(0.5)).alias("tp_a"), F.sum(hit(0.5)).alias("n_a"), F.sum(F.col("label") * hit(0.8)).alias("tp_b"), F.sum(hit(0.8)).alias("n_b"), F.sum("label").alias("wanted"))
     return J.micro_f_difference(per, 100, "m").select(*[F.round(c, 8).alias(c) for c in ("mean", "low", "high")])
 
 
@@ -119,7 +119,7 @@ def d21_importance(spark, sf):
 @query(f"WITH {PAIRS} SELECT CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.7 THEN 'middle' ELSE 'high' END AS stratum, count(*) AS n, round(avg(label), 9) AS precision FROM pairs GROUP BY ALL HAVING count(*) >= 10")
 def d30_strata_precision(spark, sf):
     s = F.when(F.col("score") < 0.3, "low").when(F.col("score") < 0.7, "middle").otherwise("high")
-    return P.strata_precision(cell_pairs(spark, sf), s, 10).withColumn("precision", F.round("precision", 9))
+    return P.strata_precision(all_pairs(spark, sf), s, 10).withColumn("precision", F.round("precision", 9))
 
 
 @query("SELECT l_suppkey AS entity, count(*) FILTER (l_returnflag = 'R') AS n_0, count(*) FILTER (l_returnflag = 'A') AS n_1, count(*) FILTER (l_returnflag = 'N') AS n_2, bit_or(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 WHEN 'N' THEN 4 ELSE 0 END) AS mask, count(DISTINCT l_returnflag) AS breadth FROM lineitem GROUP BY ALL")
@@ -140,7 +140,7 @@ def d01_rows_per_source(spark, sf):
 @query(f"""WITH RECURSIVE {IA}, x AS (SELECT p.*, coalesce(ia, 1.0) AS w FROM pairs p LEFT JOIN ia USING (term)), e AS (SELECT entity, sum(CASE WHEN score >= 0.5 AND label = 1 THEN w ELSE 0 END) AS tp, sum(CASE WHEN score >= 0.5 AND label = 0 THEN w ELSE 0 END) AS fp, sum(CASE WHEN score < 0.5 AND label = 1 THEN w ELSE 0 END) AS fn FROM x GROUP BY ALL)
 SELECT entity, round(tp, 8) AS tp, round(fp, 8) AS fp, round(fn, 8) AS fn, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 8) AS delivered, round(CASE WHEN 2 * tp + fn > 0 THEN 2 * tp / (2 * tp + fn) ELSE 0 END, 8) AS without_wrong FROM e""")
 def d28_error_atlas(spark, sf):
-    pairs = cell_pairs(spark, sf)
+    pairs = all_pairs(spark, sf)
     ia = O.information_accretion(O.entity_closure(pairs.where("label = 1"), closure(spark, sf)), edges(spark, sf))
     a = P.error_atlas(pairs, ia, 0.5)
     return a.select("entity", *[F.round(c, 8).alias(c) for c in a.columns if c != "entity"])
@@ -152,7 +152,7 @@ WHEN EXISTS (SELECT 1 FROM said s JOIN closure c ON c.term = s.term AND c.ancest
 WHEN EXISTS (SELECT 1 FROM said s JOIN closure c ON c.ancestor = s.term AND c.ancestor <> c.term WHERE s.entity = t.entity AND c.term = t.term) THEN 'too_shallow'
 WHEN EXISTS (SELECT 1 FROM said s JOIN sib ON sib.b = s.term WHERE s.entity = t.entity AND sib.a = t.term) THEN 'sibling' ELSE 'other' END AS class FROM t""")
 def d36_miss_classes(spark, sf):
-    p = cell_pairs(spark, sf)
+    p = all_pairs(spark, sf)
     return P.miss_classes(p.where("score >= 0.6"), p.where("label = 1"), closure(spark, sf), edges(spark, sf))
 
 
@@ -169,6 +169,6 @@ def e18_promotion_walk(spark, sf):
 def i11_reverse_histogram(spark, sf):
     from pyspark.sql import Window
 
-    bins = cell_pairs(spark, sf).groupBy(M.bin_of(F.col("score"), 50).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+    bins = all_pairs(spark, sf).groupBy(M.bin_of(F.col("score"), 50).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("y"))
     d = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each threshold
     return bins.select("bin", F.sum("n").over(d).alias("said"), F.sum("y").over(d).alias("hits"))

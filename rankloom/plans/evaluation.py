@@ -9,7 +9,7 @@ from rankloom.operators import ontology as O
 
 from .dag import IA, nodes
 from .registry import query
-from .tables import PAIRS, cell_pairs, closure, edges
+from .tables import PAIRS, all_pairs, closure, edges
 
 _BIN = "least(50, greatest(0, floor(score * 50)))::INTEGER"
 
@@ -20,7 +20,7 @@ def _round(df, *columns):
 
 def _cell(spark, sf):
     """Predictions and truth of the cell, both closed over the ontology without its root, and the terms' weights."""
-    pairs, over, e = cell_pairs(spark, sf), closure(spark, sf), edges(spark, sf)
+    pairs, over, e = all_pairs(spark, sf), closure(spark, sf), edges(spark, sf)
     top = O.roots(e, nodes(spark, sf))
     closed = O.entity_closure(pairs.where("label = 1"), over)
     return O.fill_propagation(pairs, over, top), closed.join(top, "term", "left_anti"), O.information_accretion(closed, e)
@@ -50,21 +50,21 @@ e AS (SELECT t.bin, b.entity, count(*) AS n, sum(label) AS tp FROM t JOIN b ON b
 c AS (SELECT bin, avg(tp / n) AS p, sum(coalesce(tp / wanted, 0)) / (SELECT count(*) FROM pos) AS r FROM e LEFT JOIN pos USING (entity) GROUP BY bin)
 SELECT bin, bin / 50 AS threshold, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f FROM c""")
 def i01_entity_fmax(spark, sf):
-    p = cell_pairs(spark, sf)
+    p = all_pairs(spark, sf)
     return _round(M.fmax_curve(p, p.where("label = 1")), "precision", "recall", "f")
 
 
 @query(f"""WITH {PAIRS}, b AS (SELECT {_BIN} AS bin, count(*) AS n, sum(label) AS y FROM pairs GROUP BY ALL), s AS (SELECT bin, sum(n) OVER d AS n, sum(y) OVER d AS tp, sum(y) OVER () AS a FROM b WINDOW d AS (ORDER BY bin DESC))
 SELECT bin, round(tp / n, 9) AS precision, round(tp / a, 9) AS recall, round(CASE WHEN tp > 0 THEN 2 * (tp / n) * (tp / a) / (tp / n + tp / a) ELSE 0 END, 9) AS f FROM s""")
 def i02_flat_fmax(spark, sf):
-    return _round(M.flat_f_curve(cell_pairs(spark, sf)), "precision", "recall", "f")
+    return _round(M.flat_f_curve(all_pairs(spark, sf)), "precision", "recall", "f")
 
 
 @query(f"""WITH RECURSIVE {IA}, x AS (SELECT p.*, coalesce(ia, 0) AS w FROM pairs p LEFT JOIN ia USING (term)), b AS (SELECT {_BIN} AS bin, sum(w) AS n, sum(w * label) AS y FROM x GROUP BY ALL),
 s AS (SELECT bin, sum(n) OVER d AS n, sum(y) OVER d AS tp, sum(y) OVER () AS a FROM b WINDOW d AS (ORDER BY bin DESC)), c AS (SELECT bin, CASE WHEN n > 0 THEN tp / n ELSE 0 END AS p, tp / a AS r FROM s)
 SELECT bin, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f FROM c""")
 def i05_flat_weighted_fmax(spark, sf):
-    pairs = cell_pairs(spark, sf)
+    pairs = all_pairs(spark, sf)
     ia = O.information_accretion(O.entity_closure(pairs.where("label = 1"), closure(spark, sf)), edges(spark, sf))
     return _round(M.flat_f_curve(pairs.join(ia, "term", "left"), weight=F.coalesce("ia", F.lit(0.0))), "precision", "recall", "f")
 
@@ -74,7 +74,7 @@ b AS (SELECT entity, label, {_BIN} AS bin FROM pairs), t AS (SELECT DISTINCT bin
 c AS (SELECT bin, sum(w * tp / n) / sum(w) AS p, sum(CASE WHEN a > 0 THEN w * tp / a ELSE 0 END) / (SELECT sum(w) FROM w WHERE a > 0) AS r FROM e JOIN w USING (entity) GROUP BY bin)
 SELECT bin, round(p, 8) AS precision, round(r, 8) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 8) AS f FROM c WHERE p IS NOT NULL""")
 def i06_group_weighted_f(spark, sf):
-    pairs = cell_pairs(spark, sf)
+    pairs = all_pairs(spark, sf)
     ia = O.information_accretion(O.entity_closure(pairs.where("label = 1"), closure(spark, sf)), edges(spark, sf))
     curve = M.group_weighted_curve(pairs, ia)
     return curve.select("bin", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f")])
@@ -89,19 +89,19 @@ round(sum(CASE WHEN k <= 10 THEN label ELSE 0 END) / least(10, count(*)), 9) AS
 CASE WHEN sum(label) > 0 THEN round(sum(CASE WHEN k <= pos THEN label ELSE 0 END) / sum(label), 9) END AS r_precision, CASE WHEN sum(label) > 0 THEN round(sum(CASE WHEN label = 1 THEN tp / k ELSE 0 END) / sum(label), 9) END AS ap,
 CASE WHEN sum(label) > 0 AND sum(label) < count(*) THEN round((sum(CASE WHEN label = 1 THEN ar ELSE 0 END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 9) END AS auc FROM r GROUP BY term""")
 def i07_term_metrics(spark, sf):
-    return _round(M.term_metrics(cell_pairs(spark, sf)), "p_at_5", "p_at_10", "p_at_20", "r_precision", "ap", "auc")
+    return _round(M.term_metrics(all_pairs(spark, sf)), "p_at_5", "p_at_10", "p_at_20", "r_precision", "ap", "auc")
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS ar FROM pairs)
 SELECT count(*) AS n, count(*) AS covered, round((sum(ar * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 9) AS auc FROM r""")
 def i08_auroc(spark, sf):
-    return _round(M.auroc(cell_pairs(spark, sf)), "auc")
+    return _round(M.auroc(all_pairs(spark, sf)), "auc")
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT entity, label, row_number() OVER o AS k, sum(label) OVER (PARTITION BY entity ORDER BY score DESC, term ROWS UNBOUNDED PRECEDING) AS tp FROM pairs WINDOW o AS (PARTITION BY entity ORDER BY score DESC, term)),
 a AS (SELECT entity, avg(tp / k) AS ap FROM r WHERE label = 1 GROUP BY ALL) SELECT count(*) AS entities, round(avg(ap), 9) AS map FROM a""")
 def i08_mean_average_precision(spark, sf):
-    return _round(M.mean_average_precision(cell_pairs(spark, sf)), "map")
+    return _round(M.mean_average_precision(all_pairs(spark, sf)), "map")
 
 
 @query("""WITH x AS (SELECT l_suppkey AS g, l_quantity AS a, l_discount AS b FROM lineitem), r AS (SELECT g, b, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2 AS ra,
@@ -118,7 +118,7 @@ def i09_spearman(spark, sf):
 c AS (SELECT bin, sum(n) OVER d AS n, sum(y) OVER d AS tp, sum(y) OVER () AS a FROM b WINDOW d AS (ORDER BY bin DESC))
 SELECT bin, round(tp / n, 9) AS precision, round(tp / a, 9) AS recall, round(2 * (tp / n) * (tp / a) / (tp / n + tp / a), 9) AS f FROM c""")
 def i10_oracle_ceiling(spark, sf):
-    p = cell_pairs(spark, sf)
+    p = all_pairs(spark, sf)
     true = p.where("label = 1")
     return _round(M.micro_f_curve(M.oracle_scores(p, true), true).drop("threshold"), "precision", "recall", "f")
 
@@ -126,7 +126,7 @@ def i10_oracle_ceiling(spark, sf):
 @query(f"""WITH {PAIRS}, r AS (SELECT entity, term, label, row_number() OVER (PARTITION BY entity ORDER BY score DESC, term) AS k FROM pairs),
 e AS (SELECT entity, avg(CAST(k <= 2 AS INTEGER)) AS r FROM r WHERE label = 1 GROUP BY ALL) SELECT count(*) AS entities, round(avg(r), 9) AS recall FROM e""")
 def i12_recall_at_k(spark, sf):
-    p = cell_pairs(spark, sf)
+    p = all_pairs(spark, sf)
     return _round(M.recall_at(p, p.where("label = 1"), 2), "recall")
 
 
@@ -134,6 +134,6 @@ def i12_recall_at_k(spark, sf):
 FROM x WINDOW o AS (PARTITION BY entity ORDER BY score DESC, term ROWS UNBOUNDED PRECEDING)), c AS (SELECT entity, CASE WHEN n > 0 THEN tp / n ELSE 0 END AS p, CASE WHEN a > 0 THEN tp / a ELSE 0 END AS r FROM s)
 SELECT entity, round(max(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 9) AS fmax FROM c GROUP BY entity""")
 def i13_entity_weighted_fmax(spark, sf):
-    pairs = cell_pairs(spark, sf)
+    pairs = all_pairs(spark, sf)
     ia = O.information_accretion(O.entity_closure(pairs.where("label = 1"), closure(spark, sf)), edges(spark, sf))
     return _round(M.entity_fmax(pairs, ia), "fmax")

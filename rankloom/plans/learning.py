@@ -13,12 +13,12 @@ from .dag import IA
 from .registry import query
 from .similarity import vectors
 from .staging import h
-from .tables import CAND, PAIRS, candidates, cell_pairs, closure, edges, read
+from .tables import CAND, PAIRS, candidates, all_pairs, closure, edges, read
 
 
 @query(f"""WITH RECURSIVE {IA} SELECT entity, term, round(CASE WHEN label = 1 THEN 1 + 0.5::DOUBLE * coalesce(ia, 0) ELSE 1 END, 9) AS w_positives, round(1 + 0.5::DOUBLE * coalesce(ia, 0), 9) AS w_all FROM pairs LEFT JOIN ia USING (term)""")
 def k01_ia_weights(spark, sf):
-    pairs = cell_pairs(spark, sf)
+    pairs = all_pairs(spark, sf)
     ia = O.information_accretion(O.entity_closure(pairs.where("label = 1"), closure(spark, sf)), edges(spark, sf))
     return pairs.join(ia, "term", "left").select("entity", "term", F.round(K.ia_weight("positives", 0.5), 9).alias("w_positives"), F.round(K.ia_weight("all", 0.5), 9).alias("w_all"))
 
@@ -50,7 +50,7 @@ o AS (SELECT g.fold, g.bin, count(x.entity) AS n, coalesce(sum(x.label), 0) AS t
 f AS (SELECT o.fold, o.bin, CASE WHEN t.tp - o.tp > 0 THEN 2 * (t.tp - o.tp) / (t.n - o.n + t.a - o.a) ELSE 0 END AS others, CASE WHEN o.tp > 0 THEN 2 * o.tp / (o.n + o.a) ELSE 0 END AS f FROM o JOIN t USING (bin))
 SELECT fold, bin / 50 AS threshold, round(others, 9) AS f_others, round(f, 9) AS f FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY others DESC, bin DESC) AS k FROM f) WHERE k = 1""")
 def k07_cross_fitted_threshold(spark, sf):
-    out = K.cross_fitted(S.folds(cell_pairs(spark, sf), 4, seed="f"))
+    out = K.cross_fitted(S.folds(all_pairs(spark, sf), 4, seed="f"))
     return out.select("fold", "threshold", F.round("f_others", 9).alias("f_others"), F.round("f", 9).alias("f"))
 
 
@@ -81,4 +81,4 @@ def h11_principal_axes(spark, sf):
 def i04_terms_of_interest(spark, sf):
     terms = read(spark, sf, "part").where("p_size >= 20").select(F.col("p_partkey").alias("term"))
     known = read(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("entity"))
-    return cell_pairs(spark, sf).where("score >= 0.5").join(terms, "term", "left_semi").join(known, "entity", "left_anti").select("entity", "term", "score", "label")
+    return all_pairs(spark, sf).where("score >= 0.5").join(terms, "term", "left_semi").join(known, "entity", "left_anti").select("entity", "term", "score", "label")

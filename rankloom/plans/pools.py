@@ -12,11 +12,11 @@ from .blending import _STREAMS, streams, truth
 from .dag import IA
 from .registry import query
 from .similarity import _KNN, _NET, _PPMI, incidence, vectors
-from .tables import CAND, CLOSURE, PAIRS, candidates, cell_pairs, closure, edges, read
+from .tables import CAND, CLOSURE, PAIRS, candidates, all_pairs, closure, edges, read
 
 
 def _ia(spark, sf):
-    return O.information_accretion(O.entity_closure(cell_pairs(spark, sf).where("label = 1"), closure(spark, sf)), edges(spark, sf))
+    return O.information_accretion(O.entity_closure(all_pairs(spark, sf).where("label = 1"), closure(spark, sf)), edges(spark, sf))
 
 
 @query(f"WITH {_STREAMS} SELECT entity, term FROM u")
@@ -59,19 +59,19 @@ def d02_cells(spark, sf):
 
 @query(f"WITH {PAIRS} SELECT entity, term, score FROM pairs ORDER BY score DESC, entity, term LIMIT (SELECT floor(count(*) * 0.1::DOUBLE)::BIGINT FROM pairs)")
 def e16_score_fraction(spark, sf):
-    return Z.top_fraction(cell_pairs(spark, sf), 0.1, ["entity", "term"]).select("entity", "term", "score")
+    return Z.top_fraction(all_pairs(spark, sf), 0.1, ["entity", "term"]).select("entity", "term", "score")
 
 
 @query(f"WITH {PAIRS} SELECT entity, term FROM pairs WHERE label = 0 ORDER BY score DESC, entity, term LIMIT 500")
 def e17_top_volume(spark, sf):
-    return cell_pairs(spark, sf).where("label = 0").orderBy(F.desc("score"), "entity", "term").limit(500).select("entity", "term")
+    return all_pairs(spark, sf).where("label = 0").orderBy(F.desc("score"), "entity", "term").limit(500).select("entity", "term")
 
 
-_R2 = f"""{CAND}, x AS (SELECT entity, term, max(score) AS a, max(score2) AS b, max(label) AS label FROM cand WHERE snapshot = 1995 GROUP BY ALL), r AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM x)"""
+_R2 = f"""{CAND}, x AS (SELECT entity, term, max(score) AS a, max(score2) AS b, max(label) AS label FROM cand GROUP BY ALL), r AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM x)"""
 
 
 def two_scores(spark, sf):
-    c = candidates(spark, sf).where("snapshot = 1995")
+    c = candidates(spark, sf)
     return c.groupBy("entity", "term").agg(F.max("score").alias("a"), F.max("score2").alias("b"), F.max("label").alias("label"))
 
 
@@ -88,7 +88,7 @@ def e19_orthogonal_recovery(spark, sf):
 @query(f"""WITH RECURSIVE {IA}, reach AS (SELECT DISTINCT entity, ancestor AS term FROM pairs JOIN closure USING (term) WHERE score >= 0.5), t AS (SELECT c.entity, c.term, coalesce(ia, 0) AS w, r.entity IS NOT NULL AS y FROM closed c LEFT JOIN ia ON ia.term = c.term LEFT JOIN reach r ON r.entity = c.entity AND r.term = c.term)
 SELECT round(coalesce(sum(w) FILTER (y), 0), 6) AS captured, round(coalesce(sum(w) FILTER (NOT y), 0), 6) AS missed FROM t""")
 def d26_pool_ceiling(spark, sf):
-    p, over = cell_pairs(spark, sf), closure(spark, sf)
+    p, over = all_pairs(spark, sf), closure(spark, sf)
     out = Z.pool_ceiling(p.where("score >= 0.5"), O.entity_closure(p.where("label = 1"), over), _ia(spark, sf), over)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
@@ -99,7 +99,7 @@ SELECT k, round(coalesce(sum(w) FILTER (y), 0), 6) AS true_mass, round(coalesce(
 def d27_generation_gain(spark, sf):
     from rankloom.operators.staging import top_n
 
-    p, over = cell_pairs(spark, sf), closure(spark, sf)
+    p, over = all_pairs(spark, sf), closure(spark, sf)
     out = Z.generation_gain(top_n(p.where("score < 0.5"), 10**6).select("entity", "term", "rank"), p.where("score >= 0.5"), O.entity_closure(p.where("label = 1"), over), _ia(spark, sf), over, [1, 2, 3])
     return out.select("k", F.round("true_mass", 6).alias("true_mass"), F.round("false_mass", 6).alias("false_mass"))
 
@@ -115,7 +115,7 @@ def d38_matched_budget(spark, sf):
 @query(f"""WITH RECURSIVE {IA}, v AS (SELECT DISTINCT term FROM pairs WHERE label = 1), x AS (SELECT p.*, coalesce(ia, 0) AS w, (v.term IS NOT NULL)::INTEGER AS y FROM pairs p LEFT JOIN v USING (term) LEFT JOIN ia USING (term) WHERE p.label = 0)
 SELECT count(*) AS pairs, sum(y)::BIGINT AS covered, round(avg(y), 9) AS share, round(sum(w * y) / sum(w), 9) AS weighted FROM x""")
 def d39_vocabulary_coverage(spark, sf):
-    p = cell_pairs(spark, sf)
+    p = all_pairs(spark, sf)
     out = Z.vocabulary_coverage(p.where("label = 0"), p.where("label = 1"), _ia(spark, sf))
     return out.select("pairs", "covered", F.round("share", 9).alias("share"), F.round("weighted", 9).alias("weighted"))
 
@@ -153,4 +153,4 @@ SELECT entity, l.b AS term, round(sum(one.s * l.w / t.s), 6) AS score FROM one J
 def h33_two_hop(spark, sf):
     inc = incidence(spark, sf)
     links = R.ppmi(R.co_occurrence(inc), inc).select("a", "b", F.col("ppmi").alias("weight"))
-    return Z.two_hop(cell_pairs(spark, sf).where("label = 1 and score >= 0.9"), links).withColumn("score", F.round("score", 6))
+    return Z.two_hop(all_pairs(spark, sf).where("label = 1 and score >= 0.9"), links).withColumn("score", F.round("score", 6))

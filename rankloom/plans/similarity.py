@@ -9,7 +9,7 @@ from rankloom.operators import retrieval as R
 
 from .dag import IA
 from .registry import query
-from .tables import PAIRS, cell_pairs, closure, edges, read
+from .tables import PAIRS, all_pairs, closure, edges, read
 
 _VEC = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings)"
 
@@ -103,7 +103,7 @@ def h22_ppmi(spark, sf):
 s AS (SELECT k.entity, b.b AS term, sum(ppmi) AS score FROM known k JOIN both_ b ON b.a = k.term GROUP BY ALL), f AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.entity = s.entity AND p.term = s.term)),
 r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(score, 9) DESC, term) AS rank FROM f) SELECT entity, term, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def h23_ppmi_generator(spark, sf):
-    inc, p = incidence(spark, sf), cell_pairs(spark, sf)
+    inc, p = incidence(spark, sf), all_pairs(spark, sf)
     links = R.ppmi(R.co_occurrence(inc), inc).select("a", "b", F.col("ppmi").alias("weight"))
     return R.propose(p.where("label = 1"), links, p, 3).withColumn("score", F.round("score", 6))
 
@@ -111,7 +111,7 @@ def h23_ppmi_generator(spark, sf):
 @query(f"""WITH {_CO}, {PAIRS}, nt AS (SELECT term, count(*) AS k FROM inc GROUP BY ALL), g AS (SELECT co.a, co.b, n / k AS p FROM (SELECT a, b, n FROM co UNION ALL SELECT b, a, n FROM co) co JOIN nt ON nt.term = co.a)
 SELECT p.entity, g.b AS term, round(sum(g.p), 9) AS total FROM pairs p JOIN g ON g.a = p.term WHERE p.label = 1 GROUP BY ALL""")
 def h24_association_prior(spark, sf):
-    return R.association_prior(cell_pairs(spark, sf).where("label = 1"), incidence(spark, sf)).withColumn("total", F.round("total", 9))
+    return R.association_prior(all_pairs(spark, sf).where("label = 1"), incidence(spark, sf)).withColumn("total", F.round("total", 9))
 
 
 _NET = """net AS (SELECT l_suppkey AS a, o_custkey % 100 AS b, l_linenumber * 100 AS c1, CAST(l_discount * 1000 AS INTEGER) AS c2 FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
@@ -140,7 +140,7 @@ def h27_profile_neighbours(spark, sf):
 j AS (SELECT a, b, m / (x.n + y.n - m) AS j FROM m JOIN n x ON x.entity = a JOIN n y ON y.entity = b), t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS k FROM j WHERE j < 0.95 QUALIFY k <= 4), s AS (SELECT a, sum(j) AS s FROM t GROUP BY ALL)
 SELECT t.a AS entity, k.term, round(sum(t.j) / any_value(s.s), 9) AS vote FROM t JOIN k ON k.entity = t.b JOIN s ON s.a = t.a GROUP BY ALL""")
 def h21_set_transfer(spark, sf):
-    return R.set_transfer(cell_pairs(spark, sf).where("label = 1"), 4).withColumn("vote", F.round("vote", 9))
+    return R.set_transfer(all_pairs(spark, sf).where("label = 1"), 4).withColumn("vote", F.round("vote", 9))
 
 
 @query(f"""WITH RECURSIVE {IA}, ic AS (SELECT term, CASE WHEN n >= (SELECT max(n) FROM n) THEN 0.0 ELSE -ln(n / (SELECT max(n) FROM n)) END::DOUBLE AS ic FROM n), w AS (SELECT entity, term, ic FROM closed JOIN ic USING (term)),
@@ -149,7 +149,7 @@ SELECT e.entity AS a, e.next AS b, round(coalesce(s.r, 0), 9) AS resnik, round(C
 def h18_resnik_lin(spark, sf):
     from pyspark.sql import Window
 
-    closed = O.entity_closure(cell_pairs(spark, sf).where("label = 1"), closure(spark, sf))
+    closed = O.entity_closure(all_pairs(spark, sf).where("label = 1"), closure(spark, sf))
     pairs = closed.select("entity").distinct().select(F.col("entity").alias("a"), F.lead("entity").over(Window.orderBy("entity")).alias("b")).where("b is not null")  # neighbours in the ids' order, as an example of given pairs
     return R.resnik_lin(pairs, closed, O.information_content(closed)).select("a", "b", F.round("resnik", 9).alias("resnik"), F.round("lin", 9).alias("lin"))
 

@@ -8,7 +8,7 @@ from rankloom.operators import encoding as B
 from rankloom.operators import staging as S
 
 from .registry import query
-from .tables import CAND, PAIRS, candidates, cell_pairs, read
+from .tables import CAND, PAIRS, candidates, all_pairs, read
 
 _H = "('0x' || substr(md5(concat_ws('|', {}, {})), 1, 8))::BIGINT"
 
@@ -82,7 +82,7 @@ def b17_lying_zeros(spark, sf):
 @query(f"""WITH {PAIRS}, m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM pairs WINDOW w AS (PARTITION BY entity))
 SELECT entity, term, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END::DOUBLE AS score FROM m""")
 def b18_entity_min_max(spark, sf):
-    return cell_pairs(spark, sf).select("entity", "term", B.min_max(F.col("score"), ["entity"], 1.0).alias("score"))
+    return all_pairs(spark, sf).select("entity", "term", B.min_max(F.col("score"), ["entity"], 1.0).alias("score"))
 
 
 @query("SELECT p_partkey, (p_retailprice - (SELECT min(p_retailprice) FROM part)) / ((SELECT max(p_retailprice) FROM part) - (SELECT min(p_retailprice) FROM part)) AS p_retailprice FROM part")
@@ -93,7 +93,7 @@ def b19_global_min_max(spark, sf):
 @query(f"""WITH {PAIRS} SELECT entity, term, row_number() OVER (PARTITION BY entity ORDER BY score, term DESC) / count(*) OVER (PARTITION BY entity) AS unit_rank,
 round(sqrt(least(1.0, greatest(1e-6, score))), 9) AS softened FROM pairs""")
 def b21_rescaling(spark, sf):
-    return cell_pairs(spark, sf).select("entity", "term", B.rank_unit(["entity"], "score", "term").alias("unit_rank"), F.round(B.power(F.col("score"), 2.0), 9).alias("softened"))
+    return all_pairs(spark, sf).select("entity", "term", B.rank_unit(["entity"], "score", "term").alias("unit_rank"), F.round(B.power(F.col("score"), 2.0), 9).alias("softened"))
 
 
 @query(f"WITH {CAND} SELECT entity, term, stream, label FROM cand c WHERE EXISTS (SELECT 1 FROM cand d WHERE d.label = 1 AND d.entity = c.entity AND d.category = c.category AND d.snapshot = c.snapshot)")
@@ -121,14 +121,14 @@ def d09_first_of_group(spark, sf):
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, term) AS rank FROM pairs) SELECT entity, term, score, rank::INTEGER AS rank FROM r WHERE rank <= 2")
 def e02_top_terms(spark, sf):
-    return S.top_n(cell_pairs(spark, sf), 2).select("entity", "term", "score", "rank")
+    return S.top_n(all_pairs(spark, sf), 2).select("entity", "term", "score", "rank")
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY entity ORDER BY score DESC, term) AS k, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s,
 rank() OVER (PARTITION BY entity ORDER BY score) + (count(*) OVER (PARTITION BY entity, score) - 1) / 2 AS ar FROM pairs WINDOW w AS (PARTITION BY entity))
 SELECT entity, term, CASE WHEN n > 1 THEN (k - 1) / (n - 1) ELSE 0 END::DOUBLE AS norm_rank, round((score - m) / CASE WHEN s > 1e-12 THEN s ELSE 1 END, 6) + 0.0 AS z, ar / n AS percentile, (k <= 1)::INTEGER AS top1, (k <= 3)::INTEGER AS top3 FROM r""")
 def e03_within_entity(spark, sf):
-    return S.within_entity(cell_pairs(spark, sf)).select("entity", "term", "norm_rank", (F.round("z", 6) + 0.0).alias("z"), "percentile", "top1", "top3")
+    return S.within_entity(all_pairs(spark, sf)).select("entity", "term", "norm_rank", (F.round("z", 6) + 0.0).alias("z"), "percentile", "top1", "top3")
 
 
 @query(f"WITH {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY label DESC, {h('7', 'source', 'term')}, term) AS k FROM (SELECT DISTINCT source, term, max(label) AS label FROM cand GROUP BY ALL)) SELECT source, term, label FROM r WHERE k <= 150")
@@ -140,7 +140,7 @@ def e05_group_cap(spark, sf):
 @query(f"""WITH {PAIRS}, x AS (SELECT entity, term, label, term % 7 AS cell FROM pairs), r AS (SELECT *, sum(label) OVER (PARTITION BY cell) AS p, row_number() OVER (PARTITION BY cell, label ORDER BY {h('3', 'entity', 'term')}, entity, term) AS k FROM x)
 SELECT entity, term, label FROM r WHERE label = 1 OR k <= floor(p * 1.5)""")
 def e06_negative_sampling(spark, sf):
-    rows = cell_pairs(spark, sf).select("entity", "term", "label", (F.col("term") % 7).alias("cell"))
+    rows = all_pairs(spark, sf).select("entity", "term", "label", (F.col("term") % 7).alias("cell"))
     return S.thin_negatives(rows, 1.5, ["cell"], ["entity", "term"], seed="3").select("entity", "term", "label")
 
 
@@ -152,7 +152,7 @@ def e07_row_budget(spark, sf):
 
 @query(f"WITH {PAIRS} SELECT entity, term, ({h('9', 'CAST(entity AS VARCHAR)')} < 0.1 * 4294967296.0)::INTEGER AS validation FROM pairs")
 def e08_entity_split(spark, sf):
-    return S.split(cell_pairs(spark, sf), 0.1, seed="9").select("entity", "term", "validation")
+    return S.split(all_pairs(spark, sf), 0.1, seed="9").select("entity", "term", "validation")
 
 
 @query(f"WITH {CAND} SELECT entity, stream, (snapshot = 1998)::INTEGER AS validation FROM cand")
@@ -195,12 +195,12 @@ def e20_rank_match(spark, sf):
 @query(f"""WITH {PAIRS}, x AS (SELECT term % 5 AS cell, * FROM pairs), a AS (SELECT cell, entity, term, row_number() OVER (PARTITION BY cell ORDER BY {h('p', 'entity', 'term')}, entity, term) AS k FROM x),
 b AS (SELECT cell, score, row_number() OVER (PARTITION BY cell ORDER BY {h("p''", 'entity', 'term')}, entity, term) AS k FROM x) SELECT cell, entity, term, score FROM a JOIN b USING (cell, k)""")
 def e21_permutation_control(spark, sf):
-    return S.permuted(cell_pairs(spark, sf).select((F.col("term") % 5).alias("cell"), "entity", "term", "score"), "cell", "p")
+    return S.permuted(all_pairs(spark, sf).select((F.col("term") % 5).alias("cell"), "entity", "term", "score"), "cell", "p")
 
 
 @query(f"""WITH {PAIRS}, x AS (SELECT entity, term, label, term % 7 AS cell FROM pairs), r AS (SELECT *, sum(label) OVER (PARTITION BY cell) AS p, row_number() OVER (PARTITION BY cell, label ORDER BY {h('3', 'entity', 'term')}, entity, term) AS k FROM x)
 SELECT cell, count(*) AS rows_before, sum(label)::BIGINT AS positives_before, count(*) FILTER (label = 1 OR k <= p) AS rows_after, sum(label)::BIGINT AS positives_after,
 round((count(*) FILTER (label = 1 OR k <= p) - sum(label)) / sum(label), 9) AS ratio FROM r GROUP BY cell""")
 def d23_sampling_audit(spark, sf):
-    rows = cell_pairs(spark, sf).select("entity", "term", "label", (F.col("term") % 7).alias("cell"))
+    rows = all_pairs(spark, sf).select("entity", "term", "label", (F.col("term") % 7).alias("cell"))
     return S.sampling_audit(rows, S.thin_negatives(rows, 1.0, ["cell"], ["entity", "term"], seed="3"), "cell").withColumn("ratio", F.round("ratio", 9))

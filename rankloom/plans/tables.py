@@ -34,10 +34,9 @@ CAND = """cand AS (SELECT l_orderkey AS entity, l_partkey AS term, l_linenumber
     CAST(l_returnflag = 'R' AS INTEGER) AS label, l_linestatus AS category, CAST(year(l_shipdate) AS INTEGER) AS snapshot, l_suppkey AS source, 1 - l_discount * 5 AS score2 FROM lineitem)"""
 EDGES = """edges AS (SELECT DISTINCT p_partkey AS child, p_partkey // d AS parent FROM part, (VALUES (2), (3)) v(d) WHERE p_partkey > 1 AND p_partkey // d >= 1)"""
 CLOSURE = f"""{EDGES}, closure AS (SELECT p_partkey AS term, p_partkey AS ancestor FROM part UNION SELECT c.term, e.parent FROM closure c JOIN edges e ON e.child = c.ancestor)"""
-#: Collapsed candidates of one cell: the best score and any label of a pair.
-PAIRS = f"""{CAND}, pairs AS (SELECT entity, term, max(score) AS score, max(label) AS label FROM cand WHERE category = 'F' AND snapshot = 1995 GROUP BY ALL)"""
+#: Collapsed candidates: the best score and any label of a pair.
+PAIRS = f"""{CAND}, pairs AS (SELECT entity, term, max(score) AS score, max(label) AS label FROM cand GROUP BY ALL)"""
 
 
-def cell_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = candidates(spark, sf_dir).where("category = 'F' and snapshot = 1995")
-    return cell.groupBy("entity", "term").agg(F.max("score").alias("score"), F.max("label").alias("label"))
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).groupBy("entity", "term").agg(F.max("score").alias("score"), F.max("label").alias("label"))
