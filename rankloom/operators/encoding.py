@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions import steps
+
 
 def cell(rows: DataFrame, category: str | None = None, aspect: str | None = None, snapshots: Sequence | None = None) -> DataFrame:
     """Rows of one cell: equality on category and aspect (lower-cased), membership on snapshot; pushed down to the scan."""
@@ -34,7 +36,7 @@ def numeric_features(rows: DataFrame, drop: Iterable[str] = ()) -> list[str]:
 def vocabulary(rows: DataFrame, column: str) -> DataFrame:
     """(value, code): codes 0.. in the values' order, learned on the non-null values of rows."""
     values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))  # one row for each distinct category
+    return steps.before(values.withColumn("one_", F.lit(1)), "value", "one_", "code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def encode(rows: DataFrame, column: str, words: DataFrame, out: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.steps import before
+
 
 def bin_of(score: Column, thresholds: int) -> Column:
     """The last of the thresholds k / n, k = 0..n, that a score in 0..1 reaches."""
@@ -113,8 +115,7 @@ def auroc(rows: DataFrame) -> DataFrame:
     from counts by distinct score, swept once."""
     fine = F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double"))
     steps = rows.where(fine).groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("y"))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # one row for each distinct score
-    ranked = steps.select("n", "y", (F.coalesce(F.sum("n").over(up), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+    ranked = before(steps, "score", "n", "below").select("n", "y", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
     s = ranked.agg(F.sum("n").alias("covered"), F.sum("y").alias("pos"), F.sum(F.col("y") * F.col("rank")).alias("ranks"))
     pos, neg = F.col("pos"), F.col("covered") - F.col("pos")
     return s.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).select("n", "covered", F.when((pos > 0) & (neg > 0), (F.col("ranks") - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))  # one row each

@@ -13,19 +13,19 @@ from rankloom.functions.steps import materialise
 
 
 def ancestors(edges: DataFrame, reflexive: bool = True, nodes: DataFrame | None = None, max_depth: int = 200) -> DataFrame:
-    """(term, ancestor): the transitive closure by doubling path lengths, so rounds grow with the log of the depth."""
-    reach = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct()
-    n, rounds = -1, 0
-    while True:
-        reach = materialise(reach, "reach")
-        now = reach.count()
-        if now == n:
-            break
-        n, rounds = now, rounds + 1
+    """(term, ancestor): the transitive closure by doubling path lengths, so rounds grow with the log of the depth. A round
+    joins and writes only what the last one found: a pair's shortest path of up to twice the length begins with one of it."""
+    new = materialise(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct(), "reach")
+    reach, rounds = new, 0
+    while not new.isEmpty():
+        rounds += 1
         if 2**rounds > 2 * max_depth:
             raise ValueError("the graph is deeper than max_depth, or has a cycle")
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.term")).select(F.col("a.term"), F.col("b.ancestor"))
-        reach = reach.unionByName(further).distinct()
+        further = new.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.term")).select(F.col("a.term").alias("term"), F.col("b.ancestor").alias("ancestor")).distinct()
+        new = materialise(further.join(reach, ["term", "ancestor"], "left_anti"), "reach")
+        reach = reach.unionByName(new)
+    if reach.where("term = ancestor").limit(1).count():
+        raise ValueError("the graph has a cycle")
     if not reflexive:
         return reach
     own = edges.select(F.col("child").alias("term")).unionByName(edges.select(F.col("parent").alias("term")))

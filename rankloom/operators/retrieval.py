@@ -1,7 +1,7 @@
 """Similarity, nearest neighbours and generators of candidates.
 
-Exact nearest neighbours come in blocks: a block of queries, small by construction, is compared with each partition of the
-references by matrix product; each partition passes on its best k for each query, and a window keeps the best of those.
+Exact nearest neighbours come in blocks: a block of queries is compared with a block of references by matrix product in one
+task, which passes on the best k for each query, and a window keeps the best of those.
 Generators work on postings (term -> entities) with counts, never on all pairs of entities."""
 
 from __future__ import annotations
@@ -48,41 +48,33 @@ def tanimoto(a: Column | str, b: Column | str) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, block: int = 2_000) -> DataFrame:
+def nearest(queries: DataFrame, references: DataFrame, k: int, block: int = 4_000) -> DataFrame:
     """queries(id, v), references(id, v) -> (query, reference, cosine, rank): the k nearest, oneself excluded; ties by id.
 
-    One pass over the references for each block of queries; blocks are cut by a hash of the id, each about `block` rows."""
-    unit_q = queries.select(F.col("id").alias("query"), unit("v").alias("v"))
-    blocks = max(1, -(-queries.count() // block))
-    refs = references.select(F.col("id").alias("reference"), unit("v").alias("v"))
-    out = None
-    for b in range(blocks):
-        part = unit_q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toArrow()
-        ids = part.column(0).to_numpy()
-        if not len(ids):
-            continue
-        q = np.array(part.column(1).to_pylist(), np.float64)
-        found = refs.mapInArrow(_partial_top(ids, q, k), "query long, reference long, cosine double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query long, reference long, cosine double, rank int")
+    Both sides are dealt into blocks of about `block` rows; a task compares one block with one by a matrix product and
+    passes on each query's best k."""
+    q, r = queries.select(F.col("id").alias("query"), unit("v").alias("v")), references.select(F.col("id").alias("reference"), unit("v").alias("v"))
+    n, m = (max(1, -(-x.count() // block)) for x in (q, r))
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    q = q.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(n)).cast("int").alias("x"), every(m).alias("y"))
+    r = r.select("reference", "v", every(n).alias("x"), F.pmod(F.xxhash64("reference"), F.lit(m)).cast("int").alias("y"))
+    found = q.groupBy("x", "y").cogroup(r.groupBy("x", "y")).applyInArrow(_block_top(k), "query long, reference long, cosine double")
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), "reference")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _partial_top(ids: np.ndarray, q: np.ndarray, k: int):
-    def each(batches):
-        best_s, best_r = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            r = b.column(0).to_numpy()
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(r), -1)
-            s = q @ v.T
-            s[ids[:, None] == r[None, :]] = -np.inf
-            s, r = np.concatenate([best_s, s], axis=1), np.concatenate([best_r, np.broadcast_to(r, s.shape)], axis=1)
-            order = np.lexsort((r, -s), axis=1)[:, :k]
-            best_s, best_r = np.take_along_axis(s, order, 1), np.take_along_axis(r, order, 1)
-        keep = np.isfinite(best_s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], keep.shape)[keep]), pa.array(best_r[keep]), pa.array(best_s[keep])], names=["query", "reference", "cosine"])
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _block_top(k: int):
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, r = left.column("query").to_numpy(), right.column("reference").to_numpy()
+        if not len(ids) or not len(r):
+            return pa.table({"query": pa.array([], pa.int64()), "reference": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(len(t), -1)
+        s = matrix(left) @ matrix(right).T
+        s[ids[:, None] == r[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(r, s.shape), -s), axis=1)[:, :k]
+        best = np.take_along_axis(s, order, 1)
+        keep = np.isfinite(best)
+        return pa.table({"query": np.broadcast_to(ids[:, None], keep.shape)[keep], "reference": r[order][keep], "cosine": best[keep]})
 
     return each
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.steps import before
+
 PAIR = ["entity", "term"]
 
 
@@ -34,16 +36,20 @@ def containment(part: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def top_fraction(rows: DataFrame, q: float, tie: list[str]) -> DataFrame:
-    """The q * n best rows of all; a distributed sort with a limit."""
-    n = rows.count()
-    return rows.orderBy(F.desc("score"), *tie).limit(int(n * q))
+    """The q * n best rows of all. Counts by score tell the score of the last one; only rows of that score are sorted."""
+    most = int(rows.count() * q)
+    steps = rows.groupBy("score").agg(F.count("*").alias("n_")).withColumn("fall_", -F.col("score"))
+    cut = before(steps, "fall_", "n_", "above_").where((F.col("above_") < most) & (F.col("above_") + F.col("n_") >= most)).first()
+    if cut is None:
+        return rows.limit(0)
+    ties = rows.where(F.col("score") == cut.score).orderBy(*tie).limit(most - cut.above_)
+    return rows.where(F.col("score") > cut.score).unionByName(ties)
 
 
 def mean_rank(rows: DataFrame, column: str) -> DataFrame:
     """rows with rank_<column>, ties averaged, over all rows: from counts by distinct value, never a rank of all rows."""
     steps = rows.groupBy(column).agg(F.count("*").alias("n_"))
-    up = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)  # one row for each distinct value
-    ranks = steps.select(column, (F.coalesce(F.sum("n_").over(up), F.lit(0)) + (F.col("n_") + 1) / 2).alias(f"rank_{column}"))
+    ranks = before(steps, column, "n_", "below_").select(column, (F.col("below_") + (F.col("n_") + 1) / 2).alias(f"rank_{column}"))
     return rows.join(ranks, column)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions.steps import before
 from rankloom.operators import ontology as O
 from rankloom.operators import retrieval as R
 
@@ -147,10 +148,9 @@ def h21_set_transfer(spark, sf):
 b AS (SELECT entity, max(ic) AS top FROM w GROUP BY ALL), e AS (SELECT entity, lead(entity) OVER (ORDER BY entity) AS next FROM b), s AS (SELECT e.entity AS a, e.next AS b, max(y.ic) AS r FROM e JOIN w x ON x.entity = e.entity JOIN w y ON y.entity = e.next AND y.term = x.term GROUP BY ALL)
 SELECT e.entity AS a, e.next AS b, round(coalesce(s.r, 0), 9) AS resnik, round(CASE WHEN p.top + q.top > 0 THEN 2 * coalesce(s.r, 0) / (p.top + q.top) ELSE 0 END, 9) AS lin FROM e LEFT JOIN s ON s.a = e.entity JOIN b p ON p.entity = e.entity JOIN b q ON q.entity = e.next""")
 def h18_resnik_lin(spark, sf):
-    from pyspark.sql import Window
-
     closed = O.entity_closure(all_pairs(spark, sf).where("label = 1"), closure(spark, sf))
-    pairs = closed.select("entity").distinct().select(F.col("entity").alias("a"), F.lead("entity").over(Window.orderBy("entity")).alias("b")).where("b is not null")  # neighbours in the ids' order, as an example of given pairs
+    ids = before(closed.select("entity").distinct().withColumn("one", F.lit(1)), "entity", "one", "place")  # neighbours in the ids' order, as an example of given pairs
+    pairs = ids.select(F.col("entity").alias("a"), (F.col("place") + 1).alias("place")).join(ids.select(F.col("entity").alias("b"), "place"), "place").select("a", "b")
     return R.resnik_lin(pairs, closed, O.information_content(closed)).select("a", "b", F.round("resnik", 9).alias("resnik"), F.round("lin", 9).alias("lin"))
 
 
