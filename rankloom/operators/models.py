@@ -22,22 +22,91 @@ def ia_weight(mode: str, scale: float = 1.0, label: str = "label") -> Column:
     return {"none": F.lit(1.0), "positives": F.when(F.col(label) == 1, w).otherwise(1.0), "all": w}[mode]
 
 
-def calibrate(rows: DataFrame, by: str, least: int = 50, weight: str | None = None) -> DataFrame:
-    """Adds calibrated: isotonic regression of label on score within each group; the score itself where a group has under
-    `least` rows or one class. Groups are few (aspects), one Spark ML fit each."""
-    sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()
+MOST_GROUPS = 200  # aspects, bins or cells: one fit each, planned by the driver
+
+
+def _groups(rows: DataFrame, by: str) -> list:
+    """(group, n, y) of the groups, which must be few."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum("label").alias("y")).limit(MOST_GROUPS + 1).collect()
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"over {MOST_GROUPS} groups of {by}; calibrate by something coarser")
+    return sizes
+
+
+def calibrate(rows: DataFrame, by: str, least: int = 50, weight: str | None = None, method: str = "isotonic") -> DataFrame:
+    """Adds calibrated: isotonic regression of label on score, or Platt's logistic curve, within each group; the score itself
+    where a group has under `least` rows or one class. Groups are few (aspects), one Spark ML fit each."""
     out = None
-    for r in sizes:
+    for r in _groups(rows, by):
         part = rows.where(F.col(by).eqNullSafe(F.lit(r[by])))
+        own = {"weightCol": weight} if weight else {}
         if r.n < least or r.y in (0, r.n):
             done = part.withColumn("calibrated", F.col("score").cast("double"))
+        elif method == "platt":
+            data = VectorAssembler(inputCols=["score"], outputCol="features").transform(part)
+            done = LogisticRegression(labelCol="label", probabilityCol="p_", **own).fit(data).transform(data).select(*rows.columns, vector_to_array("p_")[1].alias("calibrated"))
         else:
-            fit = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated", **({"weightCol": weight} if weight else {}))
-            done = fit.fit(part).transform(part)
+            done = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated", **own).fit(part).transform(part)
         out = done if out is None else out.unionByName(done)
     return rows.withColumn("calibrated", F.lit(None).cast("double")) if out is None else out
 
 
+def calibration_stats(calibrated: DataFrame, by: str) -> DataFrame:
+    """(by, n, positives, brier_before, brier_after, mean_before, mean_after)."""
+    square = lambda c: F.avg((F.col(c) - F.col("label")) ** 2)
+    return calibrated.groupBy(by).agg(F.count("*").alias("n"), F.sum("label").alias("positives"), square("score").alias("brier_before"), square("calibrated").alias("brier_after"), F.avg("score").alias("mean_before"), F.avg("calibrated").alias("mean_after"))
+
+
+def tercile_calibrate(rows: DataFrame, frequency: DataFrame, weight: str, least: int = 50) -> DataFrame:
+    """Adds tercile (0 rare to 2 common, by frequency(term, n) over terms) and calibrated: weighted isotonic regression within
+    the tercile of a row's term, over all rows where the tercile has under `least` of them or one class."""
+    cut = frequency.agg(F.percentile_approx("n", F.array(F.lit(1 / 3), F.lit(2 / 3)), 100_000).alias("c")).first().c or [0, 0]
+    binned = rows.join(frequency.select("term", "n"), "term", "left").withColumn("tercile", (F.coalesce("n", F.lit(0)) > cut[0]).cast("int") + (F.coalesce("n", F.lit(0)) > cut[1]).cast("int")).drop("n")
+    fit = lambda part: IsotonicRegression(featuresCol="score", labelCol="label", weightCol=weight, predictionCol="calibrated").fit(part)
+    whole, out = None, None
+    for r in _groups(binned, "tercile"):
+        part = binned.where(F.col("tercile") == r.tercile)
+        if r.n < least or r.y in (0, r.n):
+            whole = whole or fit(binned)
+            done = whole.transform(part)
+        else:
+            done = fit(part).transform(part)
+        out = done if out is None else out.unionByName(done)
+    return binned.withColumn("calibrated", F.lit(None).cast("double")) if out is None else out
+
+
+def binned_calibrators(rows: DataFrame, by: str, bins: int = 10) -> DataFrame:
+    """(by, xs, ys): for each group the middles of the score bins that have rows, ascending, and their positive rates."""
+    means = rows.groupBy(by, metrics.bin_of(F.col("score"), bins).alias("b")).agg(F.avg("label").alias("y"))
+    points = means.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(((F.col("b") + 0.5) / bins).alias("x"), "y"))).alias("p"))
+    return points.select(by, F.transform("p", lambda p: p["x"]).alias("xs"), F.transform("p", lambda p: p["y"]).alias("ys"))
+
+
+def apply_calibrators(rows: DataFrame, calibrators: DataFrame, by: str) -> DataFrame:
+    """Adds calibrated by stored calibrators(by, xs, ys): linear between the points, level beyond them; the score itself in a
+    group that has none."""
+    joined = rows.join(calibrators, by, "left")
+    k = "size(filter(xs, x -> x <= score))"
+    line = f"""case when xs is null or size(xs) = 0 then double(score) when {k} = 0 then ys[0] when {k} = size(xs) then ys[size(xs) - 1]
+        else ys[{k} - 1] + (score - xs[{k} - 1]) / (xs[{k}] - xs[{k} - 1]) * (ys[{k}] - ys[{k} - 1]) end"""
+    return joined.withColumn("calibrated", F.expr(line)).drop("xs", "ys")
+
+
+def selective_submission(rows: DataFrame, tune: Column, thresholds: int = 50) -> DataFrame:
+    """(threshold, kept, precision, f_tune, f_blind): on the tuning rows(score, label) the cut with the best F, the share of
+    rows that it keeps and their precision; then F once, at that cut, on the blind rows."""
+    bins = rows.groupBy(tune.alias("tune"), metrics.bin_of(F.col("score"), thresholds).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+    w = Window.partitionBy("tune")
+    down = w.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each threshold and half
+    swept = bins.select("tune", "bin", F.sum("n").over(down).alias("n"), F.sum("y").over(down).alias("tp"), F.sum("n").over(w).alias("rows"), F.sum("y").over(w).alias("all"))
+    f = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("n") + F.col("all"))).otherwise(0.0)
+    best = swept.where("tune").agg(F.max(F.struct(f.alias("f"), "bin", (F.col("n") / F.col("rows")).alias("kept"), (F.col("tp") / F.col("n")).alias("precision"))).alias("b")).select("b.*")
+    blind = bins.where("not tune").crossJoin(F.broadcast(best.select(F.col("bin").alias("cut"))))  # one row
+    hit = F.col("bin") >= F.col("cut")
+    score = blind.agg(F.sum(F.when(hit, F.col("y")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n"), F.sum("y").alias("all"))
+    return best.crossJoin(F.broadcast(score.select(f.alias("f_blind")))).select((F.col("bin") / thresholds).alias("threshold"), "kept", "precision", F.col("f").alias("f_tune"), "f_blind")
+
+
 def _assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     filled = rows.select("*", *[F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)).alias(f"f_{c}") for c in features])
     return VectorAssembler(inputCols=[f"f_{c}" for c in features], outputCol="features").transform(filled)

@@ -103,6 +103,32 @@ def soft_propagation(scores: DataFrame, edges: DataFrame, weight: float = 0.7) -
     return consistency(mixed, edges)[0]
 
 
+def recursive_soft_propagation(scores: DataFrame, edges: DataFrame, nodes: DataFrame, closure: DataFrame, weight: float = 0.7) -> DataFrame:
+    """Both directions of weight * neighbours + (1 - weight) * own over an entity's terms and all their ancestors (0 where not
+    scored), averaged: from the roots down the least of the parents' results, from the leaves up the largest of the
+    children's. Level by level of the longest path from a root, all entities together."""
+    own = scores.select("entity", "term", "score")
+    every = own.join(closure, "term").select("entity", F.col("ancestor").alias("term")).distinct().join(own, ["entity", "term"], "left").join(depths(edges, nodes, longest=True), "term")
+    every = materialise(every.select("entity", "term", F.coalesce("score", F.lit(0.0)).alias("score"), "depth"), "levels")
+    last = every.agg(F.max("depth")).first()[0] or 0
+    steps = {"low": (range(last + 1), "child", "parent", F.min), "high": (range(last, -1, -1), "parent", "child", F.max)}
+    out = every.select("entity", "term")
+    for name, (levels, here, there, best) in steps.items():
+        done = None
+        for d in levels:
+            level = every.where(F.col("depth") == d).select("entity", "term", "score")
+            if done is not None:
+                near = level.select("entity", "term").join(edges, F.col("term") == F.col(here)).join(done.select("entity", F.col("term").alias(there), F.col("s").alias("p")), ["entity", there])
+                level = level.join(near.groupBy("entity", "term").agg(best("p").alias("p")), ["entity", "term"], "left")
+                level = level.withColumn("score", F.when(F.col("p").isNull(), F.col("score")).otherwise(weight * F.col("p") + (1 - weight) * F.col("score"))).drop("p")
+            level = materialise(level.withColumnRenamed("score", "s"), name)
+            done = level if done is None else done.unionByName(level)
+        if done is None:
+            return own
+        out = out.join(done.withColumnRenamed("s", name), ["entity", "term"])
+    return out.join(own.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", ((F.col("low") + F.col("high")) / 2).alias("score"))
+
+
 def training_mask(rows: DataFrame, edges: DataFrame, signal: str = "label", threshold: float = 0.0) -> DataFrame:
     """Adds trainable: the term has no present parent, or some present parent's signal is above the threshold."""
     above = rows.select("entity", F.col("term").alias("parent"), F.col(signal).alias("s")).groupBy("entity", "parent").agg(F.max("s").alias("s"))
@@ -186,11 +212,13 @@ def parent_factor(scores: DataFrame, edges: DataFrame, beta: float = 0.5) -> Dat
     return scores.join(mean, ["entity", "term"], "left").withColumn("score", F.when(F.col("m").isNull(), F.col("score")).otherwise(F.col("score") * F.pow("m", F.lit(beta)))).drop("m")
 
 
-def information_content(closed: DataFrame) -> DataFrame:
-    """closed(entity, term), closed upward -> (term, n, ic): -ln of the term's share of the most frequent term's entities."""
+def information_content(closed: DataFrame, aspects: DataFrame | None = None) -> DataFrame:
+    """closed(entity, term), closed upward -> (term, n, ic): -ln of the term's share of its root's entities. An aspect's root is
+    its most frequent term; aspects(term, aspect) tells them apart, without it all terms are one aspect."""
     n = closed.groupBy("term").agg(F.countDistinct("entity").alias("n"))
-    top = n.agg(F.max("n").alias("top"))
-    return n.join(F.broadcast(top)).select("term", "n", F.when(F.col("n") >= F.col("top"), 0.0).otherwise(-F.log(F.col("n") / F.col("top"))).alias("ic"))  # top is one row
+    n = n.withColumn("aspect_", F.lit("")) if aspects is None else n.join(aspects.select("term", F.col("aspect").alias("aspect_")), "term")
+    top = n.groupBy("aspect_").agg(F.max("n").alias("top"))
+    return n.join(top, "aspect_").select("term", "n", F.when(F.col("n") >= F.col("top"), 0.0).otherwise(-F.log(F.col("n") / F.col("top"))).alias("ic"))
 
 
 def information_accretion(closed: DataFrame, edges: DataFrame) -> DataFrame:

@@ -29,6 +29,41 @@ def k02_calibration(spark, sf):
     return K.calibrate(rows, "category")
 
 
+@query()
+def k02_platt(spark, sf):
+    return K.calibrate(candidates(spark, sf).select("entity", "term", "stream", "category", "score", "label"), "category", method="platt")
+
+
+@query()
+def k03_tercile_calibration(spark, sf):
+    rows = candidates(spark, sf).select("entity", "term", "stream", "score", "label").withColumn("w", 1 + F.col("term") % 3)
+    return K.tercile_calibrate(rows, rows.groupBy("term").agg(F.count("*").alias("n")), "w")
+
+
+_BINNED = f"""{CAND}, c AS (SELECT category, (least(10, greatest(0, floor(score * 10)))::INTEGER + 0.5::DOUBLE) / 10 AS x, avg(label) AS y FROM cand WHERE entity % 2 = 0 GROUP BY ALL), r AS (SELECT entity, term, stream, category, score FROM cand WHERE entity % 2 = 1),
+m AS (SELECT r.entity, r.term, r.stream, r.score, arg_max(y, x) FILTER (x <= score) AS y0, max(x) FILTER (x <= score) AS x0, arg_min(y, x) FILTER (x > score) AS y1, min(x) FILTER (x > score) AS x1 FROM r LEFT JOIN c USING (category) GROUP BY ALL)"""
+
+
+@query(f"WITH {_BINNED} SELECT entity, term, stream, round(CASE WHEN y0 IS NULL AND y1 IS NULL THEN score WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + (score - x0) / (x1 - x0) * (y1 - y0) END, 9) AS calibrated FROM m")
+def k08_stored_calibrators(spark, sf):
+    c = candidates(spark, sf)
+    out = K.apply_calibrators(c.where("entity % 2 = 1"), K.binned_calibrators(c.where("entity % 2 = 0"), "category"), "category")
+    return out.select("entity", "term", "stream", F.round("calibrated", 9).alias("calibrated"))
+
+
+@query(f"""WITH {PAIRS}, b AS (SELECT entity % 3 > 0 AS tune, least(50, greatest(0, floor(score * 50)))::INTEGER AS bin, count(*) AS n, sum(label) AS y FROM pairs GROUP BY ALL), s AS (SELECT tune, bin, sum(n) OVER d AS n, sum(y) OVER d AS tp, sum(n) OVER (PARTITION BY tune) AS r, sum(y) OVER (PARTITION BY tune) AS a FROM b WINDOW d AS (PARTITION BY tune ORDER BY bin DESC)),
+t AS (SELECT *, CASE WHEN tp > 0 THEN 2 * tp / (n + a) ELSE 0 END AS f FROM s WHERE tune ORDER BY f DESC, bin DESC LIMIT 1), o AS (SELECT sum(y) FILTER (b.bin >= t.bin) AS tp, sum(b.n) FILTER (b.bin >= t.bin) AS n, sum(y) AS a FROM b, t WHERE NOT b.tune)
+SELECT t.bin / 50 AS threshold, round(t.n / t.r, 9) AS kept, round(t.tp / t.n, 9) AS precision, round(f, 9) AS f_tune, round(CASE WHEN o.tp > 0 THEN 2 * o.tp / (o.n + o.a) ELSE 0 END, 9) AS f_blind FROM t, o""")
+def k11_selective_submission(spark, sf):
+    out = K.selective_submission(all_pairs(spark, sf), F.col("entity") % 3 > 0)
+    return out.select("threshold", *[F.round(c, 9).alias(c) for c in ("kept", "precision", "f_tune", "f_blind")])
+
+
+@query()
+def g09_recursive_soft_propagation(spark, sf):
+    return O.recursive_soft_propagation(all_pairs(spark, sf), edges(spark, sf), read(spark, sf, "part").select(F.col("p_partkey").alias("term")), closure(spark, sf))
+
+
 @query()
 def k04_reranker(spark, sf):
     rows = S.split(candidates(spark, sf), 0.2, seed="k").withColumn("size", F.col("term") % 50)

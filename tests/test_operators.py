@@ -45,6 +45,12 @@ def test_information_content(spark):
     assert as_dict(ontology.information_content(closed), value="ic") == pytest.approx({"r": 0.0, "a": math.log(4)})
 
 
+def test_information_content_by_aspect(spark):
+    closed = spark.createDataFrame([(1, "r"), (2, "r"), (3, "r"), (4, "r"), (1, "s"), (2, "s"), (1, "t")], "entity int, term string")
+    aspects = spark.createDataFrame([("r", "x"), ("s", "y"), ("t", "y")], "term string, aspect string")
+    assert as_dict(ontology.information_content(closed, aspects), value="ic") == pytest.approx({"r": 0.0, "s": 0.0, "t": math.log(2)})
+
+
 def test_temporal_split_of_an_absent_snapshot_is_empty(spark):
     rows = spark.createDataFrame([("e", "v1-v2"), ("f", "v2-v3")], "entity string, snapshot string")
     assert staging.temporal_split(rows, "v9-v10").agg(F.sum("validation")).first()[0] == 0
@@ -104,3 +110,97 @@ def test_calibration_falls_back(spark):
     assert got.where("aspect = 'tiny'").first().calibrated == 0.3
     low, high = got.where("aspect = 'big'").agg(F.min("calibrated"), F.max("calibrated")).first()
     assert (low, high) == (0.0, 1.0)
+
+
+def test_recursive_soft_propagation_against_recursion(spark):
+    import random
+
+    r = random.Random(3)
+    parents = {k: sorted({k // 2, k // 3} - {0}) for k in range(1, 60)}
+    parents[1] = []
+    scores_ = {(e, t): r.random() for e in range(4) for t in r.sample(range(1, 60), 9)}
+    edges = spark.createDataFrame([(c, p) for c, ps in parents.items() for p in ps], "child int, parent int")
+    nodes = spark.createDataFrame([(k,) for k in parents], "term int")
+    got = {(x.entity, x.term): x.score for x in ontology.recursive_soft_propagation(spark.createDataFrame([(e, t, s) for (e, t), s in scores_.items()], "entity int, term int, score double"), edges, nodes, ontology.ancestors(edges, nodes=nodes)).collect()}
+    above = lambda t: {t}.union(*map(above, parents[t]))
+    for e in range(4):
+        every = set().union(*(above(t) for (x, t) in scores_ if x == e))
+        low, high = {}, {}
+
+        def down(t, e=e, low=low):
+            if t not in low:
+                own = scores_.get((e, t), 0.0)
+                low[t] = 0.7 * min(down(p) for p in parents[t]) + 0.3 * own if parents[t] else own
+            return low[t]
+
+        def up(t, e=e, every=every, high=high):
+            if t not in high:
+                children, own = [c for c in every if t in parents[c]], scores_.get((e, t), 0.0)
+                high[t] = 0.7 * max(map(up, children)) + 0.3 * own if children else own
+            return high[t]
+
+        for x, t in scores_:
+            if x == e:
+                assert got[e, t] == pytest.approx((down(t) + up(t)) / 2)
+
+
+def test_isotonic_calibration_is_pooled_adjacent_violators(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    s = r.random(300).round(3)
+    y = (r.random(300) < s**2).astype(int)
+    rows = spark.createDataFrame([("g", float(a), int(b)) for a, b in zip(s, y, strict=True)], "grp string, score double, label int")
+    blocks = []
+    for x in sorted(set(s.tolist())):
+        blocks.append([y[s == x].mean(), float((s == x).sum()), [x]])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            (m1, w1, x1), (m2, w2, x2) = blocks[-2:]
+            blocks[-2:] = [[(m1 * w1 + m2 * w2) / (w1 + w2), w1 + w2, x1 + x2]]
+    want = {x: m for m, _, xs in blocks for x in xs}
+    out = models.calibrate(rows, "grp")
+    assert all(x.calibrated == pytest.approx(want[x.score], abs=1e-9) for x in out.collect())
+    stats = models.calibration_stats(out, "grp").first()
+    assert stats.n == 300 and stats.positives == y.sum() and stats.brier_after < stats.brier_before and stats.mean_after == pytest.approx(y.mean())
+
+
+def test_platt_finds_the_logistic_curve_and_terciles_fall_back(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    s = r.random(4000)
+    y = r.random(4000) < 1 / (1 + np.exp(-(6 * s - 3)))
+    rows = spark.createDataFrame([("g", float(a), int(b)) for a, b in zip(s, y, strict=True)], "grp string, score double, label int")
+    got = models.calibrate(rows, "grp", method="platt").collect()
+    assert max(abs(x.calibrated - 1 / (1 + math.exp(-(6 * x.score - 3)))) for x in got) < 0.06
+    few = rows.limit(300).withColumn("term", F.expr("int(score * 40)")).withColumn("w", F.lit(1.0))
+    frequency = few.groupBy("term").agg(F.count("*").alias("n"))
+    parts = models.tercile_calibrate(few, frequency, "w", least=10_000)
+    whole = models.calibrate(few.withColumn("grp", F.lit("all")), "grp")
+    assert sorted((x.score, round(x.calibrated, 9)) for x in parts.collect()) == sorted((x.score, round(x.calibrated, 9)) for x in whole.collect())
+    assert {x.tercile for x in parts.select("tercile").distinct().collect()} <= {0, 1, 2}
+
+
+def test_principal_axes_are_those_of_the_covariance(spark):
+    import numpy as np
+
+    x = np.random.default_rng(6).normal(size=(200, 5)) * [5, 3, 1, 0.5, 0.1]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    got = np.array([r.projected for r in models.principal_axes(rows, "v", 2).orderBy("id").collect()])
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs((x - x.mean(axis=0)) @ axes[:2].T), atol=1e-6)
+
+
+def test_reranker_ranks_what_its_features_tell(spark):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    rows = [(float(a), float(b), int(a + 0.1 * r.normal() > 0.5)) for a, b in r.random((800, 2))]
+    frame = spark.createDataFrame(rows, "a double, b double, label int")
+    scored, auc = models.rerank(frame.limit(500), frame.subtract(frame.limit(500)), ["a", "b"], trees=5, depth=3)
+    assert auc > 0.9 and scored.where("reranked < 0 or reranked > 1").count() == 0
+    losses = {x.family: x.loss for x in models.ablation(frame.limit(500), frame, {"first": ["a"], "second": ["b"]}, trees=3, depth=2).collect()}
+    assert losses["first"] > 0.2 > abs(losses["second"]) and losses["none"] == 0
+    folds = frame.withColumn("fold", F.expr("int(b * 3)"))
+    out = models.out_of_fold(folds, ["a", "b"], 3)
+    assert out.count() == folds.count() and out.where("(out_of_fold > 0.5) = (label = 1)").count() > 0.8 * folds.count()
