@@ -120,9 +120,11 @@ def classes_of(coded: DataFrame, d: int, tables: int, least: float) -> tuple[Dat
 
     kinds = "uid long, grp string, n long, v array<double>, code long, cid long, phi double, core boolean"
     for t, part in enumerate(_substrings(tables)):
-        dealt = rest.withColumn("s", part)
+        dealt = materialise(rest.withColumn("s", part), "dealt")
+        busy = dealt.groupBy("grp", "s").agg(F.count("*").alias("m")).where("m > 2").select("grp", "s")  # most buckets hold one vector
+        dealt = materialise(dealt.join(busy, ["grp", "s"]), "busy")
         centres = dealt.select("grp", "s", "v").mapInArrow(_sums(d), "grp string, s long, n long, c array<double>").groupBy("grp", "s").applyInArrow(_added, "grp string, s long, n long, c array<double>")
-        centres = materialise(centres.where("n > 2").select("grp", "s", "c", (-1 - tables * F.monotonically_increasing_id() - t).alias("cid")), "centres")
+        centres = materialise(centres.select("grp", "s", "c", (-1 - tables * F.monotonically_increasing_id() - t).alias("cid")), "centres")
         claimed = materialise(dealt.join(centres, ["grp", "s"]).select("uid", "grp", "n", "v", "code", "cid", "c").mapInArrow(near, kinds), "claimed")
         # a centre that holds no two of its bucket together claims nothing
         firm = claimed.where("core").groupBy("cid").agg(F.count("*").alias("m")).where("m > 1").select("cid")
