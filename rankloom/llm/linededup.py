@@ -42,15 +42,14 @@ def _lines(text: str) -> str:
 def fingerprints(keyed: DataFrame, text: str, gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """keyed(id, k, text) -> (id, k, hs, at, marks): the line hashes, their piece numbers, and the fingerprints (j, g, n).
 
-    Each step is one pass over two arrays, one of them shifted: a further line is folded into grams that are not full,
-    then the minima of window - 1 further grams; a gram is chosen if it is the least of one of its windows."""
+    A gram folds the lines after its first one in until it is full. Then each step is one pass over two arrays, one of them
+    shifted: the minima of window - 1 further grams; a gram is chosen if it is the least of one of its windows."""
     out = keyed.where(F.col(text).isNotNull()).select("id", "k", F.expr(_lines(f"`{text}`")).alias("lines"))
-    out = out.withColumn("folded", F.expr("transform(lines, x -> struct(x.h as h, x.w as w, 1 as n))"))
-    full = f"x is null or (x.w >= {min_words} and x.n >= {gram})"
-    for k in range(1, max(gram, min_words)):
-        out = out.withColumn("folded", F.expr(f"zip_with(folded, slice(lines, {k + 1}, size(lines)), (x, y) -> if({full}, x, if(y.h is null, null, struct(xxhash64(x.h, y.h) as h, x.w + y.w as w, x.n + 1 as n))))"))
+    full = f"a.w >= {min_words} and a.n >= {gram}"
+    more = f"aggregate(slice(lines, i + 2, {max(gram, min_words) - 1}), struct(x.h as h, x.w as w, 1 as n), (a, y) -> if({full}, a, struct(xxhash64(a.h, y.h) as h, a.w + y.w as w, a.n + 1 as n)))"
+    out = out.withColumn("folded", F.expr(f"transform(lines, (x, i) -> {more})"))
     grams = f"""zip_with(lines, folded, (x, y) -> case when x.w >= {long_words} then struct(xxhash64(x.h) as g, 1 as n)
-        when y.w >= {min_words} then struct(y.h as g, y.n as n) end)"""
+        when y.w >= {min_words} and y.n >= {gram} then struct(y.h as g, y.n as n) end)"""
     out = out.withColumn("grams", F.expr(grams)).withColumn("least", F.expr("transform(grams, x -> x.g)"))
     out = out.withColumn("hashes", F.col("least"))
     for k in range(1, window):
