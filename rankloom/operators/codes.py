@@ -178,3 +178,20 @@ def profile_features(rows: DataFrame, vectors: DataFrame, k: int = 3) -> DataFra
     met = own.join(top, "entity").where((F.col("other") != F.col("term")) & (F.col("ok") <= F.when(F.col("k_") <= k, k + 1).otherwise(k)))
     coherence = met.groupBy(*PAIR).agg(F.avg(cosine("v", "ov")).alias("coherence"))
     return own.select(*PAIR, "score", cosine("v", "profile_v").alias("profile")).join(coherence, PAIR, "left").withColumn("coherence", F.coalesce("coherence", F.lit(0.0)))
+
+
+def structure_block(closure: DataFrame, k: int) -> DataFrame:
+    """closure(term, ancestor), term a whole number -> (term, v): each term's ancestor incidence in the k leading singular
+    directions of all terms' (scaled by the singular values). Spark ML has this decomposition on distributed matrices only."""
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    from rankloom.functions.steps import before
+
+    ids = before(closure.select("ancestor").distinct().withColumn("one_", F.lit(1)), "ancestor", "one_", "place").select("ancestor", "place")
+    n = ids.count()
+    sets = closure.join(ids, "ancestor").groupBy("term").agg(F.array_sort(F.collect_set("place")).alias("p"))
+    matrix = IndexedRowMatrix(sets.rdd.map(lambda r: IndexedRow(r.term, Vectors.sparse(n, [int(x) for x in r.p], [1.0] * len(r.p)))))
+    svd = matrix.computeSVD(k, computeU=True)
+    s = svd.s.toArray().tolist()
+    return svd.U.rows.map(lambda r: (r.index, [float(x) * y for x, y in zip(r.vector.toArray(), s, strict=True)])).toDF("term long, v array<double>")

@@ -10,7 +10,7 @@ from rankloom.operators import retrieval as R
 from .registry import query
 from .similarity import _VEC, vectors
 from .staging import h
-from .tables import PAIRS, all_pairs, candidates, read
+from .tables import PAIRS, all_pairs, candidates, closure, read
 
 
 def _rounded(df, digits, *columns):
@@ -161,3 +161,8 @@ def h30_profile_features(spark, sf):
     rows = all_pairs(spark, sf).groupBy("entity", (F.col("term") % 50).alias("term")).agg(F.max("score").alias("score"))
     u = vectors(spark, sf).select(F.col("id").alias("term"), R.unit("v").alias("v"))
     return _rounded(C.profile_features(rows, u), 6, "profile", "coherence")
+
+
+@query()
+def h32_structure_block(spark, sf):
+    return C.structure_block(closure(spark, sf), 8)

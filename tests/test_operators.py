@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import encoding, fusion, metrics, models, ontology, reports, resampling, retrieval, staging
+from rankloom.operators import codes, encoding, evidence, fusion, metrics, models, ontology, reports, resampling, retrieval, staging
 
 CHAIN = [("LEAF", "MID"), ("MID", "ROOT")]
 
@@ -204,3 +204,26 @@ def test_reranker_ranks_what_its_features_tell(spark):
     folds = frame.withColumn("fold", F.expr("int(b * 3)"))
     out = models.out_of_fold(folds, ["a", "b"], 3)
     assert out.count() == folds.count() and out.where("(out_of_fold > 0.5) = (label = 1)").count() > 0.8 * folds.count()
+
+
+def test_structure_block_is_a_truncated_decomposition(spark):
+    import numpy as np
+
+    edges = spark.createDataFrame([(c, p) for c in range(2, 40) for p in sorted({c // 2, c // 3} - {0})], "child long, parent long")
+    over = ontology.ancestors(edges)
+    got = {r.term: r.v for r in codes.structure_block(over, 4).collect()}
+    x = np.zeros((40, 40))
+    for r in over.collect():
+        x[r.term, r.ancestor] = 1
+    u, s, _ = np.linalg.svd(x)
+    want = (u[:, :4] * s[:4]) @ (u[:, :4] * s[:4]).T
+    mine = np.array([got.get(t, [0.0] * 4) for t in range(40)])
+    assert np.allclose(mine @ mine.T, want, atol=1e-6)
+
+
+def test_band_check_refuses_foreign_versions(spark):
+    registry = spark.createDataFrame([("a", [1, 2])], "band string, versions array<int>")
+    good = spark.createDataFrame([("a", 1)], "band string, version int")
+    assert evidence.require_bands(good, registry).count() == 1
+    with pytest.raises(ValueError):
+        evidence.require_bands(good.unionByName(spark.createDataFrame([("b", 1), ("a", None)], "band string, version int")), registry)
