@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import temp_name
 
 #: Bytes of the longest piece that DuckDB contracts, pieces a query takes, bytes of pieces a worker remembers.
-LONG_PIECE, QUERY_PIECES, REMEMBER = 400, 40_000, 120_000_000
+LONG_PIECE, QUERY_PIECES, REMEMBER = 400, 20_000, 60_000_000
 
 #: step holds unfinished pieces and, marked done, what is left of finished ones. A pair of tokens is one number; the
 #: next token is carried along (-1 at a piece's end), so each round sorts once.
@@ -95,7 +95,7 @@ class Codec:
     def __enter__(self) -> Codec:
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "preserve_insertion_order": False})
         self.db.execute("set enable_progress_bar = false")
         for name, table in self.vocabulary.tables.items():
             self.db.register("given", table)
@@ -169,7 +169,7 @@ class Codec:
         at = 0
         while at < len(texts):  # as many texts at a time as hold some millions of characters: each query reads the merge table anew
             upto, size, cut, fresh, number = at, 0, [], [], self.number
-            while upto < len(texts) and (upto == at or size < 12_000_000):
+            while upto < len(texts) and (upto == at or size < 4_000_000):
                 t = texts[upto] or ""
                 pieces = self.split(t)
                 new = [p for p in dict.fromkeys(pieces) if p not in number]
