@@ -156,7 +156,7 @@ def h29_text_scores(spark, sf):
 
 @query(f"""WITH {_UV}, {PAIRS}, r AS (SELECT entity, term % 50 AS term, max(score) AS score FROM pairs GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, term) AS k FROM r), x AS (SELECT entity, score, unnest(u) AS x, generate_subscripts(u, 1) AS dim FROM r JOIN w ON w.id = term), p AS (SELECT entity, list(s ORDER BY dim) AS p FROM (SELECT entity, dim, sum(score * x) AS s FROM x GROUP BY ALL) GROUP BY entity),
 c AS (SELECT a.entity, a.term, avg(list_dot_product(va.u, vb.u)) AS coherence FROM k a JOIN k b ON a.entity = b.entity AND a.term <> b.term AND b.k <= CASE WHEN a.k <= 3 THEN 4 ELSE 3 END JOIN w va ON va.id = a.term JOIN w vb ON vb.id = b.term GROUP BY ALL)
-SELECT r.entity, r.term, r.score, round(list_dot_product(u, p) / sqrt(list_dot_product(p, p)), 6) AS profile, round(coalesce(coherence, 0), 6) AS coherence FROM r JOIN w ON w.id = r.term JOIN p USING (entity) LEFT JOIN c ON c.entity = r.entity AND c.term = r.term""")
+SELECT r.entity, r.term, r.score, round(list_dot_product(u, p) / sqrt(list_dot_product(p, p)), 6) + 0.0 AS profile, round(coalesce(coherence, 0), 6) + 0.0 AS coherence FROM r JOIN w ON w.id = r.term JOIN p USING (entity) LEFT JOIN c ON c.entity = r.entity AND c.term = r.term""")
 def h30_profile_features(spark, sf):
     rows = all_pairs(spark, sf).groupBy("entity", (F.col("term") % 50).alias("term")).agg(F.max("score").alias("score"))
     u = vectors(spark, sf).select(F.col("id").alias("term"), R.unit("v").alias("v"))
