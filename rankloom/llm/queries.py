@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embdedup, license, linededup, lm, pii, quality, simhash, toxicity
+from . import bpe, conversations, decontaminate, embdedup, license, linededup, lm, mixing, pii, quality, simhash, toxicity, whitening
 from .common import read
 
 
@@ -51,6 +51,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(read(spark, sf_dir, "conversations")))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: A-Z in lower case, cut into words; every window of every item met with every window of its length of every document.
@@ -77,4 +92,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
     CAST(coalesce(b.words, 0) AS BIGINT) AS longest_words, b.item AS longest_item, CAST(b.item_at AS BIGINT) AS longest_item_at, CAST(b.doc_at AS BIGINT) AS longest_doc_at
 FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN best b USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op9_benchmark_decontamination": _OP9}
+#: The targets' level is that of the first source, in the order in which bounds are reached, whose bound lies above it; the
+#: slots that fall to a source take its words from the first on.
+_OP12 = r"""WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+numbered AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number, CAST(CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source)),
+totals AS (SELECT CAST(sum(source_size) AS DOUBLE) AS words, sum(w) AS w FROM numbered),
+levels AS (SELECT n.number, 2.0 * n.source_size / n.w AS reached, (1.5 * t.words - coalesce(sum(2.0 * n.source_size) OVER before, 0)) / (t.w - coalesce(sum(n.w) OVER before, 0)) AS level FROM numbered n, totals t WINDOW before AS (ORDER BY 2.0 * n.source_size / n.w, n.number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goal AS (SELECT n.*, CASE WHEN t.words = 0 THEN 0.0 ELSE least(2.0 * n.source_size, n.w * (SELECT level FROM levels WHERE level < reached ORDER BY reached, number LIMIT 1)) END AS target FROM numbered n, totals t),
+block AS (SELECT CAST(floor(1.5 * words) AS BIGINT) AS all_words, (SELECT max(b) FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]) AS b) WHERE b = 1 OR floor(1.5 * words) >= b * 65536) AS size FROM totals),
+parts AS (SELECT number, CAST(round(target / (SELECT all_words FROM block) * 2147483648) AS BIGINT) AS part FROM goal WHERE target > 0),
+cut AS (SELECT number, CAST(sum(part) OVER (ORDER BY number) AS BIGINT) - part AS lo, CAST(sum(part) OVER (ORDER BY number) AS BIGINT) AS hi FROM parts),
+points AS (SELECT ((((k * 2654435769) % 4294967296) >> 1) * (SELECT max(hi) FROM cut)) >> 31 AS y FROM (SELECT unnest(range((all_words + size - 1) // size)) AS k FROM block)),
+slots AS (SELECT number, count(*) * (SELECT size FROM block) AS words FROM points JOIN cut ON lo <= y AND y < hi GROUP BY number),
+placed AS (SELECT s.doc_id, s.size, g.source_size, g.target, g.number, CAST(sum(s.size) OVER (PARTITION BY g.number ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS start FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, coalesce(words, 0) - start)) + greatest(0, least(size, coalesce(words, 0) - start - source_size)) AS BIGINT) AS taken FROM placed LEFT JOIN slots USING (number)"""
+
+ORACLE_SQL: dict[str, str] = {"op9_benchmark_decontamination": _OP9, "op12_source_mixing": _OP12}
