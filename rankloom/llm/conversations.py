@@ -230,62 +230,91 @@ def audits(cut: DataFrame) -> DataFrame:
 
 
 class _Text:
-    """The digest of a repaired conversation, as its rows pass; `each` gets every line."""
+    """A repaired conversation, line by line as its rows pass."""
 
     def __init__(self, counts: tuple):
-        self.counts, self.audit, self.at, self.state, self.lines, self.digest = counts, counts[-1], 0, 0, 0, hashlib.sha256()
+        self.counts, self.audit, self.at, self.state, self.lines = counts, counts[-1], 0, 0, 0
 
-    def line(self, role: str, text: str) -> None:
-        self.digest.update(("\n" * (self.lines > 0) + f"{role}:{text}").encode())
-        self.lines += 1
-
-    def insert(self) -> None:
+    def insertions(self) -> Iterator[tuple[int, str, str]]:
         while self.audit[self.at : self.at + 1] == INSERT:
             role, self.state = _NEXT[self.state]
-            self.line(role, "")
             self.at += 1
+            yield self.line(role, "")
 
-    def row(self, role: str, text: str) -> None:
-        self.insert()
+    def row(self, role: str, text: str) -> Iterator[tuple[int, str, str]]:
+        yield from self.insertions()
         letter = self.audit[self.at]
         self.at += 1
         if letter == KEEP:
             self.state = _KEPT[self.state, role[:1]]
-            self.line(role, text)
+            yield self.line(role, text)
         elif letter == REROLE:
             role, self.state = _NEXT[self.state]
-            self.line(role, text)
+            yield self.line(role, text)
 
-    def out(self) -> tuple:
-        self.insert()
-        return (*self.counts[:-1], self.audit.translate(LETTERS), self.digest.hexdigest())
+    def line(self, role: str, text: str) -> tuple[int, str, str]:
+        self.lines += 1
+        return self.lines - 1, role, text
+
+
+def _lines(batches) -> Iterator[tuple[_Text, tuple[int, str, str] | None]]:
+    """Each conversation's lines, and None after its last."""
+    held = None
+    for place, conv, role, text, n, counts in _rows(batches):
+        if place == 0:
+            if held:
+                yield from ((held, line) for line in held.insertions())
+                yield held, None
+            held = _Text((conv, *counts, text))
+        else:
+            for _ in range(n):
+                yield from ((held, line) for line in held.row(role, text))
+    if held:
+        yield from ((held, line) for line in held.insertions())
+        yield held, None
 
 
-def repair(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of rows as damage() returns them:
-    (conv_id, turn, role, text, n)."""
+def _digests(batches) -> Iterator[tuple]:
+    digest = hashlib.sha256()
+    for held, line in _lines(batches):
+        if line:
+            digest.update(("\n" * (line[0] > 0) + f"{line[1]}:{line[2]}").encode())
+        else:
+            yield (*held.counts[:-1], held.audit.translate(LETTERS), digest.hexdigest())
+            digest = hashlib.sha256()
+
+
+def _repaired(batches) -> Iterator[tuple]:
+    return ((held.counts[0], *line) for held, line in _lines(batches) if line)
+
+
+def _walked(rows: DataFrame, segment: int, each, more: str, counts: bool) -> DataFrame:
+    """Rows beside their conversation's audit, in order, through `each`."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     whole, faults = judged(rows)
     found = audits(pieces(faults, segment))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", repaired_sha256 string"
+    kinds = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in found.schema if counts or f.name == "conv_id"] + [more])
     schema = to_arrow_schema(rows.sparkSession.createDataFrame([], kinds).schema)
     none = {c: F.lit(None).cast(t) for c, t in whole.dtypes}
     texts = whole.where("n > 0").select(F.lit(1).alias("place"), "conv_id", "turn", "role", "h", "text", "n", F.lit(None).cast("array<long>").alias("counts"))
     heads = found.select(F.lit(0).alias("place"), "conv_id", *(none[c].alias(c) for c in ("turn", "role", "h")), F.col("audit").alias("text"), none["n"].alias("n"), F.array(*_COUNTS).alias("counts"))
+    dealt = texts.unionByName(heads).repartition("conv_id").sortWithinPartitions("conv_id", "place", "turn", "role", "h")
+    return dealt.select("place", "conv_id", "role", "text", "n", "counts").mapInArrow(lambda batches: _emitted(each(batches), schema), kinds)
 
-    def walk(batches) -> Iterator[tuple]:
-        held = None
-        for place, conv, role, text, n, counts in _rows(batches):
-            if place == 0:
-                if held:
-                    yield held.out()
-                held = _Text((conv, *counts, text))
-            else:
-                for _ in range(n):
-                    held.row(role, text)
-        if held:
-            yield held.out()
 
-    dealt = texts.unionByName(heads).repartition("conv_id").sortWithinPartitions("conv_id", "place", "turn", "role", "h")
-    return dealt.select("place", "conv_id", "role", "text", "n", "counts").mapInArrow(lambda batches: _emitted(walk(batches), schema), kinds)
+def once(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv_id, turn, role, text, n): undamaged rows, as repair() and repaired_rows() take them."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    return rows.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), filled(role).alias("role"), filled(text).alias("text"), F.lit(1).cast("long").alias("n"))
+
+
+def repaired_rows(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(conv_id, place, role, text): the repaired conversations, of rows as once() or damage() returns them."""
+    return _walked(rows, segment, _repaired, "place long, role string, text string", counts=False)
+
+
+def repair(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256): each conversation's faults, the
+    edits that repair it, and the digest of what repaired_rows() gives."""
+    return _walked(rows, segment, _digests, "repaired_sha256 string", counts=True)

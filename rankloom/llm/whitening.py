@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 COMPONENTS, BLOCK, DEGREE, TOLERANCE, ROUNDS = 4, 32, 12, 1e-13, 100
 _GAIN = 1e8  # of the filter between the ends of a block, so that no column drowns in another
@@ -69,7 +69,7 @@ class Centre:
         return [int(s) if s < 2**63 else None for s in (y * y).sum(axis=1)]
 
 
-def _centre(fit: DataFrame, d: int) -> Centre:
+def _centre(vectors: DataFrame, d: int) -> Centre:
     def each(batches):
         total, n = [0] * d, 0
         for b in batches:
@@ -81,12 +81,12 @@ def _centre(fit: DataFrame, d: int) -> Centre:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([[n, *total]], pa.list_(pa.decimal128(38, 0)))], names=["s"])
 
-    found = fit.mapInArrow(each, "s array<decimal(38,0)>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    found = vectors.mapInArrow(each, "s array<decimal(38,0)>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
     n, *sums = (int(r.v) for r in found.orderBy("i").collect())  # d + 1 sums
     return Centre(n, sums)
 
 
-def _mean(fit: DataFrame, d: int, centre: Centre, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def _mean(vectors: DataFrame, d: int, centre: Centre, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """One pass: `of` centred rows, a sum over them, divided by n."""
 
     def each(batches):
@@ -98,7 +98,7 @@ def _mean(fit: DataFrame, d: int, centre: Centre, of: Callable[[np.ndarray], np.
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
 
-    found = fit.mapInArrow(each, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    found = vectors.mapInArrow(each, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
     return found.orderBy("i").toArrow().column("v").to_numpy() / centre.n
 
 
@@ -141,31 +141,51 @@ def leading(product: Callable[[np.ndarray], np.ndarray], d: int, count: int = CO
     raise ArithmeticError(f"the leading {count} components aren't certified after {rounds} rounds")
 
 
-def whiten(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", count: int = COMPONENTS, block: int = BLOCK, degree: int = DEGREE, tolerance: float = TOLERANCE) -> DataFrame:
-    """(vec_id, component, n, deviation, whitened, explained, identity_error) for each sound row and leading component."""
-    spark, rows = vectors.sparkSession, entries(vectors, id_, vector)
-    kinds = _ROWS.format(id=rows.schema["vec_id"].dataType.simpleString())
-    fit = materialise(rows.select("x").distinct(), "fit")
-    d = fit.agg(F.max(F.size("x"))).first()[0]
+class Whitening:
+    """What a fit keeps: the exact mean, eigenvalues, unit axes scaled to unit variance, each one's share of the trace, and
+    how far the covariance of the whitened fit list is from the identity."""
+
+    def __init__(self, d: int, centre: Centre, values: np.ndarray, axes: np.ndarray, trace: float, error: float):
+        self.d, self.centre, self.values, self.axes, self.explained, self.error = d, centre, values, axes, values / trace, error
+
+
+def fit(rows: DataFrame, count: int = COMPONENTS, block: int = BLOCK, degree: int = DEGREE, tolerance: float = TOLERANCE) -> Whitening | None:
+    """The leading components of distinct vectors, from entries(); None where nothing varies."""
+    distinct = materialise(rows.select("x").distinct(), "fit")
+    d = distinct.agg(F.max(F.size("x"))).first()[0]
     if not d:
-        return spark.createDataFrame([], kinds)
-    centre = _centre(fit, d)
-    trace = float(_mean(fit, d, centre, lambda y: np.array([(y * y).sum()]))[0])
-    values, axes = leading(lambda q: _mean(fit, d, centre, lambda y: y.T @ (y @ q)).reshape(q.shape), d, count, block, degree, tolerance)
+        return None
+    centre = _centre(distinct, d)
+    trace = float(_mean(distinct, d, centre, lambda y: np.array([(y * y).sum()]))[0])
+    values, axes = leading(lambda q: _mean(distinct, d, centre, lambda y: y.T @ (y @ q)).reshape(q.shape), d, count, block, degree, tolerance)
     some = values > 1e-12 * max(trace, 1e-300)
-    values, axes = values[some], axes[:, some] / np.sqrt(values[some])
-    k = len(values)
+    values, axes, k = values[some], axes[:, some] / np.sqrt(values[some]), int(some.sum())
     if not k:
-        return spark.createDataFrame([], kinds)
-    square = _mean(fit, d, centre, lambda y: np.concatenate([(y @ axes).sum(axis=0), ((y @ axes).T @ (y @ axes)).ravel()]))
+        return None
+    square = _mean(distinct, d, centre, lambda y: np.concatenate([(y @ axes).sum(axis=0), ((y @ axes).T @ (y @ axes)).ravel()]))
     error = float(np.abs(square[k:].reshape(k, k) - np.outer(square[:k], square[:k]) - np.eye(k)).max())
-    explained, names = values / trace, [f.split()[0] for f in kinds.split(", ")]
+    discard(distinct)
+    return Whitening(d, centre, values, axes, trace, error)
+
+
+def transform(rows: DataFrame, model: Whitening) -> DataFrame:
+    """(vec_id, whitened array<double>, deviation) of entries()."""
+    kind = rows.schema["vec_id"].dataType.simpleString()
 
     def each(batches):
         for b in batches:
-            x, m = _matrix(b.column(1), d), b.num_rows * k
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), k)))
-            deviation = pa.array(centre.deviations(x), pa.int64()).take(pa.array(np.repeat(np.arange(b.num_rows), k)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), b.num_rows)), pa.array(np.full(m, centre.n)), deviation, pa.array((centre.off(x) @ axes).ravel()), pa.array(np.tile(explained, b.num_rows)), pa.array(np.full(m, error))], names=names)
+            x = _matrix(b.column(1), model.d)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(model.centre.off(x) @ model.axes), pa.list_(pa.float64())), pa.array(model.centre.deviations(x), pa.int64())], names=["vec_id", "whitened", "deviation"])
+
+    return rows.mapInArrow(each, f"vec_id {kind}, whitened array<double>, deviation long")
 
-    return rows.mapInArrow(each, kinds)
+
+def whiten(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", count: int = COMPONENTS, **options) -> DataFrame:
+    """(vec_id, component, n, deviation, whitened, explained, identity_error) for each sound row and leading component."""
+    rows = entries(vectors, id_, vector)
+    model = fit(rows, count, **options)
+    if model is None:
+        return vectors.sparkSession.createDataFrame([], _ROWS.format(id=rows.schema["vec_id"].dataType.simpleString()))
+    shares = F.array(*[F.lit(float(v)) for v in model.explained])
+    long = transform(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    return long.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.centre.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("i")).alias("explained"), F.lit(model.error).alias("identity_error"))

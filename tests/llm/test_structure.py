@@ -132,6 +132,19 @@ def test_a_conversation_of_many_pieces(spark):
     assert conversations.repair(conversations.damage(spark.createDataFrame([], TURNS))).count() == 0
 
 
+def test_repaired_rows_are_what_the_digest_is_of(spark):
+    pick = random.Random(9)
+    rows = [(c, t, pick.choice(["user", "assistant", "system"]), pick.choice(["Hi.", "Oh", "", "Yes!"]) + str(pick.randint(0, 2)) * pick.randint(0, 1)) for c in (1, None, 3) for t in range(25)]
+    frame = conversations.once(spark.createDataFrame(rows, TURNS))
+    texts = {}
+    for r in conversations.repaired_rows(frame, segment=4).orderBy("conv_id", "place").collect():
+        texts.setdefault(r.conv_id, []).append((r.place, r.role, r.text))
+    for r in conversations.repair(frame).collect():
+        lines = texts.get(r.conv_id, [])
+        assert [p for p, _, _ in lines] == list(range(len(lines))) and ROLES.fullmatch("".join(role[0] for _, role, _ in lines))
+        assert r.repaired_sha256 == hashlib.sha256("\n".join(f"{role}:{t}" for _, role, t in lines).encode()).hexdigest()
+
+
 def test_registered_conversations(spark):
     folder = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").collect()]
