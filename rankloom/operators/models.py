@@ -8,11 +8,10 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import fits, metrics
 from .fusion import union_streams
 
 
@@ -22,33 +21,13 @@ def ia_weight(mode: str, scale: float = 1.0, label: str = "label") -> Column:
     return {"none": F.lit(1.0), "positives": F.when(F.col(label) == 1, w).otherwise(1.0), "all": w}[mode]
 
 
-MOST_GROUPS = 200  # aspects, bins or cells: one fit each, planned by the driver
-
-
-def _groups(rows: DataFrame, by: str) -> list:
-    """(group, n, y) of the groups, which must be few."""
-    sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum("label").alias("y")).limit(MOST_GROUPS + 1).collect()
-    if len(sizes) > MOST_GROUPS:
-        raise ValueError(f"over {MOST_GROUPS} groups of {by}; calibrate by something coarser")
-    return sizes
-
-
 def calibrate(rows: DataFrame, by: str, least: int = 50, weight: str | None = None, method: str = "isotonic") -> DataFrame:
-    """Adds calibrated: isotonic regression of label on score, or Platt's logistic curve, within each group; the score itself
-    where a group has under `least` rows or one class. Groups are few (aspects), one Spark ML fit each."""
-    out = None
-    for r in _groups(rows, by):
-        part = rows.where(F.col(by).eqNullSafe(F.lit(r[by])))
-        own = {"weightCol": weight} if weight else {}
-        if r.n < least or r.y in (0, r.n):
-            done = part.withColumn("calibrated", F.col("score").cast("double"))
-        elif method == "platt":
-            data = VectorAssembler(inputCols=["score"], outputCol="features").transform(part)
-            done = LogisticRegression(labelCol="label", probabilityCol="p_", **own).fit(data).transform(data).select(*rows.columns, vector_to_array("p_")[1].alias("calibrated"))
-        else:
-            done = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated", **own).fit(part).transform(part)
-        out = done if out is None else out.unionByName(done)
-    return rows.withColumn("calibrated", F.lit(None).cast("double")) if out is None else out
+    """Adds calibrated: isotonic regression of label on score, by steps of a thousandth of [0, 1], or Platt's logistic curve,
+    within each group; the score itself where a group has under `least` rows or one class. All groups are fitted at once."""
+    if method == "platt":
+        model = fits.fit_logistic(rows, [by], ["score"], weight=weight, least=least)
+        return model.apply(rows, "all", "calibrated").withColumn("calibrated", F.coalesce("calibrated", F.col("score").cast("double"))).select(*rows.columns, "calibrated")
+    return fits.apply_curves(rows, fits.isotonic_curves(rows, [by], weight, least=least), [by]).select(*rows.columns, "calibrated")
 
 
 def calibration_stats(calibrated: DataFrame, by: str) -> DataFrame:
@@ -62,17 +41,9 @@ def tercile_calibrate(rows: DataFrame, frequency: DataFrame, weight: str, least:
     the tercile of a row's term, over all rows where the tercile has under `least` of them or one class."""
     cut = frequency.agg(F.percentile_approx("n", F.array(F.lit(1 / 3), F.lit(2 / 3)), 100_000).alias("c")).first().c or [0, 0]
     binned = rows.join(frequency.select("term", "n"), "term", "left").withColumn("tercile", (F.coalesce("n", F.lit(0)) > cut[0]).cast("int") + (F.coalesce("n", F.lit(0)) > cut[1]).cast("int")).drop("n")
-    fit = lambda part: IsotonicRegression(featuresCol="score", labelCol="label", weightCol=weight, predictionCol="calibrated").fit(part)
-    whole, out = None, None
-    for r in _groups(binned, "tercile"):
-        part = binned.where(F.col("tercile") == r.tercile)
-        if r.n < least or r.y in (0, r.n):
-            whole = whole or fit(binned)
-            done = whole.transform(part)
-        else:
-            done = fit(part).transform(part)
-        out = done if out is None else out.unionByName(done)
-    return binned.withColumn("calibrated", F.lit(None).cast("double")) if out is None else out
+    whole = fits.isotonic_curves(binned.withColumn("all_", F.lit(0)), ["all_"], weight).select(F.col("curve").alias("whole_"))
+    curves = fits.isotonic_curves(binned, ["tercile"], weight, least=least).join(F.broadcast(whole))  # one row
+    return fits.apply_curves(binned, curves.withColumn("curve", F.coalesce("curve", "whole_")), ["tercile"])
 
 
 def binned_calibrators(rows: DataFrame, by: str, bins: int = 10) -> DataFrame:
@@ -108,8 +79,10 @@ def selective_submission(rows: DataFrame, tune: Column, thresholds: int = 50) ->
 
 
 def _assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    filled = rows.select("*", *[F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)).alias(f"f_{c}") for c in features])
-    return VectorAssembler(inputCols=[f"f_{c}" for c in features], outputCol="features").transform(filled)
+    """Features as a vector: a missing value is 0.0, and a second column tells that it is missing."""
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features}
+    filled = rows.select("*", *[F.coalesce(v, F.lit(0.0)).alias(f"f_{c}") for c, v in value.items()], *[v.isNull().cast("double").alias(f"missing_{c}") for c, v in value.items()])
+    return VectorAssembler(inputCols=[f"{p}_{c}" for p in ("f", "missing") for c in features], outputCol="features").transform(filled)
 
 
 def rerank(train: DataFrame, test: DataFrame, features: Sequence[str], weight: str | None = None, trees: int = 20, depth: int = 4, seed: int = 7) -> tuple[DataFrame, float]:
@@ -120,17 +93,6 @@ def rerank(train: DataFrame, test: DataFrame, features: Sequence[str], weight: s
     return scored.select(*test.columns, "reranked"), auc
 
 
-def ablation(train: DataFrame, test: DataFrame, families: dict[str, Sequence[str]], **how) -> DataFrame:
-    """(family, auc, loss) of the re-ranker without each family in turn; 'none' is the full one."""
-    spark, every = train.sparkSession, [c for f in families.values() for c in f]
-    full = rerank(train, test, every, **how)[1]
-    rows = [("none", full, 0.0)]
-    for name, gone in families.items():
-        auc = rerank(train, test, [c for c in every if c not in gone], **how)[1]
-        rows.append((name, auc, full - auc))
-    return spark.createDataFrame(rows, "family string, auc double, loss double")
-
-
 def tune_blend(a: DataFrame, b: DataFrame, truth: DataFrame, weights: Sequence[float], cell: str, cells: DataFrame, thresholds: int = 50) -> DataFrame:
     """(cell, weight, f): the noisy-or weight with the best F in each cell. cells(entity, cell)."""
     spark = a.sparkSession

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.operators import fits as FT
 from rankloom.operators import models as K
 from rankloom.operators import ontology as O
 from rankloom.operators import staging as S
@@ -23,21 +24,45 @@ def k01_ia_weights(spark, sf):
     return pairs.join(ia, "term", "left").select("entity", "term", F.round(K.ia_weight("positives", 0.5), 9).alias("w_positives"), F.round(K.ia_weight("all", 0.5), 9).alias("w_all"))
 
 
-@query()
+#: Isotonic regression of p(grp, bin, w, wy) as the largest, over starts up to a point, of the least mean from there to any end from the point on.
+_ISOTONIC = """q AS (SELECT *, row_number() OVER o AS i, sum(w) OVER o AS sw, sum(wy) OVER o AS sy FROM p WHERE w > 0 WINDOW o AS (PARTITION BY grp ORDER BY bin)), m AS (SELECT a.grp, a.i AS j, b.i AS k, min((b.sy - a.sy + a.wy) / (b.sw - a.sw + a.w)) OVER (PARTITION BY a.grp, a.i ORDER BY b.i DESC) AS least FROM q a JOIN q b ON b.grp = a.grp AND b.i >= a.i),
+curve AS (SELECT q.grp, q.bin, max(m.least) AS fitted FROM q JOIN m ON m.grp = q.grp AND m.k = q.i GROUP BY ALL)"""
+_BIN = "least(1000, greatest(0, floor(score * 1000)))::INTEGER"
+
+
+@query(f"""WITH {CAND}, p AS (SELECT category AS grp, {_BIN} AS bin, count(*)::DOUBLE AS w, sum(label)::DOUBLE AS wy FROM cand GROUP BY ALL), {_ISOTONIC}, n AS (SELECT category, count(*) >= 50 AND sum(label) > 0 AND sum(label) < count(*) AS fits FROM cand GROUP BY ALL)
+SELECT entity, term, stream, category, score, label, round(CASE WHEN fits THEN fitted ELSE score END, 9) AS calibrated FROM (SELECT *, {_BIN} AS bin FROM cand) x JOIN n USING (category) JOIN curve ON grp = category AND curve.bin = x.bin""")
 def k02_calibration(spark, sf):
     rows = candidates(spark, sf).select("entity", "term", "stream", "category", "score", "label")
-    return K.calibrate(rows, "category")
+    return K.calibrate(rows, "category").withColumn("calibrated", F.round("calibrated", 9))
 
 
-@query()
+#: Newton's method for a + b * score in each category, on counts by score.
+@query(f"""WITH RECURSIVE {CAND}, p AS MATERIALIZED (SELECT category, score, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS y FROM cand GROUP BY ALL),
+fit AS (SELECT category, 0 AS round, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM (SELECT DISTINCT category FROM p) UNION ALL
+    SELECT category, round + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+    FROM (SELECT f.category, f.round, f.a, f.b, sum(y - n * e) AS g0, sum((y - n * e) * score) AS g1, sum(n * e * (1 - e)) AS h00, sum(n * e * (1 - e) * score) AS h01, sum(n * e * (1 - e) * score * score) AS h11 FROM (SELECT f.*, p.score, p.n, p.y, 1 / (1 + exp(-f.a - f.b * p.score)) AS e FROM fit f JOIN p USING (category) WHERE f.round < 12) f GROUP BY ALL)),
+n AS (SELECT category, count(*) >= 50 AND sum(label) > 0 AND sum(label) < count(*) AS fits FROM cand GROUP BY ALL)
+SELECT entity, term, stream, category, score, label, round(CASE WHEN fits THEN 1 / (1 + exp(-a - b * score)) ELSE score END, 6) AS calibrated FROM cand JOIN n USING (category) JOIN (SELECT * FROM fit WHERE round = 12) USING (category)""")
 def k02_platt(spark, sf):
-    return K.calibrate(candidates(spark, sf).select("entity", "term", "stream", "category", "score", "label"), "category", method="platt")
+    rows = candidates(spark, sf).select("entity", "term", "stream", "category", "score", "label")
+    return K.calibrate(rows, "category", method="platt").withColumn("calibrated", F.round("calibrated", 6))
 
 
-@query()
+@query(f"""WITH {CAND}, f AS (SELECT term, count(*) AS n FROM cand GROUP BY ALL), c AS (SELECT quantile_disc(n, 1.0 / 3) AS low, quantile_disc(n, 2.0 / 3) AS high FROM f), r AS (SELECT d.*, 1 + d.term % 3 AS w, (n > low)::INTEGER + (n > high)::INTEGER AS tercile, {_BIN} AS bin FROM cand d JOIN f USING (term), c),
+p AS (SELECT tercile AS grp, bin, sum(w)::DOUBLE AS w, sum(w * label)::DOUBLE AS wy FROM r GROUP BY ALL UNION ALL SELECT 9, bin, sum(w), sum(w * label) FROM r GROUP BY ALL), {_ISOTONIC}, n AS (SELECT tercile, CASE WHEN count(*) >= 50 AND sum(label) > 0 AND sum(label) < count(*) THEN tercile ELSE 9 END AS grp FROM r GROUP BY tercile)
+SELECT entity, term, stream, score, label, w, r.tercile, round(fitted, 9) AS calibrated FROM r JOIN n ON n.tercile = r.tercile JOIN curve ON curve.grp = n.grp AND curve.bin = r.bin""")
 def k03_tercile_calibration(spark, sf):
     rows = candidates(spark, sf).select("entity", "term", "stream", "score", "label").withColumn("w", 1 + F.col("term") % 3)
-    return K.tercile_calibrate(rows, rows.groupBy("term").agg(F.count("*").alias("n")), "w")
+    return K.tercile_calibrate(rows, rows.groupBy("term").agg(F.count("*").alias("n")), "w").withColumn("calibrated", F.round("calibrated", 9))
+
+
+@query()
+def k05_family_ablation(spark, sf):
+    rows = S.split(candidates(spark, sf), 0.2, seed="k").withColumns({"size": F.col("term") % 50, "gap": F.when(F.col("entity") % 7 > 0, F.col("entity") % 11), "flat": F.lit(1.0)})
+    families = {"first": ["score"], "second": ["score2"], "shape": ["stream", "size"], "sparse": ["gap"], "constant": ["flat"]}
+    out = FT.family_ablation(rows.where("validation = 0"), rows.where("validation = 1"), ["category", "snapshot"], families, weight=None)
+    return out.select("category", "snapshot", "family", F.round("auc", 9).alias("auc"), F.round("loss", 9).alias("loss"))
 
 
 _BINNED = f"""{CAND}, c AS (SELECT category, (least(10, greatest(0, floor(score * 10)))::INTEGER + 0.5::DOUBLE) / 10 AS x, avg(label) AS y FROM cand WHERE entity % 2 = 0 GROUP BY ALL), r AS (SELECT entity, term, stream, category, score FROM cand WHERE entity % 2 = 1),

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "flagship_ia_micro_f"
-MODULES = ("staging", "dag", "evaluation", "similarity", "blending", "analysis", "learning", "files", "pools", "evidence", "codes")
+MODULES = ("staging", "dag", "evaluation", "similarity", "blending", "analysis", "learning", "files", "pools", "evidence", "codes", "lookups")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
