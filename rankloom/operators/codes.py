@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,86 @@ def weighted_mean(units: DataFrame, by: str, vector: str, weighted: bool = True)
     return long.groupBy(by, "dim").agg(F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("x")) / F.sum("w")).otherwise(F.avg("x")).alias("x"))
 
 
+def standardised(units: DataFrame, vector: str, moments: DataFrame) -> DataFrame:
+    """units with the vector centred and scaled by the corpus's moments(dim, mean, std), which are one row of arrays; a
+    dimension without spread is centred alone. Moments of an entity of its own would make its code depend on its length."""
+    stats = moments.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("stats_"))
+    scaled = F.zip_with(vector, "stats_", lambda x, m: (x.cast("double") - m["mean"]) / F.when(m["std"] > 0, m["std"]).otherwise(1.0))
+    return units.crossJoin(F.broadcast(stats)).withColumn(vector, scaled).drop("stats_")  # one row
+
+
+def _best(values: DataFrame, by: str, k: int) -> DataFrame:
+    """The k largest positive or negative values but zero: (by, atom, value, rank)."""
+    order = Window.partitionBy(by).orderBy(F.desc("value"), "atom")
+    return values.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("value") != 0)).select(by, "atom", "value", "rank")
+
+
+def usage_histogram(units: DataFrame, by: str, vector: str, k: int) -> DataFrame:
+    """(by, atom, value, frequency): each unit keeps its k largest components; value is an atom's mean over the entity's units,
+    so how often times how strongly it was selected, and frequency the share of units that selected it, all that binary
+    codes leave. Its support is the union of the units', not k atoms."""
+    n = units.groupBy(by).agg(F.count("*").alias("units_"))
+    found = units.select(by, F.explode(top_code(vector, k, signed=True)).alias("c")).select(by, "c.atom", F.col("c.value").cast("double").alias("x")).where("x <> 0")
+    used = found.groupBy(by, "atom").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    return used.join(n, by).select(by, "atom", (F.col("x") / F.col("units_")).alias("value"), (F.col("n") / F.col("units_")).alias("frequency"))
+
+
+def aggregate_then_sparsify(units: DataFrame, by: str, vector: str, k: int) -> DataFrame:
+    """(by, atom, value, rank): the k largest components of the mean vector; what every unit has a little of can win."""
+    return _best(weighted_mean(units, by, vector, weighted=False).select(by, F.col("dim").alias("atom"), F.col("x").alias("value")), by, k)
+
+
+def sparsify_aggregate_sparsify(units: DataFrame, by: str, vector: str, k_unit: int, k: int) -> DataFrame:
+    """(by, atom, value, rank): the k largest of the usage histogram, atoms both frequent and strong."""
+    return _best(usage_histogram(units, by, vector, k_unit).select(by, "atom", "value"), by, k)
+
+
+def orders_disagree(units: DataFrame, by: str, vector: str, k: int) -> DataFrame:
+    """(by, units, disagree): whether averaging first and selecting first choose different atoms for an entity."""
+    first, second = aggregate_then_sparsify(units, by, vector, k), sparsify_aggregate_sparsify(units, by, vector, k, k)
+    n = units.groupBy(by).agg(F.count("*").alias("units"))
+    return n.join(code_overlap(first, second, by), by, "left").select(by, "units", F.coalesce(F.col("both") < F.col("either"), F.lit(False)).alias("disagree"))
+
+
+def refuse_collapsed_orders(report: DataFrame) -> float:
+    """The share of entities of orders_disagree() whose orders differ; none at all is an error, as nothing could be measured."""
+    share = report.agg(F.avg(F.col("disagree").cast("double"))).first()[0]
+    if not share:
+        raise ValueError("both orders of aggregation choose the same atoms for every entity: there is no difference to measure. Use more units for each entity, or fewer atoms")
+    return share
+
+
+def atom_selection(codes: dict[str, DataFrame]) -> DataFrame:
+    """codes(entity, atom) by order's name -> (order, atom, n, share): how many of an order's entities choose each atom."""
+    out = None
+    for name, code in codes.items():
+        total = code.agg(F.countDistinct("entity").alias("all_"))  # one row
+        part = code.groupBy("atom").agg(F.countDistinct("entity").alias("n")).crossJoin(F.broadcast(total)).select(F.lit(name).alias("order"), "atom", "n", (F.col("n") / F.col("all_")).alias("share"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Atoms that a gate must be expected to leave.
+LEAST_GATED = 16
+
+
+def expected_gated(k: int, dictionary: int) -> float:
+    """Atoms that two independent codes of k among `dictionary` atoms are expected to share."""
+    return k * k / dictionary if dictionary > 0 else 0.0
+
+
+def refuse_collapsing_gate(k: int, dictionary: int, least: int = LEAST_GATED) -> None:
+    """An error where a gate would be expected to leave under `least` atoms: its result would say nothing."""
+    if expected_gated(k, dictionary) < least:
+        raise ValueError(f"a gate with k={k} on {dictionary} atoms is expected to leave {expected_gated(k, dictionary):.1f}, under {least}: raise k or shrink the dictionary, as what is left is k squared over its size")
+
+
+def gated(units: DataFrame, id_: str, by: str, vector: str, k: int, code: DataFrame) -> DataFrame:
+    """(id, by, atom, value): each unit's k largest components times its entity's code(by, atom, value); only atoms of both stay."""
+    own = units.select(F.col(id_).alias("id"), by, F.explode(top_code(vector, k, signed=True)).alias("c")).select("id", by, "c.atom", F.col("c.value").cast("double").alias("x"))
+    return own.join(code.select(by, "atom", F.col("value").alias("y")), [by, "atom"]).select("id", by, "atom", (F.col("x") * F.col("y")).alias("value")).where("value <> 0")
+
+
 def posting_shape(codes: DataFrame, heavy: float = 0.1) -> DataFrame:
     """codes(entity, atom) -> (atom, n, share, idf, heavy) over the entities."""
     total = codes.agg(F.countDistinct("entity").alias("all_"))
@@ -98,10 +180,10 @@ def sampled_pairs(entities: DataFrame, each: int, seed: str = "0") -> DataFrame:
     return drawn.join(ids.select("place", F.col("entity").alias("b")), "place").where("a <> b").select("a", "b").distinct()
 
 
-def neighbour_pairs(sets: DataFrame, least: float, most: int = 200) -> DataFrame:
+def neighbour_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, jaccard), a < b: pairs of sets(entity, term) with at least that Jaccard similarity, by their rarest terms: two
-    such sets share one of each other's first n - ceil(least * n) + 1 terms by rarity. `most` is the longest set taken."""
-    n = sets.groupBy("entity").agg(F.count("*").alias("size")).where(F.col("size") <= most)
+    such sets share one of each other's first n - ceil(least * n) + 1 terms by rarity. Sets of any length are taken."""
+    n = sets.groupBy("entity").agg(F.count("*").alias("size"))
     rare = sets.groupBy("term").agg(F.count("*").alias("held"))
     rows = sets.join(n, "entity").join(rare, "term").withColumn("k_", F.row_number().over(Window.partitionBy("entity").orderBy("held", "term")))
     prefix = rows.where(F.col("k_") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).select("entity", "term", "size")
@@ -112,6 +194,54 @@ def neighbour_pairs(sets: DataFrame, least: float, most: int = 200) -> DataFrame
     return both.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def hard_negatives(vectors: DataFrame, sets: DataFrame, k: int, below: float, block: int = 2_000) -> DataFrame:
+    """vectors(id, v), sets(entity, term) -> (a, b, cosine, jaccard, rank): for each entity the k nearest by cosine among those
+    whose sets have a Jaccard similarity below the bound; ties by id. Near and alike are judged in the same pass, so the
+    bound never eats into the k: a block's candidates are taken in order of cosine until k pass.
+
+    Vectors and sets of a block travel as one packed row, so what is shuffled is blocks, not rows for each block. Entities
+    without terms have empty sets, which are like nothing; vectors are of one length, terms whole numbers."""
+    terms = sets.groupBy("entity").agg(F.collect_set(F.col("term").cast("long")).alias("terms"))
+    rows = vectors.join(terms, vectors["id"] == terms["entity"], "left").select(F.col("id").cast("long").alias("id"), unit("v").alias("v"), F.coalesce("terms", F.expr("cast(array() as array<bigint>)")).alias("terms"))
+    n = max(1, -(-vectors.count() // block))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("x")).agg(F.collect_list(F.struct("id", "v", "terms")).alias("rows"))  # about `block` rows
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a, b = packed.select("x", F.col("rows").alias("left"), every.alias("y")), packed.select(F.col("x").alias("y"), F.col("rows").alias("right"), every.alias("x"))
+    found = a.join(b, ["x", "y"]).select("left", "right").mapInArrow(_constrained(k, below), "a long, b long, cosine double, jaccard double")
+    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _constrained(k: int, below: float):
+    def unpacked(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, list[frozenset]]:
+        t = rows.values
+        v = np.asarray(t.field("v").flatten(), np.float64)
+        return t.field("id").to_numpy(), v.reshape(len(t), -1), [frozenset(x) for x in t.field("terms").to_pylist()]
+
+    def each(batches):
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                (ids, x, own), (others, y, theirs) = unpacked(left), unpacked(right)
+                cosines, out = x @ y.T, []
+                order = np.lexsort((np.broadcast_to(others, cosines.shape), -cosines), axis=1)
+                for i in range(len(ids)):
+                    left_to_find = k
+                    for j in order[i]:
+                        if others[j] == ids[i]:
+                            continue
+                        both = len(own[i] & theirs[j])
+                        jaccard = both / max(1, len(own[i]) + len(theirs[j]) - both)
+                        if jaccard < below:
+                            out.append((ids[i], others[j], cosines[i, j], jaccard))
+                            left_to_find -= 1
+                            if not left_to_find:
+                                break
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["a", "b", "cosine", "jaccard"])
+
+    return each
+
+
 def pair_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) with both entities' term sets as terms_a and terms_b; entities without terms have empty ones."""
     terms = sets.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("t"))

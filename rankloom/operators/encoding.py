@@ -29,6 +29,48 @@ def features_of(families: Mapping[str, Sequence[str]], present: Iterable[str], u
     return [c for f, names in families.items() if f in chosen for c in names if c in have and c not in gone and not c.startswith(dropped_prefix)]
 
 
+def selected_features(families: Mapping[str, Sequence[str]], present: Iterable[str], categorical: Iterable[str] = (), use: Iterable[str] | None = None, drop: Iterable[str] = (), override: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) features: those of the families in use, or an explicit list in its order, without dropped ones."""
+    gone, kinds, have = set(drop), set(categorical), set(present)
+    chosen = features_of(families, have, use, gone) if override is None else [c for c in dict.fromkeys(override) if c in have and c not in gone]
+    return [c for c in chosen if c not in kinds], [c for c in chosen if c in kinds]
+
+
+def score_vector(rows: DataFrame, scorers: Mapping[str, Sequence[str]], known_only: Iterable[str], category: str, without_known: Iterable[str] = ("nk",)) -> DataFrame:
+    """The scorers' columns as doubles, null for scorers that build on known terms where the category has none."""
+    gone, bare = set(known_only), F.lower(F.col(category)).isin([c.lower() for c in without_known])
+    value = lambda c, scorer: F.when(bare, F.lit(None)).otherwise(F.col(c)) if scorer in gone else F.col(c)
+    return rows.withColumns({c: value(c, scorer).cast("double") for scorer, names in scorers.items() for c in names})
+
+
+def filled(rows: DataFrame, numeric: Iterable[str], codes: Iterable[str]) -> DataFrame:
+    """Every wanted column as a float: missing numbers NaN, missing category codes -1."""
+    part = lambda c, empty: F.coalesce((F.col(c) if c in rows.columns else F.lit(None)).cast("float"), F.lit(empty).cast("float"))
+    return rows.withColumns({c: part(c, float("nan")) for c in numeric} | {c: part(c, -1.0) for c in codes})
+
+
+def members(rows: DataFrame, entities: DataFrame, column: str = "entity") -> DataFrame:
+    """Rows of the listed entities, each once however often it is listed."""
+    return rows.join(entities.select(column).distinct(), column, "left_semi")
+
+
+#: The letters that older files use for the three aspects.
+ASPECT_LETTERS = {"F": "mfo", "P": "bpo", "C": "cco"}
+
+
+def aspect_name(aspect: Column) -> Column:
+    """An aspect's name, in lower case, of its name or letter."""
+    out = F.when(F.length(aspect) > 1, F.lower(aspect))
+    for letter, name in ASPECT_LETTERS.items():
+        out = out.when(F.upper(aspect) == letter, name)
+    return out
+
+
+def neighbour_score(distance: Column) -> Column:
+    """1 - distance, the score of a neighbour alone."""
+    return 1 - distance.cast("double")
+
+
 def numeric_features(rows: DataFrame, drop: Iterable[str] = ()) -> list[str]:
     return [c for c, t in rows.dtypes if t in ("float", "double", "int", "bigint", "smallint", "tinyint") and c not in set(drop)]
 

@@ -79,6 +79,55 @@ def missed_mass(truth: DataFrame, pool: DataFrame, weights: DataFrame, tags: Dat
     return rows.groupBy(F.coalesce("tag", F.lit("none")).alias("tag")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("have_").isNull(), w).otherwise(0.0)).alias("missed"), F.sum(w).alias("total"))
 
 
+def enriched(rows: DataFrame, terms: DataFrame, entities: DataFrame, entity: str = "entity") -> DataFrame:
+    """rows with the columns of terms(term, ...), where they have such a term, and of entities(entity, ...) where these are known."""
+    return rows.join(terms, "term").join(entities, entity, "left")
+
+
+def term_evidence(annotations: DataFrame, strong: str, weak: str, share: float = 0.5) -> DataFrame:
+    """annotations(entity, term, tier) -> (term, class, strong_share): which evidence carries a term: 'strong' or 'weak' from
+    that share of its annotations on, strong first, else 'mixed'."""
+    n = annotations.groupBy("term").agg(F.avg((F.col("tier") == strong).cast("double")).alias("strong_share"), F.avg((F.col("tier") == weak).cast("double")).alias("weak_share"))
+    return n.select("term", F.when(F.col("strong_share") >= share, "strong").when(F.col("weak_share") >= share, "weak").otherwise("mixed").alias("class"), "strong_share")
+
+
+def donor_evidence(targets: DataFrame, neighbours: DataFrame, annotations: DataFrame) -> DataFrame:
+    """targets(entity, term), neighbours(query, reference, cosine), annotations(entity, term, tier): targets with donors, how
+    many neighbours carry the term, and the best one's id and tier: the nearest, ties by the smaller id; null where no
+    neighbour brings the term. A neighbour with several tiers for a term gives its first by name."""
+    carried = annotations.groupBy(F.col("entity").alias("reference"), "term").agg(F.min("tier").alias("tier"))
+    asked = targets.select(*PAIR).distinct()
+    met = asked.join(neighbours.select(F.col("query").alias("entity"), "reference", "cosine"), "entity").join(carried, ["reference", "term"])
+    best = met.groupBy(*PAIR).agg(F.count("*").alias("donors"), F.max_by(F.struct("reference", "tier"), F.struct("cosine", -F.col("reference"))).alias("d_"))
+    return asked.join(best, PAIR, "left").select(*PAIR, F.coalesce("donors", F.lit(0)).cast("long").alias("donors"), F.col("d_.reference").alias("donor"), F.col("d_.tier").alias("tier"))
+
+
+def mass_by_evidence(truth: DataFrame, delivered: DataFrame, pool: DataFrame, weights: DataFrame, classes: DataFrame) -> DataFrame:
+    """(tag, class, n, mass, share): the weight of true pairs by what became of them (all 'true'; 'delivered' or 'missing'; in
+    the pool, 'reachable', or not) and by the evidence of their terms, classes(term, class); share is of the tag's weight."""
+    flag = lambda d, name: d.select(*PAIR).distinct().withColumn(name, F.lit(True))
+    rows = truth.select(*PAIR).distinct().join(flag(delivered, "d_"), PAIR, "left").join(flag(pool, "p_"), PAIR, "left").join(weights.select("term", "ia"), "term", "left").join(classes.select("term", "class"), "term", "left")
+    tags = F.array(F.lit("true"), F.when(F.col("d_"), "delivered").otherwise("missing"), F.when(F.col("p_"), "reachable").otherwise("unreachable"))
+    per = rows.select(F.explode(tags).alias("tag"), F.coalesce("class", F.lit("absent")).alias("class"), F.coalesce("ia", F.lit(0.0)).alias("w")).groupBy("tag", "class").agg(F.count("*").alias("n"), F.sum("w").alias("mass"))
+    whole = F.sum("mass").over(Window.partitionBy("tag"))  # a row a class
+    return per.withColumn("share", F.when(whole > 0, F.col("mass") / whole).otherwise(0.0))
+
+
+def donor_mass(found: DataFrame, weights: DataFrame) -> DataFrame:
+    """donor_evidence() -> (tier, n, mass, share): the weight that each tier of best donors brought; 'none' where nobody did."""
+    per = found.join(weights.select("term", "ia"), "term", "left").groupBy(F.coalesce("tier", F.lit("none")).alias("tier")).agg(F.count("*").alias("n"), F.sum(F.coalesce("ia", F.lit(0.0))).alias("mass"))
+    whole = F.sum("mass").over(Window.partitionBy(F.lit(0)))  # a row a tier
+    return per.withColumn("share", F.when(whole > 0, F.col("mass") / whole).otherwise(0.0))
+
+
+def entity_evidence(truth: DataFrame, pool: DataFrame, annotations: DataFrame, strong: str) -> DataFrame:
+    """(reach, entities, annotated, strong_share): entities with and without a true term that the pool lacks, how many have
+    annotations, and the mean share of strong ones among theirs."""
+    own = annotations.groupBy("entity").agg(F.avg((F.col("tier") == strong).cast("double")).alias("s_"))
+    lacking = truth.select(*PAIR).distinct().join(pool.select(*PAIR).distinct().withColumn("p_", F.lit(1)), PAIR, "left").groupBy("entity").agg(F.max(F.col("p_").isNull()).alias("lacks"))
+    return lacking.join(own, "entity", "left").groupBy(F.when(F.col("lacks"), "lacking").otherwise("full").alias("reach")).agg(F.count("*").alias("entities"), F.count("s_").alias("annotated"), F.avg("s_").alias("strong_share"))
+
+
 def cell_fmax(rows: DataFrame, cell: str, score: str, thresholds: int = 50) -> DataFrame:
     """(cell, f): the best binary F of each cell over thresholds k / n."""
     bins = rows.groupBy(cell, bin_of(F.col(score), thresholds).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("y"))
@@ -114,6 +163,15 @@ def text_coverage(rows: DataFrame, category: str, has_text: Column, date: str, c
     return rows.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"), F.sum(has_text.cast("int")).cast("long").alias("covered"), F.sum((has_text & (F.col(date) < F.lit(cut).cast("timestamp"))).cast("int")).cast("long").alias("before"), F.max(F.when(has_text, F.col(date))).alias("latest"))
 
 
+def date_tally(rows: DataFrame, category: str, has_text: Column, date: str, cuts: Mapping[str, str]) -> DataFrame:
+    """(category, bucket, n): rows with text by the period of their date: before each cut in turn (its name), 'later', or
+    'undated'. Cuts are in ascending order."""
+    bucket = F.when(F.col(date).isNull(), "undated")
+    for name, cut in cuts.items():
+        bucket = bucket.when(F.col(date) < F.lit(cut).cast("timestamp_ntz"), name)
+    return rows.where(has_text).groupBy(F.col(category).alias("category"), bucket.otherwise("later").alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def text_ranks(rows: DataFrame, score: str, text: str, tie: str = "term") -> DataFrame:
     """Adds has_text, percentile ranks of both scores within the entity (average ties), their gap, and whether the text
     score is among the entity's 1, 3 or 5 best; an entity without text gets zeros."""

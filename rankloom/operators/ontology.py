@@ -221,6 +221,19 @@ def information_content(closed: DataFrame, aspects: DataFrame | None = None) ->
     return n.join(top, "aspect_").select("term", "n", F.when(F.col("n") >= F.col("top"), 0.0).otherwise(-F.log(F.col("n") / F.col("top"))).alias("ic"))
 
 
+def candidate_recall(rows: DataFrame, closure: DataFrame, cell: str) -> DataFrame:
+    """rows(cell, entity, term, label), one for each pair: (cell, rows, entities, positives, propagated, recall,
+    recall_propagated): positives as given, and with labels carried up to every ancestor that is a candidate of the same
+    entity and cell, each against all such positives, those among the candidates or not."""
+    up = rows.where("label > 0").join(closure, "term").select(cell, "entity", F.col("ancestor").alias("term")).distinct()
+    every = up.groupBy(cell).agg(F.count("*").alias("n_"))
+    held = rows.join(up.withColumn("up_", F.lit(1)), [cell, "entity", "term"], "left")
+    n = held.groupBy(cell).agg(F.count("*").alias("rows"), F.countDistinct("entity").alias("entities"), F.sum((F.col("label") > 0).cast("long")).alias("positives"), F.count("up_").alias("propagated"))
+    n = n.join(every, cell, "left")
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return n.select(cell, "rows", "entities", "positives", "propagated", share(F.col("positives"), F.col("positives")).alias("recall"), F.coalesce(share(F.col("propagated"), F.col("n_")), F.lit(0.0)).alias("recall_propagated"))
+
+
 def information_accretion(closed: DataFrame, edges: DataFrame) -> DataFrame:
     """(term, ia): -log2 of the entities with the term over those with all its parents; roots 0."""
     have = closed.select("entity", "term").distinct()

@@ -88,6 +88,18 @@ def transfer(neighbours: DataFrame, annotations: DataFrame) -> DataFrame:
     return votes.join(totals, "query").select(F.col("query").alias("entity"), "term", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w")).otherwise(0.0).alias("vote"), (F.col("n") / F.col("all_n")).alias("fraction"))
 
 
+def proposal_sets(banks: dict[str, DataFrame], annotations: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """(bank, entity, term): for each bank of vectors(id, v), the terms of an entity's k nearest, itself left out; queries(id)
+    picks the entities."""
+    out = None
+    for name, bank in banks.items():
+        asked = bank if queries is None else bank.join(queries.select("id").distinct(), "id", "left_semi")
+        near = nearest(asked, bank, k)
+        part = near.join(annotations.select(F.col("entity").alias("reference"), "term").distinct(), "reference").select(F.lit(name).alias("bank"), F.col("query").alias("entity"), "term").distinct()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def purity(neighbours: DataFrame, sets: DataFrame) -> DataFrame:
     """Per query: mean Jaccard of its terms with its neighbours'. sets(entity, terms array)."""
     a, b = (sets.select(F.col("entity").alias(c), F.col("terms").alias(t)) for c, t in (("query", "ta"), ("reference", "tb")))

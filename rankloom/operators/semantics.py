@@ -11,11 +11,15 @@ from .retrieval import resnik_lin
 
 def informative_ancestors(pairs: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
     """pairs(a, b) of entities with closed terms: (a, b, mica, resnik), the most informative term that both hold, ties by the
-    greater term; null where they share none. The arg-max is a mergeable aggregate of the shared terms."""
+    greater term; null where they share none. An entity's terms are one array, most informative first (as long as the
+    ontology at most), so a pair is one row: the first of the one that the other holds, too."""
     weighted = closed.select("entity", "term").distinct().join(ic.select("term", "ic"), "term")
-    shared = pairs.select("a", "b").distinct().join(closed.select(F.col("entity").alias("a"), "term").distinct(), "a").join(weighted.select(F.col("entity").alias("b"), "term", "ic"), ["b", "term"])
-    best = shared.groupBy("a", "b").agg(F.max(F.struct("ic", "term")).alias("m"))
-    return pairs.join(best, ["a", "b"], "left").select("a", "b", F.col("m.term").alias("mica"), F.col("m.ic").alias("resnik"))
+    held = weighted.groupBy("entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("ic", "term")), asc=False), lambda x: x["term"]).alias("t"))
+    rows = pairs
+    for c in "ab":
+        rows = rows.join(held.select(F.col("entity").alias(c), F.col("t").alias(f"t{c}")), c, "left")
+    first = rows.select("a", "b", F.get(F.array_intersect("ta", "tb"), F.lit(0)).alias("mica"))
+    return first.join(ic.select(F.col("term").alias("mica"), F.col("ic").alias("resnik")), "mica", "left").select("a", "b", "mica", "resnik")
 
 
 def mica_aspects(pairs: DataFrame, closed: DataFrame, ic: DataFrame, aspects: DataFrame) -> DataFrame:

@@ -25,6 +25,13 @@ def d15_local_code(spark, sf):
     return _rounded(C.local_code(vectors(spark, sf), "label", "v", 8, 6), 9, "value")
 
 
+@query(f"""WITH {_VEC}, x0 AS (SELECT id, label, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS atom FROM v), m AS (SELECT atom, avg(value) AS mean, stddev_pop(value) AS std FROM x0 GROUP BY ALL), x AS (SELECT id, label, atom, (value - mean) / CASE WHEN std > 0 THEN std ELSE 1 END AS value FROM x0 JOIN m USING (atom)),
+t AS (SELECT label, id, atom, abs(value) AS x FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, atom) <= 8), r AS (SELECT label, atom, round(sum(x), 7) AS value FROM t GROUP BY ALL) SELECT label, atom::INTEGER AS atom, value, row_number() OVER (PARTITION BY label ORDER BY value DESC, atom)::INTEGER AS rank FROM r QUALIFY rank <= 6""")
+def d15_standardised_code(spark, sf):
+    v = vectors(spark, sf)
+    return _rounded(C.local_code(C.standardised(v, "v", R.corpus_moments(v, "v")), "label", "v", 8, 6), 7, "value")
+
+
 @query(f"WITH {_UNITS}, r AS (SELECT label, atom, count(*) AS votes, sum(x) AS mass FROM t GROUP BY ALL) SELECT label, atom::INTEGER AS atom, votes, round(mass, 9) AS mass FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY votes DESC, mass DESC, atom) <= 8")
 def h12_chunk_bundle(spark, sf):
     return _rounded(C.chunk_bundle(vectors(spark, sf), "label", "v", 8), 9, "mass")
@@ -45,6 +52,36 @@ def h14_aggregation_orders(spark, sf):
     return _rounded(C.code_overlap(first, second, "label"), 9, "jaccard")
 
 
+_SIGNED = f"""{_VEC}, x AS (SELECT id, label, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS atom FROM v), u AS (SELECT label, count(*) AS units FROM v GROUP BY ALL), t AS (SELECT label, id, atom, value FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY value DESC, atom) <= 8), h AS (SELECT label, atom, sum(value) / any_value(units) AS value, count(*) / any_value(units) AS frequency FROM t JOIN u USING (label) WHERE value <> 0 GROUP BY ALL),
+m AS (SELECT label, atom, avg(value) AS value FROM x GROUP BY ALL), ats AS (SELECT label, atom, value FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY value DESC, atom) <= 6), sas AS (SELECT label, atom, value FROM h QUALIFY row_number() OVER (PARTITION BY label ORDER BY value DESC, atom) <= 6)"""
+
+
+@query(f"WITH {_SIGNED} SELECT label, atom::INTEGER AS atom, round(value, 9) AS value, round(frequency, 9) AS frequency FROM h")
+def h14_usage_histogram(spark, sf):
+    return _rounded(C.usage_histogram(vectors(spark, sf), "label", "v", 8), 9, "value", "frequency")
+
+
+@query(f"""WITH {_SIGNED}, o AS (SELECT 'mean first' AS "order", label, atom FROM ats UNION ALL SELECT 'select first', label, atom FROM h UNION ALL SELECT 'three stages', label, atom FROM sas), n AS (SELECT "order", count(DISTINCT label) AS labels FROM o GROUP BY ALL)
+SELECT "order", atom::INTEGER AS atom, count(*) AS n, round(count(*) / any_value(labels), 9) AS share FROM o JOIN n USING ("order") GROUP BY "order", atom""")
+def h14_atom_selection(spark, sf):
+    v = vectors(spark, sf)
+    codes = {"mean first": C.aggregate_then_sparsify(v, "label", "v", 6), "select first": C.usage_histogram(v, "label", "v", 8), "three stages": C.sparsify_aggregate_sparsify(v, "label", "v", 8, 6)}
+    return _rounded(C.atom_selection({n: c.withColumnRenamed("label", "entity") for n, c in codes.items()}), 9, "share")
+
+
+@query(f"""WITH {_SIGNED}, s8 AS (SELECT label, atom FROM h QUALIFY row_number() OVER (PARTITION BY label ORDER BY value DESC, atom) <= 8), m8 AS (SELECT label, atom FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY value DESC, atom) <= 8), b AS (SELECT label, count(*) AS b FROM s8 JOIN m8 USING (label, atom) GROUP BY ALL)
+SELECT label, units, coalesce(b, 0) < 8 AS disagree FROM u LEFT JOIN b USING (label)""")
+def h14_orders_disagree(spark, sf):
+    return C.orders_disagree(vectors(spark, sf), "label", "v", 8)
+
+
+@query(f"""WITH {_SIGNED.replace("<= 8", "<= 32")}, c AS (SELECT label, atom, value FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY value DESC, atom) <= 32), g AS (SELECT id, label, t.value * c.value AS value FROM t JOIN c USING (label, atom) WHERE t.value * c.value <> 0) SELECT id, label, count(*) AS support, round(sum(value), 9) AS mass FROM g GROUP BY ALL""")
+def h14_gated_support(spark, sf):
+    v = vectors(spark, sf)
+    C.refuse_collapsing_gate(32, 64)
+    return _rounded(C.gated(v, "id", "label", "v", 32, C.aggregate_then_sparsify(v, "label", "v", 32)).groupBy("id", "label").agg(F.count("*").alias("support"), F.sum("value").alias("mass")), 9, "mass")
+
+
 @query(f"WITH {_VEC}, n AS (SELECT label, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS w, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM v) SELECT label, dim::INTEGER AS dim, round(sum(w * x) / sum(w), 9) AS x FROM n GROUP BY ALL")
 def h16_norm_weighted_mean(spark, sf):
     return _rounded(C.weighted_mean(vectors(spark, sf), "label", "v"), 9, "x")
@@ -94,11 +131,12 @@ def e14_sampled_pairs(spark, sf):
     return _paired(spark, sf)
 
 
-_SETS = "s AS (SELECT DISTINCT l_suppkey AS entity, l_partkey % 97 AS term FROM lineitem WHERE l_partkey % 5 = l_suppkey % 5)"
+_SETS = "s AS (SELECT DISTINCT l_orderkey AS entity, l_partkey AS term FROM lineitem)"
+_SUPPLIED = "s AS (SELECT DISTINCT l_suppkey AS entity, l_partkey % 97 AS term FROM lineitem)"
 
 
 def _sets(spark, sf):
-    return read(spark, sf, "lineitem").where("l_partkey % 5 = l_suppkey % 5").select(F.col("l_suppkey").alias("entity"), (F.col("l_partkey") % 97).alias("term")).distinct()
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("term")).distinct()
 
 
 @query(f"WITH {_SETS}, n AS (SELECT entity, count(*) AS n FROM s GROUP BY ALL), j AS (SELECT x.entity AS a, y.entity AS b, count(*) AS k FROM s x JOIN s y ON x.term = y.term AND x.entity < y.entity GROUP BY ALL) SELECT a, b, round(k / (p.n + q.n - k), 9) AS jaccard FROM j JOIN n p ON p.entity = a JOIN n q ON q.entity = b WHERE k / (p.n + q.n - k) >= 0.3")
@@ -106,6 +144,15 @@ def e14_neighbour_pairs(spark, sf):
     return _rounded(C.neighbour_pairs(_sets(spark, sf), 0.3), 9, "jaccard")
 
 
+#: Sets of a label and a fifth of the ids: a neighbour of the same label, or the same fifth, is none.
+@query(f"""WITH {_VEC}, u AS (SELECT id, v, [label, 100 + id % 5] AS t, sqrt(list_dot_product(v, v)) AS n FROM v), c AS (SELECT q.id AS a, r.id AS b, list_dot_product(q.v, r.v) / (q.n * r.n) AS cosine, len(list_intersect(q.t, r.t)) / len(list_distinct(list_concat(q.t, r.t))) AS jaccard FROM u q JOIN u r ON q.id <> r.id)
+SELECT a, b, round(cosine, 6) AS cosine, round(jaccard, 9) AS jaccard, row_number() OVER (PARTITION BY a ORDER BY c.cosine DESC, b)::INTEGER AS rank FROM c WHERE jaccard < 0.3 QUALIFY rank <= 3""")
+def e14_hard_negatives(spark, sf):
+    v = vectors(spark, sf)
+    sets = v.select(F.col("id").alias("entity"), F.explode(F.array(F.col("label").cast("long"), 100 + F.col("id") % 5)).alias("term"))
+    return _rounded(C.hard_negatives(v, sets, 3, 0.3), 6, "cosine").withColumn("jaccard", F.round("jaccard", 9))
+
+
 _CUST = "t AS (SELECT o_custkey AS entity, list_sort(list(DISTINCT year(o_orderdate)::BIGINT)) AS t FROM orders GROUP BY ALL)"
 
 
@@ -126,11 +173,11 @@ def h19_pair_targets(spark, sf):
     return _rounded(C.pair_targets(pairs, "jaccard", "n"), 9, "jaccard", "shuffled", "marginal")
 
 
-@query(f"""WITH {_SETS}, x AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM s x JOIN s y ON x.entity = y.entity AND x.term <> y.term GROUP BY ALL), f AS (SELECT term, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY entity) AS size FROM s WHERE term < 40)
+@query(f"""WITH {_SUPPLIED}, x AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM s x JOIN s y ON x.entity = y.entity AND x.term <> y.term GROUP BY ALL), f AS (SELECT term, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY entity) AS size FROM s)
 SELECT entity, x.b AS term, round(0.7::DOUBLE * max(x.n / greatest(f.n, 1)) + 0.3::DOUBLE * least(sum(x.n) / any_value(size) / 10, 1.0::DOUBLE), 9) AS score FROM k JOIN x ON x.a = k.term JOIN f ON f.term = k.term GROUP BY ALL""")
 def h35_counting_prior(spark, sf):
-    s = _sets(spark, sf)
-    return _rounded(C.counting_prior(s.where("term < 40"), R.co_occurrence(s), s.groupBy("term").agg(F.count("*").alias("n"))), 9, "score")
+    s = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity"), (F.col("l_partkey") % 97).alias("term")).distinct()
+    return _rounded(C.counting_prior(s, R.co_occurrence(s), s.groupBy("term").agg(F.count("*").alias("n"))), 9, "score")
 
 
 @query("""WITH p AS (SELECT l_suppkey AS entity, l_orderkey AS partner, sum(l_quantity / 50) AS w FROM lineitem GROUP BY ALL), g AS (SELECT o_orderkey AS partner FROM orders WHERE o_orderstatus = 'F'), v AS (SELECT DISTINCT l_orderkey AS partner, l_partkey % 20 AS term FROM lineitem)

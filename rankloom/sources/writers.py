@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.steps import shared_dir
+
 from .readers import ranked
 
 
@@ -23,6 +26,18 @@ def split_rows(rows: DataFrame, path: str, group: Sequence[str], files: int = 16
     rows.repartition(files, "entity").sortWithinPartitions(*group).write.mode("overwrite").partitionBy("validation").parquet(path)
 
 
+def bucketed(rows: DataFrame, by: Sequence[str], buckets: int = 16, sort: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Writes rows as Parquet dealt by a hash of `by` into buckets, each sorted by `by` and then `sort`, and returns the table read
+    back: aggregates, windows and joins on `by` then plan without an exchange. The files stay in `path` (by default a new
+    folder of the shared one); the catalog keeps no entry, as the frame carries the table's layout."""
+    spark = rows.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    rows.write.format("parquet").option("path", path or f"{shared_dir(spark)}/{name}").bucketBy(buckets, *by).sortBy(*by, *sort).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def predictions_parquet(rows: DataFrame, path: str) -> None:
     rows.select("entity", "label", "score").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
