@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -321,3 +322,54 @@ def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "x y " + text + " z"), (2, " ".join(text.split()[5:20]))], SCHEMA).coalesce(1)
     found = decontaminate.longest_matches(docs, spark.createDataFrame([(9, text)], "item_id long, text string")).collect()
     assert sorted(tuple(x) for x in found) == [("9", 0, 1, 2, 40), ("9", 5, 2, 0, 15)]
+
+
+def test_a_passage_of_many_items_in_many_documents(spark):
+    """400 items and 2,000 documents share a passage: what is found is right, in little memory."""
+    import tracemalloc
+
+    passage = " ".join(f"p{i}" for i in range(40))
+    items = [(f"i{k:03}", (f"q{k} " if k % 2 else "") + passage + f" r{k}") for k in range(400)] + [("z", "p3 p4 p5")]
+    texts = [f"a{d} {passage}" + (f" r{d % 400} b" if d % 3 else " c") for d in range(2000)]
+    test = decontaminate.TestSuffixes([(i, t.encode()) for i, t in items], 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([t.encode() for t in texts])], names=["doc_id", "t"])
+
+    class Shared:
+        value = test
+
+    tracemalloc.start()
+    rows = [r for b in decontaminate._marker(Shared, every=True)([batch]) for r in b.to_pylist()]
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    for d, r in enumerate(rows):
+        with_next = d % 3 and f"i{d % 400:03}"
+        assert r["items"] == [*(i for i, _ in items[:400]), "z"] and r["n_words"] == len(texts[d].split())
+        assert r["hit"] == list(range(1, 42 if with_next else 41))
+        assert r["best"] == {"words": 41 if with_next else 40, "doc_at": 1, "item": with_next or "i000", "item_at": (d % 400) % 2 if with_next else 0}
+
+
+def test_very_long_texts_and_matches_at_every_edge(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    long = [r.choice(words) for _ in range(120_000)]
+    items = [(1, " ".join(long[:60])), (2, " ".join(long[70_000:70_100])), (3, " ".join(long[-12:])), (4, " ".join(long[500:509])), (2, " ".join(long[70_050:70_080]))]
+    docs = [(0, " ".join(long)), (1, " ".join(long[-12:])), (2, " ".join(long[:9])), (3, " ".join(long[1:11]))]
+    got = {x.doc_id: tuple(x)[1:] for x in decontaminate.hits(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == contamination([t for _, t in docs], items)
+    found = decontaminate.longest_matches(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = set()
+    for i, t in items:
+        a = t.split()
+        for d, text in docs:
+            b = text.split()
+            at = {}
+            for k in range(len(b) - min(10, len(a)) + 1):
+                at.setdefault(tuple(b[k : k + min(10, len(a))]), []).append(k)
+            for j in range(max(1, len(a) - 9)):
+                for k in at.get(tuple(a[j : j + 10]), []):
+                    if len(a) < 10 or not (j and k and a[j - 1] == b[k - 1]):
+                        n = min(10, len(a))
+                        while len(a) >= 10 and j + n < len(a) and k + n < len(b) and a[j + n] == b[k + n]:
+                            n += 1
+                        want.add((str(i), j, d, k, n))
+    assert {tuple(x) for x in found} == want
