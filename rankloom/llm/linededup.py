@@ -1,7 +1,7 @@
 """Line deduplication by winnowing over line hashes; DataFrame and SQL functions only.
 
 A line ends at a line break or at a full stop, question or exclamation mark before a blank (full-width marks end it
-anywhere), so that a passage pasted into a paragraph is seen too; what ends it doesn't count. Blank lines are skipped. A
+anywhere), so that a passage pasted into a paragraph is seen too; what ends it doesn't count. Lines of white space alone are skipped. A
 line's length is counted in words, or in 8 bytes beyond one a character where that is more, as scripts without blanks have.
 A gram is a line of `long_words` by itself, else the fewest lines, two or more, that hold `min_words`. Of every `window`
 consecutive grams the one with the least hash is a fingerprint, and so is every long line: a run shared by two texts that
@@ -35,7 +35,8 @@ ENDS, PLACES = r"'[.!?]+[ \\n]|\\n|[。！？]'", r"'(?<=[.!?][ \\n])|(?<=[\\n
 def _lines(text: str) -> str:
     """SQL: the non-blank lines of a text as structs (hash, length, number of the piece)."""
     size = "greatest(octet_length(s) - octet_length(replace(s, ' ', '')) + 1, (octet_length(s) - length(s)) div 8)"
-    every = f"transform(split(concat({text}, ' '), {ENDS}), (s, i) -> struct(xxhash64(s) as h, if(s = '' or s = ' ', 0, int({size})) as w, i as i))"
+    blank = r"rtrim(' \t\n\u000b\f\r', s) = ''"
+    every = f"transform(split(concat({text}, ' '), {ENDS}), (s, i) -> struct(xxhash64(s) as h, if({blank}, 0, int({size})) as w, i as i))"
     return f"filter({every}, x -> x.w > 0)"
 
 
@@ -47,6 +48,8 @@ def fingerprints(keyed: DataFrame, text: str, gram: int = GRAM, window: int = WI
     out = keyed.where(F.col(text).isNotNull()).select("id", "k", F.expr(_lines(f"`{text}`")).alias("lines"))
     full = f"a.w >= {min_words} and a.n >= {gram}"
     more = f"aggregate(slice(lines, i + 2, {max(gram, min_words) - 1}), struct(x.h as h, x.w as w, 1 as n), (a, y) -> if({full}, a, struct(xxhash64(a.h, y.h) as h, a.w + y.w as w, a.n + 1 as n)))"
+    if gram <= 2:  # two lines fill most grams: no fold for those
+        more = f"if(x.w + get(lines, i + 1).w >= {min_words}, struct(xxhash64(x.h, get(lines, i + 1).h) as h, x.w + get(lines, i + 1).w as w, 2 as n), {more})"
     out = out.withColumn("folded", F.expr(f"transform(lines, (x, i) -> {more})"))
     grams = f"""zip_with(lines, folded, (x, y) -> case when x.w >= {long_words} then struct(xxhash64(x.h) as g, 1 as n)
         when y.w >= {min_words} and y.n >= {gram} then struct(y.h as g, y.n as n) end)"""

@@ -271,3 +271,22 @@ def test_tables_meet_all_pairs_within_their_radius(spark, tables):
     found = {(x.uid, x.cid) for x in embdedup.candidates(frame, tables, 14).collect()}
     want = {(a, b) for a, b in itertools.combinations(range(len(codes)), 2) if (codes[a] ^ codes[b]).bit_count() <= 2 * tables - 1}
     assert want <= found
+
+
+def test_lines_of_white_space_are_no_content(spark):
+    """Texts that share only lines of blanks, tabs or returns lose nothing, and what they share besides goes."""
+    gaps = "\n   \n\t\t\n \t \r\n\x0b\n\f \n     \n"
+    own = ["first of all one says this and that about it", "another tale begins here with other words for you"]
+    shared = "a passage that stands in both of these texts word for word\nand a second line of it that is long enough as well\na third one follows so that two grams stand side by side\nand a fourth closes what both of them hold"
+    docs = spark.createDataFrame([(1, own[0] + gaps + "end one"), (2, own[1] + gaps + "end two"), (3, own[0][::-1] + gaps + shared), (4, own[1][::-1] + gaps + shared + "\n")], SCHEMA)
+    got = {x.doc_id: (x.text, x.n_deleted) for x in linededup.dedup_lines(docs).collect()}
+    assert [got[i][1] for i in (1, 2, 3)] == [0, 0, 0] and got[4][1] >= 2
+    assert got[1][0] == own[0] + gaps + "end one" and got[2][0] == own[1] + gaps + "end two" and "passage" in got[3][0] and "passage" not in got[4][0]
+
+
+def test_a_very_long_text_of_lines(spark):
+    r = random.Random(4)
+    lines = [" ".join(f"w{r.randrange(500)}" for _ in range(12)) for _ in range(15_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[4000:4020]) + "\nits own line of a few words at the end")], SCHEMA)
+    got = {x.doc_id: (x.text, x.n_deleted) for x in linededup.dedup_lines(docs).collect()}
+    assert got[1] == ("\n".join(lines), 0) and got[2][1] == 20 and got[2][0].strip() == "its own line of a few words at the end"
