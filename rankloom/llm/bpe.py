@@ -20,6 +20,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from .common import temp_name
 
-#: Bytes of the longest piece that DuckDB contracts, pieces a query takes, bytes of pieces a worker remembers.
-LONG_PIECE, QUERY_PIECES, REMEMBER = 400, 20_000, 60_000_000
+#: Bytes of the longest piece that DuckDB contracts, bytes of pieces a query takes, bytes of pieces a worker remembers.
+LONG_PIECE, QUERY_BYTES, REMEMBER = 400, 250_000, 60_000_000
 
 #: step holds unfinished pieces and, marked done, what is left of finished ones. A pair of tokens is one number; the
 #: next token is carried along (-1 at a piece's end), so each round sorts once.
@@ -75,6 +76,19 @@ class Vocabulary:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
 
+def _dealt(pieces: list, size) -> Iterator[list]:
+    """Lists of pieces of at most QUERY_BYTES, or of one."""
+    part, held = [], 0
+    for x in pieces:
+        if part and held + size(x) > QUERY_BYTES:
+            yield part
+            part, held = [], 0
+        part.append(x)
+        held += size(x)
+    if part:
+        yield part
+
+
 class Codec:
     """One worker's tokenizer: the pieces it has met, and the vocabulary in DuckDB while a partition is open."""
 
@@ -95,7 +109,7 @@ class Codec:
     def __enter__(self) -> Codec:
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": "", "preserve_insertion_order": False})  # queries are bounded: nothing spills to a folder
         self.db.execute("set enable_progress_bar = false")
         for name, table in self.vocabulary.tables.items():
             self.db.register("given", table)
@@ -153,14 +167,12 @@ class Codec:
         self.text_of += [None] * len(fresh)
         coded = [(first + k, x.encode()) for k, x in enumerate(fresh)]
         direct = [(k, [self.ranks[p]] if p in self.ranks else self._heap(p)) for k, p in coded if p in self.ranks or len(p) > self.long_piece]
-        for at in range(0, len(direct), QUERY_PIECES):
-            part = direct[at : at + QUERY_PIECES]
+        for part in _dealt(direct, lambda x: 4 * len(x[1])):
             decoded = self._decode(pa.table({"w": pa.array(range(len(part)), pa.int32()), "ids": pa.array([i for _, i in part], pa.list_(pa.int32()))}))
             for (k, i), d in zip(part, decoded, strict=True):
                 self._keep(k, i, d)
         rest = [(k, p) for k, p in coded if self.ids_of[k] is None]
-        for at in range(0, len(rest), QUERY_PIECES):
-            part = rest[at : at + QUERY_PIECES]
+        for part in _dealt(rest, lambda x: len(x[1])):
             for (k, _), i, d in zip(part, *self._query([p for _, p in part]), strict=True):
                 self._keep(k, i, d)
 
@@ -169,7 +181,7 @@ class Codec:
         at = 0
         while at < len(texts):  # as many texts at a time as hold some millions of characters: each query reads the merge table anew
             upto, size, cut, fresh, number = at, 0, [], [], self.number
-            while upto < len(texts) and (upto == at or size < 4_000_000):
+            while upto < len(texts) and (upto == at or size < 3_000_000):
                 t = texts[upto] or ""
                 pieces = self.split(t)
                 new = [p for p in dict.fromkeys(pieces) if p not in number]
