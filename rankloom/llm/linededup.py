@@ -74,10 +74,11 @@ def _beside(ahead: str, back: str) -> str:
 
 
 def repeated_runs(marked: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """fingerprints() -> (k, runs): for each text the piece ranges (a, b) that repeat an earlier run."""
+    """fingerprints() -> (k, runs), written: for each text the piece ranges (a, b) that repeat an earlier run."""
     rows = marked.select("id", "k", F.explode("marks").alias("m")).select("id", "k", "m.j", "m.g", "m.n")
     first = rows.groupBy("g").agg(F.min(F.struct("id", "k", "j")).alias("f"), F.count("*").alias("c")).where("c > 1").selectExpr("g", "f.k as fk", "f.j as fj")
-    hits = materialise(rows.join(materialise(first, "first"), "g").selectExpr("id", "k", "j", "g", "n", "not (k = fk and j = fj) as later"), "hits")
+    first = materialise(first, "first")
+    hits = materialise(rows.join(first, "g").selectExpr("id", "k", "j", "g", "n", "not (k = fk and j = fj) as later"), "hits")
     later = hits.where("later").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("j", "n", "g"))).alias("later"))
     held = materialise(later.join(marked.select("id", "k", "hs", "at"), "k").dropDuplicates(["k"]), "later")
     # open ends: marks whose neighbours no other later mark covers
@@ -92,7 +93,10 @@ def repeated_runs(marked: DataFrame, window: int = WINDOW, min_words: int = MIN_
     same = asked.join(known, "key").where("not (k = f.k and j = f.j)")
     more = same.groupBy("k").agg(F.collect_set(F.expr("if(t > 0, struct(j + n as a, j + n + t - 1 as b), struct(j + t as a, j - 1 as b))")).alias("more"))
     every = "concat(transform(later, m -> struct(m.j as a, m.j + m.n - 1 as b)), coalesce(more, array()))"
-    return held.join(more, "k", "left").select("k", F.expr(f"array_distinct(transform({every}, r -> struct(get(at, r.a) as a, get(at, r.b) as b)))").alias("runs"))
+    runs = materialise(held.join(more, "k", "left").select("k", F.expr(f"array_distinct(transform({every}, r -> struct(get(at, r.a) as a, get(at, r.b) as b)))").alias("runs")), "runs")
+    for done in (first, hits, held, asked):
+        discard(done)
+    return runs
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id", gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -101,7 +105,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id", gram:
     hashed = F.xxhash64(F.col(id_), F.xxhash64(F.col(text)))
     keyed = docs.select(F.col(id_).alias("id"), hashed.alias("k"), F.col(text).alias("t"))
     marked = materialise(fingerprints(keyed, "t", gram, window, long_words, min_words), "lines")
-    found = materialise(repeated_runs(marked, window, min_words).select(F.col("k").alias(key), F.col("runs").alias(runs)), "runs")
+    found = repeated_runs(marked, window, min_words).select(F.col("k").alias(key), F.col("runs").alias(runs))
     discard(marked)
     split = f"split(`{text}`, {PLACES})"
     keep = f"filter({split}, (s, i) -> not exists(`{runs}`, r -> i between r.a and r.b))"
