@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .fusion import PAIR
 from .retrieval import nearest, top_code, unit
-from .staging import hash_int
+from .staging import hash_int, hash_long
 
 
 def local_code(units: DataFrame, by: str, vector: str, k_unit: int, k: int, how: str = "sum") -> DataFrame:
@@ -176,7 +176,7 @@ def sampled_pairs(entities: DataFrame, each: int, seed: str = "0") -> DataFrame:
     ids = before(entities.select("entity").distinct().withColumn("one_", F.lit(1)), "entity", "one_", "place").select("entity", "place")
     n = ids.count()
     drawn = ids.select(F.col("entity").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(each))).alias("k"))
-    drawn = drawn.withColumn("place", hash_int(F.col("a").cast("string"), F.col("k").cast("string"), seed=seed) % max(1, n))
+    drawn = drawn.withColumn("place", hash_long(F.col("a").cast("string"), F.col("k").cast("string"), seed=seed) % max(1, n))
     return drawn.join(ids.select("place", F.col("entity").alias("b")), "place").where("a <> b").select("a", "b").distinct()
 
 
@@ -310,6 +310,12 @@ def profile_features(rows: DataFrame, vectors: DataFrame, k: int = 3) -> DataFra
     return own.select(*PAIR, "score", cosine("v", "profile_v").alias("profile")).join(coherence, PAIR, "left").withColumn("coherence", F.coalesce("coherence", F.lit(0.0)))
 
 
+def term_features(rows: DataFrame, vectors: DataFrame, depths: DataFrame, weights: DataFrame, k: int = 3) -> DataFrame:
+    """profile_features() with the term's depth(term, depth) and information accretion(term, ia); -1 and 0 where unknown."""
+    out = profile_features(rows, vectors, k).join(depths.select("term", "depth"), "term", "left").join(weights.select("term", "ia"), "term", "left")
+    return out.select(*PAIR, "score", "profile", "coherence", F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"), F.coalesce("ia", F.lit(0.0)).alias("ia"))
+
+
 def structure_block(closure: DataFrame, k: int) -> DataFrame:
     """closure(term, ancestor), term a whole number -> (term, v): each term's ancestor incidence in the k leading singular
     directions of all terms' (scaled by the singular values). Spark ML has this decomposition on distributed matrices only."""

@@ -73,17 +73,25 @@ def label_propagation(rows: DataFrame, closure: DataFrame) -> DataFrame:
 
 def consistency(scores: DataFrame, edges: DataFrame, max_passes: int = 200) -> tuple[DataFrame, int]:
     """A parent's score is raised to its largest child's, along edges whose both ends an entity has, until nothing changes.
-    Returns the scores and the number of rounds that changed something."""
-    now = materialise(scores.select("entity", "term", "score"), "scores")
-    pairs = materialise(now.select("entity", "term").join(edges, F.col("term") == F.col("child")).join(now.select("entity", F.col("term").alias("parent")), ["entity", "parent"]).select("entity", "child", "parent"), "induced")
-    for k in range(max_passes):
-        top = pairs.join(now.select("entity", F.col("term").alias("child"), "score"), ["entity", "child"]).groupBy("entity", F.col("parent").alias("term")).agg(F.max("score").alias("up"))
-        after = materialise(now.join(top, ["entity", "term"], "left").select("entity", "term", F.greatest("score", F.coalesce("up", "score")).alias("score"), (F.coalesce("up", "score") > F.col("score")).alias("raised")), "scores")
-        changed = after.where("raised").limit(1).count()
-        now = after.drop("raised")
-        if not changed:
-            return now, k
-    return now, max_passes
+    Returns the scores and the number of rounds that raised something; more than max_passes of them are an error.
+
+    A round looks only at what the last one raised, and writes only what it raises itself; the scores as given are written
+    once, beside the edges that an entity has, and meet the raised ones at the end."""
+    given = materialise(scores.select("entity", "term", "score"), "scores")
+    child, parent = given.toDF("entity", "child", "low"), given.toDF("entity", "parent", "high")
+    pairs = materialise(child.join(edges, "child").join(parent, ["entity", "parent"]).select("entity", "child", "parent", "low", "high"), "induced")
+    last = materialise(pairs.where("low > high").groupBy("entity", F.col("parent").alias("term")).agg(F.max("low").alias("score")), "raised")
+    raised, rounds = last, 0
+    while not last.isEmpty():
+        rounds += 1
+        if rounds > max_passes:
+            raise ArithmeticError(f"scores still rise after {max_passes} rounds; the graph is deeper than that, or has a cycle")
+        up = last.join(pairs.withColumnRenamed("child", "term"), ["entity", "term"]).where(F.col("score") > F.col("high")).groupBy("entity", F.col("parent").alias("term")).agg(F.max("score").alias("score"))
+        held = raised.toDF("entity", "term", "held")
+        last = materialise(up.join(held, ["entity", "term"], "left").where("held is null or score > held").select("entity", "term", "score"), "raised")
+        raised = materialise(raised.unionByName(last).groupBy("entity", "term").agg(F.max("score").alias("score")), "raised")
+    best = raised.toDF("entity", "term", "up_")
+    return given.join(best, ["entity", "term"], "left").select("entity", "term", F.greatest("score", F.coalesce("up_", "score")).alias("score")), rounds
 
 
 def violations(scores: DataFrame, edges: DataFrame) -> DataFrame:

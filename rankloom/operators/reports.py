@@ -78,10 +78,16 @@ def miss_classes(predicted: DataFrame, truth: DataFrame, closure: DataFrame, edg
     p = predicted.select("entity", F.col("term").alias("said")).distinct()
     t = truth.select("entity", "term").distinct()
     strict = closure.where("term <> ancestor")
-    flag = lambda relation, low, high, name: t.join(relation.select(F.col(low).alias("term"), F.col(high).alias("said")), "term").join(p, ["entity", "said"], "left_semi").select("entity", "term").distinct().withColumn(name, F.lit(1))
-    sib = edges.alias("x").join(edges.alias("y"), F.col("x.parent") == F.col("y.parent")).where("x.child <> y.child").select(F.col("x.child").alias("low"), F.col("y.child").alias("high")).distinct()
+    flagged = lambda rows, name: t.join(rows.select("entity", "term").distinct().withColumn(name, F.lit(1)), ["entity", "term"], "left_semi").withColumn(name, F.lit(1))
+    # an entity's own terms meet, never all of a graph's: what lies above a prediction, a true term's ancestors, and shared parents
+    above = p.join(strict, p["said"] == strict["term"]).select("entity", F.col("ancestor").alias("term"))
+    below = t.join(strict, "term").join(p.select("entity", F.col("said").alias("ancestor")), ["entity", "ancestor"], "left_semi")
+    up = edges.select(F.col("child").alias("term"), "parent")
+    beside = t.join(up, "term").join(p.join(up, p["said"] == up["term"]).select("entity", "parent", "said"), ["entity", "parent"]).where("said <> term")
     hit = t.join(p.withColumnRenamed("said", "term"), ["entity", "term"], "left_semi").withColumn("hit", F.lit(1))
-    marked = t.join(hit, ["entity", "term"], "left").join(flag(strict, "term", "ancestor", "up"), ["entity", "term"], "left").join(flag(strict, "ancestor", "term", "down"), ["entity", "term"], "left").join(flag(sib, "low", "high", "side"), ["entity", "term"], "left")
+    marked = t.join(hit, ["entity", "term"], "left")
+    for rows, name in ((below, "up"), (above, "down"), (beside, "side")):
+        marked = marked.join(flagged(rows, name), ["entity", "term"], "left")
     c = F.when(F.col("hit") == 1, "hit").when(F.col("down") == 1, "overshot").when(F.col("up") == 1, "too_shallow").when(F.col("side") == 1, "sibling").otherwise("other")
     return marked.select("entity", "term", c.alias("class"))
 

@@ -6,7 +6,10 @@ figures are aggregated first and no dense numbering is needed. One md5 serves ei
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,28 @@ def resample(per_entity: DataFrame, n: int, seed: str = "0") -> DataFrame:
     return rows.where((F.col("weight") > 0) & (F.col("resample") < n))
 
 
+def resampled_sums(per_entity: DataFrame, columns: Sequence[str], n: int, seed: str = "0") -> DataFrame:
+    """(resample, weight, columns...): in each of the resamples 0..n-1 the sum of the entities' weights, and of weight times each
+    column (null counts 0). Weights are those of resample(), but no row is made for an entity and a resample: a task adds up one
+    array of n sums for each column, and arrays meet by resample."""
+    hashes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit((n - 1) // _LANES)), lambda b: F.md5(F.concat_ws("|", F.lit(seed), b.cast("string"), F.col("entity").cast("string")))), "")
+    rows = per_entity.select(hashes.alias("h"), F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
+    width, cuts = len(columns) + 1, np.array(_POISSON)
+
+    def each(batches):
+        total = np.zeros((n, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                u = np.frombuffer(bytes.fromhex("".join(b.column(0).to_pylist())), ">u2").reshape(b.num_rows, -1)[:, :n] / 65536.0
+                total += np.searchsorted(cuts, u, "right").T @ np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, width)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["resample", "s"])
+
+    found = rows.mapInArrow(each, "resample int, s array<double>")
+    return found.groupBy("resample").agg(*[F.sum(F.get("s", F.lit(i))).alias(c) for i, c in enumerate(["weight", *columns])]).where("weight > 0")
+
+
 def interval(samples: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     tail = (1 - level) / 2
     return samples.agg(F.avg(value).alias("mean"), F.expr(f"percentile({value}, {tail})").alias("low"), F.expr(f"percentile({value}, {1 - tail})").alias("high"))
@@ -36,16 +61,15 @@ def interval(samples: DataFrame, value: str, level: float = 0.95) -> DataFrame:
 
 def mean_difference(per_entity: DataFrame, a: str, b: str, n: int = 200, seed: str = "0") -> DataFrame:
     """(mean, low, high, p, separates) of the mean of a - b over entities; p: resamples at or below 0."""
-    d = F.col("weight") * (F.col(a) - F.col(b))
-    means = resample(per_entity.select("entity", a, b), n, seed).groupBy("resample").agg((F.sum(d) / F.sum("weight")).alias("d"))
+    sums = resampled_sums(per_entity.select("entity", (F.col(a) - F.col(b)).alias("d")), ["d"], n, seed)
+    means = sums.select((F.col("d") / F.col("weight")).alias("d"))
     tail = means.agg(F.avg((F.col("d") <= 0).cast("double")).alias("p"))
     return interval(means, "d").crossJoin(F.broadcast(tail)).withColumn("separates", (F.col("low") > 0) | (F.col("high") < 0))  # tail is one row
 
 
 def micro_f_difference(per_entity: DataFrame, n: int = 200, seed: str = "0") -> DataFrame:
     """per_entity(entity, tp_a, n_a, tp_b, n_b, wanted): interval of the difference of pooled F."""
-    w = F.col("weight")
-    sums = resample(per_entity, n, seed).groupBy("resample").agg(*[F.sum(w * F.col(c)).alias(c) for c in ("tp_a", "n_a", "tp_b", "n_b", "wanted")])
+    sums = resampled_sums(per_entity, ["tp_a", "n_a", "tp_b", "n_b", "wanted"], n, seed)
     f = lambda s: 2 * F.col(f"tp_{s}") / F.greatest(F.col(f"n_{s}") + F.col("wanted"), F.lit(1e-12))
     return interval(sums.select((f("a") - f("b")).alias("d")), "d")
 

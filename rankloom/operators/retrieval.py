@@ -1,7 +1,7 @@
 """Similarity, nearest neighbours and generators of candidates.
 
-Exact nearest neighbours come in blocks: a block of queries is compared with a block of references by matrix product in one
-task, which passes on the best k for each query, and a window keeps the best of those.
+Exact nearest neighbours come in parts of bounded bytes: a part of the queries is compared with a part of the references in
+one task, block by block by matrix product, which passes on the best k for each query, and a window keeps the best of those.
 Generators work on postings (term -> entities) with counts, never on all pairs of entities."""
 
 from __future__ import annotations
@@ -48,13 +48,20 @@ def tanimoto(a: Column | str, b: Column | str) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, block: int = 4_000) -> DataFrame:
+#: Bytes of vectors on one side of a task, rows of the blocks that are compared at once in it.
+_SIDE, _QUERIES, _REFERENCES = 64 << 20, 1_000, 4_000
+
+
+def nearest(queries: DataFrame, references: DataFrame, k: int, side: int = _SIDE) -> DataFrame:
     """queries(id, v), references(id, v) -> (query, reference, cosine, rank): the k nearest, oneself excluded; ties by id.
 
-    Both sides are dealt into blocks of about `block` rows; a task compares one block with one by a matrix product and
-    passes on each query's best k."""
+    Both sides are dealt into as few parts as a task's memory allows (`side` bytes of vectors each), and queries into as many
+    as there are cores at least; a task compares one part with one, block by block, and passes on each query's best k. A row is
+    copied once for each part of the other side: 130,000 rows of 64 components are one part."""
     q, r = queries.select(F.col("id").alias("query"), unit("v").alias("v")), references.select(F.col("id").alias("reference"), unit("v").alias("v"))
-    n, m = (max(1, -(-x.count() // block)) for x in (q, r))
+    asked, known, cores = q.count(), r.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first(), queries.sparkSession.sparkContext.defaultParallelism
+    part = max(_QUERIES, side // (8 * max(1, known.d or 1)))
+    n, m = max(1, -(-asked // part), min(cores, -(-asked // _QUERIES))), max(1, -(-known.n // part))
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     q = q.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(n)).cast("int").alias("x"), every(m).alias("y"))
     r = r.select("reference", "v", every(n).alias("x"), F.pmod(F.xxhash64("reference"), F.lit(m)).cast("int").alias("y"))
@@ -63,18 +70,38 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, block: int = 4_00
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, value) of the k largest finite values of each row of s; ids has a row or one for all; ties by id."""
+    least = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), -np.inf)
+    row, column = np.nonzero((s >= least[:, None]) & np.isfinite(s))  # ties at the edge stay for now
+    value, found = s[row, column], ids[column] if ids.ndim == 1 else ids[row, column]
+    order = np.lexsort((found, -value, row))
+    row, found, value = row[order], found[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], found[place < k], value[place < k]
+
+
 def _block_top(k: int):
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, r = left.column("query").to_numpy(), right.column("reference").to_numpy()
-        if not len(ids) or not len(r):
-            return pa.table({"query": pa.array([], pa.int64()), "reference": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(len(t), -1)
-        s = matrix(left) @ matrix(right).T
-        s[ids[:, None] == r[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(r, s.shape), -s), axis=1)[:, :k]
-        best = np.take_along_axis(s, order, 1)
-        keep = np.isfinite(best)
-        return pa.table({"query": np.broadcast_to(ids[:, None], keep.shape)[keep], "reference": r[order][keep], "cosine": best[keep]})
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(ids) and len(r):
+            matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(len(t), -1)
+            x, y = matrix(left), matrix(right)
+            for a in range(0, len(ids), _QUERIES):
+                some = ids[a : a + _QUERIES]
+                row, found, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for b in range(0, len(r), _REFERENCES):
+                    s = x[a : a + _QUERIES] @ y[b : b + _REFERENCES].T
+                    s[some[:, None] == r[None, b : b + _REFERENCES]] = -np.inf
+                    new = _best(s, r[b : b + _REFERENCES], k)
+                    row, found, value = (np.concatenate(c) for c in zip((row, found, value), new, strict=True))
+                order = np.lexsort((found, -value, row))
+                row, found, value = row[order], found[order], value[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append((some[row[keep]], found[keep], value[keep]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table(dict(zip(("query", "reference", "cosine"), columns, strict=True)))
 
     return each
 
@@ -208,12 +235,29 @@ def resnik_lin(pairs: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
 
 
 def max_sim(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """pairs(a, b), units(entity, pos, v): mean over a's units of their best cosine among b's, and the reverse."""
-    ua, ub = (units.select(F.col("entity").alias(e), F.col("pos").alias(p), F.col("v").alias(v)) for e, p, v in (("a", "pa", "va"), ("b", "pb", "vb")))
-    met = pairs.join(ua, "a").join(ub, "b").select("a", "b", "pa", "pb", cosine("va", "vb").alias("c"))
-    one = met.groupBy("a", "b", "pa").agg(F.max("c").alias("c")).groupBy("a", "b").agg(F.avg("c").alias("a_in_b"))
-    two = met.groupBy("a", "b", "pb").agg(F.max("c").alias("c")).groupBy("a", "b").agg(F.avg("c").alias("b_in_a"))
-    return one.join(two, ["a", "b"])
+    """pairs(a, b), units(entity, pos, v): mean over a's units of their best cosine among b's, and the reverse. An entity's
+    units are one row, so a pair is one row and its cosines one matrix product; what a pair of units has never leaves it."""
+    held = units.groupBy("entity").agg(F.collect_list("v").alias("u"))  # an entity's own units
+    rows = pairs
+    for c in "ab":
+        rows = rows.join(held.select(F.col("entity").alias(c), F.col("u").alias(f"u{c}")), c)
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in "ab"}
+
+    def matrix(x: pa.ListScalar) -> np.ndarray:
+        v = np.asarray(x.values.flatten(), np.float64).reshape(len(x.values), -1)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+    def each(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                b, made = batch.slice(at, 200), []
+                for x, y in zip(b.column(2), b.column(3), strict=True):
+                    c = matrix(x) @ matrix(y).T
+                    made.append((c.max(axis=1).mean(), c.max(axis=0).mean()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([m[i] for m in made], pa.float64()) for i in (0, 1))], names=["a", "b", "a_in_b", "b_in_a"])
+
+    return rows.select("a", "b", "ua", "ub").mapInArrow(each, f"a {kinds['a']}, b {kinds['b']}, a_in_b double, b_in_a double")
 
 
 def windows(sequence: DataFrame, by: str, text: str, length: int, step: int) -> DataFrame:

@@ -16,6 +16,11 @@ def hash_int(*columns: str | Column, seed: str = "0") -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *columns)), 1, 8), 16, 10).cast("long")
 
 
+def hash_long(*columns: str | Column, seed: str = "0") -> Column:
+    """A number of 60 bits from md5 of seed and columns, for places in tables of any size."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *columns)), 1, 15), 16, 10).cast("long")
+
+
 def genuine(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key has a positive somewhere."""
     return rows.join(rows.where("label = 1").select(*key).distinct(), list(key), "left_semi")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.operators import codes as C
+from rankloom.operators import ontology as O
 from rankloom.operators import retrieval as R
 
+from .dag import IA
 from .registry import query
 from .similarity import _VEC, vectors
-from .staging import h
-from .tables import PAIRS, all_pairs, candidates, closure, read
+from .staging import h, h60
+from .tables import PAIRS, all_pairs, candidates, closure, edges, read
 
 
 def _rounded(df, digits, *columns):
@@ -119,7 +121,7 @@ def e10_halves(spark, sf):
     return C.halves(read(spark, sf, "orders").select(F.col("o_custkey").alias("entity")), seed="half")
 
 
-_PAIRED = f"""i AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS place FROM (SELECT DISTINCT o_custkey AS entity FROM orders)), p AS (SELECT DISTINCT i.entity AS a, j.entity AS b FROM i, (VALUES (1), (2), (3)) v(k), i j WHERE j.place = {h('p', 'CAST(i.entity AS VARCHAR)', 'CAST(k AS VARCHAR)')} % (SELECT count(*) FROM i) AND j.entity <> i.entity)"""
+_PAIRED = f"""i AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS place FROM (SELECT DISTINCT o_custkey AS entity FROM orders)), p AS (SELECT DISTINCT i.entity AS a, j.entity AS b FROM i, (VALUES (1), (2), (3)) v(k), i j WHERE j.place = {h60('p', 'CAST(i.entity AS VARCHAR)', 'CAST(k AS VARCHAR)')} % (SELECT count(*) FROM i) AND j.entity <> i.entity)"""
 
 
 def _paired(spark, sf):
@@ -210,6 +212,20 @@ def h30_profile_features(spark, sf):
     return _rounded(C.profile_features(rows, u), 6, "profile", "coherence")
 
 
+_DEPTHS = "lev AS (SELECT p_partkey AS term, 0 AS depth FROM part WHERE p_partkey NOT IN (SELECT child FROM edges) UNION SELECT e.child, l.depth + 1 FROM lev l JOIN edges e ON e.parent = l.term), d AS (SELECT term, min(depth) AS depth FROM lev GROUP BY ALL)"
+
+
+@query(f"""WITH RECURSIVE {_UV}, {IA}, {_DEPTHS}, r AS (SELECT entity, term % 50 AS term, max(score) AS score FROM pairs GROUP BY ALL), x AS (SELECT entity, score, unnest(u) AS x, generate_subscripts(u, 1) AS dim FROM r JOIN w ON w.id = term), p AS (SELECT entity, list(s ORDER BY dim) AS p FROM (SELECT entity, dim, sum(score * x) AS s FROM x GROUP BY ALL) GROUP BY entity)
+SELECT r.entity, r.term, round(list_dot_product(u, p) / sqrt(list_dot_product(p, p)), 6) + 0.0 AS profile, coalesce(depth, -1)::INTEGER AS depth, round(coalesce(ia, 0), 9) AS ia FROM r JOIN w ON w.id = r.term JOIN p USING (entity) LEFT JOIN d ON d.term = r.term LEFT JOIN ia ON ia.term = r.term""")
+def h30_term_features(spark, sf):
+    pairs, e, over = all_pairs(spark, sf), edges(spark, sf), closure(spark, sf)
+    rows = pairs.groupBy("entity", (F.col("term") % 50).alias("term")).agg(F.max("score").alias("score"))
+    u = vectors(spark, sf).select(F.col("id").alias("term"), R.unit("v").alias("v"))
+    depths = O.depths(e, read(spark, sf, "part").select(F.col("p_partkey").alias("term")))
+    out = C.term_features(rows, u, depths, O.information_accretion(O.entity_closure(pairs.where("label = 1"), over), e))
+    return _rounded(_rounded(out, 6, "profile").select("entity", "term", (F.col("profile") + 0.0).alias("profile"), "depth", "ia"), 9, "ia")
+
+
 @query()
 def h32_structure_block(spark, sf):
     return C.structure_block(closure(spark, sf), 8)

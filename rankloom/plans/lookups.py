@@ -17,7 +17,7 @@ from rankloom.sources import writers as W
 
 from .registry import query
 from .similarity import _VEC, vectors
-from .staging import h
+from .staging import h60
 from .tables import CAND, CLOSURE, candidates, closure, edges, read
 
 _SETS = """sets AS (SELECT DISTINCT source AS entity, snapshot AS version, source * 10000 + snapshot AS set_id, term FROM cand WHERE label = 1), asked AS (SELECT DISTINCT source AS entity, term, 'v' || snapshot || '-v' || (snapshot + 1) AS snapshot_pair, snapshot AS a FROM cand)"""
@@ -54,7 +54,7 @@ def b15_content_digest(spark, sf):
 
 #: Suppliers and the parts that came back, closed upward; three partners each; aspects by a part's size.
 _SUPPLIERS = f"""{CLOSURE}, {CAND}, held AS (SELECT DISTINCT source AS entity, ancestor AS term FROM cand JOIN closure USING (term) WHERE label = 1), i AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS place FROM (SELECT DISTINCT entity FROM held)),
-pairs AS (SELECT DISTINCT i.entity AS a, j.entity AS b FROM i, (VALUES (1), (2), (3)) v(k), i j WHERE j.place = {h('m', 'CAST(i.entity AS VARCHAR)', 'CAST(k AS VARCHAR)')} % (SELECT count(*) FROM i) AND j.entity <> i.entity), aspects AS (SELECT p_partkey AS term, ['P', 'F', 'C'][1 + p_size % 3] AS aspect FROM part)"""
+pairs AS (SELECT DISTINCT i.entity AS a, j.entity AS b FROM i, (VALUES (1), (2), (3)) v(k), i j WHERE j.place = {h60('m', 'CAST(i.entity AS VARCHAR)', 'CAST(k AS VARCHAR)')} % (SELECT count(*) FROM i) AND j.entity <> i.entity), aspects AS (SELECT p_partkey AS term, ['P', 'F', 'C'][1 + p_size % 3] AS aspect FROM part)"""
 _CONTENT = "SELECT term, CASE WHEN n >= max(n) OVER () THEN 0.0 ELSE -ln(n / max(n) OVER ()) END::DOUBLE AS ic FROM (SELECT term, count(*) AS n FROM {} GROUP BY ALL)"
 _LIN = """top AS (SELECT entity, max(ic) AS top FROM {0} JOIN ic USING (term) GROUP BY ALL), s AS (SELECT a, b, max(ic) AS r FROM pairs JOIN {0} x ON x.entity = a JOIN {0} y ON y.entity = b AND y.term = x.term JOIN ic ON ic.term = x.term GROUP BY ALL),
 l AS (SELECT a, b, coalesce(r, 0) AS r, coalesce(p.top, 0) + coalesce(q.top, 0) AS t FROM pairs LEFT JOIN s USING (a, b) LEFT JOIN top p ON p.entity = a LEFT JOIN top q ON q.entity = b)"""

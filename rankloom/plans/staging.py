@@ -17,6 +17,10 @@ def h(seed: str, *columns: str) -> str:
     return _H.format(f"'{seed}'", ", ".join(columns))
 
 
+def h60(seed: str, *columns: str) -> str:
+    return h(seed, *columns).replace("1, 8", "1, 15")
+
+
 @query(f"WITH {CAND} SELECT entity, term, score FROM cand WHERE category = 'O' AND snapshot IN (1996, 1997)")
 def a01_cell_scan(spark, sf):
     return B.cell(candidates(spark, sf), category="o", snapshots=[1996, 1997]).select("entity", "term", "score")

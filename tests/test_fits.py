@@ -233,3 +233,12 @@ def test_nulls_of_the_target(world):
     with pytest.raises(ValueError, match="lin, marginal or shuffled"):
         semantics.null_target(pairs, closed, content, "other")
     assert codes.sampled_pairs(closed, 2).count()
+
+
+def test_scores_that_keep_rising_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "child int, parent int")
+    scores = spark.createDataFrame([("e", i, 1.0 - i / 10) for i in range(7)] + [("f", 0, 0.2), ("f", 2, 0.1)], "entity string, term int, score double")
+    fixed, rounds = ontology.consistency(scores, edges)
+    assert rounds == 6 and {(r.entity, r.term): r.score for r in fixed.collect()} == {**{("e", i): 1.0 for i in range(7)}, ("f", 0): 0.2, ("f", 2): 0.1}
+    with pytest.raises(ArithmeticError, match="still rise after 3 rounds"):
+        ontology.consistency(scores, edges, max_passes=3)
