@@ -48,11 +48,11 @@ def tanimoto(a: Column | str, b: Column | str) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
-#: Bytes of vectors on one side of a task, rows of the blocks that are compared at once in it.
-_SIDE, _QUERIES, _REFERENCES = 64 << 20, 1_000, 4_000
+#: Bytes of vectors on one side of a task, queries that are compared at once in it with four times as many references.
+_SIDE, _BLOCK = 64 << 20, 1_000
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, side: int = _SIDE) -> DataFrame:
+def nearest(queries: DataFrame, references: DataFrame, k: int, side: int = _SIDE, block: int = _BLOCK) -> DataFrame:
     """queries(id, v), references(id, v) -> (query, reference, cosine, rank): the k nearest, oneself excluded; ties by id.
 
     Both sides are dealt into as few parts as a task's memory allows (`side` bytes of vectors each), and queries into as many
@@ -60,12 +60,12 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, side: int = _SIDE
     copied once for each part of the other side: 130,000 rows of 64 components are one part."""
     q, r = queries.select(F.col("id").alias("query"), unit("v").alias("v")), references.select(F.col("id").alias("reference"), unit("v").alias("v"))
     asked, known, cores = q.count(), r.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first(), queries.sparkSession.sparkContext.defaultParallelism
-    part = max(_QUERIES, side // (8 * max(1, known.d or 1)))
-    n, m = max(1, -(-asked // part), min(cores, -(-asked // _QUERIES))), max(1, -(-known.n // part))
+    part = max(block, side // (8 * max(1, known.d or 1)))
+    n, m = max(1, -(-asked // part), min(cores, -(-asked // block))), max(1, -(-known.n // part))
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     q = q.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(n)).cast("int").alias("x"), every(m).alias("y"))
     r = r.select("reference", "v", every(n).alias("x"), F.pmod(F.xxhash64("reference"), F.lit(m)).cast("int").alias("y"))
-    found = q.groupBy("x", "y").cogroup(r.groupBy("x", "y")).applyInArrow(_block_top(k), "query long, reference long, cosine double")
+    found = q.groupBy("x", "y").cogroup(r.groupBy("x", "y")).applyInArrow(_block_top(k, block), "query long, reference long, cosine double")
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), "reference")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -81,20 +81,20 @@ def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return row[place < k], found[place < k], value[place < k]
 
 
-def _block_top(k: int):
+def _block_top(k: int, block: int):
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, r = left.column("query").to_numpy(), right.column("reference").to_numpy()
         out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(ids) and len(r):
             matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(len(t), -1)
             x, y = matrix(left), matrix(right)
-            for a in range(0, len(ids), _QUERIES):
-                some = ids[a : a + _QUERIES]
+            for a in range(0, len(ids), block):
+                some = ids[a : a + block]
                 row, found, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-                for b in range(0, len(r), _REFERENCES):
-                    s = x[a : a + _QUERIES] @ y[b : b + _REFERENCES].T
-                    s[some[:, None] == r[None, b : b + _REFERENCES]] = -np.inf
-                    new = _best(s, r[b : b + _REFERENCES], k)
+                for b in range(0, len(r), 4 * block):
+                    s = x[a : a + block] @ y[b : b + 4 * block].T
+                    s[some[:, None] == r[None, b : b + 4 * block]] = -np.inf
+                    new = _best(s, r[b : b + 4 * block], k)
                     row, found, value = (np.concatenate(c) for c in zip((row, found, value), new, strict=True))
                 order = np.lexsort((found, -value, row))
                 row, found, value = row[order], found[order], value[order]

@@ -89,9 +89,43 @@ def test_metrics_of_perfect_and_empty_predictions(spark):
 
 
 def test_nearest_across_blocks(spark):
-    v = spark.createDataFrame([(i, [math.cos(i / 10), math.sin(i / 10)]) for i in range(40)], "id long, v array<double>").repartition(3)
-    one, many = (sorted((r.query, r.reference, r["rank"]) for r in retrieval.nearest(v, v, 3, block=b).collect()) for b in (1000, 7))
-    assert one == many and len(one) == 120
+    v = spark.createDataFrame([(i, [math.cos(i * i / 600), math.sin(i * i / 600)]) for i in range(40)], "id long, v array<double>").repartition(3)
+    one, many, few = (sorted((r.query, r.reference, r["rank"]) for r in retrieval.nearest(v, v, 3, **how).collect()) for how in ({}, {"side": 0, "block": 7}, {"side": 0, "block": 1}))
+    assert one == many == few and len(one) == 120
+    assert {r for r in one if r[0] == 20} == {(20, 19, 1), (20, 21, 2), (20, 18, 3)}
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)], "id long, v array<double>")  # ties by id, across blocks and parts
+    for how in ({}, {"side": 0, "block": 4}):
+        got = {}
+        for r in retrieval.nearest(same, same, 3, **how).collect():
+            got.setdefault(r.query, {})[r["rank"]] = r.reference
+        assert all(list(got[i][k] for k in (1, 2, 3)) == [j for j in range(5) if j != i][:3] for i in range(30))
+    assert retrieval.nearest(v, v.limit(0), 3).count() == 0 and retrieval.nearest(v, v.limit(2), 3).count() == 40 * 2 - 2
+
+
+def test_max_sim_is_the_mean_of_best_cosines(spark):
+    units = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 2.0]), ("b", 0, [3.0, 3.0]), ("c", 0, [0.0, 0.0])], "entity string, pos int, v array<double>")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("a", "c"), ("a", "none")], "a string, b string")
+    h = math.sqrt(0.5)
+    got = {(r.a, r.b): (r.a_in_b, r.b_in_a) for r in retrieval.max_sim(pairs, units).collect()}
+    assert got == {("a", "b"): pytest.approx((h, h)), ("b", "a"): pytest.approx((h, h)), ("a", "a"): (1.0, 1.0), ("a", "c"): (0.0, 0.0)}
+
+
+def test_sums_by_arrays_are_those_of_weighted_rows(spark):
+    per = spark.range(700).select(F.col("id").alias("entity"), (F.col("id") % 7).alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") / 10).alias("y"))
+    n = 21
+    rows = resampling.resample(per, n, "s").groupBy("resample").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("x")).alias("x"), F.sum(F.col("weight") * F.col("y")).alias("y"))
+    want = {r.resample: (r.weight, r.x, pytest.approx(r.y)) for r in rows.collect()}
+    got = {r.resample: (r.weight, r.x, r.y) for r in resampling.resampled_sums(per, ["x", "y"], n, "s").collect()}
+    assert len(want) == n and got == want and resampling.resampled_sums(per.limit(0), ["x"], n).count() == 0
+
+
+def test_miss_classes_of_each_kind(spark):
+    edges = spark.createDataFrame([("mid", "root"), ("leaf", "mid"), ("twin", "mid"), ("far", "root")], "child string, parent string")
+    over = ontology.ancestors(edges, reflexive=True, nodes=spark.createDataFrame([(t,) for t in ("root", "mid", "leaf", "twin", "far")], "term string"))
+    said = spark.createDataFrame([("a", "leaf"), ("b", "mid"), ("c", "leaf"), ("d", "twin"), ("e", "far")], "entity string, term string")
+    true = spark.createDataFrame([("a", "leaf"), ("b", "leaf"), ("c", "mid"), ("d", "leaf"), ("e", "leaf"), ("f", "leaf"), ("a", "leaf")], "entity string, term string")
+    got = {(r.entity, r.term): r["class"] for r in reports.miss_classes(said, true, over, edges).collect()}
+    assert got == {("a", "leaf"): "hit", ("b", "leaf"): "too_shallow", ("c", "mid"): "overshot", ("d", "leaf"): "sibling", ("e", "leaf"): "other", ("f", "leaf"): "other"}
 
 
 def test_promotion_and_bootstrap(spark):
