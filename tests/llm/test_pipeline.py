@@ -87,3 +87,24 @@ def test_sketches_never_overstate_a_difference():
             a = np.unique(pick.integers(0, 1 << 63, n).astype(np.uint64))
             b = np.unique(np.concatenate([a[int(len(a) * share) :], pick.integers(0, 1 << 63, 1 + int(n * share)).astype(np.uint64)]))
             assert nearcopies._differ(nearcopies.sketch(a), nearcopies.sketch(b)) <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4, 5, None], [7, 7, 3, 3, 5, None], [-9, -9, -3, -9, -2, None], [2**63 - 1, 2**63 - 1, 4, 5, 5, None], ["a", "a", "3", "4", "5", None]])
+def test_near_duplicates_whatever_the_ids(spark, small, ids):
+    one, two = "a b c d e f g h", "other words of another text than that"
+    docs = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(zip(ids, [one, two, one, None, one, one], strict=True))], f"doc_id {'string' if 'a' in ids else 'long'}, text string, row string")
+    if "a" in ids:
+        docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == "a", "1").otherwise(F.col("doc_id")))
+    left = [int(x.row) for x in corpus_pipeline.near_duplicate_stage(spark, docs, small).collect()]
+    copies = min((int(i) if i != "a" else 1, k) for k, i in enumerate(ids) if k in (0, 2, 4))[0]
+    assert sorted(k for k in left if k not in (0, 2, 4)) == [1, 3, 5]
+    assert [int(ids[k]) if ids[k] != "a" else 1 for k in left if k in (0, 2, 4)] == [copies]
+
+
+def test_common_shingles_are_found_in_any_table():
+    pick = np.random.default_rng(3)
+    for n in (0, 1, 5, 1000):
+        known, s = (np.unique(pick.integers(0, 2000, size, np.uint64)) for size in (n, 300))
+        assert (nearcopies._among(s, known) == np.isin(s, known)).all()
+    top = np.array([2**64 - 1], np.uint64)
+    assert nearcopies._among(top, top).all() and not nearcopies._among(top, np.zeros(1, np.uint64)).any()
