@@ -161,5 +161,6 @@ def presence_profile(gene_entity: DataFrame, gene_group: DataFrame, group_taxon:
     return gene_entity.join(gene_group, "gene").join(group_taxon, "group").select("entity", "group", "taxon").distinct()
 
 
-def ranked(rows: DataFrame, n: int) -> DataFrame:
-    return rows.withColumn("k_", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("score"), "term"))).where(F.col("k_") <= n).drop("k_")
+def ranked(rows: DataFrame, n: int, ties: Sequence[str] = ()) -> DataFrame:
+    """Each entity's best n rows by score, then term, then the columns `ties`."""
+    return rows.withColumn("k_", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("score"), "term", *ties))).where(F.col("k_") <= n).drop("k_")

@@ -43,8 +43,10 @@ def predictions_parquet(rows: DataFrame, path: str) -> None:
 
 
 def predictions_tsv(rows: DataFrame, path: str, most: int, cell: str | None = None) -> None:
-    """Each entity's best `most` terms with six decimals, one folder for each cell."""
+    """Each entity's best `most` terms with six decimals, one folder for each cell. A term that scores alike in two cells is
+    ranked by cell, so that reruns write the same rows."""
     columns = ["entity", "term", F.format_string("%.6f", F.col("score").cast("double")).alias("score")]
-    out = ranked(rows, most).select(*columns, *([cell] if cell else []))
+    by_cell = [cell] if cell else []
+    out = ranked(rows, most, by_cell).select(*columns, *by_cell)
     writer = out.write.mode("overwrite").option("sep", "\t")
     (writer.partitionBy(cell) if cell else writer).csv(path)

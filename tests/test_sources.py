@@ -63,6 +63,15 @@ def test_weights_predictions_and_round_trip(spark, tmp_path):
     assert sorted(map(tuple, readers.predictions(spark, str(tmp_path / "out" / "cell=c")).collect())) == [("e", "x", 0.7), ("f", "z", 0.25)]
 
 
+def test_predictions_tied_between_cells_rank_by_cell(spark, tmp_path):
+    rows = [(e, t, 0.5, c) for e in range(40) for t, c in ((1, "O"), (2, "O"), (2, "F"))]
+    for turn in (rows, rows[::-1]):
+        path = str(tmp_path / f"out{turn[0][0]}")
+        writers.predictions_tsv(spark.createDataFrame(turn, "entity long, term long, score double, cell string").repartition(5), path, 2, "cell")
+        back = spark.read.option("sep", "\t").schema("entity long, term long, score string, cell string").csv(path)
+        assert sorted(map(tuple, back.collect())) == sorted(x for e in range(40) for x in ((e, 1, "0.500000", "O"), (e, 2, "0.500000", "F")))
+
+
 def test_manifests(spark, tmp_path):
     good = {"schema_version": 1, "name": "d", "k": 5, "train_snapshot_pairs": ["v1-v2"], "eval_snapshot_pair": "v2-v3", "schema_sha": "0123456789ab", "n_train_rows": 1, "n_eval_rows": 1, "format": "parquet"}
     for name, m in (("a", good), ("b", good | {"k": 0, "extra": 1, "eval_snapshot_pair": "2-3"})):
