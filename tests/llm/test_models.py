@@ -104,6 +104,23 @@ def test_quality_by_perplexity_worked_out_by_hand(spark):
         assert all(got[i].keep == (value(i) <= limit) for i, _, x in rows + junk if x == lang)
 
 
+def test_quality_learns_from_every_trusted_text(spark):
+    """More trusted texts than the sample once held: the model is that of all of them, whichever way their ids are joined."""
+    r = random.Random(11)
+    rows = [(i, r.choice(["tona", "rilo", "mesu", "ka ka ka"]) + " " + chr(0x400 + r.randrange(300)), "en") for i in range(8_600)]
+    docs = spark.createDataFrame(rows, SCHEMA).unionByName(spark.createDataFrame([(9_000, "zzzz", "en"), (9_001, "", "en"), (None, "qqqq", "en")], SCHEMA))
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows] + [(9_000, 0, 0), (9_001, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    code = quality.train(docs, labels, symbols=20).code
+    common = collections.Counter(c for _, t, _ in rows for c in quality.symbols_of(t, True).tolist())
+    top = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    assert [int(code[c]) for c in top] == list(range(1, 21)) and int((code[:-1] > 0).sum()) == 20 and code[-1] == 21
+    spell = lambda c: [int(code[c])] if code[c] else [21 + (c >> s & 63) for s in (18, 12, 6, 0)]
+    counts = collections.Counter(g for _, t, _ in rows for s in [[0, 0, *(x for c in quality.symbols_of(t, True).tolist() for x in spell(c))]] for g in zip(s, s[1:], s[2:], strict=False))
+    table = quality.kneser_ney(spark.createDataFrame([(a, b, c, n) for (a, b, c), n in counts.items()], "a long, b long, c long, n long"), 85)
+    for few in (quality.FEW, 0):
+        assert np.allclose(quality.train(docs, labels, symbols=20, few=few).table, table, atol=1e-6)
+
+
 def slow_kernel(a, b, decay):
     """Gap-weighted subsequences of three letters, by listing them."""
     def feats(w):
