@@ -42,8 +42,8 @@ def _numbered(docs: DataFrame, own: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1's job at the stage's own settings, five-word shingles and a similarity of 0.8: of each group of near
-    duplicates the row with the least id stays, one row also where ids repeat; so do documents without an id. Texts that
+    """Operator 1's job at the stage's own settings, five-word shingles and a similarity of 0.8: SimHash's links, checked on the
+    texts, and the pairs beyond its 3 bits by prefixes. Of each group of near duplicates the row with the least id stays, one row also where ids repeat; so do documents without an id. Texts that
     line deduplication left empty count as copies of one another."""
     own = temp_name(docs, "row")
     with_id = _numbered(docs, own)

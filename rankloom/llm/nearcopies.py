@@ -1,14 +1,15 @@
 """Near copies by shingle similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more,
 and groups of documents that such pairs connect.
 
-A 64-bit SimHash differs in about ten bits at this similarity, too many for any choice of blocks to leave a selective key;
-so the pairs come from prefixes, which lose none. All shingles have one order: first those not known to be common, by
+First come SimHash's pairs, by operator 1: 64-bit fingerprints of the same shingles, joined on pigeonhole blocks, at 3 bits or
+fewer, each checked on the texts. Fingerprints differ in about ten bits at a similarity of 0.8, too many for any choice of blocks to leave a
+selective key; so what SimHash does not connect is completed by prefixes, which lose no pair. All shingles have one order: first those not known to be common, by
 hash, then the common ones. Sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each (n: the set's
 size). What counts as common is counted on an eighth of the rows, the more frequent first up to MOST of them; that sets the
 order only, never the result, and what a shingle's group holds stays in proportion to the table.
 
-Equal sets are one row from the start. Each shared prefix shingle links its rows to the least of them; what holds against
-the texts is connected. Then all rows that share a prefix shingle and are not yet connected meet, if sizes and places allow
+Equal sets are one row from the start. Each shared prefix shingle links its rows to the least of them; what holds of these
+and of SimHash's links against the texts is connected. Then all rows that share a prefix shingle and are not yet connected meet, if sizes and places allow
 the similarity. Sketches drop most of the pairs that are not similar before their texts are fetched. So a large group of copies costs as many pairs as it has rows, not their square.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null counts as empty; texts without words equal one another.
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import discard, materialise
 from .graph import connected_components
 
@@ -109,7 +111,8 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(row, rank, d1, d2, n, bits, prefix) for each of texts(row, rank, t): d1 and d2 stand for the set of n shingles."""
+    """(row, rank, d1, d2, n, bits, prefix, fp) for each of texts(row, rank, t): d1 and d2 stand for the set of n shingles, fp is
+    the text's SimHash."""
     common = texts.sparkSession.sparkContext.broadcast(_common(texts, words))
 
     def one(data):
@@ -121,13 +124,24 @@ def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def each(batches):
         for b in _pieces(batches):
-            made = [one(t or b"") for t in b.column(2).to_pylist()]
+            given = [t or b"" for t in b.column(2).to_pylist()]
+            made, prints = [one(t) for t in given], np.array([simhash.fingerprint(t, words) for t in given], np.uint64)
             cut = np.concatenate([[0], np.cumsum([len(x[4]) for x in made])]).astype(np.int32)
             flat = np.concatenate([x[4] for x in made] or [np.zeros(0, np.int64)])
             numbers = [pa.array([x[i] for x in made], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, pa.array([x[3] for x in made], pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["row", "rank", "d1", "d2", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, pa.array([x[3] for x in made], pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array(prints.view(np.int64))], names=["row", "rank", "d1", "d2", "n", "bits", "prefix", "fp"])
 
-    return texts.select("row", "rank", "t").mapInArrow(each, "row long, rank long, d1 long, d2 long, n long, bits binary, prefix array<long>")
+    return texts.select("row", "rank", "t").mapInArrow(each, "row long, rank long, d1 long, d2 long, n long, bits binary, prefix array<long>, fp long")
+
+
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """prints(row, fp) -> (a, b): pairs of rows that connect what fingerprints at simhash.DISTANCE bits or fewer connect. Each
+    fingerprint's rows are linked to the least of them, and these as operator 1 links their fingerprints."""
+    first = materialise(prints.groupBy("fp").agg(F.min("row").alias("top")), "prints")
+    same = prints.join(first, "fp").where("row <> top").select(F.col("top").alias("a"), F.col("row").alias("b"))
+    near = simhash.links(first.select("fp")).distinct()
+    ends = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(ends)
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -182,8 +196,8 @@ def least_of_groups(texts: DataFrame, words: int = WORDS, similarity: float = SI
     stars = keys.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct("row", "n", "p")).alias("m")).where("c > 1").select("k", "m")
     stars = materialise(stars, "stars")
     shared = materialise(keys.join(stars, "k").select("k", "row", "n", "p", "m"), "shared")
-    met = shared.alias("x").where("x.row <> m.row").where(_could(similarity, "x", "m")).select(F.col("m.row").alias("a"), F.col("row").alias("b")).distinct()
-    met = materialise(met, "pairs")
+    met = shared.alias("x").where("x.row <> m.row").where(_could(similarity, "x", "m")).select(F.col("m.row").alias("a"), F.col("row").alias("b"))
+    met = materialise(met.unionByName(simhash_pairs(own.select("row", "fp"))).distinct(), "pairs")
     discard(stars)
     slim = materialise(own.select("row", "n", "bits"), "sketches")
     discard(own)

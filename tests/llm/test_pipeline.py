@@ -80,6 +80,35 @@ def test_near_duplicates_are_those_of_brute_force_jaccard(spark, small):
     assert len(groups) < op1  # three bits and three words leave near copies
 
 
+def test_near_dedup_takes_the_links_of_simhash(spark, small, monkeypatch):
+    """The stage's first pairs are op1's: fingerprints of five-word shingles at three bits or fewer."""
+    pick, docs = random.Random(8), []
+    words = [f"w{i}" for i in range(500)]
+    for _ in range(30):
+        base = pick.choices(words, k=200)
+        docs += [" ".join(base), " ".join([*base[:-1], "z"]), " ".join([*base[:100], "y", *base[101:]])]
+    prints = [simhash.fingerprint(t.encode(), 5) for t in docs]
+    root = list(range(len(docs)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(docs)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= simhash.DISTANCE:
+                root[find(a)] = find(b)
+    want = {tuple(i for i in range(len(docs)) if find(i) == g) for g in set(map(find, root))}
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    pairs = [tuple(x) for x in nearcopies.simhash_pairs(spark.createDataFrame(rows, "row long, fp long")).collect()]
+    assert all(find(a) == find(b) for a, b in pairs)
+    root = list(range(len(docs)))
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    assert {tuple(i for i in range(len(docs)) if find(i) == g) for g in set(map(find, root))} == want and len(want) < len(docs)
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, **how: asked.append({x.fp for x in distinct.collect()}) or links(distinct, **how))
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicate_stage(spark, table, small).count() == 30
+    assert asked == [{fp for _, fp in rows}]
+
+
 def test_sketches_never_overstate_a_difference():
     pick = np.random.default_rng(3)
     for n in (1, 5, 63, 64, 65, 200, 900):
