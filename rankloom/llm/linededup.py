@@ -73,8 +73,22 @@ def _beside(ahead: str, back: str) -> str:
     return f"concat(if({ahead} > 0, {after}, {none}), if({back} > 0, {before}, {none}))"
 
 
+def _merged(ranges: str) -> str:
+    """SQL: sorted ranges (a, b), those that meet or touch as one."""
+    none = "cast(array() as array<struct<a:int,b:int>>)"
+    grow = "struct(x.done as done, x.a as a, greatest(x.b, r.b) as b)"
+    start = "struct(if(x.b < 0, x.done, concat(x.done, array(struct(x.a as a, x.b as b)))) as done, r.a as a, r.b as b)"
+    return f"aggregate({ranges}, struct({none} as done, -1 as a, -9 as b), (x, r) -> if(r.a <= x.b + 1, {grow}, {start}), x -> concat(x.done, array(struct(x.a as a, x.b as b))))"
+
+
+def _outside(pieces: str, runs: str) -> str:
+    """SQL: the pieces outside of runs, which are sorted and apart; one pass over both."""
+    gap = f"slice(s, if(j = 0, 0, get({runs}, j - 1).b + 1) + 1, if(j = size({runs}), size(s), get({runs}, j).a) - if(j = 0, 0, get({runs}, j - 1).b + 1))"
+    return f"element_at(transform(array({pieces}), s -> flatten(transform(sequence(0, size({runs})), j -> {gap}))), 1)"
+
+
 def repeated_runs(marked: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """fingerprints() -> (k, runs), written: for each text the piece ranges (a, b) that repeat an earlier run."""
+    """fingerprints() -> (k, runs), written: for each text the piece ranges (a, b) that repeat an earlier run, sorted and apart."""
     rows = marked.select("id", "k", F.explode("marks").alias("m")).select("id", "k", "m.j", "m.g", "m.n")
     first = rows.groupBy("g").agg(F.min(F.struct("id", "k", "j")).alias("f"), F.count("*").alias("c")).where("c > 1").selectExpr("g", "f.k as fk", "f.j as fj")
     first = materialise(first, "first")
@@ -93,7 +107,8 @@ def repeated_runs(marked: DataFrame, window: int = WINDOW, min_words: int = MIN_
     same = asked.join(known, "key").where("not (k = f.k and j = f.j)")
     more = same.groupBy("k").agg(F.collect_set(F.expr("if(t > 0, struct(j + n as a, j + n + t - 1 as b), struct(j + t as a, j - 1 as b))")).alias("more"))
     every = "concat(transform(later, m -> struct(m.j as a, m.j + m.n - 1 as b)), coalesce(more, array()))"
-    runs = materialise(held.join(more, "k", "left").select("k", F.expr(f"array_distinct(transform({every}, r -> struct(get(at, r.a) as a, get(at, r.b) as b)))").alias("runs")), "runs")
+    ranges = f"array_sort(transform({every}, r -> struct(get(at, r.a) as a, get(at, r.b) as b)))"
+    runs = materialise(held.join(more, "k", "left").select("k", F.expr(_merged(ranges)).alias("runs")), "runs")
     for done in (first, hits, held, asked):
         discard(done)
     return runs
@@ -108,13 +123,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id", gram:
     found = repeated_runs(marked, window, min_words).select(F.col("k").alias(key), F.col("runs").alias(runs))
     discard(marked)
     split = f"split(`{text}`, {PLACES})"
-    keep = f"filter({split}, (s, i) -> not exists(`{runs}`, r -> i between r.a and r.b))"
+    keep = _outside(split, f"`{runs}`")
     kept = temp_name(docs, "row_kept")
     # only texts that lose lines meet their runs in a join; where the runs are few, the join is a broadcast one that Spark chooses by their size
     joined = docs.withColumn(key, hashed).join(found, key, "left").withColumn(kept, F.when(F.col(runs).isNotNull(), F.expr(keep)))
-    pieces = F.size(F.expr(split)).cast("long")
+    gone = F.expr(f"aggregate(`{runs}`, 0L, (n, r) -> n + r.b - r.a + 1)")
     return (
-        joined.withColumn("n_deleted", F.when(F.col(kept).isNull(), F.lit(0).cast("long")).otherwise(pieces - F.size(kept)))
+        joined.withColumn("n_deleted", F.when(F.col(kept).isNull(), F.lit(0).cast("long")).otherwise(gone))
         .withColumn(text, F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(kept, "")))
         .drop(key, runs, kept)
     )
