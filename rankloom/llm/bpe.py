@@ -1,9 +1,9 @@
 """Byte-level BPE: encoding and decoding by DuckDB recursive queries inside each partition.
 
 A text is cut by the tokenizer's pattern; every distinct piece of a batch that is no token by itself goes, as rows
-(piece, position, token), into a recursive query that joins adjacent tokens with the merge table and contracts each
-piece's leftmost pair of least rank until none is left. Decoding joins tokens with their bytes and concatenates them in
-order, again in DuckDB. Pieces repeat heavily, so only pieces a worker has not met reach the query; what it remembers is
+(piece, tokens, what adjacent ones make), into a recursive query that contracts each piece's leftmost pair of least rank
+and joins the two new pairs with the merge table, until no pair makes a token. Decoding selects each token's bytes and
+concatenates them in order, again in DuckDB. Pieces repeat heavily, so only pieces a worker has not met reach the query; what it remembers is
 bounded in bytes, and DuckDB is closed with each partition. A piece of over `long_piece` bytes (rare: a run without any break) would need as many rounds of the query as it
 has merges; the same contraction runs on it with a heap instead.
 
@@ -20,6 +20,8 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,36 +31,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import temp_name
+from .common import lean, temp_name
 
 #: Bytes of the longest piece that DuckDB contracts, bytes of pieces a query takes, bytes of pieces a worker remembers.
 LONG_PIECE, QUERY_BYTES, REMEMBER = 400, 250_000, 60_000_000
 
-#: step holds unfinished pieces and, marked done, what is left of finished ones. A pair of tokens is one number; the
-#: next token is carried along (-1 at a piece's end), so each round sorts once.
-_ENCODE = """
-with recursive step(w, p, id, following, done) as (
-    select w, p, id, following, false from pieces
+#: step holds a piece in one row: its tokens, the tokens that its adjacent pairs make (NONE: no token) and the least of
+#: those, whose first place is contracted; only the two pairs beside it are looked up anew.
+NONE = (1 << 31) - 1
+_ENCODE = f"""
+with recursive step(w, ids, made, best) as (
+    select w, ids, made, coalesce(list_min(made), {NONE}) from pieces
     union all
-    select w, p, case when rank_at = best then merged else id end,
-        case when rank_at = best then coalesce(second, -1) when rank_next = best then merged_next else following end, best is null
+    select w, ids, made, coalesce(list_min(made), {NONE})
     from (
-        select w, p, id, following, merged, rank_at, min(rank_at) over whole as best, lag(rank_at) over piece as before,
-            lead(rank_at) over piece as rank_next, lead(merged) over piece as merged_next, lead(id, 2) over piece as second
-        from (
-            select s.w, s.p, s.id, s.following, m.id as merged, m.id::bigint * 4294967296 + s.p as rank_at
-            from step s left join merges m on s.id::bigint * 4294967296 + s.following = m.pair where not s.done
-        )
-        window piece as (partition by w order by p), whole as (partition by w order by p rows between unbounded preceding and unbounded following)
-    ) where best is null or before is null or before <> best
+        select w, list_concat(ids[:k - 1], [best], ids[k + 2:]) as ids, list_concat(
+            made[:greatest(k - 2, 0)], if(k > 1, [coalesce(l.id, {NONE})], []), if(k < len(made), [coalesce(r.id, {NONE})], []), made[k + 2:]) as made
+        from (select w, ids, made, best, list_position(made, best) as k from step where best < {NONE})
+        left join merges l on l.pair = ids[k - 1]::bigint * 4294967296 + best
+        left join merges r on r.pair = best::bigint * 4294967296 + ids[k + 2]
+    )
 )
-select w, list(id order by p) as ids, string_agg(t.text, '' order by p) as text
-from step join tokens t using (id) where done group by w order by w
-"""
-_DECODE = """
-select w, string_agg(t.text, '' order by p) as text
-from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as p from encoded) join tokens t using (id) group by w order by w
+select w, ids from step where best = {NONE} order by w
 """
+_DECODE = "select array_to_string(list_select(every, places), '') as text from encoded, named order by w"
 
 
 class Vocabulary:
@@ -71,9 +67,11 @@ class Vocabulary:
             raise ValueError("token ids must be below 2 ** 31")
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         pair, made = pa.array([a << 32 | b for a, b, _ in pairs], pa.int64()), pa.array([i for _, _, i in pairs], pa.int32())
-        text = pa.array([t.decode("latin-1") for t in self.ranks], pa.string())  # a character for each byte
-        self.tables = {"merges": pa.table({"pair": pair, "id": made}), "tokens": pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "text": text})}
+        self.ids = np.array(sorted(self.ranks.values()))
+        every = pa.array([[t.decode("latin-1") for t in sorted(self.ranks, key=self.ranks.get)]], pa.list_(pa.string()))  # a character for each byte
+        self.tables = {"merges": pa.table({"pair": pair, "id": made}), "named": pa.table({"every": every})}
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.two = np.array([[self.ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int32)
 
 
 def _dealt(pieces: list, size) -> Iterator[list]:
@@ -94,7 +92,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str, long_piece: int = LONG_PIECE, remember: int = REMEMBER):
         self.vocabulary = Vocabulary(path)
-        self.ranks, self.byte = self.vocabulary.ranks, self.vocabulary.byte
+        self.ranks, self.byte, self.two = self.vocabulary.ranks, self.vocabulary.byte, self.vocabulary.two
         self.split, self.long_piece, self.remember = regex.compile(pattern).findall, long_piece, remember
         self.db = None
         self._forget()
@@ -122,19 +120,26 @@ class Codec:
         self.db = None
 
     def _query(self, pieces: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
-        lengths = np.array([len(p) for p in pieces])
-        w = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
-        p = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        ids = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        following = np.append(ids[1:], np.int32(-1))
-        following[np.cumsum(lengths) - 1] = -1
-        self.db.register("pieces", pa.table({"w": w, "p": p, "id": ids, "following": following}))
+        """Ids and decoded bytes of pieces of two bytes or more."""
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+        inside = np.ones(len(raw), bool)
+        inside[ends[1:] - 1] = False  # a piece's last byte has no pair
+        made = self.two[raw[:-1], raw[1:]][inside[:-1]]
+        given = [pa.ListArray.from_arrays(ends, self.byte[raw]), pa.ListArray.from_arrays(ends - np.arange(len(ends), dtype=np.int32), made)]
+        self.db.register("pieces", pa.table({"w": np.arange(len(pieces), dtype=np.int32), "ids": given[0], "made": given[1]}))
         encoded = self.db.sql(_ENCODE).to_arrow_table()
-        return encoded.column("ids").to_pylist(), [x.encode("latin-1") for x in encoded.column("text").to_pylist()]
-
-    def _decode(self, encoded: pa.Table) -> list[bytes]:
-        self.db.register("encoded", encoded)
-        return [x.encode("latin-1") for x in self.db.sql(_DECODE).to_arrow_table().column("text").to_pylist()]
+        self.db.unregister("pieces")
+        ids = encoded.column("ids").combine_chunks()
+        flat, at = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
+        return [flat[a:b] for a, b in itertools.pairwise(at)], self._decode(ids)
+
+    def _decode(self, ids: pa.ListArray) -> list[bytes]:
+        places = np.searchsorted(self.vocabulary.ids, ids.values.to_numpy()) + 1
+        self.db.register("encoded", pa.table({"w": np.arange(len(ids)), "places": pa.ListArray.from_arrays(ids.offsets, places)}))
+        text = self.db.sql(_DECODE).to_arrow_table().column("text").to_pylist()
+        self.db.unregister("encoded")
+        return [x.encode("latin-1") for x in text]
 
     def _heap(self, piece: bytes) -> list[int]:
         """The contraction of _ENCODE for one long piece."""
@@ -157,7 +162,7 @@ class Codec:
         return [ranks[piece[i : ends[i]]] for i in range(n) if live[i]]
 
     def _keep(self, place: int, ids: list[int], text: bytes) -> None:
-        self.ids_of[place], self.text_of[place] = np.array(ids, "<u4").tobytes(), text
+        self.ids_of[place], self.text_of[place] = struct.pack(f"<{len(ids)}I", *ids), text
         self.held += 260 + 4 * len(ids) + 2 * len(text)
 
     def learn(self, fresh: list[str]) -> None:
@@ -168,7 +173,7 @@ class Codec:
         coded = [(first + k, x.encode()) for k, x in enumerate(fresh)]
         direct = [(k, [self.ranks[p]] if p in self.ranks else self._heap(p)) for k, p in coded if p in self.ranks or len(p) > self.long_piece]
         for part in _dealt(direct, lambda x: 4 * len(x[1])):
-            decoded = self._decode(pa.table({"w": pa.array(range(len(part)), pa.int32()), "ids": pa.array([i for _, i in part], pa.list_(pa.int32()))}))
+            decoded = self._decode(pa.array([i for _, i in part], pa.list_(pa.int32())))
             for (k, i), d in zip(part, decoded, strict=True):
                 self._keep(k, i, d)
         rest = [(k, p) for k, p in coded if self.ids_of[k] is None]
@@ -210,6 +215,7 @@ def codec(path: str, pattern: str, long_piece: int = LONG_PIECE, remember: int =
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id_: str = "doc_id", long_piece: int = LONG_PIECE) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs."""
 
+    @lean
     def each(batches):
         with codec(path, pattern, long_piece) as own:
             for b in batches:
@@ -229,6 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", long_pi
     at, added = docs.columns.index(text), [temp_name(docs, "token_ids"), temp_name(docs, "decoded")]
     kinds = StructType([*docs.schema.fields, StructField(added[0], ArrayType(IntegerType())), StructField(added[1], StringType())])
 
+    @lean
     def each(batches):
         with codec(path, pattern, long_piece) as own:
             for b in batches:

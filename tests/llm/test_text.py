@@ -6,6 +6,7 @@ import math
 import random
 import re
 import re._parser as parser
+import time
 from collections import Counter
 
 import numpy as np
@@ -56,6 +57,29 @@ def test_the_query_and_the_heap_agree():
         assert c._query(rest)[0] == [c._heap(p) for p in rest]
 
 
+def test_long_pieces_take_the_query_few_times_the_heap():
+    r = random.Random(5)
+    with bpe.Codec(RANKS, P.PATTERN) as c:
+        pieces = ["".join(r.choice("abcdeionrst") for _ in range(390)).encode() for _ in range(600)]
+        c._query(pieces[:1])
+        start = time.process_time()
+        ids, text = c._query(pieces)
+        middle = time.process_time()
+        assert ids == [c._heap(p) for p in pieces] and text == pieces
+        assert middle - start < 8 * (time.process_time() - middle)
+
+
+def test_bpe_of_ids_with_gaps(tmp_path):
+    with open(RANKS, "rb") as f:
+        ranks = {a: 3 * int(b) + 1 for a, b in map(bytes.split, f)}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(b"%s %d\n" % x for x in ranks.items()))
+    texts = ["some tokens and zxqv-neverthelessness", "", "日本語 of it"]
+    with bpe.Codec(RANKS, P.PATTERN) as c, bpe.Codec(str(path), P.PATTERN) as d:
+        for (i, t), (j, u) in zip(c.batch(texts), d.batch(texts), strict=True):
+            assert t == u and (3 * np.frombuffer(i, "<u4") + 1).tolist() == np.frombuffer(j, "<u4").tolist()
+
+
 def test_bpe_forgets_and_keeps_columns_of_its_names(spark, reference):
     texts = [f"some words {i} and more of them {i * 7}" for i in range(40)]
     with bpe.Codec(RANKS, P.PATTERN, remember=1) as c:
