@@ -29,13 +29,13 @@ from .common import discard, materialise, temp_name
 
 GRAM, WINDOW, LONG_WORDS, MIN_WORDS = 2, 2, 25, 8
 #: What ends a line, and the places between lines, which cut a text into as many pieces without losing a character.
-ENDS, PLACES = r"'[.!?]+[ \\n]|\\n|[。！？]'", r"'(?<=[.!?][ \\n])|(?<=[\\n。！？])'"
+ENDS, PLACES = r"'[.!?]+[ \\n]|[\\n。！？]'", r"'(?<=[.!?][ \\n])|(?<=[\\n。！？])'"
 
 
 def _lines(text: str) -> str:
     """SQL: the non-blank lines of a text as structs (hash, length, number of the piece)."""
     size = "greatest(octet_length(s) - octet_length(replace(s, ' ', '')) + 1, (octet_length(s) - length(s)) div 8)"
-    blank = r"rtrim(' \t\n\u000b\f\r', s) = ''"
+    blank = r"ltrim(' \t\n\u000b\f\r', s) = ''"
     every = f"transform(split(concat({text}, ' '), {ENDS}), (s, i) -> struct(xxhash64(s) as h, if({blank}, 0, int({size})) as w, i as i))"
     return f"filter({every}, x -> x.w > 0)"
 
@@ -125,8 +125,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id", gram:
     split = f"split(`{text}`, {PLACES})"
     keep = _outside(split, f"`{runs}`")
     kept = temp_name(docs, "row_kept")
-    # only texts that lose lines meet their runs in a join; where the runs are few, the join is a broadcast one that Spark chooses by their size
-    joined = docs.withColumn(key, hashed).join(found, key, "left").withColumn(kept, F.when(F.col(runs).isNotNull(), F.expr(keep)))
+    # texts meet their runs in a shuffle at any size: the runs of a compressed file can be many times its size, and grow with the table
+    joined = docs.withColumn(key, hashed).join(found.hint("merge"), key, "left").withColumn(kept, F.when(F.col(runs).isNotNull(), F.expr(keep)))
     gone = F.expr(f"aggregate(`{runs}`, 0L, (n, r) -> n + r.b - r.a + 1)")
     return (
         joined.withColumn("n_deleted", F.when(F.col(kept).isNull(), F.lit(0).cast("long")).otherwise(gone))

@@ -297,3 +297,11 @@ def test_repeated_runs_are_sorted_and_apart(spark):
     for ranges, want in (([(3, 4), (0, 1)], "2,5"), ([(0, 2), (1, 5)], ""), ([(1, 1), (2, 3), (2, 2)], "0,4,5"), ([(5, 5)], "0,1,2,3,4")):
         given = spark.createDataFrame([(["0", "1", "2", "3", "4", "5"], ranges)], "s array<string>, r array<struct<a:int,b:int>>").withColumn("r", F.expr(linededup._merged("array_sort(r)")))
         assert given.select(F.expr(linededup._outside("s", "r")).alias("x")).first().x == [x for x in want.split(",") if x]
+
+
+def test_texts_meet_their_runs_without_a_broadcast(spark, capsys):
+    docs = spark.createDataFrame([(i, "One two three four five. Six seven eight nine ten.") for i in range(3)], "doc_id long, text string")
+    out = linededup.dedup_lines(docs)
+    out.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert {x.doc_id: x.text for x in out.collect()} == {0: docs.first().text, 1: "", 2: ""}
