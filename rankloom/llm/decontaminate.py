@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 #: Words of a window and of a slice of the test set; bytes of text in a shard, and of what a worker remembers of passages.
 WINDOW, SLICE_WORDS, SHARD_BYTES, REMEMBER = 10, 500_000, 4_000_000, 20_000_000
@@ -242,6 +242,7 @@ def _pieces(batches, column: int, most: int = SHARD_BYTES):
 def _marker(shared: Broadcast, every: bool):
     """(key, n_words, hit places, items, longest match) of rows (key, text); all of them, or those hit."""
 
+    @lean
     def each(batches):
         test = shared.value
         for b in _pieces(batches, 1):
@@ -300,6 +301,7 @@ def _ended(test: TestSuffixes, classes: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def _longest(shared: Broadcast):
+    @lean
     def each(batches):
         test = shared.value
         for b in _pieces(batches, 1):
@@ -330,6 +332,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
 
 
 def _filter(shared: Broadcast, column: int):
+    @lean
     def each(batches):
         test = shared.value
         for b in _pieces(batches, column):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import discard, materialise
+from .common import discard, lean, materialise
 from .graph import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -94,6 +94,7 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
     """The shingles that many of the counted rows hold, ascending; the most frequent where there are over MOST of them."""
     counted = texts.where(F.pmod(F.xxhash64("row"), F.lit(SHARE)) == 0)
 
+    @lean
     def each(batches):
         for b in _pieces(batches):
             k = np.concatenate([shingles(t or b"", words)[:LEAST] for t in b.column(0).to_pylist()] or [np.zeros(0, np.uint64)])
@@ -122,6 +123,7 @@ def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         first = np.concatenate([s[~often], s[often]])[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
         return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), len(s), sketch(s), first.view(np.int64)
 
+    @lean
     def each(batches):
         for b in _pieces(batches):
             given = [t or b"" for t in b.column(2).to_pylist()]
@@ -148,6 +150,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """Those of pairs(a, b) whose sketches leave the similarity open; no similar pair is lost."""
     both = pairs.join(sets.select("row", "n", "bits").toDF("a", "na", "sa"), "a").join(sets.select("row", "n", "bits").toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
+    @lean
     def each(batches):
         for b in _pieces(batches):
             na, nb, sa, sb = (b.column(i).to_pylist() for i in range(2, 6))
@@ -164,6 +167,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, s
     held = materialise(texts.select("row", "t").join(wanted, "row", "left_semi"), "texts")
     both = pairs.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
+    @lean
     def each(batches):
         for b in _pieces(batches):
             at, keep = {}, []

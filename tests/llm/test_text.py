@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, license, pii
+from rankloom.llm import bpe, common, decontaminate, license, pii
 
 SCHEMA = "doc_id long, text string"
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -397,3 +397,19 @@ def test_very_long_texts_and_matches_at_every_edge(spark):
                             n += 1
                         want.add((str(i), j, d, k, n))
     assert {tuple(x) for x in found} == want
+
+
+def test_workers_give_freed_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def each(batches):
+        held = [bytes(5000) for _ in range(40_000)]
+        pins.extend(bytes(5000) for _ in range(10))
+        yield from batches
+        del held
+
+    pins, before = [], resident()
+    assert list(common.lean(each)([1, 2])) == [1, 2]
+    assert resident() - before < 60_000_000
