@@ -8,7 +8,8 @@ training never met hands down P(w | h').
 A task codes its texts once, in batches of bounded size whose words are numbered. Level by level the batches ask for what
 they don't know: a request is (context node, word node, count in this batch's training texts), each different n-gram once a
 batch. Requests are dealt by a hash of the context; a context that holds too much of the corpus for one shard is dealt
-further by its words. A shard adds the counts up and builds its trie level: the contexts in order, monotone pointers to
+further by its words. Within a request contexts and their words ascend, and the nodes of an answer ascend with them: gaps
+travel instead of numbers. A shard adds the counts up and builds its trie level: the contexts in order, monotone pointers to
 their successors, the successors themselves (both Elias-Fano sequences), and for each the smoothed relative frequency
 c(hw) / (c(h) + m) as a byte into a logarithmic code book. The level is laid out in one buffer, mapped from an unlinked
 scratch file and queried by a successor search within the context. A shard answers with that byte, and with count and node
@@ -222,6 +223,32 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
+def _gaps(x: np.ndarray, heads: np.ndarray | None = None) -> bytes:
+    """Ascending numbers as packed gaps; where they begin again at each of `heads`, the numbers there come first."""
+    if heads is None:
+        return _packed(np.diff(x, prepend=0))
+    inner = np.ones(len(x), bool)
+    inner[heads] = False
+    return _packed(np.concatenate([x[heads], np.diff(x, prepend=0)[inner]]))
+
+
+def _from_gaps(data: bytes, heads: np.ndarray | None = None) -> np.ndarray:
+    gaps = _unpacked(data)
+    if heads is None:
+        return np.cumsum(gaps)
+    out, inner = np.empty(len(gaps), np.int64), np.ones(len(gaps), bool)
+    inner[heads] = False
+    out[heads], out[inner] = gaps[: len(heads)], gaps[len(heads) :]
+    sums = np.cumsum(out)
+    return sums - np.repeat(sums[heads] - out[heads], np.diff(np.append(heads, len(out))))
+
+
+def _rank(x: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x), np.int64)
+    out[np.argsort(x)] = np.arange(len(x))
+    return out
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """63 bits that depend on both numbers."""
     with np.errstate(over="ignore"):
@@ -309,7 +336,7 @@ class Known:
 
     def __init__(self, batch: Batch, answers: list, priors, totals: dict):
         self.batch, self.priors, self.totals = batch, priors, totals
-        self.node, self.count, self.code = [], [], []
+        self.node, self.count, self.code, self.rank = [], [], [], []
         for told in answers:
             self._learn(told)
 
@@ -330,24 +357,36 @@ class Known:
         word = _mixed(self.node[0][b.last[level - 1][asked]], np.full(1, 7))
         return (_mixed(self.node[level - 2][c], word % ways) % np.uint64(shards)).astype(np.int64)
 
+    def dealt(self, level: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the n-grams to be asked for, by shard, then context and word as the shards number them; where each shard's begin)."""
+        asked = self.asked(level)
+        shard, key = self.shards(level, asked, shards), self.batch.hashes
+        if level > 1:
+            while len(self.rank) < level - 1:
+                self.rank.append(_rank(self.node[len(self.rank)]))
+            key = self.rank[level - 2][self.batch.context[level - 1][asked]] * self.batch.width + self.rank[0][self.batch.last[level - 1][asked]]
+        order = np.argsort(key)
+        few = shard[order].astype(np.uint16 if shards <= 1 << 16 else np.int64)  # numpy sorts 16 bits in one pass
+        order = order[np.argsort(few, kind="stable")]
+        return asked[order], np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+
     def _learn(self, told) -> None:
         """Answers of the shards to this batch, for the next level: rows of (shard, nodes, counts, codes)."""
         b, level = self.batch, len(self.node) + 1
         if level > 1:
             b.level()
         n = len(b.own[level - 1])
-        asked = self.asked(level)
         count, node, code = b.own[level - 1].copy(), np.zeros(n, np.int64), np.zeros(n, np.uint8)
         if level > 1:
             whole = self.count[level - 2][b.context[level - 1]]
             code = quantised(count / (whole + self.priors[level - 2]))
-        shard = self.shards(level, asked, self.totals["shards"])
-        order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(self.totals["shards"] + 1))
+        asked, bounds = self.dealt(level, self.totals["shards"])
         for s, nodes, counts, codes in told or ():
-            at = asked[order[bounds[s] : bounds[s + 1]]]
+            at = asked[bounds[s] : bounds[s + 1]]
             if counts:
-                node[at], count[at] = _unpacked(nodes), _unpacked(counts)
+                numbers = _unpacked(nodes)
+                node[at] = numbers if level == 1 else np.where(numbers > 0, (np.cumsum(numbers) * self.totals["shards"] + s) * 2 + 1, 0)
+                count[at] = _unpacked(counts)
             if codes:
                 code[at] = _unpacked(codes)
         if level == 1:
@@ -361,20 +400,17 @@ class Known:
         b, level = self.batch, len(self.node) + 1
         if level > 1:
             b.level()
-        asked = self.asked(level)
-        shard = self.shards(level, asked, shards)
-        order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        asked, bounds = self.dealt(level, shards)
         for s in np.nonzero(np.diff(bounds))[0].tolist():
-            at = asked[order[bounds[s] : bounds[s + 1]]]
+            at = asked[bounds[s] : bounds[s + 1]]
             own = b.own[level - 1][at]
             if level == 1:
-                yield s, uid, _packed(np.zeros(1, np.int64)), _packed(np.zeros(1, np.int64)), _packed(np.array([len(at)])), _packed(b.hashes[at]), _packed(own)
+                yield s, uid, _packed(np.zeros(1, np.int64)), _packed(np.zeros(1, np.int64)), _packed(np.array([len(at)])), _gaps(b.hashes[at]), _packed(own)
                 continue
             c = b.context[level - 1][at]
             heads = np.concatenate([[0], np.nonzero(np.diff(c))[0] + 1])
             fan = np.diff(np.append(heads, len(c)))
-            yield s, uid, _packed(self.node[level - 2][c[heads]]), _packed(self.count[level - 2][c[heads]]), _packed(fan), _packed(self.node[0][b.last[level - 1][at]]), _packed(own)
+            yield s, uid, _gaps(self.node[level - 2][c[heads]]), _packed(self.count[level - 2][c[heads]]), _packed(fan), _gaps(self.node[0][b.last[level - 1][at]], heads), _packed(own)
 
     def scores(self):
         """For each document (tokens, known tokens, base score, score)."""
@@ -405,7 +441,8 @@ def _answering(level: int, prior: float, shards: int, last: bool):
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         part = lambda name: [_unpacked(r[name]) for r in rows]
-        contexts, fans, words, own = part("contexts"), part("fans"), part("words"), part("own")
+        fans, own, contexts = part("fans"), part("own"), [_from_gaps(r["contexts"]) for r in rows]
+        words = [_from_gaps(r["words"], np.cumsum(f) - f) for r, f in zip(rows, fans, strict=True)]
         bounds = np.cumsum([0, *map(len, words)])
         different, of = _different(np.concatenate(contexts))
         whole = np.zeros(len(different), np.int64)
@@ -420,14 +457,26 @@ def _answering(level: int, prior: float, shards: int, last: bool):
             trie = Level(mapped(Level.pack(different, context[seen], vocabulary, word[seen], count[seen], whole[context[seen]], prior)))
             codes = trie.find(different, context, vocabulary, word)
         nodes = np.zeros(len(count), np.int64)
-        if not last:  # the commonest have the least numbers: these compress best
-            nodes[np.argsort(-count, kind="stable")] = np.arange(len(count)) * shards + rows[0]["shard"]
+        if not last:
             shared = np.bincount(which, minlength=len(count)) > 1
-            nodes = nodes * 2 + shared if level == 1 else (nodes * 2 + 1) * shared
+            if level == 1:  # the commonest words have the least numbers: these compress best
+                nodes[np.argsort(-count, kind="stable")] = np.arange(len(count)) * shards + rows[0]["shard"]
+                nodes = nodes * 2 + shared
+            else:  # numbered in the order of the requests
+                nodes = np.cumsum(shared) * shared
         out = []
+
+        def numbers(x: np.ndarray) -> bytes:
+            """Above the words, gaps of those that other batches hold too, 0 for the rest."""
+            if level > 1:
+                held = x > 0
+                x = x.copy()
+                x[held] = np.diff(x[held], prepend=0)
+            return _packed(x)
+
         for k, r in enumerate(rows):
             at = which[bounds[k] : bounds[k + 1]]
-            out.append((r["uid"], r["shard"], None if last else _packed(nodes[at]), None if last else _packed(count[at]), None if codes is None else _packed(codes[at]), int(count.sum()) if not k else 0, int(seen.sum()) if not k else 0))
+            out.append((r["uid"], r["shard"], None if last else numbers(nodes[at]), None if last else _packed(count[at]), None if codes is None else _packed(codes[at]), int(count.sum()) if not k else 0, int(seen.sum()) if not k else 0))
         names = ["uid", "shard", "nodes", "counts", "codes", "tokens", "types"]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
