@@ -30,39 +30,56 @@ from .common import discard, materialise, temp_name
 GRAM, WINDOW, LONG_WORDS, MIN_WORDS = 2, 2, 25, 8
 #: What ends a line, and the places between lines, which cut a text into as many pieces without losing a character.
 ENDS, PLACES = r"'[.!?]+[ \\n]|[\\n。！？]'", r"'(?<=[.!?][ \\n])|(?<=[\\n。！？])'"
+#: A character at which texts are cut where they don't hold it themselves.
+CUT = "char(1)"
+
+
+def _rare(text: str) -> str:
+    """SQL: whether a text must be cut by the expressions above; plain replacements, which are faster, cut the others alike."""
+    return " or ".join(f"contains({text}, {x})" for x in (CUT, "'。'", "'！'", "'？'"))
+
+
+def _replaced(text: str, pairs: list[tuple[str, str]]) -> str:
+    for a, b in pairs:
+        text = f"replace({text}, {a}, {b})"
+    return text
+
+
+def _cut(text: str) -> str:
+    """SQL: what lies between the lines' ends."""
+    marked = _replaced(f"concat({text}, ' ')", [(f"'{x} '", r"'\n'") for x in ".!?"])
+    bare = "if(endswith(s, '.') or endswith(s, '!') or endswith(s, '?'), rtrim('.!?', s), s)"
+    return rf"if({_rare(text)}, split(concat({text}, ' '), {ENDS}), transform(split({marked}, '\n'), s -> {bare}))"
+
+
+def _pieces(text: str) -> str:
+    """SQL: the text cut at the places between lines, nothing lost."""
+    marked = _replaced(text, [(x, f"concat({x}, {CUT})") for x in ("'. '", "'! '", "'? '", r"'\n'")])
+    return f"if({_rare(text)}, split({text}, {PLACES}), split({marked}, {CUT}))"
 
 
 def _lines(text: str) -> str:
     """SQL: the non-blank lines of a text as structs (hash, length, number of the piece)."""
     size = "greatest(octet_length(s) - octet_length(replace(s, ' ', '')) + 1, (octet_length(s) - length(s)) div 8)"
     blank = r"ltrim(' \t\n\u000b\f\r', s) = ''"
-    every = f"transform(split(concat({text}, ' '), {ENDS}), (s, i) -> struct(xxhash64(s) as h, if({blank}, 0, int({size})) as w, i as i))"
+    every = f"transform({_cut(text)}, (s, i) -> struct(xxhash64(s) as h, if({blank}, 0, int({size})) as w, i as i))"
     return f"filter({every}, x -> x.w > 0)"
 
 
 def fingerprints(keyed: DataFrame, text: str, gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """keyed(id, k, text) -> (id, k, hs, at, marks): the line hashes, their piece numbers, and the fingerprints (j, g, n).
 
-    A gram folds the lines after its first one in until it is full. Then each step is one pass over two arrays, one of them
-    shifted: the minima of window - 1 further grams; a gram is chosen if it is the least of one of its windows."""
+    A gram folds the lines after its first one in until it is full; a long line and two lines that fill one need no fold. A
+    gram is chosen if it is the least of one of the windows that hold it."""
     out = keyed.where(F.col(text).isNotNull()).select("id", "k", F.expr(_lines(f"`{text}`")).alias("lines"))
     full = f"a.w >= {min_words} and a.n >= {gram}"
-    more = f"aggregate(slice(lines, i + 2, {max(gram, min_words) - 1}), struct(x.h as h, x.w as w, 1 as n), (a, y) -> if({full}, a, struct(xxhash64(a.h, y.h) as h, a.w + y.w as w, a.n + 1 as n)))"
-    if gram <= 2:  # two lines fill most grams: no fold for those
-        more = f"if(x.w + get(lines, i + 1).w >= {min_words}, struct(xxhash64(x.h, get(lines, i + 1).h) as h, x.w + get(lines, i + 1).w as w, 2 as n), {more})"
-    out = out.withColumn("folded", F.expr(f"transform(lines, (x, i) -> {more})"))
-    grams = f"""zip_with(lines, folded, (x, y) -> case when x.w >= {long_words} then struct(xxhash64(x.h) as g, 1 as n)
-        when y.w >= {min_words} and y.n >= {gram} then struct(y.h as g, y.n as n) end)"""
-    out = out.withColumn("grams", F.expr(grams)).withColumn("least", F.expr("transform(grams, x -> x.g)"))
-    out = out.withColumn("hashes", F.col("least"))
-    for k in range(1, window):
-        out = out.withColumn("least", F.expr(f"zip_with(least, slice(hashes, {k + 1}, size(hashes)), (x, y) -> least(x, y))"))
-    chosen = "x.n = 1 or x.g = y"
-    out = out.withColumn("hit", F.expr(f"zip_with(grams, least, (x, y) -> {chosen})"))
-    for k in range(1, window):
-        out = out.withColumn("hit", F.expr(f"zip_with(hit, zip_with(grams, slice(concat(array_repeat(cast(null as bigint), {k}), least), 1, size(grams)), (x, y) -> {chosen}), (x, y) -> coalesce(x, false) or coalesce(y, false))"))
-    marks = "filter(transform(zip_with(grams, hit, (x, y) -> if(y, x, null)), (x, j) -> struct(j as j, x.g as g, x.n as n)), x -> x.g is not null)"
-    return out.select("id", "k", F.expr("transform(lines, x -> x.h)").alias("hs"), F.expr("transform(lines, x -> x.i)").alias("at"), F.expr(marks).alias("marks"))
+    more = f"aggregate(slice(lines, i + 2, {max(gram, min_words) - 1}), struct(x.h as h, x.w as w, 1 as n), (a, y) -> if({full}, a, struct(xxhash64(a.h, y.h) as h, a.w + y.w as w, a.n + 1 as n)), a -> if({full}, struct(a.h as g, a.n as n), null))"
+    two = f"when x.w + get(lines, i + 1).w >= {min_words} then struct(xxhash64(x.h, get(lines, i + 1).h) as g, 2 as n)" if gram <= 2 else ""
+    out = out.withColumn("grams", F.expr(f"transform(lines, (x, i) -> case when x.w >= {long_words} then struct(xxhash64(x.h) as g, 1 as n) {two} else {more} end)"))
+    least = [", ".join(f"get(grams, j + {t - k}).g" for t in range(window) if t != k) for k in range(window)]  # of the window that begins k before
+    chosen = " or ".join(f"(j >= {k} and x.g = least(x.g, {others or 'x.g'}))" for k, others in enumerate(least))
+    marks = f"filter(transform(grams, (x, j) -> if(x.g is not null and (x.n = 1 or {chosen}), struct(j as j, x.g as g, x.n as n), null)), x -> x is not null)"
+    return out.select("id", "k", F.expr("lines.h").alias("hs"), F.expr("lines.i").alias("at"), F.expr(marks).alias("marks"))
 
 
 def _beside(ahead: str, back: str) -> str:
@@ -122,8 +139,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id", gram:
     marked = materialise(fingerprints(keyed, "t", gram, window, long_words, min_words), "lines")
     found = repeated_runs(marked, window, min_words).select(F.col("k").alias(key), F.col("runs").alias(runs))
     discard(marked)
-    split = f"split(`{text}`, {PLACES})"
-    keep = _outside(split, f"`{runs}`")
+    keep = _outside(_pieces(f"`{text}`"), f"`{runs}`")
     kept = temp_name(docs, "row_kept")
     # texts meet their runs in a shuffle at any size: the runs of a compressed file can be many times its size, and grow with the table
     joined = docs.withColumn(key, hashed).join(found.hint("merge"), key, "left").withColumn(kept, F.when(F.col(runs).isNotNull(), F.expr(keep)))

@@ -305,3 +305,18 @@ def test_texts_meet_their_runs_without_a_broadcast(spark, capsys):
     out.explain()
     assert "Broadcast" not in capsys.readouterr().out
     assert {x.doc_id: x.text for x in out.collect()} == {0: docs.first().text, 1: "", 2: ""}
+
+
+def test_plain_cuts_are_those_of_the_expressions(spark):
+    texts = ["", " ", "\n", ".", "a.", "a. ", "a.\n", "a?! b", "a. . b", "a.! ? b\n\n.\n", "a..\nb...  c", "e.g. x.y !z! ?", "a。b.。 c", "a！ b. c", "x\u0001y. z\n", "\n\na!\n", "é. ü? 　. b. "]
+    r = random.Random(8)
+    texts += ["".join(r.choice(".!? \nab\u0001。é") for _ in range(30)) for _ in range(200)] + ["".join(r.choice(".!? \nabé") for _ in range(30)) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in docs.selectExpr("t", linededup._cut("t") + " as a", f"split(concat(t, ' '), {linededup.ENDS}) as b", linededup._pieces("t") + " as c", f"split(t, {linededup.PLACES}) as d").collect():
+        assert (row.a, row.c) == (row.b, row.d), row.t
+
+
+def test_fingerprints_pass_few_times_over_the_lines(spark):
+    """Each function over an array's items is evaluated item by item, outside of generated code: 8 functions, 16 before."""
+    plan = linededup.fingerprints(spark.createDataFrame([(1, 2, "a")], "id long, k long, t string"), "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction(") <= 9
