@@ -30,6 +30,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -46,6 +47,11 @@ END, START = b"", (1 << 62) + 1  # no word is empty; no node has the start's num
 _STEP = 9.0 / 254
 #: What a byte stands for: 0 is an n-gram not met, 255 is certainty.
 BOOK = np.concatenate([[0.0], 10.0 ** ((np.arange(1, 256) - 255) * _STEP)])
+#: Place of the k-th set bit of each byte, eight for each byte.
+_SELECT = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.uint64).ravel()
+#: Text of the documents that are split at once.
+_GROUP_BYTES = 1 << 20
+_PACK, _UNPACK = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
 
 
 def quantised(share: np.ndarray) -> np.ndarray:
@@ -55,6 +61,12 @@ def quantised(share: np.ndarray) -> np.ndarray:
     return np.where(share > 0, np.clip(code, 1, 255), 0).astype(np.uint8)
 
 
+def _window(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 64 bits from each place on."""
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    return words[word] >> shift | words[word + 1] << np.uint64(1) << (np.uint64(63) - shift)
+
+
 class EliasFano:
     """A non-decreasing sequence below `universe`: low bits packed, high bits unary with counts by word."""
 
@@ -83,24 +95,19 @@ class EliasFano:
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
             return np.zeros(len(i), np.int64)
-        at = i * self.low
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        x = self.lows[word] >> shift
-        over = shift > 0
-        x[over] |= self.lows[word[over] + 1] << (np.uint64(64) - shift[over])
-        return (x & np.uint64((1 << self.low) - 1)).astype(np.int64)
+        return (_window(self.lows, i * self.low) & np.uint64((1 << self.low) - 1)).view(np.int64)
 
     @staticmethod
     def _in_word(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th (from 0) set bit of each word."""
-        place, bits, k = np.zeros(len(bits), np.int64), bits.copy(), k.copy()
-        for step in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
-            right = k >= count
-            k -= np.where(right, count, 0)
-            place += np.where(right, step, 0)
-            bits = np.where(right, bits >> np.uint64(step), bits)
-        return place
+        """Place of the k-th (from 0) set bit of each word: its byte by all bytes' running counts at once, then a table."""
+        u, k = np.uint64, k.astype(np.uint64)
+        sums = bits - (bits >> u(1) & u(0x5555555555555555))
+        sums = (sums & u(0x3333333333333333)) + (sums >> u(2) & u(0x3333333333333333))
+        sums = (sums + (sums >> u(4)) & u(0x0F0F0F0F0F0F0F0F)) * u(0x0101010101010101)
+        past = (k * u(0x0101010101010101) | u(0x8080808080808080)) - sums & u(0x8080808080808080)
+        place = np.bitwise_count(past).astype(np.uint64) << u(3)
+        k -= sums << u(8) >> place & u(255)
+        return (place + _SELECT[((bits >> place & u(255)) << u(3) | k).astype(np.int64)]).astype(np.int64)
 
     def _below(self, high: np.ndarray) -> np.ndarray:
         """How many values have high bits below `high`: the ones before the zero number high - 1."""
@@ -120,18 +127,33 @@ class EliasFano:
     def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """The place of each x, or -1: a successor search among the values that share its high bits, within the places
         from `first` to `end` where these are given."""
-        high = x >> self.low
-        a, upto = self._below(high), self._below(high + 1)
-        a, end = (a, upto) if first is None else (np.maximum(a, first), np.minimum(upto, end))
-        b, want = end.copy(), x & ((1 << self.low) - 1)
-        while (open_ := np.nonzero(a < b)[0]).size:
-            mid = (a[open_] + b[open_]) >> 1
-            less = self._low(mid) < want[open_]
-            a[open_[less]] = mid[less] + 1
-            b[open_[~less]] = mid[~less]
-        hit = a < end
-        hit[hit] = self._low(a[hit]) == want[hit]
-        return np.where(hit, a, -1)
+        high, want = x >> self.low, x & ((1 << self.low) - 1)
+        new = np.ones(len(x), bool)
+        np.not_equal(high[1:], high[:-1], out=new[1:])
+        run = np.cumsum(new) - 1  # neighbours often share their high bits
+        high = high[new]
+        a = self._below(high)
+        ones = _window(self.highs, a + high)
+        upto = a + np.bitwise_count(ones & ~ones - np.uint64(1))  # as many as there are ones before the next zero
+        full = np.nonzero(upto - a == 64)[0]
+        upto[full] = self._below(high[full] + 1)
+        a, b = a[run], upto[run]
+        if first is not None:
+            a, b = np.maximum(a, first), np.minimum(b, end)
+        open_ = np.nonzero(b - a > 1)[0]
+        low, high, aim = a[open_], b[open_], want[open_]
+        while open_.size:  # until one value is left
+            mid = (low + high - 1) >> 1
+            less = self._low(mid) < aim
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid + 1)
+            more = high - low > 1
+            a[open_[~more]] = low[~more]
+            open_, low, high, aim = open_[more], low[more], high[more], aim[more]
+        hit = np.nonzero(a < b)[0]
+        hit = hit[self._low(a[hit]) == want[hit]]
+        out = np.full(len(x), -1, np.int64)
+        out[hit] = a[hit]
+        return out
 
 
 class Level:
@@ -200,12 +222,16 @@ def _different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = len(x).bit_length()
     if int(x.max(initial=0)).bit_length() + bits > 63:
         return np.unique(x, return_inverse=True)
-    both = np.sort(x.astype(np.int64) << bits | np.arange(len(x)))
+    both = x.astype(np.int64)
+    both <<= bits
+    both |= np.arange(len(x))
+    both.sort()
     value = both >> bits
     new = np.ones(len(x), bool)
     np.not_equal(value[1:], value[:-1], out=new[1:])
     which = np.empty(len(x), np.int32)
-    which[both & ((1 << bits) - 1)] = np.cumsum(new, dtype=np.int32) - 1
+    both &= (1 << bits) - 1
+    which[both] = np.cumsum(new, dtype=np.int32) - 1
     return value[new], which
 
 
@@ -213,14 +239,15 @@ def _packed(x: np.ndarray) -> bytes:
     """Numbers from 0 as compressed bytes of the least width, all low bytes first."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
     planes = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + zstandard.compress(np.ascontiguousarray(planes), 3)
+    return bytes([width]) + _PACK.compress(np.ascontiguousarray(planes))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : data[0]] = planes.T
-    return out.view("<u8").ravel().astype(np.int64)
+    planes = np.frombuffer(_UNPACK.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = planes[0].astype(np.int64)
+    for k in range(1, data[0]):
+        out |= planes[k].astype(np.int64) << 8 * k
+    return out
 
 
 def _gaps(x: np.ndarray, heads: np.ndarray | None = None) -> bytes:
@@ -243,12 +270,6 @@ def _from_gaps(data: bytes, heads: np.ndarray | None = None) -> np.ndarray:
     return sums - np.repeat(sums[heads] - out[heads], np.diff(np.append(heads, len(out))))
 
 
-def _rank(x: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x), np.int64)
-    out[np.argsort(x)] = np.arange(len(x))
-    return out
-
-
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """63 bits that depend on both numbers."""
     with np.errstate(over="ignore"):
@@ -257,6 +278,22 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (x ^ x >> np.uint64(32)) >> np.uint64(1)
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number of words of each text, each word's place in a list of different words, that list): A-Z lower-cased, cut at
+    white space. The list may hold an empty word too, which no place refers to. Arrow's ASCII functions need no valid UTF-8."""
+    large = pa.types.is_large_binary(texts.type)
+    texts = pc.fill_null(texts, b"").view(pa.large_string() if large else pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    place, words = coded.indices.to_numpy(), coded.dictionary.view(pa.large_binary() if large else pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    if b"" in words:  # before leading and after trailing white space
+        some = place != words.index(b"")
+        lens = np.bincount(np.repeat(np.arange(len(lens)), lens)[some], minlength=len(lens))
+        place = place[some]
+    return lens, place, words
+
+
 def _coder(batch_tokens: int, batch_words: int):
     """Texts as batches: documents, the hashes of their words in order, and each token's place among these."""
 
@@ -265,28 +302,35 @@ def _coder(batch_tokens: int, batch_words: int):
         ids, held, lens, tokens, size, words = [], [], [], [], 0, None
 
         def batch():
-            hashes, seq = np.fromiter((xxhash.xxh64_intdigest(w, 42) >> 1 for w in words), np.int64, len(words)), np.concatenate(tokens)
+            hashes, seq = np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(42)), np.uint64, len(words)), np.concatenate(tokens)
             order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")  # small numbers for common words
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            hashes, seq = hashes[order], rank[seq]
+            hashes, seq = (hashes >> np.uint64(1)).astype(np.int64)[order], rank[seq]
             return pa.RecordBatch.from_arrays(
-                [pa.array([next(number)]), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([lens], pa.list_(pa.int32())), pa.array([_packed(hashes)], pa.binary()), pa.array([_packed(seq)], pa.binary())],
+                [pa.array([next(number)]), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([np.concatenate(lens)], pa.list_(pa.int32())), pa.array([_packed(hashes)], pa.binary()), pa.array([_packed(seq)], pa.binary())],
                 names=["uid", "ids", "held", "lens", "hashes", "seq"],
             )
 
         for b in batches:
             kind = b.column(0).type
-            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            texts = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = np.nonzero(np.diff(texts // min(_GROUP_BYTES, batch_tokens, 4 * batch_words)))[0] + 1
+            for i, j in itertools.pairwise([0, *cuts.tolist(), b.num_rows]):
                 if words is None:
                     words = defaultdict(itertools.count().__next__)
-                parts = (t or b"").lower().split()
-                parts.append(END)
-                tokens.append(np.fromiter(map(words.__getitem__, parts), np.int32, len(parts)))
-                ids.append(i)
-                held.append(h)
-                lens.append(len(parts))
-                size += len(parts)
+                group = b.slice(i, j - i)
+                n, place, different = _split(group.column(2))
+                ends = np.cumsum(n + 1) - 1
+                seq = np.full(len(place) + len(n), words[END], np.int32)
+                word = np.ones(len(seq), bool)
+                word[ends] = False
+                seq[word] = np.fromiter(map(words.__getitem__, different), np.int32, len(different))[place]
+                tokens.append(seq)
+                ids += group.column(0).to_pylist()
+                held += group.column(1).to_pylist()
+                lens.append(n + 1)
+                size += len(seq)
                 if size >= batch_tokens or len(words) >= batch_words:
                     yield batch()
                     ids, held, lens, tokens, size, words = [], [], [], [], 0, None
@@ -321,22 +365,35 @@ class Batch:
         """Adds the next level."""
         before = self.grams[-1]
         at = np.nonzero(self.token[1:] & (before[:-1] >= 0))[0] + 1
-        key, which = _different(before[at - 1].astype(np.int64) * self.width + self.word[at])
+        bits = self.width.bit_length()
+        key, which = _different(before[at - 1].astype(np.int64) << bits | self.word[at])
         gram = np.full(len(self.word), -1, np.int32)
         gram[at] = which
         self.grams.append(gram)
-        self.context.append((key // self.width).astype(np.int32))
-        self.last.append((key % self.width).astype(np.int32))
+        self.context.append((key >> bits).astype(np.int32))
+        self.last.append((key & ((1 << bits) - 1)).astype(np.int32))
         self.own.append(np.bincount(which[self.learns[at]], minlength=len(key)))
 
+    def renumber(self, order: np.ndarray) -> None:
+        """Numbers the n-grams of the last level anew, in the given order."""
+        rank = np.empty(len(order) + 1, np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        rank[-1] = -1  # no n-gram
+        self.grams[-1], self.own[-1] = rank[self.grams[-1]], self.own[-1][order]
+        if len(self.grams) == 1:
+            self.word, self.hashes = self.grams[0], self.hashes[order[:-1]]
+        else:
+            self.context[-1], self.last[-1] = self.context[-1][order], self.last[-1][order]
+
 
 class Known:
     """What a batch has been told, by level: node, count and byte of each n-gram. A node is odd where another batch holds
-    the n-gram too; else all its occurrences, and those of what goes on from it, are here."""
+    the n-gram too; else all its occurrences, and those of what goes on from it, are here. A level that has been told is
+    numbered by node, so that the next level's n-grams ascend by their nodes as they are found."""
 
     def __init__(self, batch: Batch, answers: list, priors, totals: dict):
         self.batch, self.priors, self.totals = batch, priors, totals
-        self.node, self.count, self.code, self.rank = [], [], [], []
+        self.node, self.count, self.code = [], [], []
         for told in answers:
             self._learn(told)
 
@@ -353,22 +410,27 @@ class Known:
         if level == 1:
             return (_mixed(b.hashes, np.zeros(1, np.int64)) % np.uint64(shards)).astype(np.int64)
         c = b.context[level - 1][asked]
-        ways = np.maximum(1, self.count[level - 2][c] * 4 * shards // max(1, self.totals["tokens"])).astype(np.uint64)
-        word = _mixed(self.node[0][b.last[level - 1][asked]], np.full(1, 7))
-        return (_mixed(self.node[level - 2][c], word % ways) % np.uint64(shards)).astype(np.int64)
+        heads = np.nonzero(np.diff(c, prepend=-1))[0]
+        node, count = self.node[level - 2][c[heads]], self.count[level - 2][c[heads]]
+        fan = np.diff(np.append(heads, len(c)))
+        out = np.repeat((_mixed(node, np.zeros(1, np.int64)) % np.uint64(shards)).astype(np.int64), fan)
+        ways = np.maximum(1, count * 4 * shards // max(1, self.totals["tokens"])).astype(np.uint64)
+        if (ways > 1).any():
+            ways, node = np.repeat(ways, fan), np.repeat(node, fan)
+            wide = np.nonzero(ways > 1)[0]
+            word = _mixed(self.node[0][b.last[level - 1][asked[wide]]], np.full(1, 7))
+            out[wide] = (_mixed(node[wide], word % ways[wide]) % np.uint64(shards)).astype(np.int64)
+        return out
 
     def dealt(self, level: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """(the n-grams to be asked for, by shard, then context and word as the shards number them; where each shard's begin)."""
         asked = self.asked(level)
-        shard, key = self.shards(level, asked, shards), self.batch.hashes
-        if level > 1:
-            while len(self.rank) < level - 1:
-                self.rank.append(_rank(self.node[len(self.rank)]))
-            key = self.rank[level - 2][self.batch.context[level - 1][asked]] * self.batch.width + self.rank[0][self.batch.last[level - 1][asked]]
-        order = np.argsort(key)
-        few = shard[order].astype(np.uint16 if shards <= 1 << 16 else np.int64)  # numpy sorts 16 bits in one pass
-        order = order[np.argsort(few, kind="stable")]
-        return asked[order], np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+        shard = self.shards(level, asked, shards)
+        if level == 1:
+            order = np.argsort(self.batch.hashes)
+            asked, shard = asked[order], shard[order]
+        few = shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)  # numpy sorts 16 bits in one pass
+        return asked[np.argsort(few, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
     def _learn(self, told) -> None:
         """Answers of the shards to this batch, for the next level: rows of (shard, nodes, counts, codes)."""
@@ -391,6 +453,11 @@ class Known:
                 code[at] = _unpacked(codes)
         if level == 1:
             node[-1], count[-1] = START, self.totals.get("texts", 0)
+        if level <= len(self.priors):  # the last level is no context
+            has = np.nonzero(node)[0]
+            order = np.concatenate([np.nonzero(node == 0)[0], has[np.argsort(node[has])]])
+            b.renumber(order)
+            node, count, code = node[order], count[order], code[order]
         self.node.append(node)
         self.count.append(count)
         self.code.append(code)
@@ -418,14 +485,13 @@ class Known:
         log = np.log10((self.count[0][:-1] + 1.0) / (t["tokens"] + t["types"] + 1.0))
         at = np.nonzero(b.token)[0]
         base = log[b.word[at]]
-        p = np.zeros(len(b.word))
-        p[at] = 10.0**base
+        p = np.append(10.0**log, 0.0)[b.word]
         for k in range(1, len(self.node)):
             has = np.nonzero(b.grams[k] >= 0)[0]
             gram = b.grams[k][has]
-            whole = self.count[k - 1][b.context[k][gram]]
+            whole = self.count[k - 1][b.context[k]]
             m = self.priors[k - 1]
-            p[has] = BOOK[self.code[k][gram]] + np.where(whole > 0, m / (whole + m), 1.0) * p[has]
+            p[has] = BOOK[self.code[k]][gram] + np.where(whole > 0, m / (whole + m), 1.0)[gram] * p[has]
         total = lambda w: np.bincount(b.doc[at], w, b.docs)
         known = (self.count[0][b.word[at]] > 0).astype(float)
         return total(np.ones(len(at))).astype(np.int64), total(known).astype(np.int64), total(base), total(np.log10(np.minimum(p[at], 1.0)))
@@ -448,9 +514,10 @@ def _answering(level: int, prior: float, shards: int, last: bool):
         whole = np.zeros(len(different), np.int64)
         whole[of] = np.concatenate(part("wholes"))
         vocabulary, number = _different(np.concatenate(words))
-        key, which = _different(np.repeat(of, np.concatenate(fans)).astype(np.int64) * len(vocabulary) + number)
+        bits = len(vocabulary).bit_length()
+        key, which = _different(np.repeat(of, np.concatenate(fans)).astype(np.int64) << bits | number)
         count = np.bincount(which, np.concatenate(own), len(key)).astype(np.int64)
-        context, word = (key // len(vocabulary)).astype(np.int32), (key % len(vocabulary)).astype(np.int32)
+        context, word = (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32)
         del number, key
         codes, seen = None, count > 0
         if level > 1:

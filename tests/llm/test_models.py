@@ -295,6 +295,44 @@ def test_language_model_sends_gaps():
     assert size[1] / size[0] < 3.5
 
 
+def test_language_model_splits_a_group_of_texts_at_once():
+    texts = [None, b"", b" \t", b"A b\x0bA\x1cB  b\r\n", b" \xff\xC3 \xc3\x84 z", b"\x00 \xc2\xa0x", b"Z" * 5000]
+    lens, place, words = lm._split(pa.array([b"not", *texts], pa.binary()).slice(1))
+    want = [(t or b"").lower().split() for t in texts]
+    assert lens.tolist() == [len(w) for w in want] and [words[i] for i in place] == sum(want, [])
+    assert lm._split(pa.array([], pa.binary()))[0].tolist() == []
+    large = lm._split(pa.array(texts, pa.large_binary()))
+    assert (large[0] == lens).all() and [large[2][i] for i in large[1]] == sum(want, [])
+
+
+def test_trie_search_looks_neighbours_up_once(monkeypatch):
+    """Values that share their high bits are one bucket: it is looked up once for a run of them, and its end is read off."""
+    v = np.concatenate([np.arange(300), 10**9 + np.arange(0, 5000, 7)])
+    e, asked, below = lm.EliasFano.build(v, 1 << 31), [], lm.EliasFano._below
+    monkeypatch.setattr(lm.EliasFano, "_below", lambda self, high: asked.append(len(high)) or below(self, high))
+    q = np.concatenate([np.arange(400), 10**9 + np.arange(6000)])
+    there = {x: i for i, x in enumerate(v.tolist())}
+    assert e.find(q).tolist() == [there.get(x, -1) for x in q.tolist()] and sum(asked) < 10
+    asked.clear()
+    q = np.random.default_rng(3).permutation(q)
+    assert e.find(q).tolist() == [there.get(x, -1) for x in q.tolist()]
+
+
+def test_language_model_numbers_words_by_node():
+    """What a batch was told is numbered by node, so that its requests need no sort of their own."""
+    hashes, seq = np.array([50, 10, 40, 20]), np.array([0, 1, 2, 3, 0, 1, 2, 0, 1, 0])
+    batch = lm.Batch([4, 6], [False, False], lm._packed(hashes), lm._packed(seq))
+    totals = {"shards": 1, "texts": 2, "tokens": 10, "types": 4}
+    nodes, counts = np.array([5, 1, 7, 3]), np.array([3, 1, 2, 4])  # of 10, 20, 40 and 50
+    known = lm.Known(batch, [[(0, lm._packed(nodes), lm._packed(counts), None)]], lm.PRIORS, totals)
+    assert known.node[0].tolist() == [1, 3, 5, 7, lm.START] and known.count[0].tolist() == [1, 4, 3, 2, 2]
+    assert batch.hashes.tolist() == [20, 50, 10, 40] and batch.word[batch.token].tolist() == [1, 2, 3, 0, 1, 2, 3, 1, 2, 1]
+    ((shard, uid, contexts, wholes, fans, words, own),) = known.requests(9, 1)
+    fans = lm._unpacked(fans)
+    assert lm._from_gaps(contexts).tolist() == [3, 5, 7, lm.START] and fans.tolist() == [1, 2, 2, 1]
+    assert lm._from_gaps(words, np.cumsum(fans) - fans).tolist() == [5, 3, 7, 1, 3, 3] and lm._unpacked(own).tolist() == [3, 1, 2, 1, 1, 2]
+
+
 def test_gaps_give_the_numbers_back():
     r = np.random.default_rng(7)
     heads = np.array([0, 1, 40])
