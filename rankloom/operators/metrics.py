@@ -36,6 +36,11 @@ def f_score(p: Column, r: Column) -> Column:
 def micro_f_curve(predictions: DataFrame, truth: DataFrame, weights: DataFrame | None = None, thresholds: int = 50) -> DataFrame:
     """(bin, threshold, precision, recall, f): weights pooled over all entities, predictions at or above each threshold."""
     bins, wanted = per_entity_bins(predictions, truth, weights, thresholds)
+    return swept_curve(bins, wanted, thresholds)
+
+
+def swept_curve(bins: DataFrame, wanted: DataFrame, thresholds: int) -> DataFrame:
+    """micro_f_curve() of sums in parts: bins(bin, predicted, right), wanted(wanted)."""
     all_ = wanted.agg(F.sum("wanted").alias("all_wanted"))
     pooled = bins.groupBy("bin").agg(F.sum("predicted").alias("predicted"), F.sum("right").alias("right"))
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each threshold

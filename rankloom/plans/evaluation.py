@@ -20,6 +20,15 @@ def _round(df, *columns):
 
 def _cell(spark, sf):
     """Predictions and truth of the cell, both closed over the ontology without its root, and the terms' weights."""
+def _curve(spark, sf):
+    g = graph(spark, sf)
+    if g is None:
+        return M.micro_f_curve(*_cell(spark, sf))
+    ia = L.weights(L.information_accretion(positives(spark, sf), g), g, "ia")
+    bins = materialise(L.micro_bins(candidates(spark, sf), g, ia), "bins")
+    return M.swept_curve(bins.where("bin is not null"), bins, 50)
+
+
     pairs, over, e = all_pairs(spark, sf), closure(spark, sf), edges(spark, sf)
     top = O.roots(e, nodes(spark, sf))
     closed = O.entity_closure(pairs.where("label = 1"), over)
@@ -36,7 +45,7 @@ f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (
 
 @query(f"WITH RECURSIVE {_MICRO} SELECT bin, threshold, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f, 9) AS f FROM f")
 def flagship_ia_micro_f(spark, sf):
-    return _round(M.micro_f_curve(*_cell(spark, sf)), "precision", "recall", "f")
+    return _round(_curve(spark, sf), "precision", "recall", "f")
 
 
 @query(f"WITH RECURSIVE {_MICRO} SELECT threshold, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f, 9) AS f FROM f ORDER BY f.f DESC, bin DESC LIMIT 1")
