@@ -9,6 +9,7 @@ from rankloom.operators import codes as C
 from rankloom.operators import digests as D
 from rankloom.operators import encoding as B
 from rankloom.operators import evidence as V
+from rankloom.operators import lifting as L
 from rankloom.operators import ontology as O
 from rankloom.operators import semantics as M
 from rankloom.operators import retrieval as R
@@ -18,7 +19,7 @@ from rankloom.sources import writers as W
 from .registry import query
 from .similarity import _VEC, vectors
 from .staging import h60
-from .tables import CAND, CLOSURE, candidates, closure, edges, read
+from .tables import CAND, CLOSURE, candidates, closure, edges, graph, read
 
 _SETS = """sets AS (SELECT DISTINCT source AS entity, snapshot AS version, source * 10000 + snapshot AS set_id, term FROM cand WHERE label = 1), asked AS (SELECT DISTINCT source AS entity, term, 'v' || snapshot || '-v' || (snapshot + 1) AS snapshot_pair, snapshot AS a FROM cand)"""
 
@@ -143,8 +144,9 @@ def e01_sorted_in_bucket(spark, sf):
 SELECT c.cell, count(*) AS rows, count(DISTINCT c.entity) AS entities, sum(label)::BIGINT AS positives, count(up.term) AS propagated, CASE WHEN sum(label) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall, round(CASE WHEN any_value(t.n) > 0 THEN count(up.term) / any_value(t.n) ELSE 0 END, 9) AS recall_propagated
 FROM c LEFT JOIN up USING (cell, entity, term) LEFT JOIN (SELECT cell, count(*) AS n FROM up GROUP BY ALL) t ON t.cell = c.cell GROUP BY c.cell""".replace("WITH ", "WITH RECURSIVE ", 1))
 def d03_candidate_recall(spark, sf):
-    rows = candidates(spark, sf).groupBy(F.col("category").alias("cell"), "entity", "term").agg(F.max("label").alias("label"))
-    return O.candidate_recall(rows, closure(spark, sf), "cell").withColumn("recall_propagated", F.round("recall_propagated", 9))
+    g, rows = graph(spark, sf), candidates(spark, sf).select(F.col("category").alias("cell"), "entity", "term", "label")
+    out = O.candidate_recall(rows.groupBy("cell", "entity", "term").agg(F.max("label").alias("label")), closure(spark, sf), "cell") if g is None else L.candidate_recall(rows, g, "cell")
+    return out.withColumn("recall_propagated", F.round("recall_propagated", 9))
 
 
 @query("""SELECT lang AS category, CASE WHEN d < TIMESTAMP '2024-01-10' THEN 'first' WHEN d < TIMESTAMP '2024-01-20' THEN 'second' WHEN d IS NULL THEN 'undated' ELSE 'later' END AS bucket, count(*) AS n FROM (SELECT lang, CASE WHEN doc_id % 7 > 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 31 AS INTEGER) AS TIMESTAMP) END AS d FROM documents WHERE coalesce(length(text) > 600, false)) GROUP BY ALL""")
