@@ -11,7 +11,7 @@ from rankloom.operators import resampling as J
 
 from .dag import IA
 from .registry import query
-from .tables import CAND, CLOSURE, PAIRS, candidates, all_pairs, closure, edges, read
+from .tables import CAND, CLOSURE, PAIRS, accretion, candidates, all_pairs, closure, edges, read
 
 _LEVELS = " + ".join(f"(u >= {c!r})::INTEGER" for c in J._POISSON)
 
@@ -145,7 +145,7 @@ def d01_rows_per_source(spark, sf):
 SELECT entity, round(tp, 8) AS tp, round(fp, 8) AS fp, round(fn, 8) AS fn, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 8) AS delivered, round(CASE WHEN 2 * tp + fn > 0 THEN 2 * tp / (2 * tp + fn) ELSE 0 END, 8) AS without_wrong FROM e""")
 def d28_error_atlas(spark, sf):
     pairs = all_pairs(spark, sf)
-    ia = O.information_accretion(O.entity_closure(pairs.where("label = 1"), closure(spark, sf)), edges(spark, sf))
+    ia = accretion(spark, sf)
     a = P.error_atlas(pairs, ia, 0.5)
     return a.select("entity", *[F.round(c, 8).alias(c) for c in a.columns if c != "entity"])
 
