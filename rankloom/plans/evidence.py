@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import evidence as V
 from rankloom.operators import fusion as X
+from rankloom.operators import lifting as L
 from rankloom.operators import ontology as O
 from rankloom.operators import resampling as J
 
@@ -13,7 +14,7 @@ from .analysis import _weights
 from .blending import _STREAMS, streams, truth
 from .dag import IA
 from .registry import query
-from .tables import CAND, CLOSURE, PAIRS, all_pairs, candidates, closure, edges, read
+from .tables import CAND, CLOSURE, PAIRS, all_pairs, candidates, closure, edges, graph, read
 
 
 def _rounded(df, digits, *columns):
@@ -73,10 +74,14 @@ def d13_label_arms(spark, sf):
 @query(f"""WITH RECURSIVE {IA}, t AS (SELECT c.entity, c.term, coalesce(ia, 0) AS w, p.entity IS NULL AS missed, coalesce(CASE WHEN p_size < 30 THEN 'small' ELSE 'large' END, 'none') AS tag FROM closed c LEFT JOIN ia ON ia.term = c.term LEFT JOIN (SELECT * FROM pairs WHERE score >= 0.5) p ON p.entity = c.entity AND p.term = c.term LEFT JOIN part ON p_partkey = c.term)
 SELECT tag, count(*) AS n, round(sum(CASE WHEN missed THEN w ELSE 0 END), 5) AS missed, round(sum(w), 5) AS total FROM t GROUP BY tag""")
 def d29_missed_mass(spark, sf):
-    p, e = all_pairs(spark, sf), edges(spark, sf)
-    closed = O.entity_closure(p.where("label = 1"), closure(spark, sf))
+    p, g = all_pairs(spark, sf), graph(spark, sf)
     tags = read(spark, sf, "part").select(F.col("p_partkey").alias("term"), F.when(F.col("p_size") < 30, "small").otherwise("large").alias("tag"))
-    return _rounded(V.missed_mass(closed, p.where("score >= 0.5"), O.information_accretion(closed, e), tags), 5, "missed", "total")
+    if g is None:
+        closed = O.entity_closure(p.where("label = 1"), closure(spark, sf))
+        out = V.missed_mass(closed, p.where("score >= 0.5"), O.information_accretion(closed, edges(spark, sf)), tags)
+    else:
+        out = L.missed_mass(candidates(spark, sf).withColumn("pool", F.col("score") >= 0.5), g, tags)
+    return _rounded(out, 5, "missed", "total")
 
 
 _F = """b AS (SELECT cell, arm, least(50, greatest(0, floor(s * 50)))::INTEGER AS bin, count(*) AS n, sum(label) AS y FROM x, (VALUES ('model'), ('baseline')) v(arm), LATERAL (SELECT CASE WHEN arm = 'model' THEN score ELSE score2 END AS s) GROUP BY ALL), w AS (SELECT cell, arm, sum(n) OVER d AS n, sum(y) OVER d AS tp, sum(y) OVER (PARTITION BY cell, arm) AS a FROM b WINDOW d AS (PARTITION BY cell, arm ORDER BY bin DESC)),
