@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions.steps import materialise
+from rankloom.operators import lifting as L
 from rankloom.operators import metrics as M
 from rankloom.operators import ontology as O
 
-from .dag import IA, nodes
+from .dag import IA
 from .registry import query
-from .tables import PAIRS, all_pairs, closure, edges
+from .tables import PAIRS, accretion, all_pairs, candidates, closure, edges, graph, nodes, positives
 
 _BIN = "least(50, greatest(0, floor(score * 50)))::INTEGER"
 
@@ -50,7 +52,7 @@ def flagship_ia_micro_f(spark, sf):
 
 @query(f"WITH RECURSIVE {_MICRO} SELECT threshold, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f, 9) AS f FROM f ORDER BY f.f DESC, bin DESC LIMIT 1")
 def i03_best_ia_micro_f(spark, sf):
-    return _round(M.best(M.micro_f_curve(*_cell(spark, sf))), "precision", "recall", "f").drop("bin")
+    return _round(M.best(_curve(spark, sf)), "precision", "recall", "f").drop("bin")
 
 
 @query(f"""WITH {PAIRS}, b AS (SELECT entity, term, label, {_BIN} AS bin FROM pairs), t AS (SELECT DISTINCT bin FROM b),
