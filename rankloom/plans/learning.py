@@ -14,13 +14,13 @@ from .dag import IA
 from .registry import query
 from .similarity import vectors
 from .staging import h
-from .tables import CAND, PAIRS, candidates, all_pairs, closure, edges, read
+from .tables import CAND, PAIRS, accretion, candidates, all_pairs, closure, edges, read
 
 
 @query(f"""WITH RECURSIVE {IA} SELECT entity, term, round(CASE WHEN label = 1 THEN 1 + 0.5::DOUBLE * coalesce(ia, 0) ELSE 1 END, 9) AS w_positives, round(1 + 0.5::DOUBLE * coalesce(ia, 0), 9) AS w_all FROM pairs LEFT JOIN ia USING (term)""")
 def k01_ia_weights(spark, sf):
     pairs = all_pairs(spark, sf)
-    ia = O.information_accretion(O.entity_closure(pairs.where("label = 1"), closure(spark, sf)), edges(spark, sf))
+    ia = accretion(spark, sf)
     return pairs.join(ia, "term", "left").select("entity", "term", F.round(K.ia_weight("positives", 0.5), 9).alias("w_positives"), F.round(K.ia_weight("all", 0.5), 9).alias("w_all"))
 
 
