@@ -195,7 +195,11 @@ def option_scores(predictions: DataFrame, truth: DataFrame, weights: DataFrame,
     own = weights.join(groups, "term").select("term", "grp", "ia")
     rows = predictions.select(*PAIR, "score").join(true, PAIR, "left").join(own, "term")
     bins = rows.groupBy("grp", bin_of(F.col("score"), thresholds).alias("bin")).agg(F.sum("ia").alias("n"), F.sum(F.when(F.col("y_") == 1, F.col("ia")).otherwise(0.0)).alias("tp"))
-    wanted = true.join(own, "term").groupBy("grp").agg(F.sum("ia").alias("wanted"))
+    return best_options(bins, true.join(own, "term").groupBy("grp").agg(F.sum("ia").alias("wanted")))
+
+
+def best_options(bins: DataFrame, wanted: DataFrame) -> DataFrame:
+    """option_scores() of bins(grp, bin, n, tp) and wanted(grp, wanted)."""
     w = Window.partitionBy("grp").orderBy(F.desc("bin"))  # one row for each threshold
     swept = bins.withColumns({"n": F.sum("n").over(w), "tp": F.sum("tp").over(w)}).join(wanted, "grp")
     best = swept.groupBy("grp").agg(F.max(F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("n") + F.col("wanted"))).otherwise(0.0)).alias("f"))

@@ -25,7 +25,12 @@ def informative_ancestors(pairs: DataFrame, closed: DataFrame, ic: DataFrame) ->
 def mica_aspects(pairs: DataFrame, closed: DataFrame, ic: DataFrame, aspects: DataFrame) -> DataFrame:
     """(aspect, pairs): how many pairs rest on an ancestor of each aspect(term, aspect); 'none' without one. It tells, before
     anything is fitted to such similarities, which aspect they speak about."""
-    found = informative_ancestors(pairs, closed, ic).join(aspects.select(F.col("term").alias("mica"), "aspect"), "mica", "left")
+    return aspects_of(informative_ancestors(pairs, closed, ic), aspects)
+
+
+def aspects_of(found: DataFrame, aspects: DataFrame) -> DataFrame:
+    """mica_aspects() of found(mica)."""
+    found = found.join(aspects.select(F.col("term").alias("mica"), "aspect"), "mica", "left")
     return found.groupBy(F.coalesce("aspect", F.lit("none")).alias("aspect")).agg(F.count("*").alias("pairs"))
 
 
@@ -43,6 +48,11 @@ def pool_mean_null(pairs: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFr
     rows = resnik_lin(pairs, closed, ic)
     for c in "ab":
         rows = rows.join(best.select(F.col("entity").alias(c), F.col("top").alias(f"top_{c}")), c, "left")
+    return mean_null(rows)
+
+
+def mean_null(rows: DataFrame) -> DataFrame:
+    """pool_mean_null() of rows(a, b, lin, top_a, top_b)."""
     total = F.coalesce("top_a", F.lit(0.0)) + F.coalesce("top_b", F.lit(0.0))
     # what is shared, from Lin's value over its own denominator; where that is 0 the value is 0 and so is the part
     mean = rows.agg(F.avg(F.col("lin") * total / 2).alias("mean_"))

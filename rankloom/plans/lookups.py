@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.steps import materialise
 from rankloom.operators import codes as C
 from rankloom.operators import digests as D
 from rankloom.operators import encoding as B
@@ -19,7 +20,7 @@ from rankloom.sources import writers as W
 from .registry import query
 from .similarity import _VEC, vectors
 from .staging import h60
-from .tables import CAND, CLOSURE, candidates, closure, edges, graph, read
+from .tables import CAND, CLOSURE, candidates, closure, graph, nodes, read
 
 _SETS = """sets AS (SELECT DISTINCT source AS entity, snapshot AS version, source * 10000 + snapshot AS set_id, term FROM cand WHERE label = 1), asked AS (SELECT DISTINCT source AS entity, term, 'v' || snapshot || '-v' || (snapshot + 1) AS snapshot_pair, snapshot AS a FROM cand)"""
 
@@ -62,9 +63,15 @@ l AS (SELECT a, b, coalesce(r, 0) AS r, coalesce(p.top, 0) + coalesce(q.top, 0)
 
 
 def _suppliers(spark, sf):
-    held = O.entity_closure(candidates(spark, sf).where("label = 1").select(F.col("source").alias("entity"), "term").distinct(), closure(spark, sf))
+    """(graph, pairs, held, aspects): held is closed where the graph is not for the tasks."""
+    g, held = graph(spark, sf), candidates(spark, sf).where("label = 1").select(F.col("source").alias("entity"), "term").distinct()
+    held = O.entity_closure(held, closure(spark, sf)) if g is None else materialise(held.join(nodes(spark, sf), "term", "left_semi"), "held")
     aspects = read(spark, sf, "part").select(F.col("p_partkey").alias("term"), F.get(F.array(*map(F.lit, "PFC")), (F.col("p_size") % 3).cast("int")).alias("aspect"))
-    return C.sampled_pairs(held, 3, "m"), held, aspects
+    return g, C.sampled_pairs(held, 3, "m"), held, aspects
+
+
+def _similarity(g, pairs, held, counted):
+    return materialise(L.similarity(pairs, held, g, L.weights(O.content(counted), g, "ic")), "similar")
 
 
 @query(f"""WITH RECURSIVE {_SUPPLIERS}, ic AS ({_CONTENT.format('held')}), m AS (SELECT a, b, x.term, row_number() OVER (PARTITION BY a, b ORDER BY ic DESC, x.term DESC) AS k FROM pairs JOIN held x ON x.entity = a JOIN held y ON y.entity = b AND y.term = x.term JOIN ic ON ic.term = x.term)
@@ -82,8 +89,13 @@ def h19_aspect_lin(spark, sf):
 
 @query(f"""WITH RECURSIVE {_SUPPLIERS}, ic AS ({_CONTENT.format('held')}), {_LIN.format('held')} SELECT a, b, round(CASE WHEN t > 0 THEN 2 * r / t ELSE 0 END, 9) AS lin, round(CASE WHEN t > 0 THEN 2 * avg(CASE WHEN t > 0 THEN r ELSE 0 END) OVER () / t ELSE 0 END, 9) AS marginal FROM l""")
 def h19_pool_null(spark, sf):
-    pairs, held, _ = _suppliers(spark, sf)
-    return M.pool_mean_null(pairs, held, O.information_content(held)).select("a", "b", F.round("lin", 9).alias("lin"), F.round("marginal", 9).alias("marginal"))
+    g, pairs, held, _ = _suppliers(spark, sf)
+    if g is None:
+        out = M.pool_mean_null(pairs, held, O.information_content(held))
+    else:
+        found = _similarity(g, pairs, held, L.counts(held, g))
+        out = M.mean_null(R.lin(found).join(found.select("a", "b", "top_a", "top_b"), ["a", "b"]))
+    return out.select("a", "b", F.round("lin", 9).alias("lin"), F.round("marginal", 9).alias("marginal"))
 
 
 #: Suppliers with vectors: what they delivered before 1997 in three tiers of evidence, what came back later as truth, and five
