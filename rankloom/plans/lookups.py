@@ -77,8 +77,10 @@ def _similarity(g, pairs, held, counted):
 @query(f"""WITH RECURSIVE {_SUPPLIERS}, ic AS ({_CONTENT.format('held')}), m AS (SELECT a, b, x.term, row_number() OVER (PARTITION BY a, b ORDER BY ic DESC, x.term DESC) AS k FROM pairs JOIN held x ON x.entity = a JOIN held y ON y.entity = b AND y.term = x.term JOIN ic ON ic.term = x.term)
 SELECT coalesce(aspect, 'none') AS aspect, count(*) AS pairs FROM pairs LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (a, b) LEFT JOIN aspects USING (term) GROUP BY ALL""")
 def d31_mica_aspects(spark, sf):
-    pairs, held, aspects = _suppliers(spark, sf)
-    return M.mica_aspects(pairs, held, O.information_content(held), aspects)
+    g, pairs, held, aspects = _suppliers(spark, sf)
+    if g is None:
+        return M.mica_aspects(pairs, held, O.information_content(held), aspects)
+    return M.aspects_of(_similarity(g, pairs, held, L.counts(held, g)), aspects)
 
 
 @query(f"""WITH RECURSIVE {_SUPPLIERS}, own AS (SELECT * FROM held WHERE term IN (SELECT term FROM aspects WHERE aspect = 'P')), ic AS ({_CONTENT.format('own')}), {_LIN.format('own')} SELECT a, b, round(r, 9) AS resnik, round(CASE WHEN t > 0 THEN 2 * r / t ELSE 0 END, 9) AS lin FROM l""")
