@@ -85,8 +85,13 @@ def d31_mica_aspects(spark, sf):
 
 @query(f"""WITH RECURSIVE {_SUPPLIERS}, own AS (SELECT * FROM held WHERE term IN (SELECT term FROM aspects WHERE aspect = 'P')), ic AS ({_CONTENT.format('own')}), {_LIN.format('own')} SELECT a, b, round(r, 9) AS resnik, round(CASE WHEN t > 0 THEN 2 * r / t ELSE 0 END, 9) AS lin FROM l""")
 def h19_aspect_lin(spark, sf):
-    pairs, held, aspects = _suppliers(spark, sf)
-    return M.aspect_similarity(pairs, held, aspects, "P").select("a", "b", F.round("resnik", 9).alias("resnik"), F.round("lin", 9).alias("lin"))
+    g, pairs, held, aspects = _suppliers(spark, sf)
+    if g is None:
+        out = M.aspect_similarity(pairs, held, aspects, "P")
+    else:
+        own = L.counts(held, g).join(aspects.where("aspect = 'P'").select("term"), "term", "left_semi")
+        out = R.lin(_similarity(g, pairs, held, own))
+    return out.select("a", "b", F.round("resnik", 9).alias("resnik"), F.round("lin", 9).alias("lin"))
 
 
 @query(f"""WITH RECURSIVE {_SUPPLIERS}, ic AS ({_CONTENT.format('held')}), {_LIN.format('held')} SELECT a, b, round(CASE WHEN t > 0 THEN 2 * r / t ELSE 0 END, 9) AS lin, round(CASE WHEN t > 0 THEN 2 * avg(CASE WHEN t > 0 THEN r ELSE 0 END) OVER () / t ELSE 0 END, 9) AS marginal FROM l""")
