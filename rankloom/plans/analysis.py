@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.operators import lifting as L
 from rankloom.operators import metrics as M
 from rankloom.operators import ontology as O
 from rankloom.operators import reports as P
@@ -11,7 +12,7 @@ from rankloom.operators import resampling as J
 
 from .dag import IA
 from .registry import query
-from .tables import CAND, CLOSURE, PAIRS, accretion, candidates, all_pairs, closure, edges, read
+from .tables import CAND, CLOSURE, PAIRS, accretion, candidates, all_pairs, closure, edges, graph, read
 
 _LEVELS = " + ".join(f"(u >= {c!r})::INTEGER" for c in J._POISSON)
 
@@ -156,7 +157,9 @@ WHEN EXISTS (SELECT 1 FROM said s JOIN closure c ON c.term = s.term AND c.ancest
 WHEN EXISTS (SELECT 1 FROM said s JOIN closure c ON c.ancestor = s.term AND c.ancestor <> c.term WHERE s.entity = t.entity AND c.term = t.term) THEN 'too_shallow'
 WHEN EXISTS (SELECT 1 FROM said s JOIN sib ON sib.b = s.term WHERE s.entity = t.entity AND sib.a = t.term) THEN 'sibling' ELSE 'other' END AS class FROM t""")
 def d36_miss_classes(spark, sf):
-    p = all_pairs(spark, sf)
+    p, g = all_pairs(spark, sf), graph(spark, sf)
+    if g is not None:
+        return L.miss_classes(candidates(spark, sf).select("entity", "term", (F.col("score") >= 0.6).alias("said"), (F.col("label") == 1).alias("true")), g)
     return P.miss_classes(p.where("score >= 0.6"), p.where("label = 1"), closure(spark, sf), edges(spark, sf))
 
 
