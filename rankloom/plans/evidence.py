@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import evidence as V
 from rankloom.operators import fusion as X
+from rankloom.functions.steps import materialise
 from rankloom.operators import lifting as L
+from rankloom.operators import metrics as M
 from rankloom.operators import ontology as O
 from rankloom.operators import resampling as J
 
@@ -105,8 +107,10 @@ def d34_length_bands(spark, sf):
 @query(f"""WITH RECURSIVE {CLOSURE}, {_STREAMS}, reach AS (SELECT DISTINCT entity, ancestor AS term FROM a JOIN closure USING (term)), x AS (SELECT b.entity, b.term, r.entity IS NOT NULL AS i, t.entity IS NOT NULL AS y FROM b LEFT JOIN reach r ON r.entity = b.entity AND r.term = b.term LEFT JOIN truth t ON t.entity = b.entity AND t.term = b.term LEFT JOIN a ON a.entity = b.entity AND a.term = b.term WHERE a.entity IS NULL)
 SELECT CASE WHEN i THEN 'inside' ELSE 'outside' END AS arm, count(*) AS n, count(*) FILTER (y) AS right FROM x GROUP BY ALL""")
 def d37_extras_partition(spark, sf):
-    a, b = streams(spark, sf)
-    return V.partition_extras(a, b, closure(spark, sf), truth(spark, sf))
+    g = graph(spark, sf)
+    if g is None:
+        return V.partition_extras(*streams(spark, sf), closure(spark, sf), truth(spark, sf))
+    return L.partition_extras(candidates(spark, sf).select("entity", "term", F.col("stream").isin(1, 2).alias("pool"), F.col("stream").isin(2, 3).alias("extra"), (F.col("label") == 1).alias("true")), g)
 
 
 @query("SELECT lang AS category, count(*) AS n, count(*) FILTER (t) AS covered, count(*) FILTER (t AND d < TIMESTAMP '2024-01-20') AS before, max(d) FILTER (t) AS latest FROM (SELECT lang, coalesce(length(text) > 600, false) AS t, DATE '2024-01-01' + CAST(doc_id % 31 AS INTEGER) AS d0, CAST(DATE '2024-01-01' + CAST(doc_id % 31 AS INTEGER) AS TIMESTAMP) AS d FROM documents) GROUP BY lang")
