@@ -133,13 +133,19 @@ b AS (SELECT grp, least(50, greatest(0, floor(score * 50)))::INTEGER AS bin, sum
 s AS (SELECT grp, sum(n) OVER d AS n, sum(tp) OVER d AS tp, wanted FROM b JOIN w USING (grp) WINDOW d AS (PARTITION BY grp ORDER BY bin DESC)), f AS (SELECT grp, max(CASE WHEN tp > 0 THEN 2 * tp / (n + wanted) ELSE 0 END) AS f FROM s GROUP BY grp)
 SELECT grp, round(f, 9) AS f FROM (SELECT * FROM f UNION ALL SELECT 'mean', avg(f) FROM f)""")
 def i04_official_options(spark, sf):
-    p, e = all_pairs(spark, sf), edges(spark, sf)
-    closed = O.entity_closure(p.where("label = 1"), closure(spark, sf))
-    ia = O.information_accretion(closed, e)
-    groups = ia.select("term", F.when(F.col("term") % 3 == 0, "x").when(F.col("term") % 3 == 1, "y").otherwise("z").alias("grp"))
+    g, grp = graph(spark, sf), F.when(F.col("term") % 3 == 0, "x").when(F.col("term") % 3 == 1, "y").otherwise("z").alias("grp")
     terms = read(spark, sf, "part").where("p_size >= 10").select(F.col("p_partkey").alias("term"))
-    known = candidates(spark, sf).where("snapshot = 1993").select("entity", "term").distinct()
-    return _rounded(V.option_scores(p, closed, ia, groups, terms, known), 9, "f")
+    if g is None:
+        p, known = all_pairs(spark, sf), candidates(spark, sf).where("snapshot = 1993").select("entity", "term").distinct()
+        closed = O.entity_closure(p.where("label = 1"), closure(spark, sf))
+        ia = O.information_accretion(closed, edges(spark, sf))
+        return _rounded(V.option_scores(p, closed, ia, ia.select("term", grp), terms, known), 9, "f")
+    rows = candidates(spark, sf).groupBy("entity", "term").agg(F.max("score").alias("score"), F.max("label").alias("label"), F.max(F.coalesce(F.col("snapshot") == 1993, F.lit(False))).alias("known"))
+    weights, pairs = L.option_parts(rows.withColumn("bin", M.bin_of(F.col("score"), 50)), g)
+    own = materialise(weights.join(terms, "term", "left_semi").select("term", grp, "ia", "wanted"), "own")
+    bins = pairs.join(own, "term").groupBy("grp", "bin").agg(F.sum(F.col("ia") * F.col("c")).alias("n"), F.sum(F.col("ia") * F.col("y")).alias("tp"))
+    wanted = own.where("wanted > 0").groupBy("grp").agg(F.sum(F.col("ia") * F.col("wanted")).alias("wanted"))
+    return _rounded(V.best_options(bins, wanted), 9, "f")
 
 
 _FMAX = """cw AS (SELECT resample, entity, weight FROM w WHERE weight > 0), tr AS (SELECT resample, sum(weight * y) AS t FROM w WHERE weight > 0 GROUP BY ALL), wt AS (SELECT entity, sum(label) AS wanted FROM x GROUP BY ALL),
