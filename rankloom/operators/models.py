@@ -55,10 +55,10 @@ def binned_calibrators(rows: DataFrame, by: str, bins: int = 10) -> DataFrame:
 
 def apply_calibrators(rows: DataFrame, calibrators: DataFrame, by: str) -> DataFrame:
     """Adds calibrated by stored calibrators(by, xs, ys): linear between the points, level beyond them; the score itself in a
-    group that has none."""
+    group that has none, and null for a null score."""
     joined = rows.join(calibrators, by, "left")
     k = "size(filter(xs, x -> x <= score))"
-    line = f"""case when xs is null or size(xs) = 0 then double(score) when {k} = 0 then ys[0] when {k} = size(xs) then ys[size(xs) - 1]
+    line = f"""case when score is null or xs is null or size(xs) = 0 then double(score) when {k} = 0 then ys[0] when {k} = size(xs) then ys[size(xs) - 1]
         else ys[{k} - 1] + (score - xs[{k} - 1]) / (xs[{k}] - xs[{k} - 1]) * (ys[{k}] - ys[{k} - 1]) end"""
     return joined.withColumn("calibrated", F.expr(line)).drop("xs", "ys")
 

@@ -72,7 +72,8 @@ m AS (SELECT r.entity, r.term, r.stream, r.score, arg_max(y, x) FILTER (x <= sco
 @query(f"WITH {_BINNED} SELECT entity, term, stream, round(CASE WHEN y0 IS NULL AND y1 IS NULL THEN score WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + (score - x0) / (x1 - x0) * (y1 - y0) END, 9) AS calibrated FROM m")
 def k08_stored_calibrators(spark, sf):
     c = candidates(spark, sf)
-    out = K.apply_calibrators(c.where("entity % 2 = 1"), K.binned_calibrators(c.where("entity % 2 = 0"), "category"), "category")
+    rows = c.where("entity % 2 = 1").select("entity", "term", "stream", "category", "score").distinct()  # the SQL has a row that repeats once
+    out = K.apply_calibrators(rows, K.binned_calibrators(c.where("entity % 2 = 0"), "category"), "category")
     return out.select("entity", "term", "stream", F.round("calibrated", 9).alias("calibrated"))
 
 
