@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.steps import before
+
 from .metrics import bin_of, f_score
 
 #: Cumulative Poisson(1): a hash in 0..1 below the k-th is a count of k at most.
@@ -82,13 +84,14 @@ def grouped_intervals(samples: DataFrame, by: list[str], value: str, level: floa
 
 
 def wilcoxon(pairs: DataFrame, by: str) -> DataFrame:
-    """pairs(by, d): signed-rank test by the normal approximation with tie correction: (by, n, w, z); zero differences go."""
-    rows = pairs.where("d <> 0")
-    w = Window.partitionBy(by)
-    size = F.abs(F.round("d", 12))
-    ranked = rows.select(by, "d", size.alias("a")).withColumns({"t": F.count("*").over(Window.partitionBy(by, "a")), "r0": F.rank().over(w.orderBy("a"))}).withColumn("r", F.col("r0") + (F.col("t") - 1) / 2)
-    n = F.count("*")
-    s = ranked.groupBy(by).agg(n.alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
+    """pairs(by, d): signed-rank test by the normal approximation with tie correction: (by, n, w, z); zero differences go. Ranks
+    come from counts by distinct size, dealt by range, so no task holds a group's rows."""
+    steps = pairs.where("d <> 0").groupBy(F.struct(F.col(by).alias("g"), F.abs(F.round("d", 12)).alias("a")).alias("key_")).agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
+    ranked = before(steps, "key_", "t", "below").withColumn("g_", F.col("key_.g"))
+    first = ranked.groupBy(F.col("g_").alias("of_")).agg(F.min("below").alias("first"))
+    rank = F.col("below") - F.col("first") + (F.col("t") + 1) / 2
+    n = F.sum("t")
+    s = ranked.join(first, F.col("g_").eqNullSafe(F.col("of_"))).groupBy(F.col("g_").alias(by)).agg(n.alias("n"), F.sum(F.col("up") * rank).alias("w"), F.sum(F.col("t").cast("double") * (F.col("t") * F.col("t") - 1)).alias("ties"))
     m = F.col("n").cast("double")
     spread = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
     return s.select(by, "n", "w", F.when(spread > 0, (F.col("w") - m * (m + 1) / 4) / spread).otherwise(0.0).alias("z"))
